@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lastro.llm import bpe, minhash, packing, suffix
+from lastro.llm import bpe, langid, minhash, packing, suffix
 from lastro.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False)
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -30,5 +34,5 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), width=100, with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op6_minhash, op10_suffix)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op5_langid, op6_minhash, op10_suffix)}
 ORACLES: dict[str, str] = {}
