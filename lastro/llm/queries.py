@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lastro.llm import bpe, langid, minhash, packing, suffix
+from lastro.llm import bpe, langid, minhash, packing, secrets, suffix
 from lastro.llm.common import table
 
 
@@ -30,9 +30,13 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), width=100, with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op5_langid, op6_minhash, op10_suffix)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op5_langid, op6_minhash, op7_secrets, op10_suffix)}
 ORACLES: dict[str, str] = {}
