@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lastro.llm import bpe, langid, minhash, packing, secrets, suffix
+from lastro.llm import bpe, langid, minhash, packing, secrets, suffix, urlfilter
 from lastro.llm.common import table
 
 
@@ -34,9 +34,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+#: The rules that pages are judged by (fixed values).
+URL_RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.rules(URL_RULES))
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), width=100, with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op5_langid, op6_minhash, op7_secrets, op10_suffix)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op5_langid, op6_minhash, op7_secrets, op8_urls, op10_suffix)}
 ORACLES: dict[str, str] = {}
