@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lastro.llm import bpe, langid, minhash, packing, secrets, suffix, urlfilter
+from lastro.llm import bpe, fingerprint, langid, minhash, packing, secrets, suffix, urlfilter
 from lastro.llm.common import table
 
 
@@ -42,9 +42,13 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.rules(URL_RULES))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), width=100, with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op5_langid, op6_minhash, op7_secrets, op8_urls, op10_suffix)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op5_langid, op6_minhash, op7_secrets, op8_urls, op9_fingerprints, op10_suffix)}
 ORACLES: dict[str, str] = {}
