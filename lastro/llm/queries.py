@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lastro.llm import bpe, fingerprint, langid, minhash, packing, secrets, suffix, urlfilter
+from lastro.llm import bpe, fingerprint, hnsw, langid, minhash, packing, secrets, suffix, urlfilter, warc
 from lastro.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -50,5 +58,5 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), width=100, with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op5_langid, op6_minhash, op7_secrets, op8_urls, op9_fingerprints, op10_suffix)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_warc, op4_hnsw, op5_langid, op6_minhash, op7_secrets, op8_urls, op9_fingerprints, op10_suffix)}
 ORACLES: dict[str, str] = {}
