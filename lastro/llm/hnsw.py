@@ -66,10 +66,16 @@ class Graph:
             width = self.links[layer].shape[1]
             for row, p in enumerate(new[mine].tolist()):
                 near = self._choose(ids[row], sims[row], LINKS)
-                self.links[layer][p, : len(near)] = near
+                held = self.links[layer][p]  # points of this batch may have linked to it already
+                own = np.unique(np.concatenate((held[held >= 0], near)))
+                own = own if len(own) <= width else self._choose(own, self.points[own] @ self.points[p], width)
+                held[:] = -1
+                held[: len(own)] = own
                 for q in near.tolist():
                     held = self.links[layer][q]
                     free = np.flatnonzero(held < 0)
+                    if (held == p).any():
+                        continue
                     if len(free):
                         held[free[0]] = p
                     else:
