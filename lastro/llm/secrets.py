@@ -162,16 +162,17 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return found.join(F.broadcast(whole), "rule").filter("n = parts").select("doc_id", "rule")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Finds the rules' secrets in every text.
 
-    Returns one row per row of docs: doc_id, text, found (an array of structs start,
+    Returns one row per row of docs: the columns named in carry, doc_id, text, found (an array of structs start,
     order, end by start and rule; code points, end exclusive; order is the rule's place).
     A null text counts as empty. Repeated rows are scanned each for itself; rows with a
     null id can't be posted, so their texts are scanned fully. Other columns of docs are
     ignored whatever their names.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None)
+    docs = docs.select(carried.alias("carried"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     indexed = [i for i, r in enumerate(rules) if trigram_query(r.pattern)]
     nothing = F.from_json(F.lit("[]"), "array<struct<start:int,order:int,end:int>>")
     docs = docs.withColumn("always", F.array(*[
@@ -186,7 +187,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
     for i, r in enumerate(rules):
         run = F.col("always")[i] | F.coalesce(F.array_contains("asked", i), F.lit(False))
         each.append(F.when(run, _spans(F.col("text"), r, i)).otherwise(nothing))
-    return docs.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("found"))
+    return docs.select(*[F.col("carried")[c].alias(c) for c in carry], "doc_id", "text", F.array_sort(F.concat(*each)).alias("found"))
 
 
 def _filled(rule: Rule) -> str:
@@ -196,7 +197,7 @@ def _filled(rule: Rule) -> str:
 
 
 def redact(scanned: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """doc_id, text with every span replaced by the mask; overlapping spans give one mask each from where the last ended."""
+    """scanned with every span of text replaced by the mask; a span that begins inside another adds a mask only for what lies beyond it."""
     kind = "struct<at:int,out:string>"
 
     def step(acc: Column, s: Column) -> Column:
@@ -205,7 +206,7 @@ def redact(scanned: DataFrame, mask: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], lead, F.lit(mask))).otherwise(acc["out"]).alias("out")).cast(kind)
 
     clean = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return scanned.select("doc_id", F.when(F.size("found") > 0, clean).otherwise(F.col("text")).alias("text"))
+    return scanned.withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text"))).drop("found")
 
 
 def _only(order: int):

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lastro.llm.common import RollingHash, checkpoint, importable, mix64
 
@@ -41,7 +42,7 @@ GRAM = 48
 #: Starts of a run at most.
 RUN = 256
 #: Bytes of documents in a block, bytes of documents for each bucket, bytes in a shard.
-BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 16 << 20, 3 << 20
+BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 1 << 20, 16 << 20, 1 << 20
 #: Texts of one anchor beyond which it is dealt over several shards.
 HOT_TEXTS = 8192
 NOTHING, REPEATED, COMPARE, COMPARE_HOT = range(4)
@@ -397,7 +398,7 @@ def _merge(width: int):
     return run
 
 
-def _drop(width: int, with_text: bool, kind: pa.DataType):
+def _drop(width: int, with_text: bool, carried: list[str]):
     def run(key, rows, ranges):
         block = Block(rows, width, with_runs=False)
         number = {c: ranges.column(c).to_numpy() for c in ("row", "start", "size")} if len(ranges) else {c: np.empty(0, np.int64) for c in ("row", "start", "size")}
@@ -411,31 +412,34 @@ def _drop(width: int, with_text: bool, kind: pa.DataType):
             out["n_removed"].append(len(text) - len(kept))
             out["n_spans"].append(len(begin))
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept)
-        table = {"doc_id": rows.column("doc_id").take(pa.array(block.rows)).cast(kind), "n_bytes": pa.array(np.diff(block.begin), pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
-        return pa.table(table | ({"kept": pa.array(out["kept"], pa.binary())} if with_text else {}))
+            out["kept"].append(kept.decode("utf-8", "ignore") if with_text else "")
+        table = {**{c: rows.column(c).take(pa.array(block.rows)) for c in ("doc_id", *carried)}, "n_bytes": pa.array(np.diff(block.begin), pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
+        return pa.table(table | ({"kept": pa.array(out["kept"], pa.string())} if with_text else {}))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, hot: int = HOT_TEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, carry: tuple[str, ...] = (), hot: int = HOT_TEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Removes every byte of a `width`-byte string that also starts earlier in the corpus.
 
     doc_id must be an integer column. Returns one row per row of docs: doc_id, n_bytes,
-    n_removed, n_spans (maximal removed runs), kept_sha256 and, if with_text, kept (the
-    remaining bytes, which need not be whole UTF-8). A null text counts as empty. Rows
-    with one doc_id stand in the order of their texts, rows without an id after all
-    others; each is returned. Other columns of docs are ignored whatever their names.
+    n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes), the
+    columns named in carry and, if with_text, kept (the remaining text; a character that
+    was cut apart goes as a whole). A null text counts as empty. Rows with one doc_id
+    stand in the order of their texts, rows without an id after all others; each is
+    returned. Other columns of docs are ignored whatever their names.
     """
     if width <= GRAM:
         raise ValueError(f"the width must be more than {GRAM} bytes")
     spark = docs.sparkSession
     importable(spark)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    carried = [f"carried_{i}" for i in range(len(carry))]
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, carried, strict=True)])
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = total // BLOCK_BYTES + 1, total // BUCKET_BYTES + 8
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    dealt = source.withColumn("block", F.pmod(key, F.lit(blocks)))
+    everything = source.withColumn("block", F.pmod(key, F.lit(blocks)))
+    dealt = everything.select("doc_id", "text", "block")
 
     by_block = dealt.groupBy("block")
     sent = by_block.applyInArrow(_send(width, buckets), "bucket long, block long, anchors binary, texts binary, docs binary")
@@ -456,7 +460,6 @@ def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", te
         pieces = checkpoint(dealt_hot.applyInArrow(_compare_hot(width, min(shards * 8, 1 << 20)), f"{REMOVED}, range long, one binary, two binary, docs binary, blocks binary, rows binary, starts binary"))
         removed = removed.union(pieces.filter("range is null").select("block", "row", "start", "size"))
         removed = removed.union(pieces.filter("range is not null").groupBy("range").applyInArrow(_merge(width), REMOVED))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    out = by_block.cogroup(removed.groupBy("block")).applyInArrow(_drop(width, with_text, pa.int64()), schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    whole = StructType([StructField("doc_id", LongType()), *[everything.schema[c] for c in carried], *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")], StructField("kept_sha256", StringType()), *([StructField("kept", StringType())] if with_text else [])])
+    out = everything.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(_drop(width, with_text, carried), whole)
+    return out.select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), *[F.col(n).alias(c) for c, n in zip(carry, carried, strict=True)], *whole.fieldNames()[1 + len(carried) :])
