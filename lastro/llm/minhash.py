@@ -10,8 +10,9 @@ and a set of more than 22 such values is skipped as a whole.
 Collisions are counted and checked on full sets in two steps. First each posting
 list's members are checked against one member (a star), which joins most groups of
 copies without looking at their pairs. Then every list that still has members of
-different components counts collisions between such members alone, in blocks of
-bounded size; what reaches the threshold is checked on full sets in the task.
+different components counts collisions between such members alone, short lists many
+at a time and long ones in blocks of bounded size; what reaches the threshold is
+checked on full sets.
 Links inside one component are skipped: they can't change the result.
 
 Equal sets count once, whatever the number of their copies.
@@ -32,10 +33,12 @@ from lastro.llm.common import checkpoint, importable, mix64, text_slices
 from lastro.llm.graph import components
 
 SLICE_BYTES = 2 << 20
-MAX_WORDS_HELD = 1 << 20
+MAX_WORDS_HELD = 1 << 17
 COORDINATES, THRESHOLD = 48, 26
 #: Members of other components, and members, that one task compares at most.
 BLOCK_A, BLOCK_B = 1024, 2048
+#: Members of a posting list that is counted together with others, and rows of such lists in a task, about.
+SHORT, SHORT_ROWS = 48, 20_000
 
 
 class Words(dict):
@@ -159,6 +162,32 @@ def _counted():
     return run
 
 
+def _counted_short(key, rows):
+    """Of many short lists, the pairs of different components that reach the threshold, each in the first list that both are on."""
+    value = rows.column("value").to_numpy()
+    by = np.argsort(value, kind="stable")
+    value = value[by]
+    sig = rows.column("signature").combine_chunks().values.to_numpy().reshape(-1, COORDINATES)[by]
+    mask, own = rows.column("prefix").to_numpy()[by], rows.column("coordinate").to_numpy()[by]
+    comp, _ = pd.factorize(rows.column("component").to_pandas().iloc[by])
+    found = []
+    for step in range(1, SHORT):
+        i = np.flatnonzero(value[step:] == value[:-step])
+        if not len(i):
+            break
+        i = i[comp[i] != comp[i + step]]
+        for k in range(0, len(i), 1 << 14):
+            a = i[k : k + (1 << 14)]
+            same = sig[a] == sig[a + step]
+            a, same = (x[same.sum(axis=1) >= THRESHOLD] for x in (a, same))
+            both = (mask[a] & mask[a + step])[:, None] >> np.arange(COORDINATES) & 1
+            found.append((a[np.argmax(same & (both > 0), axis=1) == own[a]], step))
+    ids = rows.column("set_id")
+    left = np.concatenate([by[a] for a, _ in found]) if found else np.empty(0, np.int64)
+    right = np.concatenate([by[a + step] for a, step in found]) if found else np.empty(0, np.int64)
+    return pa.table({"a": ids.take(pa.array(left)).combine_chunks(), "b": ids.take(pa.array(right)).combine_chunks()})
+
+
 def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
     """Which sets of a and b reach the similarity, by products of incidence matrices over the items both sides have."""
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -231,14 +260,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     stars = checkpoint(postings.join(stars, "value").filter("set_id != a").select("a", F.col("set_id").alias("b")).distinct())
     needed = values.join(lists.select("set_id"), "set_id", "left_semi").select(F.col("first").alias("doc_id")).distinct()
     full = checkpoint(_sets(docs.join(needed, "doc_id", "left_semi"), width).dropDuplicates(["set_id"]))
-    pairs = stars.join(full.select(F.col("set_id").alias("b"), F.col("items").alias("items_b")), "b").join(full.select(F.col("set_id").alias("a"), F.col("items").alias("items_a")), "a")
-    links = checkpoint(_verify(pairs, percent))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(full.select(F.col("set_id").alias("b"), F.col("items").alias("items_b")), "b")
+        return checkpoint(_verify(pairs.join(full.select(F.col("set_id").alias("a"), F.col("items").alias("items_a")), "a"), percent))
+
+    links = verified(stars)
 
     label = components(links)
     member = postings.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     sizes = member.groupBy("value", "component").count()
     sizes = sizes.groupBy("value").agg(F.sum("count").alias("all"), F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most")).filter("most < all")
-    member = member.join(sizes, "value").withColumns({"ni": F.ceil((F.col("all") - F.col("most")) / BLOCK_A), "nj": F.ceil(F.col("all") / BLOCK_B), "h": F.xxhash64("set_id")})
+    member = checkpoint(member.join(sizes, "value"))
+    short = member.filter(F.col("all") <= SHORT)
+    tasks = short.count() // SHORT_ROWS + 1
+    short = short.select("value", "coordinate", "set_id", "prefix", "component").join(values.select("set_id", "signature"), "set_id")
+    short = short.groupBy(F.pmod(F.xxhash64("value"), F.lit(tasks)).alias("task")).applyInArrow(_counted_short, "a binary, b binary")
+    links = links.union(verified(short))
+
+    member = member.filter(F.col("all") > SHORT).withColumns({"ni": F.ceil((F.col("all") - F.col("most")) / BLOCK_A), "nj": F.ceil(F.col("all") / BLOCK_B), "h": F.xxhash64("set_id")})
     columns = ["value", "coordinate", "set_id", "prefix", "component"]
     side_a = member.filter("component != main").select(*columns, F.lit("a").alias("role"), F.pmod("h", "ni").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)).alias("j"))
     side_b = member.select(*columns, F.lit("b").alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"), F.pmod("h", "nj").alias("j"))
