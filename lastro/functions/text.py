@@ -122,13 +122,25 @@ def _places(between: str, hits: str) -> Column:
     return F.aggregate(lengths, start, step, lambda acc: acc["out"])
 
 
-def occurrences(df: DataFrame, norm: str, patterns: list[str], into: list[str]) -> DataFrame:
-    """Adds, for each pattern, the array of its leftmost matches (start, stop) in a folded column."""
+def count_occurrences(norm: Column, pattern: str) -> Column:
+    return F.size(F.regexp_extract_all(norm, F.lit(f"({pattern})"), 1))
+
+
+def occurrences(df: DataFrame, norm: str, patterns: list[str], into: list[str], first: int | None = None, within: str | None = None) -> DataFrame:
+    """Adds, for each pattern, the array of its leftmost matches (start, stop) in a folded column.
+
+    first: the first so many alone; within: a substring of every match, tested before the pattern.
+    """
     # Split and matches become columns of their own, so that no lambda repeats a regex.
     steps = {}
+    whole = F.col(norm)
     for name, p in zip(into, patterns, strict=True):
-        steps[f"{name}_between"] = F.split(F.col(norm), p, -1)
-        steps[f"{name}_hits"] = F.regexp_extract_all(F.col(norm), F.lit(f"({p})"), 1)
+        between, hits = F.split(whole, p, -1 if first is None else first + 1), F.regexp_extract_all(whole, F.lit(f"({p})"), 1)
+        hits = hits if first is None else F.slice(hits, 1, first)
+        if within is not None:
+            there = F.contains(whole, F.lit(within))
+            between, hits = F.when(there, between).otherwise(F.array(whole)), F.when(there, hits).otherwise(F.array().cast("array<string>"))
+        steps[f"{name}_between"], steps[f"{name}_hits"] = between, hits
     out = df.withColumns(steps)
     return out.withColumns({n: _places(f"{n}_between", f"{n}_hits") for n in into}).drop(*steps)
 
@@ -141,7 +153,8 @@ def snippets(df: DataFrame, text: str, norm: str, terms: list[str], into: str =
     """
     most = max(1, most)
     names = [f"{into}_{i}" for i in range(len(terms))]
-    out = occurrences(df, norm, [term_pattern(t, flexible) for t in terms], names)
+    # At most `most` - 1 places are taken when a match is looked at, so 2 * most of each term are enough.
+    out = occurrences(df, norm, [term_pattern(t, flexible) for t in terms], names, first=2 * most)
     kind = "array<struct<start:int,stop:int>>"
 
     def first(acc: Column, s: Column) -> Column:

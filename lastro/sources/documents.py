@@ -72,6 +72,12 @@ class DocumentSource(DataSource):
         return _Reader(dict(self.options))
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the format `documents` known, with its filters pushed down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(DocumentSource)
+
+
 class _Type(InputPartition):
     def __init__(self, tipo: str):
         self.tipo = tipo
