@@ -1,0 +1,193 @@
+import base64
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lastro.llm import fingerprint, langid, secrets, urlfilter, warc
+
+# Language
+
+
+def test_language(spark, documents):
+    out = langid.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in out if r.held_out]
+    assert held and sum(r.lang_pred == r.lang for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in out)
+
+
+def test_language_edges(spark, documents):
+    model = langid.train(documents.select("doc_id", "text", "lang"))
+    odd = spark.createDataFrame([(1, None, 0.5), (1, "123 --", 0.5), (None, "", 0.5), (2, "e", 0.5), (3, "the of and " * 50_000, 0.5)], "doc_id long, text string, score double")
+    got = [(r.lang_pred == "und", r.score) for r in langid.predict(odd, model).collect()]
+    assert [u for u, _ in got] == [True, True, True, False, False] and got[0][1] == 0
+    empty = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
+    assert langid.identify(empty).first().lang_pred == "und" and langid.identify(empty.limit(0)).count() == 0
+
+
+# Secrets
+
+BASE = (("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
+
+
+def spans(text):
+    found = [(m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(BASE) for m in p.finditer(text or "") if len(m[g]) >= n]
+    return ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+SECRETS = [
+    None, "", 'x "password": "hunter22" 😀 PassWord=abcdef', "secret=token: abcdefgh", "token = abc", "AKIA" + "A" * 16 + " AKIAAKIA" + "B" * 12, "AKIA" + "C" * 15,
+    "api-key: aaaaaaa apikey:'0123456789abcdef0123456789' API_KEY==x=y=z=", "f" * 23 + " " + "e" * 24, "é" * 30 + "passwd:" + "0" * 40, "paſſword=abcdefg toKen=abcdefgh",
+]
+
+
+def test_secrets(spark):
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(SECRETS)] + [(None, SECRETS[2], "s"), (2, SECRETS[2], "s")], "doc_id long, text string, found string")
+    got = secrets.report(docs).collect()
+    assert sorted(r.spans for r in got) == sorted([spans(t) for t in SECRETS] + [spans(SECRETS[2])] * 2)
+    for r in got:
+        assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest() and r.n_assign + r.n_access + r.n_hex == len([x for x in r.spans.split(",") if x])
+    assert secrets.report(docs.limit(0)).count() == 0
+
+
+def test_trigram_queries_hold(spark):
+    for rule in secrets.RULES:
+        query = secrets.trigram_query(rule.pattern)
+        for text in filter(None, SECRETS):
+            if re.search(rule.pattern, text):
+                low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+                assert all(any(all(g in low for g in s) for s in part) for part in query)
+    assert secrets.trigram_query("[0-9a-f]+") == [] and secrets.trigram_query("abc(d|e)?xy") == [[["abc", "bcx", "cxy"], ["abc", "bcd", "cdx", "dxy"], ["abc", "bce", "cex", "exy"]]]
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(1, 'a password: "abcdefgh" z'), (2, "token=" + "a" * 30 + "!"), (3, "none")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(secrets.scan(docs)).collect()}
+    assert got[1] == 'a [secret]" z' and got[2] == "[secret]!" and got[3] == "none"
+
+
+# URLs
+
+RULES = urlfilter.rules("allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/")
+
+
+@pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
+    ("http://A.Example.ORG/es/1?x#y", "a.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
+    ("https://example.org/en/2", "example.org", "/en/2", "org/", "allow"), ("x://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"), ("http://org", "org", "", None, None),
+    ("http://x.com/fr/?q://z/", "x.com", "/fr/", "com/fr/", "allow"), ("x.com/de/", "", "", None, None), (None, "", "", None, None), ("a\n://É.com/de/é", "É.com", "/de/é", "com/de/", "block"),
+])
+def test_rules(spark, url, host, path, rule, verdict):
+    pages = spark.createDataFrame([(1, url, "r"), (2, "http://a.org/x", "r"), (3, "http://b.com/de/x", "r")], "page_id long, url string, rule string")
+    r = urlfilter.filter_urls(pages, RULES).filter("page_id = 1").first()
+    assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
+
+
+def brute_ratio(urls, text):
+    """Mean log-likelihood difference by the same mixture, counted with dictionaries."""
+    from collections import Counter
+    from math import log
+
+    n, c = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
+    pad = urlfilter.PAD * urlfilter.ORDER
+    grams = lambda u: [(pad + u)[i : i + urlfilter.ORDER + 1] for i in range(len(u))]
+    for u, label in urls:
+        for g in grams(u):
+            for k in range(urlfilter.ORDER + 1):
+                n[label][g[urlfilter.ORDER - k :]] += 1
+                c[label][k, g[urlfilter.ORDER - k : -1]] += 1
+    total = 0.0
+    for g in grams(text):
+        p = {}
+        for label in (True, False):
+            q = 1 / urlfilter.LETTERS
+            for k in range(urlfilter.ORDER + 1):
+                q = (n[label][g[urlfilter.ORDER - k :]] + urlfilter.WEIGHT * q) / (c[label][k, g[urlfilter.ORDER - k : -1]] + urlfilter.WEIGHT)
+            p[label] = q
+        total += log(p[True]) - log(p[False])
+    return total / len(text)
+
+
+def test_models(spark):
+    source = random.Random(1)
+    good = ["http://" + "".join(source.choice("abc") for _ in range(8)) + ".org/a" for _ in range(80)]
+    bad = ["http://" + "".join(source.choice("xyz") for _ in range(8)) + ".com/de/a" for _ in range(80)]
+    ask = ["http://abcabcab.net/a", "http://xyzxyzxy.net/de/a"]
+    pages = spark.createDataFrame(list(enumerate(good + bad + ask + good[:1])), "page_id long, url string")
+    out = {r.page_id: r for r in urlfilter.filter_urls(pages, RULES).collect()}
+    fold = {r.page_id: r.f for r in pages.select("page_id", F.pmod(F.xxhash64("url"), F.lit(urlfilter.PARTS)).alias("f")).collect()}
+    learned = [(u, u in set(good)) for i, u in enumerate(good + bad) if fold[i] != 0] + ([(good[0], True)] if fold[0] != 0 else [])
+    assert out[160].verdict == "allow" and out[161].verdict == "block"
+    for i in (160, 161, 3):
+        assert out[i].score == pytest.approx(brute_ratio(learned, (good + bad + ask)[i]))
+    assert urlfilter.filter_urls(pages.limit(0), RULES).count() == 0
+
+
+# Fingerprints
+
+
+def five(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_fingerprints(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(-5, None), (-6, "a b"), (-7, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, range int")
+    got = {r.doc_id: r for r in fingerprint.compare_neighbours(docs).collect()}
+    order = sorted(rows, reverse=True)
+    errors = []
+    for k, (i, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        for a, b, said in ((t, edited, r.near_edited), (t, following, r.near_next)):
+            a, b = five(a), five(b)
+            errors.append(said - (len(a & b) / len(a | b) if a | b else 1))
+    assert max(map(abs, errors)) < 0.17 and abs(sum(errors) / len(errors)) < 0.02
+    assert got[-7].fingerprint == got[-5].fingerprint == fingerprint.EMPTY
+    assert fingerprint.compare_neighbours(docs.limit(0)).count() == 0
+
+
+def test_equal_texts_and_ties(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (2, "z z")], "doc_id long, text string")
+    got = fingerprint.compare_neighbours(docs).collect()
+    one = [r for r in got if r.doc_id == 1]
+    assert len(got) == 4 and len({r.fingerprint for r in one}) == 1 and 1.0 in [r.near_next for r in one]
+
+
+# Archives
+
+
+def test_archives(spark, tmp_path):
+    big = "w" * 250_000 + "e"
+    rows = [(1, "http://a", "x" * 300_000), (2, None, "é" * 50_000), (3, "u v\r\nX: y", ""), (4, "z", None), (5, "q", "WARC/1.1\r\n\r\n" * 9), (6, "q", "x" * 300_000), (None, "n", "abc"), (7, "n", "abc"), (8, "d", big), (8, "d", big)]
+    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, row int")
+    warc.write(pages, str(tmp_path / "w"), segment_bytes=70_000)
+    chunks = warc.read(spark, str(tmp_path / "w"))
+    assert chunks.filter("page_id = 6").count() > 4 and chunks.agg(F.max(F.octet_length("data")).alias("m")).first().m <= warc.CHUNK_BYTES
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.summaries(chunks).collect()), key=str)
+    refers = {1: 6, 3: 4}
+    want = []
+    for i, _, h in rows:
+        data = (h or "").encode()
+        want.append((i or 0, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if i in refers else "response", refers.get(i)))
+    assert got == sorted(want, key=str)
+    warc.write(pages, str(tmp_path / "v"), least_bytes=10)
+    assert {r.page_id for r in warc.summaries(warc.read(spark, str(tmp_path / "v"))).filter("record_type = 'revisit'").collect()} == {1}
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_parser_pieces():
+    import io
+
+    page = b"a\r\n\r\nb" * 9
+    parts = b"".join(x for r in warc.records(7, 0, "http://x", memoryview(page), hashlib.sha1(page).digest(), None, False, 20) for x in [*r, b"\n"])
+    for size in (1, 7, 1000):
+        parser, out = warc.Parser(), []
+        stream = io.BytesIO(parts)
+        while piece := stream.read(size):
+            out += [(int(f.get("warc-segment-number", 1)), d) for f, _, d, _ in parser.feed(piece)]
+        assert b"".join(d for _, d in out) == page and [s for s, _ in out] == [1, 2, 3]
