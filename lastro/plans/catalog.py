@@ -402,9 +402,10 @@ def month_sequence(spark, d):
 # Reading documents
 
 
-@query()
+@query("SELECT page_id, 'tipo' AS grupo, CAST(page_id AS VARCHAR) AS id_fnet, 'Fundo ' || page_id AS rotulo FROM pages UNION ALL SELECT page_id, 'classe', '', 'Todas' FROM pages")
 def html_select_udtf(spark, d):
-    return select_options(D.read(spark, d, "pages"), "html", "page_id")
+    form = F.concat(F.lit("<select id='tipo' name='x'><option value='0'> </option><option value='"), "page_id", F.lit("'> Fundo <b>"), "page_id", F.lit("</b></option></select><SELECT name=classe><option>Todas</option></SELECT>"))
+    return select_options(D.read(spark, d, "pages").withColumn("html", F.concat(form, "html")), "html", "page_id")
 
 
 @query()
