@@ -42,6 +42,7 @@ GRAM = 48
 #: Starts of a run at most.
 RUN = 256
 #: Bytes of documents in a block, bytes of documents for each bucket, bytes in a shard.
+#: A block's and a shard's arrays take about 100 bytes for each of theirs in a Python worker.
 BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 1 << 20, 16 << 20, 1 << 20
 #: Texts of one anchor beyond which it is dealt over several shards.
 HOT_TEXTS = 8192
