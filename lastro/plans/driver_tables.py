@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from lastro.functions.text import fold
 from lastro.operators.metrics import fund_metrics
+from lastro.session import importable
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

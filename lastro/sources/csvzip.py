@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lastro.functions.parsing import LayoutError, column_name, resolve
+from lastro.session import importable
 
 DATASETS = {
     "cadastro": "FI/CAD/DADOS/cad_fi.csv",
@@ -71,6 +72,7 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_cells(spark: SparkSession, *paths: str) -> DataFrame:
     """All rows of all tables in files: path, file_idx, member, row_idx and cells (a map by normalised column name; of equal names the last)."""
+    importable(spark)
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
     return files.mapInPandas(_rows, "path string, file_idx int, member string, row_idx long, cells map<string,string>")
 

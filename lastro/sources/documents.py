@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lastro.functions import parsing as P
 from lastro.functions.text import fold_text
+from lastro.session import importable
 
 #: A text shorter than this counts as none (fixed value).
 LEAST_CHARS = 200
@@ -74,6 +75,7 @@ class DocumentSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Makes the format `documents` known, with its filters pushed down."""
+    importable(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(DocumentSource)
 
@@ -173,4 +175,5 @@ def texts(payloads: DataFrame, key: str = "id_fnet") -> DataFrame:
             got = [extract_text(bytes(c), f) for c, f in zip(pdf.content, pdf.formato, strict=True)]
             yield pd.DataFrame({"id_fnet": pdf[key], "texto": [t for t, _, _ in got], "texto_norm": [fold_text(t) for t, _, _ in got], "num_paginas": pd.array([n for _, _, n in got], "Int32"), "num_caracteres": [len(t) for t, _, _ in got], "origem": [o for _, o, _ in got]})
 
+    importable(payloads.sparkSession)
     return payloads.select(key, "content", "formato").mapInPandas(run, "id_fnet long, texto string, texto_norm string, num_paginas int, num_caracteres int, origem string")

@@ -7,6 +7,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lastro.session import importable
+
 
 class _Options(HTMLParser):
     """Collects (group, value, label) of each labelled option inside a named select."""
@@ -46,6 +48,7 @@ def options_of(html: str | None) -> list[tuple[str, str, str]]:
 
 def select_options(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:
     """keep columns, grupo, id_fnet, rotulo: one row per option of each page's forms."""
+    importable(pages.sparkSession)
     kind = "array<struct<grupo:string,id_fnet:string,rotulo:string>>"
 
     @F.pandas_udf(kind)
