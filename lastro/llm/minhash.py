@@ -2,7 +2,7 @@
 
 Each distinct shingle set posts under its coordinate-value pairs. Two sets of
 similarity 0.8 agree in 38 of 48 coordinates on average, and in fewer than
-`threshold` = 26 about once in 100,000 times. Sets that agree in 26 of 48 share at
+`threshold` = 26 about once in 75,000 times. Sets that agree in 26 of 48 share at
 least one of any 23 of a set's values, so a set posts only its 23 rarest (the
 prefix); values that nobody else has can't collide, so posting them is skipped,
 and a set of more than 22 such values is skipped as a whole.
