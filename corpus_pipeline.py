@@ -34,6 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     dropped = groups.filter("not kept").select("doc_id").distinct()
     repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     kept = docs.join(dropped, "doc_id", "left_anti")
+    if repeated.isEmpty():  # ids are unique as a rule; texts then move once
+        return kept.select(*COLUMNS)
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
 
