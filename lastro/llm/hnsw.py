@@ -24,7 +24,7 @@ from lastro.llm.graph import components
 #: Links of a point in upper layers (twice as many in the lowest); beam while building.
 LINKS, BUILD_BEAM = 12, 48
 #: Points of a shard; queries that meet a shard in one task; queries or points at a time.
-SHARD_POINTS, TASK_QUERIES, TOGETHER = 4096, 32768, 128
+SHARD_POINTS, TASK_QUERIES, TOGETHER = 16384, 32768, 128
 FIRST_BEAM, FIRST_SLACK, AUDITED = 32, 0.02, 48
 
 
@@ -117,11 +117,11 @@ class Graph:
             at[live], best[live] = near[np.arange(len(live)), k], top
         return at
 
-    def _beam(self, q: np.ndarray, at: np.ndarray, layer: int, beam: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _beam(self, q: np.ndarray, at: np.ndarray, layer: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam's points and similarities, best first; unused places are -1 and -2."""
         n = len(q)
         rows = np.arange(n)
-        seen = np.zeros((n, len(self.points)), bool) if seen is None else seen
+        seen = np.zeros((n, len(self.points)), bool)
         ids, sims = np.full((n, beam), -1, np.int64), np.full((n, beam), -2, np.float32)
         ids[:, 0], sims[:, 0] = at, np.einsum("ij,ij->i", self.points[at], q)
         seen[rows, at] = True
@@ -151,10 +151,12 @@ class Graph:
         at = np.full(len(q), self.entry, np.int64)
         for layer in range(len(self.links) - 1, 0, -1):
             at = self._greedy(q, at, layer)
-        seen = np.zeros((len(q), len(self.points)), bool)
-        ids, sims = self._beam(q, at, 0, min(beam, len(self.points)), seen)
+        ids, sims = self._beam(q, at, 0, min(beam, len(self.points)))
         row, col = np.nonzero(sims >= least)
-        row, point = row, ids[row, col]
+        point = ids[row, col]
+        # What the beam saw but had no room for counts as new here.
+        seen = np.zeros((len(q), len(self.points)), bool)
+        seen[row, point] = True
         found = [(row, point)]
         while len(row):
             near = self.links[0][point]
