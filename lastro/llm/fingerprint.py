@@ -4,8 +4,8 @@ Each five-word shingle is hashed once. The hash's leading bits choose one of BIN
 bins, which keeps its least hash. An empty bin takes the value of the first filled
 bin on a fixed random walk of its own over all bins (optimal densification), so two
 texts agree in a bin as often as their sets are similar. BITS low-order bits of each
-value are stored, as hexadecimal digits; agreement by chance is taken off again:
-(agreeing share - 2**-BITS) / (1 - 2**-BITS).
+value, hashed once more with its bin, are stored as hexadecimal digits; agreement by
+chance is taken off again: (agreeing share - 2**-BITS) / (1 - 2**-BITS).
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def fingerprint(rows: DataFrame, text: str, into: str) -> DataFrame:
     out = out.select(*keep, F.sort_array(_hashes(F.col(words))).alias(hashes))
     first = F.filter(F.col(hashes), lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col(hashes), i - 1))))
     out = out.select(*keep, first.alias(least))
-    held = F.map_from_arrays(F.transform(least, bin_of), F.transform(least, lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")))
+    held = F.map_from_arrays(F.transform(least, bin_of), F.col(least))
     out = out.select(*keep, held.alias(least))
     out = out.select(*keep, F.col(least), F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.element_at(F.col(least), b)).alias(bins))
     values = F.col(bins)
@@ -51,7 +51,9 @@ def fingerprint(rows: DataFrame, text: str, into: str) -> DataFrame:
         found = F.get(F.filter(drawn, lambda b: F.get(values, b).isNotNull()), F.lit(0))
         ranked = F.array_min(F.transform(F.map_keys(least), lambda b: F.struct(F.xxhash64(F.lit(0), i, b).alias("h"), b.alias("b"))))["b"]
         taken = F.when(own.isNotNull(), own).otherwise(F.coalesce(F.get(values, found), F.get(values, ranked)))
-        return F.substring(F.lit("0123456789abcdef"), taken + 1, F.lit(1))
+        # The bits of a value taken for several bins differ between them.
+        low = F.xxhash64(taken, i).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+        return F.substring(F.lit("0123456789abcdef"), low + 1, F.lit(1))
 
     digits = F.array_join(F.transform(values, value), "")
     return out.select(*keep, F.when(F.exists(values, lambda v: v.isNotNull()), digits).otherwise(EMPTY).alias(into))
@@ -85,14 +87,14 @@ def _ragged(groups: list[list[int]]) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """Adds next_text and next_fingerprint of the next document by descending doc_id (after the last, the first).
 
-    docs: doc_id, text, fingerprint. Documents are dealt into ranges of ids, and each
+    docs: doc_id, text; adds their fingerprint too. Documents are dealt into ranges of ids, and each
     range is one window; only a range's last document looks beyond it. Rows with one
     doc_id stand in descending order of text; rows without an id come last.
     """
     spark = docs.sparkSession
     stats = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     if not stats.rows:
-        return docs.withColumns({"next_text": F.lit(""), "next_fingerprint": F.lit(EMPTY)})
+        return docs.withColumns({"fingerprint": F.lit(EMPTY), "next_text": F.lit(""), "next_fingerprint": F.lit(EMPTY)})
     ranges = int(min(MOST_RANGES, stats.rows, stats.bytes // RANGE_BYTES + 12))
     shares = [i / ranges for i in range(1, ranges)]
     bounds = docs.agg(F.percentile_approx("doc_id", shares, 10 * ranges + 1000).alias("b")).first().b if shares else []
@@ -102,11 +104,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = sorted(tops, reverse=True)
     follows = {r: order[(k + 1) % len(order)] for k, r in enumerate(order)}
     edges = spark.createDataFrame([(r, n, tops[n]) for r, n in follows.items()], "range int, next_range int, top long")
-    head = dealt.select("range", "doc_id", "text", "fingerprint").alias("d").join(F.broadcast(edges.select(F.col("next_range").alias("nr"), "top").distinct()).alias("e"), (F.col("d.range") == F.col("e.nr")) & F.col("d.doc_id").eqNullSafe(F.col("e.top")))
-    head = head.groupBy("nr").agg(F.max(F.struct("text", "fingerprint")).alias("head"))
+    # The heads are picked before their fingerprints are taken, so that only theirs are.
+    starts = F.broadcast(edges.select(F.col("next_range").alias("nr"), "top").distinct())
+    head = dealt.join(starts, (F.col("range") == F.col("nr")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    head = head.groupBy("nr").agg(F.max("text").alias("text"))
+    head = fingerprint(head, "text", "fingerprint").select("nr", F.struct("text", "fingerprint").alias("head"))
     head = head.join(F.broadcast(edges), F.col("nr") == F.col("next_range")).select("range", "head")
     w = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    out = dealt.withColumns({"lead_text": F.lead("text").over(w), "lead_print": F.lead("fingerprint").over(w)})
+    out = fingerprint(dealt, "text", "fingerprint").withColumns({"lead_text": F.lead("text").over(w), "lead_print": F.lead("fingerprint").over(w)})
     out = out.join(head, "range", "left")
     return out.withColumns({"next_text": F.coalesce("lead_text", F.col("head.text")), "next_fingerprint": F.coalesce("lead_print", F.col("head.fingerprint"))}).drop("range", "head", "lead_text", "lead_print")
 
@@ -121,7 +126,7 @@ def compare_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     neighbours of each other; other columns are ignored whatever their names.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(fingerprint(rows, "text", "fingerprint"))
+    rows = with_next(rows)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
