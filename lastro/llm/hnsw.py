@@ -26,6 +26,8 @@ LINKS, BUILD_BEAM = 12, 48
 #: Points of a shard; queries that meet a shard in one task; queries or points at a time.
 SHARD_POINTS, TASK_QUERIES, TOGETHER = 16384, 32768, 128
 FIRST_BEAM, FIRST_SLACK, AUDITED = 32, 0.02, 48
+#: Beyond this beam a shard is compared as a whole.
+WIDEST_BEAM = 256
 
 
 class Graph:
@@ -176,8 +178,9 @@ class Graph:
 def links(points: np.ndarray, queries: np.ndarray, least: float, sampled: int = AUDITED) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, point) with a cosine of `least` or more in double precision; rows are unit vectors.
 
-    Beam and slack widen until sampled queries find all that brute force finds; the widest
-    beam holds the whole shard.
+    Beam and slack widen until sampled queries find all that brute force finds. Where a
+    beam of WIDEST_BEAM doesn't, the graph can't reach some points, and the shard is
+    compared as a whole.
     """
     graph = Graph(points)
     beam, slack = FIRST_BEAM, FIRST_SLACK
@@ -201,6 +204,9 @@ def links(points: np.ndarray, queries: np.ndarray, least: float, sampled: int =
         if len(r) >= truth or beam >= len(points):
             break
         beam, slack = min(2 * beam, len(points)), min(2 * slack, 1.0)
+        if beam > WIDEST_BEAM:  # points that no link leads to; the shard is bounded, so all of it is compared
+            found = [np.nonzero(queries[a : a + 512] @ points.T >= least) for a in range(0, len(queries), 512)]
+            return np.concatenate([r + 512 * k for k, (r, _) in enumerate(found)]), np.concatenate([c for _, c in found])
     return search(np.arange(len(queries)))
 
 
