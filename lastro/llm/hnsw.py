@@ -4,8 +4,9 @@ Vectors of one label are dealt into shards. A shard builds a graph in numpy, man
 points at a time, and every vector of the label is looked up in every shard: greedy
 descent through the upper layers, a beam in the lowest, then all that hangs together
 above a slack below the limit, so that a group larger than the beam is found whole.
-Sampled queries are audited against brute force, and beam and slack widen until the
-audit finds every link. Links are those whose cosine in double precision reaches the
+Points that no path leads to are compared with all queries. Queries known to have links
+are audited against brute force, and beam and slack widen until the audit finds every
+link. Links are those whose cosine in double precision reaches the
 limit. A shard returns counts and a spanning forest of its links, never all pairs.
 
 Equal vectors are one point, whatever the number of their copies.
@@ -13,6 +14,9 @@ Equal vectors are one point, whatever the number of their copies.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +29,11 @@ from lastro.llm.graph import components
 LINKS, BUILD_BEAM = 12, 48
 #: Points of a shard; queries that meet a shard in one task; queries or points at a time.
 SHARD_POINTS, TASK_QUERIES, TOGETHER = 16384, 32768, 128
-FIRST_BEAM, FIRST_SLACK, AUDITED = 32, 0.02, 48
-#: Beyond this beam a shard is compared as a whole.
+FIRST_BEAM, FIRST_SLACK = 32, 0.02
+#: Points of the layer above from which a query enters the lowest.
+STARTS = 16
+#: Queries with links that an audit takes; beyond the widest beam a shard is compared as a whole.
+AUDITED = 512
 WIDEST_BEAM = 256
 
 
@@ -47,19 +54,44 @@ class Graph:
             self._insert(new, done)
             done = order[: a + len(new)]
 
+    @cached_property
+    def paths(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which points paths of the lowest layer lead to from the entry, and from which ones they lead to it."""
+        n = len(self.points)
+        if not n:
+            return np.zeros(0, bool), np.zeros(0, bool)
+        start, k = np.nonzero(self.links[0] >= 0)
+        end = self.links[0][start, k]
+        out = []
+        for a, b in ((start, end), (end, start)):
+            by = np.argsort(a, kind="stable")
+            b, first = b[by], np.searchsorted(a[by], np.arange(n + 1))
+            seen = np.zeros(n, bool)
+            seen[self.entry] = True
+            edge = np.array([self.entry])
+            while len(edge):
+                size = first[edge + 1] - first[edge]
+                at = np.repeat(first[edge] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                edge = np.unique(b[at])
+                edge = edge[~seen[edge]]
+                seen[edge] = True
+            out.append(seen)
+        return out[0], out[1]
+
     def _insert(self, new: np.ndarray, done: np.ndarray) -> None:
-        at = np.full(len(new), self.entry, np.int64)
+        at = np.full((len(new), BUILD_BEAM), -1, np.int64)
+        at[:, 0] = self.entry
         inside = self.points[new] @ self.points[new].T
         for layer in range(len(self.links) - 1, -1, -1):
             here = self.level[new] >= layer
             if not here.all():
                 lower = np.flatnonzero(~here)
-                at[lower] = self._greedy(self.points[new[lower]], at[lower], layer)
+                at[lower, 0] = self._greedy(self.points[new[lower]], at[lower, 0], layer)
             mine = np.flatnonzero(here)
             if not len(mine):
                 continue
             ids, sims = self._beam(self.points[new[mine]], at[mine], layer, BUILD_BEAM)
-            at[mine] = ids[:, 0]
+            at[mine] = ids
             # Points that come together see each other too.
             own = inside[np.ix_(mine, mine)].copy()
             np.fill_diagonal(own, -2)
@@ -120,13 +152,16 @@ class Graph:
         return at
 
     def _beam(self, q: np.ndarray, at: np.ndarray, layer: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The beam's points and similarities, best first; unused places are -1 and -2."""
+        """The beam's points and similarities, best first; unused places are -1 and -2. at: a start for each, or several in a row, -1 for none."""
         n = len(q)
-        rows = np.arange(n)
         seen = np.zeros((n, len(self.points)), bool)
         ids, sims = np.full((n, beam), -1, np.int64), np.full((n, beam), -2, np.float32)
-        ids[:, 0], sims[:, 0] = at, np.einsum("ij,ij->i", self.points[at], q)
-        seen[rows, at] = True
+        for start in at.reshape(n, -1).T[:beam]:
+            k = np.flatnonzero(start >= 0)
+            k = k[~seen[k, start[k]]]
+            free = (ids[k] >= 0).sum(axis=1)
+            ids[k, free], sims[k, free] = start[k], np.einsum("ij,ij->i", self.points[start[k]], q[k])
+            seen[k, start[k]] = True
         fresh = ids >= 0
         while True:
             live = np.flatnonzero(fresh.any(axis=1))
@@ -145,14 +180,24 @@ class Graph:
             by = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
             ids[live], sims[live], fresh[live] = (np.take_along_axis(x, by, axis=1) for x in (all_ids, all_sims, all_fresh))
 
-    def near(self, q: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, point) of similarity about `least` or more: the beam, and what hangs together with it."""
+    def near(self, q: np.ndarray, beam: int, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, point) of similarity about `least` or more: the beam, and what hangs together with it.
+
+        own: the points that the queries themselves are; the beam starts there too.
+        """
         q = q.astype(np.float32)
         if not len(self.points):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.full(len(q), self.entry, np.int64)
-        for layer in range(len(self.links) - 1, 0, -1):
+        for layer in range(len(self.links) - 1, 1, -1):
             at = self._greedy(q, at, layer)
+        if len(self.links) > 1:
+            at = self._beam(q, at, 1, min(STARTS, beam))[0]
+        at = at.reshape(len(q), -1)
+        # What the entry reaches is within reach of every query then.
+        at[~(self.paths[1][at] & (at >= 0)).any(axis=1), -1] = self.entry
+        if own is not None:
+            at = np.concatenate((own[:, None], at), axis=1)
         ids, sims = self._beam(q, at, 0, min(beam, len(self.points)))
         row, col = np.nonzero(sims >= least)
         point = ids[row, col]
@@ -175,39 +220,75 @@ class Graph:
         return np.concatenate([r for r, _ in found]), np.concatenate([p for _, p in found])
 
 
-def links(points: np.ndarray, queries: np.ndarray, least: float, sampled: int = AUDITED) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, point) with a cosine of `least` or more in double precision; rows are unit vectors.
+class Lookup:
+    """Finds the points with a cosine of `least` or more in double precision; rows are unit vectors.
 
-    Beam and slack widen until sampled queries find all that brute force finds. Where a
-    beam of WIDEST_BEAM doesn't, the graph can't reach some points, and the shard is
-    compared as a whole.
+    Points that no path of the lowest layer leads to are compared with every query. For
+    the others beam and slack widen until no link of the audited queries is missed; the
+    audit takes queries in drawn order until `audited` of them have links that the graph
+    must find, or none is left. Where a beam of WIDEST_BEAM still misses one, the shard
+    is compared as a whole (`whole`). same: the queries are the points, in one order.
     """
-    graph = Graph(points)
-    beam, slack = FIRST_BEAM, FIRST_SLACK
-    probe = np.unique(np.linspace(0, len(queries) - 1, min(sampled, len(queries))).astype(np.int64))
-
-    def search(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, cols = [], []
-        for a in range(0, len(which), TOGETHER):
-            own = which[a : a + TOGETHER]
-            r, p = graph.near(queries[own], beam, least - slack)
-            for k in range(0, len(r), 65536):
-                i, j = own[r[k : k + 65536]], p[k : k + 65536]
-                ok = np.einsum("ij,ij->i", queries[i], points[j]) >= least
-                rows.append(i[ok])
-                cols.append(j[ok])
-        return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-    while len(points):
-        r, p = search(probe)
-        truth = sum(int((points[a : a + 8192] @ queries[probe].T >= least).sum()) for a in range(0, len(points), 8192))
-        if len(r) >= truth or beam >= len(points):
-            break
-        beam, slack = min(2 * beam, len(points)), min(2 * slack, 1.0)
-        if beam > WIDEST_BEAM:  # points that no link leads to; the shard is bounded, so all of it is compared
-            found = [np.nonzero(queries[a : a + 512] @ points.T >= least) for a in range(0, len(queries), 512)]
-            return np.concatenate([r + 512 * k for k, (r, _) in enumerate(found)]), np.concatenate([c for _, c in found])
-    return search(np.arange(len(queries)))
+
+    def __init__(self, points: np.ndarray, queries: np.ndarray, least: float, same: bool = False, audited: int = AUDITED):
+        self.points, self.queries, self.least, self.same = points, queries, least, same
+        self.graph = Graph(points)
+        self.apart = np.flatnonzero(~self.graph.paths[0])
+        self.beam, self.slack, self.whole = FIRST_BEAM, FIRST_SLACK, False
+        self.tested = self._probe(audited)
+        while not self.whole and self._misses():
+            self.whole = self.beam >= WIDEST_BEAM
+            self.beam, self.slack = min(2 * self.beam, WIDEST_BEAM), min(2 * self.slack, 1.0)
+
+    def _compare(self, own: np.ndarray, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return self.queries[own] @ self.points[which].T >= self.least
+
+    def _probe(self, audited: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of queries that have links within the graph's reach, with all their links."""
+        order, found, n = np.random.default_rng(2).permutation(len(self.queries)), [], 0
+        for a in range(0, len(order) if len(self.points) else 0, TOGETHER):
+            own = order[a : a + TOGETHER]
+            truth = self._compare(own)
+            if self.same:
+                truth[np.arange(len(own)), own] = False
+            linked = truth[:, self.graph.paths[0]].any(axis=1)
+            if linked.any():
+                found.append((own[linked], truth[linked]))
+                n += int(linked.sum())
+            if n >= audited:
+                break
+        return found
+
+    def _misses(self) -> bool:
+        for own, truth in self.tested:
+            i, j = np.nonzero(truth & ~self._search(own))
+            # Products of blocks and of pairs may differ in the last bit.
+            if (np.einsum("ij,ij->i", self.queries[own[i]], self.points[j]) >= self.least).any():
+                return True
+        return False
+
+    def _search(self, own: np.ndarray) -> np.ndarray:
+        q = self.queries[own]
+        out = np.zeros((len(own), len(self.points)), bool)
+        r, p = self.graph.near(q, self.beam, self.least - self.slack, own if self.same else None)
+        for k in range(0, len(r), 65536):
+            i, j = r[k : k + 65536], p[k : k + 65536]
+            out[i, j] = np.einsum("ij,ij->i", q[i], self.points[j]) >= self.least
+        if len(self.apart):
+            out[:, self.apart] = self._compare(own, self.apart)
+        return out
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The first of TOGETHER queries or less, and for each of them which points it is linked to."""
+        for a in range(0, len(self.queries), TOGETHER):
+            own = np.arange(a, min(a + TOGETHER, len(self.queries)))
+            yield a, self._compare(own) if self.whole else self._search(own)
+
+
+def links(points: np.ndarray, queries: np.ndarray, least: float, sampled: int = AUDITED) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, point) that Lookup finds."""
+    found = [(a + r, p) for a, block in Lookup(points, queries, least, audited=sampled).blocks() for r, p in [np.nonzero(block)]]
+    return (np.concatenate([r for r, _ in found]), np.concatenate([p for _, p in found])) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _forest(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:

@@ -166,3 +166,42 @@ def test_graph_recall():
     rows, cols = hnsw.links(x[:2000], x, 0.97)
     truth = set(zip(*np.nonzero(x @ x[:2000].T >= 0.97), strict=True))
     assert len(truth & set(zip(rows.tolist(), cols.tolist(), strict=True))) >= 0.99 * len(truth) and len(rows) <= len(truth)
+
+
+def twins(linked, n=1500, size=32, seed=3):
+    """Unit vectors, and others of which those numbered `linked` lie near one of them each."""
+    draw = np.random.default_rng(seed)
+    x, q = draw.normal(size=(n, size)), draw.normal(size=(n, size))
+    q[linked] = x[linked] + 0.02 * draw.normal(size=(len(linked), size))
+    return [v / np.linalg.norm(v, axis=1)[:, None] for v in (x, q)]
+
+
+def found(x, q):
+    rows, cols = hnsw.links(x, q, 0.97)
+    return sorted(zip(rows.tolist(), cols.tolist(), strict=True))
+
+
+def cut(lost):
+    class Cut(hnsw.Graph):
+        """No link leads to the points `lost`."""
+
+        def __init__(self, points):
+            super().__init__(points)
+            for held in self.links:
+                held[np.isin(held, lost)] = -1
+
+    return Cut
+
+
+def test_links_to_points_without_a_path(monkeypatch):
+    linked = np.arange(3, 20)
+    x, q = twins(linked)
+    monkeypatch.setattr(hnsw, "Graph", cut(linked))
+    assert found(x, q) == [(i, i) for i in linked.tolist()]
+
+
+def test_audit_takes_linked_queries(monkeypatch):
+    linked = np.arange(7, 1500, 100)
+    x, q = twins(linked)
+    monkeypatch.setattr(hnsw, "FIRST_BEAM", 1)
+    assert found(x, q) == [(i, i) for i in linked.tolist()]
