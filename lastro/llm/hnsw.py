@@ -1,13 +1,14 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs.
 
-Vectors of one label are dealt into shards. A shard builds a graph in numpy, many
-points at a time, and every vector of the label is looked up in every shard: greedy
+Vectors of one label are dealt into shards, and any two shards, or a shard with itself,
+meet in one task. A shard builds a graph in numpy, many points at a time, and the other's
+vectors are looked up in it, in both directions; what either finds holds for both: greedy
 descent through the upper layers, a beam in the lowest, then all that hangs together
 above a slack below the limit, so that a group larger than the beam is found whole.
 Points that no path leads to are compared with all queries. Queries known to have links
 are audited against brute force, and beam and slack widen until the audit finds every
 link. Links are those whose cosine in double precision reaches the
-limit. A shard returns counts and a spanning forest of its links, never all pairs.
+limit. A task returns counts and a spanning forest of its links, never all pairs.
 
 Equal vectors are one point, whatever the number of their copies.
 """
@@ -27,8 +28,8 @@ from lastro.llm.graph import components
 
 #: Links of a point in upper layers (twice as many in the lowest); beam while building.
 LINKS, BUILD_BEAM = 12, 48
-#: Points of a shard; queries that meet a shard in one task; queries or points at a time.
-SHARD_POINTS, TASK_QUERIES, TOGETHER = 16384, 32768, 128
+#: Points of a shard; queries or points at a time, a multiple of 8.
+SHARD_POINTS, TOGETHER = 16384, 128
 FIRST_BEAM, FIRST_SLACK = 32, 0.02
 #: Points of the layer above from which a query enters the lowest.
 STARTS = 16
@@ -291,23 +292,37 @@ def links(points: np.ndarray, queries: np.ndarray, least: float, sampled: int =
     return (np.concatenate([r for r, _ in found]), np.concatenate([p for _, p in found])) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _forest(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Which links of a bipartite graph join what earlier ones don't."""
-    up: dict[int, int] = {}
+def pairs(x: np.ndarray, y: np.ndarray | None, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks of rows of x, each with which rows of y (of x, if y is None) they are linked to.
 
-    def root(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up.setdefault(y, y)
-            x = up[x]
-        return x
+    Either side is looked up in the other's graph, and what one direction finds holds for
+    both. Links are held as bits, so that a shard linked throughout takes 32 MB a direction.
+    """
+    there = np.concatenate([np.packbits(m, axis=1) for _, m in Lookup(x if y is None else y, x, least, same=y is None).blocks()])
+    back = there if y is None else np.concatenate([np.packbits(m, axis=1) for _, m in Lookup(x, y, least).blocks()])
+    for a in range(0, len(x), TOGETHER):
+        n = min(TOGETHER, len(x) - a)
+        both = np.unpackbits(there[a : a + n], axis=1, count=len(back)).view(bool)
+        both |= np.unpackbits(back[:, a // 8 : (a + n + 7) // 8], axis=1, count=n).view(bool).T
+        if y is None:
+            both[np.arange(n), a + np.arange(n)] = False
+        yield a, both
+
+
+class Forest:
+    """Which links join what earlier ones don't, among n points."""
+
+    def __init__(self, n: int):
+        self.tree, self.kept = np.arange(n), []
 
-    keep = np.zeros(len(rows), bool)
-    for k, (a, b) in enumerate(zip(rows.tolist(), (-1 - cols).tolist(), strict=True)):
-        x, y = root(a), root(b)
-        if x != y:
-            up[x] = y
-            keep[k] = True
-    return keep
+    def add(self, row: int, cols: np.ndarray) -> None:
+        trees, first = np.unique(self.tree[cols], return_index=True)
+        other = trees != self.tree[row]
+        if other.any():
+            self.kept += [(row, c) for c in cols[first[other]].tolist()]
+            into = np.arange(len(self.tree))
+            into[trees] = self.tree[row]
+            self.tree = into[self.tree]
 
 
 def _unit(column) -> np.ndarray:
@@ -319,17 +334,26 @@ def _unit(column) -> np.ndarray:
 
 def _shard(least: float):
     def run(key, rows):
-        query = np.array(rows.column("query"), bool)
-        ids, copies = rows.column("point").to_numpy(), rows.column("copies").to_numpy()
-        x = _unit(rows.column("embedding"))
-        p_ids, q_ids = ids[~query], ids[query]
-        r, p = links(x[~query], x[query], least)
-        other = q_ids[r] != p_ids[p]
-        r, p = r[other], p[other]
-        n = np.bincount(r, weights=copies[~query][p], minlength=len(q_ids)).astype(np.int64)
-        keep = _forest(r, p)
-        a, b = q_ids[r[keep]], p_ids[p[keep]]
-        return pa.table({"point": pa.array(np.concatenate((q_ids, a)), pa.int64()), "n": pa.array([*n.tolist(), *[None] * len(a)], pa.int64()), "other": pa.array([*[None] * len(q_ids), *b.tolist()], pa.int64())})
+        rows = rows.sort_by("point")
+        second = np.array(rows.column("second"), bool)
+        order = np.concatenate((np.flatnonzero(~second), np.flatnonzero(second)))
+        ids, copies = rows.column("point").to_numpy()[order], rows.column("copies").to_numpy()[order]
+        x = _unit(rows.column("embedding"))[order]
+        k, one = int((~second).sum()), key[2].as_py() == key[3].as_py()
+        n, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+        shift = 0 if one else k
+        for a, block in pairs(x[:k], None if one else x[k:], least) if k and (one or k < len(ids)) else ():
+            r, c = np.nonzero(block)
+            r, c = a + r, shift + c
+            n += np.bincount(r, copies[c], len(ids)).astype(np.int64)
+            if not one:
+                n += np.bincount(c, copies[r], len(ids)).astype(np.int64)
+            begin = np.searchsorted(r, np.arange(a, a + len(block) + 1))
+            for row, i, j in zip(range(a, a + len(block)), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                if i < j:
+                    forest.add(row, c[i:j])
+        kept = ids[np.array(forest.kept, np.int64).reshape(-1, 2)]
+        return pa.table({"point": pa.array(np.concatenate((ids, kept[:, 0])), pa.int64()), "n": pa.array([*n.tolist(), *[None] * len(kept)], pa.int64()), "other": pa.array([*[None] * len(ids), *kept[:, 1].tolist()], pa.int64())})
 
     return run
 
@@ -352,13 +376,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
     size = F.size("embedding")
     points = rows.filter("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("copies"))
     points = checkpoint(points.withColumn("size", size))
-    counts = points.groupBy("label", "size").count().select("label", "size", F.ceil(F.col("count") / SHARD_POINTS).alias("shards"), F.ceil(F.col("count") / TASK_QUERIES).alias("parts"))
-    dealt = points.join(counts, ["label", "size"]).withColumn("h", F.xxhash64("embedding"))
-    columns = ["label", "size", "point", "copies", "embedding"]
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    inside = dealt.select(*columns, F.lit(False).alias("query"), F.pmod("h", "shards").alias("shard"), every("parts").alias("part"))
-    asked = dealt.select(*columns, F.lit(True).alias("query"), every("shards").alias("shard"), F.pmod(F.xxhash64("h"), F.col("parts")).alias("part"))
-    found = inside.unionByName(asked).groupBy("label", "size", "shard", "part").applyInArrow(_shard(least), "point long, n long, other long")
+    counts = points.groupBy("label", "size").count().select("label", "size", F.ceil(F.col("count") / SHARD_POINTS).alias("shards"))
+    dealt = points.join(counts, ["label", "size"]).withColumn("own", F.pmod(F.xxhash64("embedding"), "shards"))
+    # Two shards meet in one task, and a shard itself in one.
+    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    dealt = dealt.select("label", "size", "point", "copies", "embedding", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), (F.col("own") > F.col("met")).alias("second"))
+    found = dealt.groupBy("label", "size", "low", "high").applyInArrow(_shard(least), "point long, n long, other long")
     found = checkpoint(found)
     label_of = components(found.filter("other is not null").select(F.col("point").alias("a"), F.col("other").alias("b")))
     n = found.filter("n is not null").groupBy("point").agg(F.sum("n").alias("n"))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lastro.llm import graph, hnsw, minhash, suffix
@@ -205,3 +206,36 @@ def test_audit_takes_linked_queries(monkeypatch):
     x, q = twins(linked)
     monkeypatch.setattr(hnsw, "FIRST_BEAM", 1)
     assert found(x, q) == [(i, i) for i in linked.tolist()]
+
+
+def test_vectors_in_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_POINTS", 40)
+    rows = [r for r in vectors() if r[2] is not None]
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    x = np.array([r[1] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows]))
+    assert got == dict(zip([r[0] for r in rows], (near.sum(axis=1) - 1).tolist(), strict=True))
+
+
+@pytest.mark.parametrize("shards", [1, 2])
+def test_link_counts_are_symmetric(monkeypatch, shards):
+    n = 300
+    x = np.concatenate(twins(np.arange(0, n, 3), n))
+    place = (np.arange(len(x)) + (np.arange(len(x)) >= n)) % 2
+    full = hnsw.Lookup._search
+
+    def one_way(self, own):
+        """A graph that finds nothing for queries whose first number is below 0."""
+        return full(self, own) & (self.queries[own, :1] >= 0)
+
+    monkeypatch.setattr(hnsw.Lookup, "_search", one_way)
+    monkeypatch.setattr(hnsw.Lookup, "_misses", lambda self: False)
+    ids, second = np.arange(len(x)) + 1000, (place == 1) & (shards == 2)
+    rows = pa.table({"point": ids, "copies": np.ones(len(x), np.int64), "embedding": list(x), "second": second})
+    out = hnsw._shard(0.97)((pa.scalar(0), pa.scalar(32), pa.scalar(0), pa.scalar(shards - 1)), rows).to_pylist()
+    near = (x @ x.T >= 0.97) & ~np.eye(len(x), dtype=bool)
+    near &= (second[:, None] != second) | (shards == 1)
+    near &= (x[:, :1] >= 0) | (x[:, 0] >= 0)  # found from either end
+    assert near.sum() > 20 and {r["point"]: r["n"] for r in out if r["n"] is not None} == dict(zip(ids.tolist(), near.sum(axis=1).tolist(), strict=True))
+    assert sorted(tuple(sorted((r["point"], r["other"]))) for r in out if r["n"] is None) == [(1000 + i, 1000 + j) for i, j in zip(*np.nonzero(np.triu(near)), strict=True)]
