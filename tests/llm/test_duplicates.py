@@ -198,6 +198,8 @@ def test_links_to_points_without_a_path(monkeypatch):
     linked = np.arange(3, 20)
     x, q = twins(linked)
     monkeypatch.setattr(hnsw, "Graph", cut(linked))
+    lookup = hnsw.Lookup(x, q, 0.97)
+    assert lookup.apart.tolist() == linked.tolist() and not lookup.whole  # the graph stays for the rest
     assert found(x, q) == [(i, i) for i in linked.tolist()]
 
 
