@@ -38,7 +38,10 @@ from lastro.llm.common import RollingHash, importable, mix64, text_slices
 SLICE_BYTES = 2 << 20
 #: Symbols of a piece that are handled at once at most, besides the lookahead.
 WINDOW = 512
+#: Ids that are decoded at once.
+BLOCK = 4096
 SPACE, LETTER, NUMBER, OTHER = range(4)
+LETTERS, AFTER, BREAKS = regex.compile("[A-Za-z]+"), regex.compile(r"[A-Za-z]?[^\x00-\x7f]*"), regex.compile(r"[!-&(-@\[-`{-~](?=[A-Za-z])|[A-Za-z](?=[!-@\[-`{-~])")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -319,34 +322,75 @@ class PieceStream:
 class StreamEncoder:
     """Text in chunks of any size in, ids out as soon as they are stable.
 
-    Special tokens' strings are looked for in each chunk of held text too; text is
-    released only up to its last white space, or at a plain ASCII letter where a run
-    without white space outgrows the window, so that normal forms, pieces and special
-    strings never straddle a release without being held or streamed on.
+    Text is released up to its last white space. Where a run without white space outgrows
+    the window, it is released up to the last place between a plain ASCII letter and an ASCII
+    digit or sign (but not behind an apostrophe, nor where a special token's string may have
+    begun), and a word of plain ASCII letters goes through PieceStream. So normal forms, pieces and special
+    strings never straddle a release. A run that has neither, such as a long one of other
+    scripts, is held whole.
     """
 
     def __init__(self, bpe: WordBpe):
         self.bpe, self.held = bpe, ""
+        self.word: PieceStream | None = None  # the word that held goes on with
+        self.begun = tuple({s[:k] for s in bpe.special for k in range(1, len(s))})
+        self.streams = not any(LETTERS.match(s) for s in bpe.special)
 
     def feed(self, chunk: str) -> list[int]:
         self.held += chunk
-        cut = max(map(self.held.rfind, " \n\t\r")) + 1
-        if not cut:
-            return []
-        ready, self.held = self.held[:cut], self.held[cut:]
-        return self.bpe.encode([ready])[0].tolist()
+        out: list[int] = []
+        while True:
+            if self.word is not None:
+                out += self._go_on()
+                if self.word is not None:
+                    return out
+            cut = max(map(self.held.rfind, " \n\t\r")) + 1
+            if not cut and len(self.held) > WINDOW:
+                cut = max((m.end() for m in BREAKS.finditer(self.held) if not self.held[: m.end()].endswith(self.begun)), default=0)
+            ready, self.held = self.held[:cut], self.held[cut:]
+            out += self.bpe.encode([ready])[0].tolist()
+            run = LETTERS.match(self.held)
+            if not (run and len(run[0]) > WINDOW and self.streams):
+                return out
+            self.word = PieceStream(self.bpe)
+
+    def _letters(self, text: str) -> list[int]:
+        data = text.encode()
+        return [i for k in range(0, len(data), WINDOW) for i in self.word.feed(data[k : k + WINDOW])]
+
+    def _go_on(self, ended: bool = False) -> list[int]:
+        """Streams the held word; its last letter waits for a mark that may join it."""
+        out: list[int] = []
+        while True:
+            run = LETTERS.match(self.held)
+            n = max(len(run[0]) - 1, 0) if run else 0
+            out += self._letters(self.held[:n].lower())
+            self.held = self.held[n:]
+            after = AFTER.match(self.held).end()
+            if after == len(self.held) and not ended:
+                return out
+            text = normal(self.held[:after])
+            kinds = self.bpe.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            letters = int(np.argmax(np.append(kinds, SPACE) != LETTER))
+            out += self._letters(text[:letters])
+            self.held = text[letters:] + self.held[after:]
+            if letters < len(text) or not LETTERS.match(self.held):
+                out += self.word.finish()
+                self.word = None
+                return out
 
     def finish(self) -> list[int]:
+        out = self._go_on(ended=True) if self.word is not None else []
         ready, self.held = self.held, ""
-        return self.bpe.encode([ready])[0].tolist()
+        return out + self.bpe.encode([ready])[0].tolist()
 
 
 class StreamDecoder:
-    """Ids in, text out: a state machine over the bytes that tokens stand for.
+    """Ids in, text out: a state machine over bytes that holds those of a character still incomplete.
 
-    plain=True gives the text itself (word ends as blanks; bytes of a character that
-    is still incomplete are held). plain=False gives the token strings with a blank
-    between them, as a tokenizer without a decoder prints them.
+    plain=True gives the text itself, from the bytes that tokens stand for (word ends as
+    blanks). plain=False gives the token strings with a blank between them, as a tokenizer
+    without a decoder prints them.
     """
 
     def __init__(self, bpe: WordBpe, plain: bool = True):
@@ -360,7 +404,7 @@ class StreamDecoder:
             return self.state.decode(b"".join([self.bpe.raw[i] for i in ids]))
         text = b" ".join([self.bpe.tokens[i] for i in ids])
         lead, self.begun = b" " * self.begun, True
-        return (lead + text).decode()
+        return self.state.decode(lead + text)
 
     def finish(self) -> str:
         return self.state.decode(b"", True)
@@ -384,6 +428,15 @@ def vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def decoded_digest(bpe: WordBpe, ids: np.ndarray) -> str:
+    """SHA-256 of what StreamDecoder prints for the ids, a block at a time."""
+    decoder, digest = StreamDecoder(bpe, plain=False), hashlib.sha256()
+    for a in range(0, len(ids), BLOCK):
+        digest.update(decoder.feed(ids[a : a + BLOCK].tolist()).encode())
+    digest.update(decoder.finish().encode())
+    return digest.hexdigest()
+
+
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """Encodes every text and decodes it again; one row per row of docs.
 
@@ -399,13 +452,12 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         for batch in text_slices(batches, "text", SLICE_BYTES):
             ids, begin = bpe.encode(batch.column("text").to_pylist())
             wide = ids.astype("<u4")
-            tokens = bpe.tokens
             own = [wide[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
             out = {
                 "doc_id": batch.column("doc_id"),
                 "n_tokens": pa.array(np.diff(begin), pa.int64()),
                 "ids_sha256": [hashlib.sha256(x).hexdigest() for x in own],
-                "decoded_sha256": [hashlib.sha256(b" ".join([tokens[i] for i in x.tolist()])).hexdigest() for x in own],
+                "decoded_sha256": [decoded_digest(bpe, x) for x in own],
             }
             if with_ids:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))

@@ -97,3 +97,23 @@ def test_pack(spark, library):
     assert [(r.length, r.ids) for r in rows if r.doc_id == 2] == [(1, [2])] and len([r for r in rows if r.doc_id == 3 and r.start == 0]) == 2
     with pytest.raises(ValueError):
         packing.pack(docs, PATH, most=1000)
+
+
+@pytest.mark.parametrize("text", ["ab1<x-y_" * 700, "Xylem" * 1200, "he" * 900 + "\u0301" + "re" * 900 + "'s" * 700, "a" * 1400 + "é" + "B" * 1400 + "<|endoftext|>" + "c" * 1400 + "'ll", "q1<|endoftext|>" * 300])
+@pytest.mark.parametrize("step", [1, 13, 5000])
+def test_runs_without_white_space(model, library, text, step):
+    encoder, out, most = bpe.StreamEncoder(model), [], 0
+    for i in range(0, len(text), step):
+        out += encoder.feed(text[i : i + step])
+        most = max(most, len(encoder.held))
+    assert out + encoder.finish() == library.encode(text, add_special_tokens=False).ids
+    assert most <= bpe.WINDOW + 20 + step
+
+
+def test_query_decodes_by_the_state_machine(model, monkeypatch):
+    ids = model.encode(["Olá mundo 漢字 <|endoftext|> " * 30])[0]
+    fed = []
+    feed = bpe.StreamDecoder.feed
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    monkeypatch.setattr(bpe.StreamDecoder, "feed", lambda self, x: fed.extend(x) or feed(self, x))
+    assert bpe.decoded_digest(model, ids) == hashlib.sha256(b" ".join([model.tokens[i] for i in ids])).hexdigest() and fed == ids.tolist()
