@@ -47,7 +47,7 @@ URL_RULES = "allow org/, block example.org/es/, block example.org/en/1, allow co
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.rules(URL_RULES))
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.rules(URL_RULES), recount=True)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ give each character a probability from up to ORDER characters before it: each
 order's estimate is mixed with the next lower order's, the more so the less the
 context has been seen. A URL's score is the mean, over its characters, of the
 difference of the log-likelihoods. The limit between both verdicts is calibrated on
-URLs that the models didn't count. All counts are over all labelled URLs.
+URLs that the models didn't count, one part of PARTS of the labelled ones. With recount
+the scores then come from models counted over all labelled URLs, that part included.
 """
 
 from __future__ import annotations
@@ -90,12 +91,13 @@ def model(labelled: DataFrame, asked: DataFrame) -> DataFrame:
     return out.select("gram", (F.log("pa") - F.log("pr")).alias("ratio"))
 
 
-def filter_urls(pages: DataFrame, known: tuple[UrlRule, ...], page_id: str = "page_id", url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, known: tuple[UrlRule, ...], page_id: str = "page_id", url: str = "url", recount: bool = False) -> DataFrame:
     """Judges every URL: by the longest rule that fits, else by the models learned from the URLs that rules judge.
 
     Returns one row per row of pages: page_id, host, path, rule, verdict (allow or block),
     score (mean log-likelihood difference; 0 for an empty URL). A null URL counts as empty.
-    Equal URLs are scored once but counted as often as they occur. Without labelled URLs of
+    recount: the final scores are by models of all labelled URLs, else by those that calibrate
+    nothing. Equal URLs are scored once but counted as often as they occur. Without labelled URLs of
     both verdicts all scores are 0; a score at the limit or above is allowed. Repeated rows
     and null ids are each returned; other columns are ignored whatever their names.
     """
@@ -107,10 +109,18 @@ def filter_urls(pages: DataFrame, known: tuple[UrlRule, ...], page_id: str = "pa
     calibrates = F.pmod(F.xxhash64("url"), F.lit(PARTS)) == 0
     chars = urls.select("url", "n", (F.col("judged") == "allow").alias("accepted"), calibrates.alias("calibrates"), F.explode(_grams(F.col("url"))).alias("gram"))
     learned = chars.filter("accepted is not null and not calibrates")
-    ratios = model(learned, chars)
-    scores = chars.join(ratios, "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
-    scores = checkpoint(urls.join(scores, "url", "left").select("url", "judged", "n", F.coalesce("score", F.lit(0.0)).alias("score")))
-    limit = _limit(scores.filter(calibrates & F.col("judged").isNotNull()))
+
+    def scored(labelled: DataFrame, asked: DataFrame, of: DataFrame) -> DataFrame:
+        mean = asked.join(model(labelled, asked), "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
+        return checkpoint(of.join(mean, "url", "left").select("url", "judged", "n", F.coalesce("score", F.lit(0.0)).alias("score")))
+
+    held = calibrates & F.col("judged").isNotNull()
+    if recount:
+        limit = _limit(scored(learned, chars.filter("accepted is not null and calibrates"), urls.filter(held)))
+        scores = scored(chars.filter("accepted is not null"), chars, urls)
+    else:
+        scores = scored(learned, chars, urls)
+        limit = _limit(scores.filter(held))
     out = rows.join(scores.select("url", "score"), "url")
     own = F.when(F.round("score", 9) >= F.lit(limit), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("judged", own).alias("verdict"), "score")

@@ -108,6 +108,23 @@ def brute_ratio(urls, text):
     return total / len(text)
 
 
+def test_models_recounted_over_all(spark, tmp_path):
+    from lastro.llm import queries
+
+    source = random.Random(2)
+    good = ["http://" + "".join(source.choice("abc") for _ in range(8)) + ".org/a" for _ in range(40)]
+    bad = ["http://" + "".join(source.choice("xyz") for _ in range(8)) + ".com/de/a" for _ in range(40)]
+    ask = ["http://abcabcab.net/a", "http://xyzxyzxy.net/de/a"]
+    pages = spark.createDataFrame(list(enumerate(good + bad + ask)), "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r.page_id: r for r in queries.op8_urls(spark, str(tmp_path)).collect()}
+    everything = [(u, u in set(good)) for u in good + bad]
+    assert pages.filter(F.pmod(F.xxhash64("url"), F.lit(urlfilter.PARTS)) == 0).count() > 5
+    assert out[80].verdict == "allow" and out[81].verdict == "block"
+    for i in (80, 81, 3):
+        assert out[i].score == pytest.approx(brute_ratio(everything, (good + bad + ask)[i]))
+
+
 def test_models(spark):
     source = random.Random(1)
     good = ["http://" + "".join(source.choice("abc") for _ in range(8)) + ".org/a" for _ in range(80)]
