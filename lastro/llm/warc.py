@@ -8,8 +8,8 @@ are written by Spark's writer, gzip-compressed: a row is one record's bytes.
 
 Reading: an archive is inflated and parsed in a stream. A record's payload comes out
 as rows of record, segment, chunk number and at most CHUNK_BYTES; a payload that is
-one segment is digested as it streams by, carrying the digest's state from chunk to
-chunk. Chunks of segmented payloads are sorted within partitions by record, segment
+one segment is digested from its rows as they stream by, carrying the digest's state
+from row to row. Chunks of segmented payloads are sorted within partitions by record, segment
 and chunk, and one pass carries the state across rows.
 """
 
@@ -211,11 +211,41 @@ def read(spark: SparkSession, folder: str, with_data: bool = True) -> DataFrame:
     return files.mapInArrow(run, CHUNKS)
 
 
-def summaries(chunks: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to for each record of a chunked table."""
+def digests(whole: DataFrame) -> DataFrame:
+    """The summaries of records of one segment, from the data of their chunk rows, which follow each other as read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, total, due = hashlib.sha1(), 0, 0
+        for batch in batches:
+            last = [x is not None for x in batch.column("payload_digest").to_pylist()]
+            sizes, found = [], []
+            kinds, chunks, data = batch.column("record_type").to_pylist(), batch.column("chunk").to_pylist(), batch.column("data")
+            for k, chunk in enumerate(chunks):
+                if chunk != due:
+                    raise ValueError(f"chunk {chunk} stands where {due} is due")
+                buffer = data[k].as_buffer()
+                state.update(buffer)
+                total, due = total + len(buffer), 0 if last[k] else due + 1
+                if last[k]:
+                    revisit = kinds[k] == "revisit"  # has its header's, and no payload
+                    sizes.append(batch.column("payload_bytes")[k].as_py() if revisit else total)
+                    found.append(batch.column("payload_digest")[k].as_py() if revisit else base32(state.digest()))
+                    state, total = hashlib.sha1(), 0
+            ends = batch.filter(pa.array(last, pa.bool_()))
+            yield pa.RecordBatch.from_pydict({"page_id": ends.column("page_id"), "payload_bytes": pa.array(sizes, pa.int64()), "payload_digest": pa.array(found, pa.string()), "record_type": ends.column("record_type"), "refers_to": ends.column("refers_to")})
+
+    columns = ["page_id", "record_type", "refers_to", "chunk", "data", "payload_bytes", "payload_digest"]
+    return whole.select(*columns).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def summaries(chunks: DataFrame, segmented: DataFrame | None = None) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to for each record of a chunked table.
+
+    segmented: the same table where the data of records of one segment may be left out.
+    """
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     spark = chunks.sparkSession
-    parts = chunks.filter("not whole").select("row", "page_id", "segment", "chunk", "data")
+    parts = (chunks if segmented is None else segmented).filter("not whole").select("row", "page_id", "segment", "chunk", "data")
     parts = parts.repartition(shuffle_partitions(spark), "row").sortWithinPartitions("row", "segment", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +269,11 @@ def summaries(chunks: DataFrame) -> DataFrame:
 
     joined = parts.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string")
     joined = joined.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    return chunks.filter("whole and payload_digest is not null").select(*columns).unionByName(joined.select(*columns))
+    return digests(chunks.filter("whole")).unionByName(joined.select(*columns))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes the pages' archives and reads them back."""
     folder = shared_dir(pages.sparkSession, "warc")
     write(pages, folder)
-    return summaries(read(pages.sparkSession, folder, with_data=False))
+    return summaries(read(pages.sparkSession, folder), read(pages.sparkSession, folder, with_data=False))

@@ -208,3 +208,15 @@ def test_parser_pieces():
         while piece := stream.read(size):
             out += [(int(f.get("warc-segment-number", 1)), d) for f, _, d, _ in parser.feed(piece)]
         assert b"".join(d for _, d in out) == page and [s for s, _ in out] == [1, 2, 3]
+
+
+def test_archive_digests_come_from_chunk_rows(spark, tmp_path):
+    """Other data in the rows, another digest."""
+    pages = spark.createDataFrame([(1, "http://a", "x" * 200_000), (2, "http://b", "é")], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    chunks = warc.read(spark, str(tmp_path / "w"))
+    assert chunks.filter("whole and page_id = 1").count() > 3
+    other = chunks.withColumn("data", F.translate(F.decode("data", "utf-8"), "x", "y").cast("binary"))
+    want = {1: hashlib.sha1(b"y" * 200_000).digest(), 2: hashlib.sha1("é".encode()).digest()}
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.summaries(other).collect()}
+    assert got == {1: (200_000, warc.base32(want[1])), 2: (2, warc.base32(want[2]))}
