@@ -26,6 +26,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,11 @@ from pyspark.sql import DataFrame
 from lastro.llm.common import RollingHash, importable, mix64, text_slices
 
 SLICE_BYTES = 2 << 20
-#: Symbols of a piece that are handled at once at most, besides the lookahead.
-WINDOW = 512
-#: Ids that are decoded at once.
-BLOCK = 4096
+#: Symbols of a piece that wait at most, besides the lookahead; bytes of a longer piece that are read at once.
+WINDOW, READ = 512, 4096
+#: Ids that are decoded at once; characters that a long text is fed in.
+BLOCK, FED = 4096, 1 << 18
 SPACE, LETTER, NUMBER, OTHER = range(4)
-LETTERS, AFTER, BREAKS = regex.compile("[A-Za-z]+"), regex.compile(r"[A-Za-z]?[^\x00-\x7f]*"), regex.compile(r"[!-&(-@\[-`{-~](?=[A-Za-z])|[A-Za-z](?=[!-@\[-`{-~])")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -120,6 +120,19 @@ class WordBpe:
         self.hash = RollingHash(0x9E3779B97F4A7C15)
         self.classes = classes()
 
+    @cached_property
+    def joins(self) -> np.ndarray:
+        """For each code point, whether the normal form of what stands before it may change by it."""
+        out = np.zeros(0x110000, bool)
+        for cp in range(0x110000):
+            c = chr(cp)
+            out[cp] |= unicodedata.combining(c) > 0 or not unicodedata.is_normalized("NFC", c)
+            parts = unicodedata.decomposition(c).split()
+            if len(parts) == 2 and parts[0][0] != "<":
+                out[int(parts[1], 16)] = True
+        out[0x1161:0x1176] = out[0x11A8:0x11C3] = True  # vowels and finals of Hangul syllables
+        return out
+
     def _table(self, pairs: list[tuple[int, int]], made: list[int]) -> None:
         """An open-addressing table from a pair to its rank and its token."""
         self.bits = 19
@@ -203,11 +216,11 @@ class WordBpe:
         """A piece of any length through a buffer of bounded length."""
         stream = PieceStream(self)
         out: list[int] = []
-        for i in range(0, len(piece), WINDOW):
-            out += stream.feed(piece[i : i + WINDOW])
+        for i in range(0, len(piece), READ):
+            out += stream.feed(piece[i : i + READ])
         return out + stream.finish()
 
-    def _pieces(self, pieces: list[bytes] | None, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of distinct pieces given as bytes one after the other."""
         ends = np.cumsum(sizes)
         symbols = self.byte[data]
@@ -229,7 +242,15 @@ class WordBpe:
         return np.concatenate([*out, ids[previous:]]), counts_all
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids one after the other, and where each text's ids begin (one more than texts)."""
+        """All texts' ids one after the other, and where each text's ids begin (one more than texts).
+
+        A text that is long and alone goes through StreamEncoder, so that only its ids grow with it.
+        """
+        if len(texts) == 1 and len(texts[0] or "") > SLICE_BYTES // 2:
+            stream = StreamEncoder(self)
+            fed = [np.array(stream.feed(texts[0][k : k + FED]), np.int64) for k in range(0, len(texts[0]), FED)]
+            ids = np.concatenate([*fed, np.array(stream.finish(), np.int64)])
+            return ids, np.array([0, len(ids)])
         parts: list[str] = []
         owner: list[int] = []
         marks: list[tuple[int, int]] = []  # before which part a special token stands
@@ -253,10 +274,8 @@ class WordBpe:
         first = np.searchsorted(np.array(owner), np.arange(len(texts) + 1), side="left")
         return ids, begin[first]
 
-    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        cp = np.frombuffer(("\n".join(parts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    def starts(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each code point's class, and whether a piece begins there. The last three may depend on what follows."""
         kind = self.classes[cp]
         start = kind != SPACE
         start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
@@ -265,20 +284,25 @@ class WordBpe:
             one, two = cp[sign + 1], cp[np.minimum(sign + 2, len(cp) - 1)]
             size = np.isin(one, [ord(c) for c in "stmd"]).astype(np.int64)
             for pair in ("re", "ve", "ll"):
-                size[(one == ord(pair[0])) & (two == ord(pair[1]))] = 2
+                size[(one == ord(pair[0])) & (two == ord(pair[1])) & (sign + 2 < len(cp))] = 2
             sign, size = sign[size > 0], size[size > 0]
             start[sign + 1] = False
             after = sign + 1 + size
+            after = after[after < len(cp)]
             start[after[kind[after] == LETTER]] = True
+        return kind, start
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
+        begin = np.concatenate(([0], np.cumsum(sizes)))
+        cp = code_points("\n".join(parts) + "\n")
+        kind, start = self.starts(cp)
         end = kind != SPACE
         end[:-1] &= (kind[1:] == SPACE) | start[1:]
         first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
         if not len(first):
             return np.empty(0, np.int64), np.zeros(len(parts) + 1, np.int64)
-        prefix = self.hash.prefix(mix64(cp.astype(np.uint64)))
-        code, distinct = pd.factorize(self.hash.ranges(prefix, first, last))
-        where = np.empty(len(distinct), np.int64)
-        where[code[::-1]] = np.arange(len(code))[::-1]
+        code, where = self._distinct(cp, first, last)
         a, n = first[where], (last - first)[where]
         size = n + 1  # each distinct piece and a blank behind it
         close = np.cumsum(size)
@@ -287,13 +311,50 @@ class WordBpe:
         flat[close - 1] = 0x20
         data = np.frombuffer(flat.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
         blank = np.flatnonzero(data == 0x20)
-        ids, counts = self._pieces(None, data[data != 0x20], np.diff(blank, prepend=-1) - 1)
+        ids, counts = self._pieces(data[data != 0x20], np.diff(blank, prepend=-1) - 1)
         offset = np.concatenate(([0], np.cumsum(counts)))
         each = counts[code]
         upto = np.concatenate(([0], np.cumsum(each)))
         out = ids[np.repeat(offset[code] - upto[:-1], each) + np.arange(upto[-1])]
         return out, upto[np.searchsorted(first, begin)]
 
+    def _distinct(self, cp: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pieces cp[first:last], a number for each that equal pieces share, and for each number its first piece.
+
+        Hashes propose what is equal; every piece is compared with the one that stands for it.
+        """
+        prefix = self.hash.prefix(mix64(cp.astype(np.uint64)))
+        code, found = pd.factorize(self.hash.ranges(prefix, first, last))
+        where = _first_of(code, len(found))
+        size = last - first
+        other = np.flatnonzero(where[code] != np.arange(len(code)))
+        stand = where[code[other]]
+        same = size[other] == size[stand]
+        wrong, other, stand = other[~same], other[same], stand[same]
+        if len(other):
+            n = size[other]
+            upto = np.cumsum(n) - n
+            place = np.arange(n.sum())
+            equal = cp[place + np.repeat(first[other] - upto, n)] == cp[place + np.repeat(first[stand] - upto, n)]
+            wrong = np.concatenate((wrong, other[~np.logical_and.reduceat(equal, upto)]))
+        if len(wrong):
+            more: dict[bytes, int] = {}
+            for k in np.sort(wrong).tolist():
+                code[k] = more.setdefault(cp[first[k] : last[k]].tobytes(), len(found) + len(more))
+            where = _first_of(code, len(found) + len(more))
+        return code, where
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _first_of(code: np.ndarray, n: int) -> np.ndarray:
+    """The first place of each number below n."""
+    out = np.empty(n, np.int64)
+    out[code[::-1]] = np.arange(len(code))[::-1]
+    return out
+
 
 class PieceStream:
     """One piece's bytes in, stable tokens out; holds a bounded buffer."""
@@ -320,70 +381,81 @@ class PieceStream:
 
 
 class StreamEncoder:
-    """Text in chunks of any size in, ids out as soon as they are stable.
-
-    Text is released up to its last white space. Where a run without white space outgrows
-    the window, it is released up to the last place between a plain ASCII letter and an ASCII
-    digit or sign (but not behind an apostrophe, nor where a special token's string may have
-    begun), and a word of plain ASCII letters goes through PieceStream. So normal forms, pieces and special
-    strings never straddle a release. A run that has neither, such as a long one of other
-    scripts, is held whole.
+    """Text in chunks of any size in, ids out as soon as they are stable; `held` is what waits.
+
+    Three states follow each other. Raw text waits while a special token's string may have
+    begun, and up to the last character that can't change the normal form of what stands
+    before it. Normal text waits up to the last piece, of which WINDOW characters are held.
+    A piece that outgrows them, of letters of any script or of signs, goes through
+    PieceStream. So memory doesn't grow with the text; what normal forms need whole, a
+    letter with all of its combining marks, is held whole.
     """
 
     def __init__(self, bpe: WordBpe):
-        self.bpe, self.held = bpe, ""
-        self.word: PieceStream | None = None  # the word that held goes on with
-        self.begun = tuple({s[:k] for s in bpe.special for k in range(1, len(s))})
-        self.streams = not any(LETTERS.match(s) for s in bpe.special)
+        self.bpe, self.raw, self.tail = bpe, "", ""
+        self.piece: PieceStream | None = None  # the piece that goes on, of characters of class `kind`
+        self.kind = SPACE
+        self.wait = max(1, *(len(s) - 1 for s in bpe.special)) if bpe.special else 1
+
+    @property
+    def held(self) -> str:
+        return self.tail + self.raw
 
     def feed(self, chunk: str) -> list[int]:
-        self.held += chunk
-        out: list[int] = []
-        while True:
-            if self.word is not None:
-                out += self._go_on()
-                if self.word is not None:
-                    return out
-            cut = max(map(self.held.rfind, " \n\t\r")) + 1
-            if not cut and len(self.held) > WINDOW:
-                cut = max((m.end() for m in BREAKS.finditer(self.held) if not self.held[: m.end()].endswith(self.begun)), default=0)
-            ready, self.held = self.held[:cut], self.held[cut:]
-            out += self.bpe.encode([ready])[0].tolist()
-            run = LETTERS.match(self.held)
-            if not (run and len(run[0]) > WINDOW and self.streams):
-                return out
-            self.word = PieceStream(self.bpe)
+        self.raw += chunk
+        return self._release(False)
 
-    def _letters(self, text: str) -> list[int]:
-        data = text.encode()
-        return [i for k in range(0, len(data), WINDOW) for i in self.word.feed(data[k : k + WINDOW])]
+    def finish(self) -> list[int]:
+        return self._release(True)
 
-    def _go_on(self, ended: bool = False) -> list[int]:
-        """Streams the held word; its last letter waits for a mark that may join it."""
+    def _release(self, ended: bool) -> list[int]:
+        out: list[int] = []
+        done, upto = 0, len(self.raw) - (0 if ended else self.wait)
+        if self.bpe.special_re is not None:
+            for m in self.bpe.special_re.finditer(self.raw):
+                if m.start() >= upto:
+                    break
+                out += self._text(self.raw[done : m.start()], True)
+                out.append(self.bpe.special[m[0]])
+                done = m.end()
+        if not ended:
+            while upto > done and self.bpe.joins[ord(self.raw[upto])]:
+                upto -= 1
+        upto = max(upto, done)
+        out += self._text(self.raw[done:upto], ended)
+        self.raw = self.raw[upto:]
+        return out
+
+    def _text(self, text: str, closed: bool) -> list[int]:
+        """Takes text whose normal form nothing that follows can change; closed: no piece goes on behind it."""
+        self.tail += normal(text)
         out: list[int] = []
         while True:
-            run = LETTERS.match(self.held)
-            n = max(len(run[0]) - 1, 0) if run else 0
-            out += self._letters(self.held[:n].lower())
-            self.held = self.held[n:]
-            after = AFTER.match(self.held).end()
-            if after == len(self.held) and not ended:
-                return out
-            text = normal(self.held[:after])
-            kinds = self.bpe.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-            letters = int(np.argmax(np.append(kinds, SPACE) != LETTER))
-            out += self._letters(text[:letters])
-            self.held = text[letters:] + self.held[after:]
-            if letters < len(text) or not LETTERS.match(self.held):
-                out += self.word.finish()
-                self.word = None
+            if self.piece is not None:
+                kinds = self.bpe.classes[code_points(self.tail)]
+                n = int(np.argmax(np.append(kinds, SPACE) != self.kind))
+                data, self.tail = self.tail[:n].encode("utf-8", "surrogatepass"), self.tail[n:]
+                for k in range(0, len(data), READ):
+                    out += self.piece.feed(data[k : k + READ])
+                if not self.tail and not closed:
+                    return out
+                out += self.piece.finish()
+                self.piece = None
+            if closed or len(self.tail) <= WINDOW:
+                cut = len(self.tail) if closed else 0
+            else:
+                kind, start = self.bpe.starts(code_points(self.tail))
+                blank, begun = np.flatnonzero(kind == SPACE), np.flatnonzero(start[: len(start) - 2])
+                cut = max(int(blank[-1]) + 1 if len(blank) else 0, int(begun[-1]) if len(begun) else 0)
+                if not cut:
+                    self.piece, self.kind = PieceStream(self.bpe), kind[0]
+                    continue
+            if cut:
+                out += self.bpe._parts([self.tail[:cut]])[0].tolist()
+                self.tail = self.tail[cut:]
+            if closed or len(self.tail) <= WINDOW:
                 return out
 
-    def finish(self) -> list[int]:
-        out = self._go_on(ended=True) if self.word is not None else []
-        ready, self.held = self.held, ""
-        return out + self.bpe.encode([ready])[0].tolist()
-
 
 class StreamDecoder:
     """Ids in, text out: a state machine over bytes that holds those of a character still incomplete.

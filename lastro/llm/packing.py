@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lastro.llm.bpe import SLICE_BYTES, loaded, vocabulary
@@ -70,3 +70,8 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end_id: int = 2, doc_id:
 def write_buckets(packed: DataFrame, folder: str) -> None:
     """Writes the sequences, one folder per bucket; tasks write what they hold, without a shuffle."""
     packed.write.partitionBy("bucket").parquet(folder)
+
+
+def read_bucket(spark: SparkSession, folder: str, bucket: int) -> DataFrame:
+    """The sequences of 2 ** bucket tokens, from that bucket's folder alone; batches drawn from it need no padding."""
+    return spark.read.parquet(folder).filter(F.col("bucket") == bucket)

@@ -117,3 +117,67 @@ def test_query_decodes_by_the_state_machine(model, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 7)
     monkeypatch.setattr(bpe.StreamDecoder, "feed", lambda self, x: fed.extend(x) or feed(self, x))
     assert bpe.decoded_digest(model, ids) == hashlib.sha256(b" ".join([model.tokens[i] for i in ids])).hexdigest() and fed == ids.tolist()
+
+
+@pytest.mark.parametrize("bits", range(9, 14))
+def test_pieces_that_polynomial_hashes_confuse(model, library, bits):
+    """Thue-Morse words and their complements have equal hashes modulo 2 ** 64."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1 << bits))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word]
+    ids, begin = model.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[begin[i] : begin[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_confused_pieces_in_queries(spark, library):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    texts = [word, word.translate(str.maketrans("ab", "ba"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    packed = packing.pack(docs, PATH).collect()
+    for r in bpe.encode(docs, PATH).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert [i for p in sorted((p for p in packed if p.doc_id == r.doc_id), key=lambda p: p.start) for i in p.ids] == [*ids, 2]
+
+
+@pytest.mark.parametrize("letters", ["abcdefghij", "漢字語文", "é́à", "!?'-", "가각ᅡᆨ"])
+def test_buffer_is_bounded(model, letters):
+    """5,000,000 bytes of ASCII letters, and 300,000 characters of others, without white space."""
+    source, encoder, most = random.Random(7), bpe.StreamEncoder(model), 0
+    chunk = "".join(source.choices(letters, k=100_000))
+    for _ in range(50 if letters.isalpha() and letters.isascii() else 3):
+        encoder.feed(chunk)
+        most = max(most, len(encoder.held) + len(encoder.piece.buffer if encoder.piece else b""))
+    assert most <= bpe.WINDOW + 20 + bpe.READ + bpe.WINDOW + model.lookahead
+
+
+@pytest.mark.parametrize("step", [1, 3, 64, 1000])
+def test_streams_of_any_script(model, library, step):
+    source = random.Random(step)
+    alphabet = [*"ab'srvelmtd Σσİ \n\t1½!-é漢😀", "é", "̣̇", "각", "가", "̈́", "ো", "<|endoftext|>", "<|endof", "​", "ﬁ", "Ω", "יִ"]
+    for n in (40, 900):
+        text = "".join(source.choice(alphabet) * source.choice([1, 1, 1, 2, 700 if n < 100 else 1]) for _ in range(n))
+        encoder, out = bpe.StreamEncoder(model), []
+        for i in range(0, len(text), step):
+            out += encoder.feed(text[i : i + step])
+        assert out + encoder.finish() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_stream(model, library, documents, monkeypatch):
+    text = " ".join(r.text for r in documents.select("text").limit(30).collect())
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(bpe, "FED", 3000)
+    ids, begin = model.encode([text])
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and begin.tolist() == [0, len(ids)]
+
+
+def test_pack_edges(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a b", 0), (None, None, 1), (4, "word " * 5000, 2)], "doc_id long, text string, length int")
+    assert packing.pack(docs.limit(0), PATH).count() == 0
+    packed = packing.pack(docs, PATH)
+    assert sorted((r.length, r.doc_tokens) for r in packed.filter("doc_id is null").collect()) == [(1, 1), (1, 3), (2, 3)]
+    packing.write_buckets(packed, f"{tmp_path}/packed")
+    back = spark.read.parquet(f"{tmp_path}/packed")
+    assert back.count() == packed.count() and back.filter("length <> 1 << bucket or size(ids) <> length").count() == 0
+    drawn = packing.read_bucket(spark, f"{tmp_path}/packed", 12)
+    assert {r.length for r in drawn.collect()} == {4096} and "PartitionFilters: [isnotnull(bucket" in drawn._jdf.queryExecution().toString()
