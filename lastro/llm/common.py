@@ -19,26 +19,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or what
+    setCheckpointDir() set. Where neither is set, a local session (as in tests) takes a folder
+    of its own; on a cluster that is an error, since executors would write to their own disks.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file:///tmp/lastro-shared"
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder that the driver and all executors see.
+    """A new folder under the application's own, which goes when the application ends."""
+    own = f"{shared_base(spark)}/lastro-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
 
-    The cluster names it in ``spark.checkpoint.dir``; a folder of our own is
-    used only where that is unset, as in tests.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/lastro-shared"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+#: Lets Spark drop a query's shuffle files as soon as the query has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a table in the shared folder."""
+    """Cuts lineage by a table in the shared folder; the shuffles that led to it go."""
     spark = df.sparkSession
     path = shared_dir(spark, "table")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are dealt out at most.
+HOT_KEYS = 4096
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows.join(facts, keys, how), where one key, or null, may hold a large part of rows.
+
+    rows is a written table, which is read twice; facts has one row per key. A key that has
+    more rows than a task's share is dealt to four salts for each share, and its
+    facts are copied for each salt. Such keys are fewer than tasks; HOT_KEYS of them at
+    most are told to all executors, and any other key has less than 1 / HOT_KEYS of the rows.
+    """
+    spark, parts, total = rows.sparkSession, shuffle_partitions(rows.sparkSession), rows.count()
+    own = [f"own_{k}" for k in range(len(keys))]
+    many = rows.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]).count().filter(F.col("count") * parts > total)
+    many = many.orderBy(F.col("count").desc()).limit(HOT_KEYS).select(*own, F.ceil(F.col("count") * (4 * parts) / total).alias("salts"))
+    found = many.collect()
+    if not found:
+        return rows.join(facts, keys, how)
+    many = F.broadcast(spark.createDataFrame(found, many.schema))
+
+    def same(df: DataFrame):
+        return [df[k].eqNullSafe(many[o]) for k, o in zip(keys, own, strict=True)]
+
+    salts = F.coalesce("salts", F.lit(1))
+    # The place of a row in a written table doesn't change when a task is run again.
+    dealt = rows.withColumn("place", F.monotonically_increasing_id())
+    dealt = dealt.join(many, same(dealt), "left").withColumn("salt", F.pmod(F.xxhash64("place"), salts)).drop("place", "salts", *own)
+    copied = facts.join(many, same(facts), "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts", *own)
+    return dealt.join(copied, [*keys, "salt"], how).drop("salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,35 +1,39 @@
 """WARC archives as a chunked record table.
 
-Writing: each page is a record. Of equal payloads one is stored, the others are
-revisits of it. A payload longer than SEGMENT_BYTES goes out as a response and
-continuation records (the format's own segments), one row each, so no record is ever
-assembled as a whole and parts of one payload may lie in different archives. Archives
-are written by Spark's writer, gzip-compressed: a row is one record's bytes.
-
-Reading: an archive is inflated and parsed in a stream. A record's payload comes out
-as rows of record, segment, chunk number and at most CHUNK_BYTES; a payload that is
-one segment is digested from its rows as they stream by, carrying the digest's state
-from row to row. Chunks of segmented payloads are sorted within partitions by record, segment
-and chunk, and one pass carries the state across rows.
+Writing: each page is a record. Of equal payloads (by SHA-256 and size) one is stored,
+the others are revisits of it and name its record. A payload longer than SEGMENT_BYTES
+goes out as a response and continuation records (the format's own segments), one row
+each, so no record is ever assembled as a whole and parts of one payload may lie in
+different archives. Archives are written by Spark's writer, gzip-compressed: a row is one
+record's bytes.
+
+Reading: Spark's text reader inflates an archive in a stream and hands on the bytes
+between one version line and the next, so that a task never holds more than a few
+records; a parser joins them again and goes by the lengths that headers state. A payload
+comes out as rows of record, segment, chunk number and at most CHUNK_BYTES. Payloads of
+one segment are digested from their rows as they stream by, carrying the digest's state
+from row to row; chunks of segmented payloads are sorted within partitions by record,
+segment and chunk, and one pass carries the state across rows. A length or digest that
+isn't the one the header states, and an archive that ends inside a record, are errors.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastro.llm.common import importable, shared_dir, shuffle_partitions, slices, text_lengths
+from lastro.llm.common import checkpoint, importable, join_spread, shared_dir, shuffle_partitions, slices, text_lengths
 
 SEGMENT_BYTES, CHUNK_BYTES = 1 << 20, 64 << 10
 #: Raw bytes of an archive, about.
 ARCHIVE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
+VERSION = "WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -37,37 +41,42 @@ def base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def name_of(page_id: int | None, row: int | None = None, segment: int = 1) -> str:
-    """A record's name; the row tells apart records of one id."""
-    parts = ["" if page_id is None else page_id, *([] if row is None else [row]), *([] if segment == 1 else [segment])]
+def name_of(page_id: int | None, mark: str, segment: int = 1) -> str:
+    """A record's name; the mark, of URL and payload, tells apart records of one id."""
+    parts = ["" if page_id is None else page_id, mark, *([] if segment == 1 else [segment])]
     return f"<urn:page:{':'.join(map(str, parts))}>"
 
 
-def header(kind: str, page_id: int | None, row: int, length: int, fields: list[tuple[str, str]], segment: int = 1) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name_of(page_id, row, segment)}", f"WARC-Date: {DATE}"]
+def header(kind: str, name: str, length: int, fields: list[tuple[str, str]]) -> bytes:
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}"]
     lines += [f"{k}: {v}" for k, v in fields]
-    return "\r\n".join([*lines, f"Content-Length: {length}", "", ""]).encode("utf-8", "surrogatepass")
+    return (VERSION + "\r\n".join([*lines, f"Content-Length: {length}", "", ""])).encode("utf-8", "surrogatepass")
 
 
-def records(page_id: int | None, row: int, url: str, payload: memoryview, sha1: bytes, refers: int | None, revisit: bool, segment_bytes: int = SEGMENT_BYTES) -> Iterator[list[bytes | memoryview]]:
-    """A page's records, each as parts to be written one after the other; the last line feed is the writer's."""
+def records(page_id: int | None, mark: str, url: str, payload: memoryview, sha1: bytes, refers: str | None = None, copies: int = 1, segment_bytes: int = SEGMENT_BYTES) -> Iterator[list[bytes | memoryview]]:
+    """A page's records, each as parts to be written one after the other; the last line feed is the writer's.
+
+    refers: the name of the record that this one revisits; copies: equal rows that it stands for.
+    """
     uri = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
     fields = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{base32(sha1)}"), ("X-Payload-Length", str(len(payload)))]
-    if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", name_of(refers)), ("Content-Type", "application/http; msgtype=response")]
-        yield [header("revisit", page_id, row, len(HTTP), fields), HTTP, b"\r\n\r"]
+    fields += [("X-Copies", str(copies))] if copies > 1 else []
+    name = name_of(page_id, mark)
+    if refers is not None:
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", refers), ("Content-Type", "application/http; msgtype=response")]
+        yield [header("revisit", name, len(HTTP), fields), HTTP, b"\r\n\r"]
         return
     count = max(1, -(-len(payload) // segment_bytes))
     first = payload[:segment_bytes]
     if count > 1:
         fields.append(("WARC-Segment-Number", "1"))
-    yield [header("response", page_id, row, len(HTTP) + len(first), [*fields, ("Content-Type", "application/http; msgtype=response")]), HTTP, first, b"\r\n\r"]
+    yield [header("response", name, len(HTTP) + len(first), [*fields, ("Content-Type", "application/http; msgtype=response")]), HTTP, first, b"\r\n\r"]
     for k in range(1, count):
         part = payload[k * segment_bytes : (k + 1) * segment_bytes]
-        own = [("WARC-Segment-Origin-ID", name_of(page_id, row)), ("WARC-Segment-Number", str(k + 1))]
+        own = [("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(k + 1))]
         if k == count - 1:
             own.append(("WARC-Segment-Total-Length", str(len(HTTP) + len(payload))))
-        yield [header("continuation", page_id, row, len(part), own, k + 1), part, b"\r\n\r"]
+        yield [header("continuation", name_of(page_id, mark, k + 1), len(part), own), part, b"\r\n\r"]
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -75,19 +84,32 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, page_id: str = "p
 
     Of records with equal payloads of least_bytes or more, that with the largest page_id is
     the response and the others revisit it; smaller ones are all responses. A null html
-    counts as empty, a null url as an empty one. Rows that tie (equal ids and payloads) are
-    all responses, and so are rows with a null id. Other columns are ignored.
+    counts as empty, a null url as an empty one. Rows with a null id are all responses, and
+    so are rows that tie for the largest id; revisits then name the one whose mark is the
+    largest. Rows equal in id, url and html are one record that states its copies. URLs may
+    be of any length. Other columns are ignored.
     """
     importable(pages.sparkSession)
     rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload")})
-    small = rows.select("page_id", "sha1", "size")
+    rows = rows.withColumn("sha256", F.unhex(F.sha2("payload", 256)))
+    mark = F.substring(F.sha2(F.concat("sha256", F.col("url").cast("binary")), 256), 1, 32)
+    rows = rows.withColumn("mark", mark)
+    small = checkpoint(rows.select("page_id", "sha256", "mark", F.octet_length("payload").alias("size")))
     totals = small.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     per_file = max(16, int((totals["rows"] or 1) * archive_bytes / max(1, (totals["bytes"] or 0) + 600 * (totals["rows"] or 1))))
-    main = small.filter(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("main"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    revisits = small.filter(F.col("size") >= least_bytes).join(main, ["sha1", "size"]).filter("page_id < main").select("page_id", "sha1", "main").distinct()
-    # Ids are spread before the payloads move: a hot payload's rows are as many keys.
-    joined = rows.drop("size").join(revisits, ["page_id", "sha1"], "left").withColumn("row", F.monotonically_increasing_id())
+    key = ["sha256", "size"]
+    large = small.filter(F.col("size") >= least_bytes)
+    main = large.groupBy(*key).agg(F.max(F.struct("page_id", "mark")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    revisits = join_spread(large, main, key).filter("page_id < main.page_id").select("page_id", F.col("mark").alias("revisit_mark"), "main").distinct()
+    repeated = not small.groupBy("page_id", "mark").count().filter("count > 1").isEmpty()
+    if repeated:  # each task first joins the copies that it holds
+        rows = rows.groupBy("page_id", "mark").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.count(F.lit(1)).alias("copies"))
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    # Ids and marks are spread before the payloads move: a hot payload's rows are as many keys.
+    revisits = revisits.withColumnRenamed("page_id", "revisit_id")
+    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.col("mark") == F.col("revisit_mark")), "left")
+    joined = joined.select("page_id", "mark", "url", "payload", F.unhex(F.sha1("payload")).alias("sha1"), F.col("main.page_id").alias("main_id"), F.col("main.mark").alias("main_mark"), "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,9 +117,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, page_id: str = "p
                 part = batch.slice(a, b - a)
                 out: list[bytes] = []
                 held = 0
-                for i, n, u, p, s, m in zip(*(part.column(c) for c in ("page_id", "row", "url", "payload", "sha1", "main")), strict=True):
+                columns = [part.column(c).to_pylist() for c in ("page_id", "mark", "url", "sha1", "main_id", "main_mark", "copies")]
+                for p, i, m, u, s, mi, mm, n in zip(part.column("payload"), *columns, strict=True):
                     view = memoryview(p.as_buffer()) if len(p.as_buffer() or b"") else memoryview(b"")
-                    for r in records(i.as_py(), n.as_py(), u.as_py(), view, bytes.fromhex(s.as_py()), m.as_py(), m.is_valid, segment_bytes):
+                    for r in records(i, m, u, view, s, None if mm is None else name_of(mi, mm), n, segment_bytes):
                         out.append(b"".join(r))
                         held += len(out[-1])
                         if held > 4 << 20:
@@ -124,7 +147,7 @@ class Parser:
                 if end < 0:
                     return
                 lines = bytes(self.held[:end]).decode("utf-8", "surrogatepass").split("\r\n")
-                if lines[0] != "WARC/1.1":
+                if lines[0] != VERSION.strip():
                     raise ValueError("no record begins here")
                 self.fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
                 self.left, self.chunk = int(self.fields["content-length"]), 0
@@ -149,131 +172,151 @@ class Parser:
             del self.held[: self.left + 4]
             self.fields = None
 
+    def finish(self) -> None:
+        """Says that the archive is at its end."""
+        if self.held or self.fields is not None:
+            raise ValueError("the archive ends inside a record")
+
 
-def _part(name: str | None, k: int) -> int | None:
-    """The page (0) or row (1) in a record's name."""
-    parts = (name or "").removeprefix("<urn:page:").removesuffix(">").split(":")
-    return int(parts[k]) if len(parts) > k and parts[k] else None
+def _page(name: str | None) -> int | None:
+    """The page in a record's name."""
+    page = (name or "").removeprefix("<urn:page:").partition(":")[0]
+    return int(page) if page else None
 
 
-CHUNKS = "page_id long, row long, record_type string, refers_to long, segment int, chunk int, data binary, payload_bytes long, payload_digest string, whole boolean"
+CHUNKS = "record string, page_id long, record_type string, refers_to long, segment int, chunk int, data binary, last boolean, stated_bytes long, stated_digest string, copies long, whole boolean"
 
 
-def read(spark: SparkSession, folder: str, with_data: bool = True) -> DataFrame:
-    """The archives' chunked record table, columns CHUNKS.
+def read(spark: SparkSession, folder: str, segmented: bool = False) -> DataFrame:
+    """The archives' chunked record table, columns CHUNKS; segmented: rows of segmented records alone.
 
-    payload_bytes and payload_digest stand on a record's last chunk if it is one segment
-    (digested in the stream) or a revisit (from its header; it has no payload).
-    with_data=False leaves out the data of such records.
+    What a header states (length, digest, copies) stands on a record's first chunk. A
+    revisit is one chunk without data. whole: the record is one segment.
     """
     importable(spark)
     names = [c.split()[0] for c in CHUNKS.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     schema = pa.schema([(n, kinds[c.split()[1]]) for n, c in zip(names, CHUNKS.split(", "), strict=True)])
 
+    def row(fields: dict[str, str], chunk: int, data: bytes, last: bool) -> tuple:
+        kind, segment = fields["warc-type"], int(fields.get("warc-segment-number", 1))
+        stated = chunk == 0 and kind != "continuation"
+        size, digest = (int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")) if stated else (None, None)
+        name = fields.get("warc-segment-origin-id", fields["warc-record-id"])
+        refers = _page(fields.get("warc-refers-to")) if kind == "revisit" else None
+        copies = int(fields.get("x-copies", 1)) if stated else None
+        whole = kind != "continuation" and "warc-segment-number" not in fields
+        return name, _page(name), "response" if kind == "continuation" else kind, refers, segment, chunk, data, last, size, digest, copies, whole
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        held = 0
+        held, own, parser = 0, None, Parser()
+        version = VERSION.encode()
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for content in batch.column("content"):
-                inflate, parser, state, total = zlib.decompressobj(31), Parser(), hashlib.sha1(), 0
-                view = memoryview(content.as_buffer())
-                for a in range(0, len(view), CHUNK_BYTES):
-                    for fields, chunk, data, last in parser.feed(inflate.decompress(view[a : a + CHUNK_BYTES])):
-                        kind, segment = fields["warc-type"], int(fields.get("warc-segment-number", 1))
-                        one = kind != "continuation" and "warc-segment-number" not in fields
-                        if chunk == 0:
-                            state, total = hashlib.sha1(), 0
-                        state.update(data)
-                        total += len(data)
-                        size = digest = None
-                        if one and last and kind == "revisit":
-                            size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
-                        elif one and last:
-                            size, digest = total, base32(state.digest())
-                        if one and not last and not with_data:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value"), strict=True):
+                if path != own:  # what stands before an archive's first version line is nothing
+                    parser.finish()
+                    own, parser = path, Parser()
+                    pieces = (value.as_py(),)
+                else:
+                    pieces = (version, value.as_py())
+                for piece in pieces:
+                    for fields, chunk, data, last in parser.feed(piece):
+                        if segmented and fields["warc-type"] != "continuation" and "warc-segment-number" not in fields:
                             continue
-                        keep = data if with_data or not one else b""
-                        name = fields.get("warc-segment-origin-id", fields["warc-record-id"])
-                        rows.append((_part(name, 0), _part(name, 1), "response" if kind == "continuation" else kind, _part(fields.get("warc-refers-to"), 0) if kind == "revisit" else None, segment, chunk, keep, size, digest, one))
-                        held += len(keep) + 200
+                        rows.append(row(fields, chunk, data, last))
+                        held += len(data) + 200
                         if held > 4 << 20:
                             yield flush()
                             rows, held = [], 0
+        parser.finish()
         if rows:
             yield flush()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    return files.mapInArrow(run, CHUNKS)
+    files = spark.read.option("lineSep", VERSION).option("pathGlobFilter", "part-*.gz").text(folder)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")).mapInArrow(run, CHUNKS)
 
 
-def digests(whole: DataFrame) -> DataFrame:
-    """The summaries of records of one segment, from the data of their chunk rows, which follow each other as read."""
+class Digest:
+    """The state that is carried from chunk to chunk of one record."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, total, due = hashlib.sha1(), 0, 0
-        for batch in batches:
-            last = [x is not None for x in batch.column("payload_digest").to_pylist()]
-            sizes, found = [], []
-            kinds, chunks, data = batch.column("record_type").to_pylist(), batch.column("chunk").to_pylist(), batch.column("data")
-            for k, chunk in enumerate(chunks):
-                if chunk != due:
-                    raise ValueError(f"chunk {chunk} stands where {due} is due")
-                buffer = data[k].as_buffer()
-                state.update(buffer)
-                total, due = total + len(buffer), 0 if last[k] else due + 1
-                if last[k]:
-                    revisit = kinds[k] == "revisit"  # has its header's, and no payload
-                    sizes.append(batch.column("payload_bytes")[k].as_py() if revisit else total)
-                    found.append(batch.column("payload_digest")[k].as_py() if revisit else base32(state.digest()))
-                    state, total = hashlib.sha1(), 0
-            ends = batch.filter(pa.array(last, pa.bool_()))
-            yield pa.RecordBatch.from_pydict({"page_id": ends.column("page_id"), "payload_bytes": pa.array(sizes, pa.int64()), "payload_digest": pa.array(found, pa.string()), "record_type": ends.column("record_type"), "refers_to": ends.column("refers_to")})
-
-    columns = ["page_id", "record_type", "refers_to", "chunk", "data", "payload_bytes", "payload_digest"]
-    return whole.select(*columns).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    def __init__(self):
+        self.sha1, self.total = hashlib.sha1(), 0
 
+    def update(self, data) -> None:
+        self.sha1.update(data)
+        self.total += len(data)
 
-def summaries(chunks: DataFrame, segmented: DataFrame | None = None) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to for each record of a chunked table.
+    def check(self, record: str, size: int, digest: str) -> None:
+        if (self.total, base32(self.sha1.digest())) != (size, digest):
+            raise ValueError(f"{record}: its payload isn't the one that its header states")
+
+
+SUMMARY = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, copies long"
 
-    segmented: the same table where the data of records of one segment may be left out.
-    """
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    spark = chunks.sparkSession
-    parts = (chunks if segmented is None else segmented).filter("not whole").select("row", "page_id", "segment", "chunk", "data")
-    parts = parts.repartition(shuffle_partitions(spark), "row").sortWithinPartitions("row", "segment", "chunk")
+
+def _summaries(segmented: bool):
+    """Summaries of records whose chunks follow each other in the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, state, total = None, hashlib.sha1(), 0
-        begun = False
+        state, due, first = Digest(), (1, 0), None
+        out: list[tuple] = []
+
+        def end():
+            if first["record_type"] != "revisit":  # a revisit has no payload
+                state.check(first["record"], first["stated_bytes"], first["stated_digest"])
+            out.append((first["page_id"], first["stated_bytes"], first["stated_digest"], first["record_type"], first["refers_to"], first["copies"]))
 
-        def out():
-            return pa.RecordBatch.from_pydict({"page_id": pa.array([own], pa.int64()), "payload_bytes": pa.array([total], pa.int64()), "payload_digest": pa.array([base32(state.digest())])})
+        def flush():
+            names = [c.split()[0] for c in SUMMARY.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("payload_digest", "record_type") else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
         for batch in batches:
-            for page, segment, chunk, data in zip(*(batch.column(k) for k in range(1, 5)), strict=True):
-                if segment.as_py() == 1 and chunk.as_py() == 0:
-                    if begun:
-                        yield out()
-                    own, state, total, begun = page.as_py(), hashlib.sha1(), 0, True
-                buffer = data.as_buffer()
-                state.update(buffer)
-                total += len(buffer)
-        if begun:
-            yield out()
-
-    joined = parts.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string")
-    joined = joined.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    return digests(chunks.filter("whole")).unionByName(joined.select(*columns))
+            held = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "data"}
+            for k, data in enumerate(batch.column("data")):
+                at = held["segment"][k], held["chunk"][k]
+                if at == (1, 0):
+                    if segmented and first is not None:
+                        end()
+                    first, state = {c: x[k] for c, x in held.items()}, Digest()
+                elif at != due or held["record"][k] != first["record"]:
+                    raise ValueError(f"{held['record'][k]}: chunk {at} stands where {due} is due")
+                state.update(data.as_buffer())
+                due = (at[0] + 1, 0) if held["last"][k] else (at[0], at[1] + 1)
+                if not segmented and held["last"][k]:
+                    end()
+                    due = (1, 0)
+            if out:
+                yield flush()
+                out.clear()
+        if segmented and first is not None:
+            end()
+            yield flush()
+
+    return run
+
+
+def summaries(chunks: DataFrame, segmented: DataFrame | None = None) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to for each row that the archives were written from.
+
+    segmented: the table of segmented records alone. Lengths and digests are taken from the
+    chunks' data and compared with the headers'.
+    """
+    columns = ["record", "page_id", "record_type", "refers_to", "segment", "chunk", "data", "last", "stated_bytes", "stated_digest", "copies"]
+    whole = chunks.filter("whole").select(*columns).mapInArrow(_summaries(False), SUMMARY)
+    parts = (chunks if segmented is None else segmented).filter("not whole").select(*columns)
+    parts = parts.repartition(shuffle_partitions(chunks.sparkSession), "record").sortWithinPartitions("record", "segment", "chunk")
+    out = whole.unionByName(parts.mapInArrow(_summaries(True), SUMMARY))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes the pages' archives and reads them back."""
     folder = shared_dir(pages.sparkSession, "warc")
     write(pages, folder)
-    return summaries(read(pages.sparkSession, folder), read(pages.sparkSession, folder, with_data=False))
+    return summaries(read(pages.sparkSession, folder), read(pages.sparkSession, folder, segmented=True))

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -201,7 +202,7 @@ def test_parser_pieces():
     import io
 
     page = b"a\r\n\r\nb" * 9
-    parts = b"".join(x for r in warc.records(7, 0, "http://x", memoryview(page), hashlib.sha1(page).digest(), None, False, 20) for x in [*r, b"\n"])
+    parts = b"".join(x for r in warc.records(7, "m", "http://x", memoryview(page), hashlib.sha1(page).digest(), segment_bytes=20) for x in [*r, b"\n"])
     for size in (1, 7, 1000):
         parser, out = warc.Parser(), []
         stream = io.BytesIO(parts)
@@ -211,12 +212,49 @@ def test_parser_pieces():
 
 
 def test_archive_digests_come_from_chunk_rows(spark, tmp_path):
-    """Other data in the rows, another digest."""
-    pages = spark.createDataFrame([(1, "http://a", "x" * 200_000), (2, "http://b", "é")], "page_id long, url string, html string")
-    warc.write(pages, str(tmp_path / "w"))
+    """Other data in the rows isn't what the header states."""
+    pages = spark.createDataFrame([(1, "http://a", "x" * 200_000), (2, "http://b", "é"), (3, "http://c", "x" * 900_000)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"), segment_bytes=300_000)
     chunks = warc.read(spark, str(tmp_path / "w"))
-    assert chunks.filter("whole and page_id = 1").count() > 3
-    other = chunks.withColumn("data", F.translate(F.decode("data", "utf-8"), "x", "y").cast("binary"))
-    want = {1: hashlib.sha1(b"y" * 200_000).digest(), 2: hashlib.sha1("é".encode()).digest()}
-    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.summaries(other).collect()}
-    assert got == {1: (200_000, warc.base32(want[1])), 2: (2, warc.base32(want[2]))}
+    assert chunks.filter("whole and page_id = 1").count() > 3 and warc.summaries(chunks).count() == 3
+    for page in (1, 3):
+        other = chunks.withColumn("data", F.when(F.col("page_id") == page, F.translate(F.decode("data", "utf-8"), "x", "y").cast("binary")).otherwise(F.col("data")))
+        with pytest.raises(Exception, match="isn't the one that its header states"):
+            warc.summaries(other).collect()
+
+
+def archives(folder):
+    """Each archive's bytes, inflated by the gzip module."""
+    return {p: gzip.decompress(p.read_bytes()) for p in sorted(folder.glob("part-*.gz"))}
+
+
+def test_revisits_name_records_that_exist(spark, tmp_path):
+    rows = [(i, f"http://{i % 7}", "same" if i % 3 else f"own {i}") for i in range(60)] + [(59, "http://x", "same"), (59, "http://x", "same"), (59, None, "same"), (None, None, "same")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    fields = [dict(x.split(": ", 1) for x in r.split("\r\n\r\n")[0].split("\r\n")) for data in archives(tmp_path / "w").values() for r in data.decode().split("WARC/1.1\r\n")[1:]]
+    kinds = {f["WARC-Record-ID"]: f["WARC-Type"] for f in fields}
+    refers = [f["WARC-Refers-To"] for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(kinds) == len(fields) and len(refers) == 39 and all(kinds[r] == "response" for r in refers)
+    out = warc.summaries(warc.read(spark, str(tmp_path / "w")))
+    assert out.count() == len(rows) and {r.refers_to for r in out.filter("record_type = 'revisit'").collect()} == {59}
+
+
+@pytest.mark.parametrize("cut", [1, 40, 3000])
+def test_cut_archives_are_errors(spark, tmp_path, cut):
+    pages = spark.createDataFrame([(i, "http://a", f"{i} " * 2000) for i in range(8)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"))
+    path, data = next((p, d) for p, d in archives(tmp_path / "w").items() if d)
+    path.write_bytes(gzip.compress(data[:-cut]))
+    (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="ends inside a record|header states"):
+        warc.summaries(warc.read(spark, str(tmp_path / "w"))).collect()
+    path.write_bytes(gzip.compress(data)[: -min(cut, 40)])
+    with pytest.raises(Exception, match="(?i)EOF|unexpected end"):
+        warc.summaries(warc.read(spark, str(tmp_path / "w"))).collect()
+
+
+def test_archive_edges(spark, tmp_path):
+    rows = [(1, "http://a/" + "u" * 300_000, "WARC/1.1\r\n" * 9000), (None, None, None), (None, None, None), (2, "é \x7f", "WARC/1.1\r\n"), (3, "http://b", "\ufeff")]
+    got = warc.round_trip(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record string")).collect()
+    want = [(i, len((h or "").encode()), warc.base32(hashlib.sha1((h or "").encode()).digest()), "response", None) for i, _, h in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
