@@ -1,20 +1,28 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs.
 
-Vectors of one label are dealt into shards, and any two shards, or a shard with itself,
-meet in one task. A shard builds a graph in numpy, many points at a time, and the other's
-vectors are looked up in it, in both directions; what either finds holds for both: greedy
-descent through the upper layers, a beam in the lowest, then all that hangs together
-above a slack below the limit, so that a group larger than the beam is found whole.
-Points that no path leads to are compared with all queries. Queries known to have links
-are audited against brute force, and beam and slack widen until the audit finds every
-link. Links are those whose cosine in double precision reaches the
-limit. A task returns counts and a spanning forest of its links, never all pairs.
-
-Equal vectors are one point, whatever the number of their copies.
+Vectors of one label are dealt into shards. Each shard's graph is built once, in numpy and
+many points at a time, audited and written; links are added until paths of the lowest layer
+lead from the entry to every point. Any two shards, or a shard with itself, then meet in one
+task, and either side is looked up in the other's graph; what one direction finds holds for
+both. A lookup is greedy descent through the upper layers, a beam in the lowest, then all
+that hangs together above a slack below the limit, so that a group larger than the beam is
+found whole.
+
+A graph's audit takes vectors drawn from its points and vectors made to have a link at a
+drawn point, finds all their links by brute force, and passes if the graph finds them too;
+beam and slack widen until a fresh audit passes. A beam of more than one in EVERY points of
+the shard costs more than one that holds them all, which needs no audit. What the passing
+audits tested is logged.
+
+Links are those whose cosine in double precision reaches the limit. A task returns counts
+and a spanning forest of its links, never all pairs. Equal vectors are one point, whatever
+the number of their copies.
 """
 
 from __future__ import annotations
 
+import io
+import logging
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -23,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastro.llm.common import checkpoint, importable
+from lastro.llm.common import checkpoint, importable, join_spread
 from lastro.llm.graph import components
 
 #: Links of a point in upper layers (twice as many in the lowest); beam while building.
@@ -33,9 +41,11 @@ SHARD_POINTS, TOGETHER = 16384, 128
 FIRST_BEAM, FIRST_SLACK = 32, 0.02
 #: Points of the layer above from which a query enters the lowest.
 STARTS = 16
-#: Queries with links that an audit takes; beyond the widest beam a shard is compared as a whole.
-AUDITED = 512
-WIDEST_BEAM = 256
+#: Drawn points, and made vectors, that an audit takes; see the module's text.
+AUDITED, EVERY = 384, 16
+#: Links by which a point may lead to one that no path led to.
+EXTRA = 8
+LOG = logging.getLogger(__name__)
 
 
 class Graph:
@@ -49,11 +59,30 @@ class Graph:
         order = np.argsort(-self.level, kind="stable")
         self.links = [np.full((n, 2 * LINKS if k == 0 else LINKS), -1, np.int64) for k in range(int(self.level.max()) + 1)] if n else []
         self.entry = int(order[0]) if n else -1
-        done = order[:1]
         for a in range(1, n, TOGETHER):
-            new = order[a : a + TOGETHER]
-            self._insert(new, done)
-            done = order[: a + len(new)]
+            self._insert(order[a : a + TOGETHER])
+        if n:
+            self._connect()
+
+    def dump(self) -> bytes:
+        """The links; with the same points in the same order, load() gives the graph again."""
+        out, upper = io.BytesIO(), [np.flatnonzero((held >= 0).any(axis=1)) for held in self.links[1:]]
+        arrays = {"entry": np.array(self.entry), "layers": np.array(len(self.links)), "low": self.links[0].astype(np.int32)}
+        for k, rows in enumerate(upper, 1):
+            arrays |= {f"rows{k}": rows.astype(np.int32), f"held{k}": self.links[k][rows].astype(np.int32)}
+        np.savez(out, **arrays)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, points: np.ndarray, data: bytes) -> Graph:
+        self = cls.__new__(cls)
+        with np.load(io.BytesIO(data)) as held:
+            self.points, self.entry = points.astype(np.float32), int(held["entry"])
+            self.links = [held["low"].astype(np.int64)]
+            for k in range(1, int(held["layers"])):
+                self.links.append(np.full((len(points), LINKS), -1, np.int64))
+                self.links[k][held[f"rows{k}"]] = held[f"held{k}"]
+        return self
 
     @cached_property
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +108,28 @@ class Graph:
             out.append(seen)
         return out[0], out[1]
 
-    def _insert(self, new: np.ndarray, done: np.ndarray) -> None:
+    def _connect(self) -> None:
+        """Adds links, EXTRA from a point at most, until paths lead from the entry to every point."""
+        while not self.paths[0].all():
+            width = 2 * LINKS
+            if self.links[0].shape[1] == width:
+                self.links[0] = np.concatenate((self.links[0], np.full((len(self.points), EXTRA), -1, np.int64)), axis=1)
+            more = self.links[0][:, width:]
+            lost = np.flatnonzero(~self.paths[0])[:4096]  # the rest in a later round
+            free = np.flatnonzero(self.paths[0] & (more[:, -1] < 0))
+            near, sims = np.empty(len(lost), np.int64), np.empty(len(lost))
+            for a in range(0, len(lost), TOGETHER):
+                s = self.points[lost[a : a + TOGETHER]] @ self.points[free].T
+                best = s.argmax(axis=1)
+                near[a : a + TOGETHER], sims[a : a + TOGETHER] = free[best], s[np.arange(len(s)), best]
+            # One link from each point in a round; what it leads to may lead to the others.
+            _, first = np.unique(near[np.argsort(-sims, kind="stable")], return_index=True)
+            taken = np.argsort(-sims, kind="stable")[first]
+            slot = (more[near[taken]] >= 0).sum(axis=1)
+            more[near[taken], slot] = lost[taken]
+            del self.paths
+
+    def _insert(self, new: np.ndarray) -> None:
         at = np.full((len(new), BUILD_BEAM), -1, np.int64)
         at[:, 0] = self.entry
         inside = self.points[new] @ self.points[new].T
@@ -98,45 +148,57 @@ class Graph:
             np.fill_diagonal(own, -2)
             ids = np.concatenate((ids, np.broadcast_to(new[mine], own.shape)), axis=1)
             sims = np.concatenate((sims, own), axis=1)
-            width = self.links[layer].shape[1]
-            for row, p in enumerate(new[mine].tolist()):
-                near = self._choose(ids[row], sims[row], LINKS)
-                held = self.links[layer][p]  # points of this batch may have linked to it already
-                own = np.unique(np.concatenate((held[held >= 0], near)))
-                own = own if len(own) <= width else self._choose(own, self.points[own] @ self.points[p], width)
-                held[:] = -1
-                held[: len(own)] = own
-                for q in near.tolist():
-                    held = self.links[layer][q]
-                    free = np.flatnonzero(held < 0)
-                    if (held == p).any():
-                        continue
-                    if len(free):
-                        held[free[0]] = p
-                    else:
-                        every = np.append(held, p)
-                        keep = self._choose(every, self.points[every] @ self.points[q], width)
-                        held[:] = -1
-                        held[: len(keep)] = keep
+            near = self._choose(ids, sims, LINKS)
+            self.links[layer][new[mine], :LINKS] = near
+            self._link_back(new[mine], near, layer)
+
+    def _link_back(self, new: np.ndarray, near: np.ndarray, layer: int) -> None:
+        """Links the points `near` to those that have linked to them; a full list is chosen anew."""
+        links, width = self.links[layer], self.links[layer].shape[1]
+        row, k = np.nonzero(near >= 0)
+        to, what = near[row, k], new[row]
+        sims = np.einsum("ij,ij->i", self.points[to], self.points[what])
+        by = np.lexsort((-sims, to))
+        to, what = to[by], what[by]
+        targets, first, group = np.unique(to, return_index=True, return_inverse=True)
+        place = np.arange(len(to)) - first[group]
+        keep = place < width  # of those that come at once, the nearest
+        come = np.full((len(targets), width), -1, np.int64)
+        come[group[keep], place[keep]] = what[keep]
+        for a in range(0, len(targets), TOGETHER):
+            t, c = targets[a : a + TOGETHER], come[a : a + TOGETHER]
+            held = links[t]
+            c = np.where((held[:, :, None] == c[:, None, :]).any(axis=1), -1, c)
+            every = np.concatenate((held, c), axis=1)
+            over = (every >= 0).sum(axis=1) > width
+            packed = np.take_along_axis(every, np.argsort(every < 0, axis=1, kind="stable")[:, :width], axis=1)
+            if over.any():
+                x = every[over]
+                packed[over] = self._choose(x, np.where(x >= 0, np.einsum("ikj,ij->ik", self.points[x], self.points[t[over]]), -2), width)
+            links[t] = packed
 
     def _choose(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
-        """Near points in different directions first, then the nearest of the rest."""
-        ok = (ids >= 0) & (sims > -1.5)
-        ids, sims = ids[ok], sims[ok]
-        ids, first = np.unique(ids, return_index=True)
-        by = np.argsort(-sims[first], kind="stable")[: 3 * most]
-        ids, sims = ids[by], sims[first][by]
-        if len(ids) <= most:
-            return ids
-        between = self.points[ids] @ self.points[ids].T
-        chosen: list[int] = []
-        for i in range(len(ids)):
-            if not chosen or between[i, chosen].max() < sims[i]:
-                chosen.append(i)
-                if len(chosen) == most:
-                    break
-        rest = [i for i in range(len(ids)) if i not in set(chosen)]
-        return ids[chosen + rest[: most - len(chosen)]]
+        """For each row of candidates (-1 for none), near points in different directions first, then the nearest of the rest."""
+        by = np.argsort(ids, axis=1, kind="stable")
+        ids, sims = np.take_along_axis(ids, by, axis=1), np.take_along_axis(sims, by, axis=1)
+        sims = np.where(ids < 0, -3, sims)
+        sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -3
+        by = np.argsort(-sims, axis=1, kind="stable")[:, : 3 * most]
+        ids, sims = np.take_along_axis(ids, by, axis=1), np.take_along_axis(sims, by, axis=1)
+        there = sims > -1.5
+        ids, sims, there = (x[:, : max(most, int(there.sum(axis=1).max()))] for x in (ids, sims, there))
+        x = self.points[ids]
+        between = x @ x.transpose(0, 2, 1)
+        chosen, count, nearest = np.zeros(ids.shape, bool), np.zeros(len(ids), np.int64), np.full(ids.shape, -2, np.float32)
+        for i in range(ids.shape[1]):
+            take = there[:, i] & (nearest[:, i] < sims[:, i]) & (count < most)
+            chosen[:, i] = take
+            count += take
+            nearest[take] = np.maximum(nearest[take], between[take, i])
+        rank = np.where(chosen, 0, np.where(there, 1, 2))
+        by = np.argsort(rank, axis=1, kind="stable")[:, :most]
+        out = np.where(np.take_along_axis(rank, by, axis=1) < 2, np.take_along_axis(ids, by, axis=1), -1)
+        return np.pad(out, ((0, 0), (0, most - out.shape[1])), constant_values=-1)
 
     def _greedy(self, q: np.ndarray, at: np.ndarray, layer: int) -> np.ndarray:
         best = np.einsum("ij,ij->i", self.points[at], q)
@@ -221,90 +283,88 @@ class Graph:
         return np.concatenate([r for r, _ in found]), np.concatenate([p for _, p in found])
 
 
-class Lookup:
-    """Finds the points with a cosine of `least` or more in double precision; rows are unit vectors.
+def compare(queries: np.ndarray, points: np.ndarray, least: float) -> np.ndarray:
+    return queries @ points.T >= least
 
-    Points that no path of the lowest layer leads to are compared with every query. For
-    the others beam and slack widen until no link of the audited queries is missed; the
-    audit takes queries in drawn order until `audited` of them have links that the graph
-    must find, or none is left. Where a beam of WIDEST_BEAM still misses one, the shard
-    is compared as a whole (`whole`). same: the queries are the points, in one order.
-    """
 
-    def __init__(self, points: np.ndarray, queries: np.ndarray, least: float, same: bool = False, audited: int = AUDITED):
-        self.points, self.queries, self.least, self.same = points, queries, least, same
-        self.graph = Graph(points)
-        self.apart = np.flatnonzero(~self.graph.paths[0])
-        self.beam, self.slack, self.whole = FIRST_BEAM, FIRST_SLACK, False
-        self.tested = self._probe(audited)
-        while not self.whole and self._misses():
-            self.whole = self.beam >= WIDEST_BEAM
-            self.beam, self.slack = min(2 * self.beam, WIDEST_BEAM), min(2 * self.slack, 1.0)
-
-    def _compare(self, own: np.ndarray, which: np.ndarray | slice = slice(None)) -> np.ndarray:
-        return self.queries[own] @ self.points[which].T >= self.least
-
-    def _probe(self, audited: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of queries that have links within the graph's reach, with all their links."""
-        order, found, n = np.random.default_rng(2).permutation(len(self.queries)), [], 0
-        for a in range(0, len(order) if len(self.points) else 0, TOGETHER):
-            own = order[a : a + TOGETHER]
-            truth = self._compare(own)
-            if self.same:
-                truth[np.arange(len(own)), own] = False
-            linked = truth[:, self.graph.paths[0]].any(axis=1)
-            if linked.any():
-                found.append((own[linked], truth[linked]))
-                n += int(linked.sum())
-            if n >= audited:
-                break
-        return found
-
-    def _misses(self) -> bool:
-        for own, truth in self.tested:
-            i, j = np.nonzero(truth & ~self._search(own))
-            # Products of blocks and of pairs may differ in the last bit.
-            if (np.einsum("ij,ij->i", self.queries[own[i]], self.points[j]) >= self.least).any():
-                return True
-        return False
-
-    def _search(self, own: np.ndarray) -> np.ndarray:
-        q = self.queries[own]
-        out = np.zeros((len(own), len(self.points)), bool)
-        r, p = self.graph.near(q, self.beam, self.least - self.slack, own if self.same else None)
+class Lookup:
+    """Finds a graph's points with a cosine of `least` or more in double precision; rows are unit vectors."""
+
+    def __init__(self, points: np.ndarray, graph: Graph, least: float, beam: int = FIRST_BEAM, slack: float = FIRST_SLACK):
+        self.points, self.graph, self.least, self.beam, self.slack = points, graph, least, beam, slack
+
+    @property
+    def whole(self) -> bool:
+        """Whether the beam holds every point; its similarities are then one product."""
+        return self.beam >= len(self.points)
+
+    def widen(self, seed: int = 2, audited: int = AUDITED) -> int:
+        """Widens beam and slack until a fresh audit finds every link; returns the links that it tested."""
+        draw = np.random.default_rng(seed)
+        while not self.whole:
+            tested, missed = self.audit(draw, audited)
+            if not missed:
+                return tested
+            wider = 2 * self.beam
+            self.beam, self.slack = wider if wider * EVERY < len(self.points) else len(self.points), 2 * self.slack
+        return 0
+
+    def audit(self, draw: np.random.Generator, audited: int) -> tuple[int, int]:
+        """Links of drawn points and of made vectors, and how many of them the graph doesn't find."""
+        n, size = self.points.shape
+        own = draw.permutation(n)[:audited]
+        centres = self.points[draw.integers(0, n, audited)]
+        aside = draw.normal(size=(audited, size))
+        aside -= (aside * centres).sum(axis=1, keepdims=True) * centres
+        aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1, keepdims=True)), 1e-300)
+        cosine = draw.uniform(self.least, 1, (audited, 1))
+        made = cosine * centres + np.sqrt(1 - cosine**2) * aside
+        made /= np.sqrt((made * made).sum(axis=1, keepdims=True))
+        tested = missed = 0
+        for queries, of in ((self.points[own], own), (made, None)):
+            for a in range(0, len(queries), TOGETHER):
+                q, k = queries[a : a + TOGETHER], None if of is None else of[a : a + TOGETHER]
+                truth = compare(q, self.points, self.least)
+                if k is not None:
+                    truth[np.arange(len(q)), k] = False
+                i, j = np.nonzero(truth & ~self.search(q, k))
+                # Products of blocks and of pairs may differ in the last bit.
+                missed += int((np.einsum("ij,ij->i", q[i], self.points[j]) >= self.least).sum())
+                tested += int(truth.sum())
+        return tested, missed
+
+    def search(self, q: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """For each query, which points it is linked to. own: the points that the queries are."""
+        if self.whole:
+            return compare(q, self.points, self.least)
+        out = np.zeros((len(q), len(self.points)), bool)
+        r, p = self.graph.near(q, self.beam, self.least - self.slack, own)
         for k in range(0, len(r), 65536):
             i, j = r[k : k + 65536], p[k : k + 65536]
             out[i, j] = np.einsum("ij,ij->i", q[i], self.points[j]) >= self.least
-        if len(self.apart):
-            out[:, self.apart] = self._compare(own, self.apart)
         return out
 
-    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
-        """The first of TOGETHER queries or less, and for each of them which points it is linked to."""
-        for a in range(0, len(self.queries), TOGETHER):
-            own = np.arange(a, min(a + TOGETHER, len(self.queries)))
-            yield a, self._compare(own) if self.whole else self._search(own)
-
-
-def links(points: np.ndarray, queries: np.ndarray, least: float, sampled: int = AUDITED) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, point) that Lookup finds."""
-    found = [(a + r, p) for a, block in Lookup(points, queries, least, audited=sampled).blocks() for r, p in [np.nonzero(block)]]
-    return (np.concatenate([r for r, _ in found]), np.concatenate([p for _, p in found])) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+    def blocks(self, queries: np.ndarray, same: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """The first of TOGETHER queries or less, and for each of them which points it is linked to. same: they are the points."""
+        for a in range(0, len(queries), TOGETHER):
+            own = np.arange(a, min(a + TOGETHER, len(queries)))
+            yield a, self.search(queries[own], own if same else None)
 
 
-def pairs(x: np.ndarray, y: np.ndarray | None, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Blocks of rows of x, each with which rows of y (of x, if y is None) they are linked to.
+def pairs(x: Lookup, y: Lookup | None) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks of points of x, each with which points of y (of x, if y is None) they are linked to.
 
     Either side is looked up in the other's graph, and what one direction finds holds for
     both. Links are held as bits, so that a shard linked throughout takes 32 MB a direction.
     """
-    there = np.concatenate([np.packbits(m, axis=1) for _, m in Lookup(x if y is None else y, x, least, same=y is None).blocks()])
-    back = there if y is None else np.concatenate([np.packbits(m, axis=1) for _, m in Lookup(x, y, least).blocks()])
-    for a in range(0, len(x), TOGETHER):
-        n = min(TOGETHER, len(x) - a)
+    points, same = x.points, y is None
+    there = np.concatenate([np.packbits(m, axis=1) for _, m in (x if same else y).blocks(points, same)])
+    back = there if same else np.concatenate([np.packbits(m, axis=1) for _, m in x.blocks(y.points)])
+    for a in range(0, len(points), TOGETHER):
+        n = min(TOGETHER, len(points) - a)
         both = np.unpackbits(there[a : a + n], axis=1, count=len(back)).view(bool)
         both |= np.unpackbits(back[:, a // 8 : (a + n + 7) // 8], axis=1, count=n).view(bool).T
-        if y is None:
+        if same:
             both[np.arange(n), a + np.arange(n)] = False
         yield a, both
 
@@ -332,8 +392,32 @@ def _unit(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _shard(least: float):
+BUILT = "label long, size int, shard long, points long, tested long, beam int, slack double, links binary"
+
+
+def _build(least: float):
+    """A shard's graph and what its audits tell."""
+
     def run(key, rows):
+        rows = rows.sort_by("point")
+        x = _unit(rows.column("embedding"))
+        found = Lookup(x, Graph(x), least)
+        tested = found.widen()
+        links = b"" if found.whole else found.graph.dump()
+        return pa.table({"label": [key[0].as_py()], "size": pa.array([key[1].as_py()], pa.int32()), "shard": [key[2].as_py()], "points": [len(x)], "tested": [tested], "beam": pa.array([found.beam], pa.int32()), "slack": [found.slack], "links": pa.array([links], pa.binary())})
+
+    return run
+
+
+def _loaded(x: np.ndarray, least: float, row: dict) -> Lookup:
+    graph = Graph.load(x, row["links"]) if row["links"] else None
+    return Lookup(x, graph, least, row["beam"], row["slack"])
+
+
+def _meet(least: float):
+    """Link counts and a forest of links of two shards, or of one."""
+
+    def run(key, rows, graphs):
         rows = rows.sort_by("point")
         second = np.array(rows.column("second"), bool)
         order = np.concatenate((np.flatnonzero(~second), np.flatnonzero(second)))
@@ -342,22 +426,30 @@ def _shard(least: float):
         k, one = int((~second).sum()), key[2].as_py() == key[3].as_py()
         n, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
         shift = 0 if one else k
-        for a, block in pairs(x[:k], None if one else x[k:], least) if k and (one or k < len(ids)) else ():
+        row = {r["second"]: r for r in graphs.to_pylist()}
+        both = (_loaded(x[:k], least, row[False]), None if one else _loaded(x[k:], least, row[True])) if k and (one or k < len(ids)) else None
+        for a, block in pairs(*both) if both else ():
             r, c = np.nonzero(block)
             r, c = a + r, shift + c
             n += np.bincount(r, copies[c], len(ids)).astype(np.int64)
             if not one:
                 n += np.bincount(c, copies[r], len(ids)).astype(np.int64)
             begin = np.searchsorted(r, np.arange(a, a + len(block) + 1))
-            for row, i, j in zip(range(a, a + len(block)), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            for i, j, own in zip(begin[:-1].tolist(), begin[1:].tolist(), range(a, a + len(block)), strict=True):
                 if i < j:
-                    forest.add(row, c[i:j])
+                    forest.add(own, c[i:j])
         kept = ids[np.array(forest.kept, np.int64).reshape(-1, 2)]
         return pa.table({"point": pa.array(np.concatenate((ids, kept[:, 0])), pa.int64()), "n": pa.array([*n.tolist(), *[None] * len(kept)], pa.int64()), "other": pa.array([*[None] * len(ids), *kept[:, 1].tolist()], pa.int64())})
 
     return run
 
 
+def _meetings(shards: DataFrame, own: str) -> DataFrame:
+    """Each row once for every shard of its label: low and high number the two that meet."""
+    met = shards.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    return met.withColumns({"low": F.least(own, "met"), "high": F.greatest(own, "met"), "second": F.col(own) > F.col("met")}).drop("met", own, "shards")
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """Links vectors of equal labels whose cosine is `least` or more.
 
@@ -366,28 +458,33 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
     (vec_id = component_id). Vectors that are null, empty or zero, or hold null or
     non-finite components, link with nothing, nor do rows without a label or an id; a
     row without an id has null component_id and kept. Vectors of different lengths link
-    with nothing in common. Repeated rows link with each other. Other columns are ignored.
+    with nothing in common. Repeated rows link with each other; rows that share an id alone
+    don't. Other columns are ignored.
     """
     importable(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = checkpoint(rows.withColumn("good", good))
-    size = F.size("embedding")
-    points = rows.filter("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("copies"))
-    points = checkpoint(points.withColumn("size", size))
-    counts = points.groupBy("label", "size").count().select("label", "size", F.ceil(F.col("count") / SHARD_POINTS).alias("shards"))
-    dealt = points.join(counts, ["label", "size"]).withColumn("own", F.pmod(F.xxhash64("embedding"), "shards"))
-    # Two shards meet in one task, and a shard itself in one.
-    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    dealt = dealt.select("label", "size", "point", "copies", "embedding", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), (F.col("own") > F.col("met")).alias("second"))
-    found = dealt.groupBy("label", "size", "low", "high").applyInArrow(_shard(least), "point long, n long, other long")
-    found = checkpoint(found)
-    label_of = components(found.filter("other is not null").select(F.col("point").alias("a"), F.col("other").alias("b")))
+    # A point's number is its own: rows of one id may be several points.
+    points = rows.filter("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    points = checkpoint(points.withColumns({"size": F.size("embedding"), "point": F.monotonically_increasing_id()}))
+    counts = points.groupBy("label", "size").count().select("label", "size", F.ceil(F.col("count") / SHARD_POINTS).alias("shards"), F.monotonically_increasing_id().alias("class"))
+    counts = checkpoint(counts)  # class stands for a label and a length, whatever the label's type
+    dealt = join_spread(points, counts, ["label", "size"]).withColumn("shard", F.pmod(F.xxhash64("embedding"), "shards"))
+    dealt = dealt.select(F.col("class").alias("label"), "size", "shards", "shard", "point", "copies", "embedding")
+    graphs = checkpoint(dealt.groupBy("label", "size", "shard").applyInArrow(_build(least), BUILT))
+    told = graphs.agg(F.count(F.lit(1)).alias("n"), F.sum("tested").alias("tested"), F.max("beam").alias("beam"), F.count_if(F.col("beam") >= F.col("points")).alias("whole")).first()
+    LOG.info("%s graphs, the last audits found all of %s links; widest beam %s; in %s shards the beam holds every point", told.n, told.tested, told.beam, told.whole)
+    graphs = graphs.join(counts.select(F.col("class").alias("label"), "shards"), "label")
+    meet = ["label", "size", "low", "high"]
+    found = _meetings(dealt, "shard").groupBy(*meet).cogroup(_meetings(graphs.drop("points", "tested"), "shard").groupBy(*meet))
+    found = checkpoint(found.applyInArrow(_meet(least), "point long, n long, other long"))
+    label_of = components(found.filter("other is not null").select(F.col("point").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "point")
     n = found.filter("n is not null").groupBy("point").agg(F.sum("n").alias("n"))
-    # A point is the least id of its copies, so the least point of a component is its least id.
-    named = points.join(n, "point", "left").join(label_of.withColumnRenamed("node", "point"), "point", "left")
-    named = named.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "point").alias("component"))
-    out = rows.join(named.withColumn("good", F.lit(True)), ["label", "embedding", "good"], "left")
-    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    named = checkpoint(points.join(n, "point").join(label_of, "point", "left").withColumn("component", F.coalesce("component", "point")))
+    least_id = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    facts = join_spread(named, least_id, ["component"]).select("label", "embedding", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = join_spread(rows.filter("good"), facts, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    alone = rows.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

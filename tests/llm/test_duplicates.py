@@ -159,14 +159,8 @@ def test_vectors(spark):
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_graph_recall():
-    draw = np.random.default_rng(0)
-    x = draw.normal(size=(3000, 32))
-    x[1500:] = x[:1500] + 0.08 * draw.normal(size=(1500, 32))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    rows, cols = hnsw.links(x[:2000], x, 0.97)
-    truth = set(zip(*np.nonzero(x @ x[:2000].T >= 0.97), strict=True))
-    assert len(truth & set(zip(rows.tolist(), cols.tolist(), strict=True))) >= 0.99 * len(truth) and len(rows) <= len(truth)
+def unit(x):
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def twins(linked, n=1500, size=32, seed=3):
@@ -174,40 +168,68 @@ def twins(linked, n=1500, size=32, seed=3):
     draw = np.random.default_rng(seed)
     x, q = draw.normal(size=(n, size)), draw.normal(size=(n, size))
     q[linked] = x[linked] + 0.02 * draw.normal(size=(len(linked), size))
-    return [v / np.linalg.norm(v, axis=1)[:, None] for v in (x, q)]
+    return unit(x), unit(q)
+
+
+def found(lookup, q, same=False):
+    return {(a + int(i), int(j)) for a, block in lookup.blocks(q, same) for i, j in zip(*np.nonzero(block), strict=True)}
+
+
+def true_links(x, q, least):
+    return set(zip(*(v.tolist() for v in np.nonzero(q @ x.T >= least)), strict=True))
+
+
+def test_graph_recall():
+    draw = np.random.default_rng(0)
+    x = draw.normal(size=(3000, 32))
+    x[1500:] = x[:1500] + 0.08 * draw.normal(size=(1500, 32))
+    x = unit(x)
+    lookup = hnsw.Lookup(x, hnsw.Graph(x), 0.97)
+    assert lookup.widen() > 300 and not lookup.whole
+    assert found(lookup, x, same=True) == true_links(x, x, 0.97) and found(lookup, x[:500]) == true_links(x, x[:500], 0.97)
 
 
-def found(x, q):
-    rows, cols = hnsw.links(x, q, 0.97)
-    return sorted(zip(rows.tolist(), cols.tolist(), strict=True))
+def test_graph_is_written_and_read():
+    x, _ = twins(np.arange(5), 700)
+    graph = hnsw.Graph(x)
+    again = hnsw.Graph.load(x, graph.dump())
+    assert again.entry == graph.entry and all((a == b).all() for a, b in zip(again.links, graph.links, strict=True))
 
 
-def cut(lost):
+@pytest.mark.parametrize("lost", [[3], list(range(3, 200)), list(range(0, 1500, 2))])
+def test_every_point_is_connected(lost):
     class Cut(hnsw.Graph):
-        """No link leads to the points `lost`."""
+        """No link leads to the points `lost` before the graph is connected."""
 
-        def __init__(self, points):
-            super().__init__(points)
+        def _connect(self):
             for held in self.links:
-                held[np.isin(held, lost)] = -1
+                held[np.isin(held, [p for p in lost if p != self.entry])] = -1
+            super()._connect()
 
-    return Cut
+    x, q = twins(np.array(lost))
+    graph = Cut(x)
+    assert graph.paths[0].all() and graph.links[0].shape[1] <= 2 * hnsw.LINKS + hnsw.EXTRA
+    lookup = hnsw.Lookup(x, graph, 0.97)
+    lookup.widen()
+    assert found(lookup, q) == true_links(x, q, 0.97) == {(i, i) for i in lost}
 
 
-def test_links_to_points_without_a_path(monkeypatch):
-    linked = np.arange(3, 20)
-    x, q = twins(linked)
-    monkeypatch.setattr(hnsw, "Graph", cut(linked))
-    lookup = hnsw.Lookup(x, q, 0.97)
-    assert lookup.apart.tolist() == linked.tolist() and not lookup.whole  # the graph stays for the rest
-    assert found(x, q) == [(i, i) for i in linked.tolist()]
+def test_beam_widens(monkeypatch):
+    x, q = twins(np.arange(7, 1500, 100))
+    lookup = hnsw.Lookup(x, hnsw.Graph(x), 0.97, beam=1)
+    lookup.widen()
+    assert lookup.beam > 1 and found(lookup, q) == true_links(x, q, 0.97)
+    monkeypatch.setattr(hnsw.Graph, "near", lambda self, q, *_: (np.empty(0, np.int64),) * 2)
+    lookup.widen()  # a graph that finds nothing: the beam then holds every point
+    assert lookup.whole and found(lookup, q) == true_links(x, q, 0.97)
 
 
-def test_audit_takes_linked_queries(monkeypatch):
-    linked = np.arange(7, 1500, 100)
-    x, q = twins(linked)
-    monkeypatch.setattr(hnsw, "FIRST_BEAM", 1)
-    assert found(x, q) == [(i, i) for i in linked.tolist()]
+def test_ids_of_several_vectors(spark, caplog):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 0.001], 0), (None, [1.0, 0.0], 0), (4, [1.0], 0), (5, [2.0], 0), (6, [1.0, 0.0, 0.0], 0), (7, [-0.0, 1.0], 0)]
+    with caplog.at_level("INFO", logger="lastro.llm.hnsw"):
+        got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (None, 0, None, None), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 2, 1, False)], key=str)
+    assert "3 graphs" in caplog.text
 
 
 def test_vectors_in_several_shards(spark, monkeypatch):
@@ -225,17 +247,18 @@ def test_link_counts_are_symmetric(monkeypatch, shards):
     n = 300
     x = np.concatenate(twins(np.arange(0, n, 3), n))
     place = (np.arange(len(x)) + (np.arange(len(x)) >= n)) % 2
-    full = hnsw.Lookup._search
+    full = hnsw.Lookup.search
 
-    def one_way(self, own):
+    def one_way(self, q, own=None):
         """A graph that finds nothing for queries whose first number is below 0."""
-        return full(self, own) & (self.queries[own, :1] >= 0)
+        return full(self, q, own) & (q[:, :1] >= 0)
 
-    monkeypatch.setattr(hnsw.Lookup, "_search", one_way)
-    monkeypatch.setattr(hnsw.Lookup, "_misses", lambda self: False)
     ids, second = np.arange(len(x)) + 1000, (place == 1) & (shards == 2)
     rows = pa.table({"point": ids, "copies": np.ones(len(x), np.int64), "embedding": list(x), "second": second})
-    out = hnsw._shard(0.97)((pa.scalar(0), pa.scalar(32), pa.scalar(0), pa.scalar(shards - 1)), rows).to_pylist()
+    key = (pa.scalar(0), pa.scalar(32), pa.scalar(0), pa.scalar(shards - 1))
+    graphs = [hnsw._build(0.97)(key, rows.filter(pa.array(second == s))).append_column("second", pa.array([s])) for s in ([False, True] if shards == 2 else [False])]
+    monkeypatch.setattr(hnsw.Lookup, "search", one_way)
+    out = hnsw._meet(0.97)(key, rows, pa.concat_tables(graphs)).to_pylist()
     near = (x @ x.T >= 0.97) & ~np.eye(len(x), dtype=bool)
     near &= (second[:, None] != second) | (shards == 1)
     near &= (x[:, :1] >= 0) | (x[:, 0] >= 0)  # found from either end
