@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,32 +61,43 @@ def checkpoint(df: DataFrame) -> DataFrame:
 HOT_KEYS = 4096
 
 
-def join_spread(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows.join(facts, keys, how), where one key, or null, may hold a large part of rows.
+def spread(rows: DataFrame, keys: list[str], by: str | None = None, counts: DataFrame | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """rows with a column salt, and what gives another table, of one row per key, the salts to be joined with.
 
-    rows is a written table, which is read twice; facts has one row per key. A key that has
-    more rows than a task's share is dealt to four salts for each share, and its
-    facts are copied for each salt. Such keys are fewer than tasks; HOT_KEYS of them at
-    most are told to all executors, and any other key has less than 1 / HOT_KEYS of the rows.
+    One key, or null, may hold a large part of rows. A key that has more rows than a task's
+    share is dealt to four salts for each share, and its facts are copied for each salt. Such
+    keys are fewer than tasks; HOT_KEYS of them at most are told to all executors, and any
+    other key has less than 1 / HOT_KEYS of the rows. by: a column whose hash deals a key's
+    rows; without it their places do, and rows must come from a written table, so that they
+    don't change when a task is run again. counts: the keys and their rows (count), if known.
     """
-    spark, parts, total = rows.sparkSession, shuffle_partitions(rows.sparkSession), rows.count()
+    spark, parts = rows.sparkSession, shuffle_partitions(rows.sparkSession)
     own = [f"own_{k}" for k in range(len(keys))]
-    many = rows.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]).count().filter(F.col("count") * parts > total)
-    many = many.orderBy(F.col("count").desc()).limit(HOT_KEYS).select(*own, F.ceil(F.col("count") * (4 * parts) / total).alias("salts"))
-    found = many.collect()
-    if not found:
-        return rows.join(facts, keys, how)
-    many = F.broadcast(spark.createDataFrame(found, many.schema))
-
-    def same(df: DataFrame):
-        return [df[k].eqNullSafe(many[o]) for k, o in zip(keys, own, strict=True)]
-
-    salts = F.coalesce("salts", F.lit(1))
-    # The place of a row in a written table doesn't change when a task is run again.
-    dealt = rows.withColumn("place", F.monotonically_increasing_id())
-    dealt = dealt.join(many, same(dealt), "left").withColumn("salt", F.pmod(F.xxhash64("place"), salts)).drop("place", "salts", *own)
-    copied = facts.join(many, same(facts), "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts", *own)
-    return dealt.join(copied, [*keys, "salt"], how).drop("salt")
+    counts = rows.groupBy(*keys).count() if counts is None else counts
+    total = rows.count() if by is None else counts.agg(F.sum("count")).first()[0] or 0
+    many = None
+    if total > HOT_KEYS:
+        hot = counts.filter(F.col("count") * parts > total).orderBy(F.col("count").desc()).limit(HOT_KEYS)
+        hot = hot.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.ceil(F.col("count") * (4 * parts) / total).alias("salts"))
+        found = hot.collect()
+        many = F.broadcast(spark.createDataFrame(found, hot.schema)) if found else None
+    if many is None:
+        alone = F.lit(0).cast("long")
+        return rows.withColumn("salt", alone), lambda facts: facts.withColumn("salt", alone)
+
+    def told(df: DataFrame) -> DataFrame:
+        same = [df[k].eqNullSafe(many[o]) for k, o in zip(keys, own, strict=True)]
+        return df.join(many, same, "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long"))).drop(*own)
+
+    dealt = told(rows if by else rows.withColumn("place", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64(by or "place"), "salts")).drop("salts", *([] if by else ["place"]))
+    return dealt, lambda facts: told(facts).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner", by: str | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """rows.join(facts, keys, how) by spread(); facts has one row per key."""
+    dealt, copied = spread(rows, keys, by, counts)
+    return dealt.join(copied(facts), [*keys, "salt"], how).drop("salt")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,26 +1,30 @@
 """Near-duplicate detection by a signature-coordinate inverted join.
 
-Each distinct shingle set posts under its coordinate-value pairs. Two sets of
-similarity 0.8 agree in 38 of 48 coordinates on average, and in fewer than
-`threshold` = 26 about once in 75,000 times. Sets that agree in 26 of 48 share at
-least one of any 23 of a set's values, so a set posts only its 23 rarest (the
-prefix); values that nobody else has can't collide, so posting them is skipped,
-and a set of more than 22 such values is skipped as a whole.
+Each distinct shingle set posts under its coordinate-value pairs. Two sets of similarity
+0.8 agree in 38 of 48 coordinates on average. The match threshold T falls as the table
+grows, so that of one pair at exactly the limit for each set of the table, MISSED are
+expected to agree in fewer than T; pairs of more than the limit are missed less still (at
+250,000 sets T is 20, and a pair at the limit is missed once in a billion times). Sets that
+agree in T share at least one of any 49 - T of a set's values, so a set posts only as many
+of its rarest (the prefix); values that nobody else has can't collide, so posting them is
+skipped, and a set of more than 48 - T such values is skipped as a whole.
 
 Collisions are counted and checked on full sets in two steps. First each posting
 list's members are checked against one member (a star), which joins most groups of
 copies without looking at their pairs. Then every list that still has members of
 different components counts collisions between such members alone, short lists many
 at a time and long ones in blocks of bounded size; what reaches the threshold is
-checked on full sets.
-Links inside one component are skipped: they can't change the result.
+checked on full sets. Links inside one component are skipped: they can't change the result.
 
-Equal sets count once, whatever the number of their copies.
+Equal sets count once, whatever the number of their copies. A set is of 64-bit hashes of
+shingles, two of which agree by chance once in 2 ** 64 pairs. Lists, stars and components
+of any size are dealt over tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -29,18 +33,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastro.llm.common import checkpoint, importable, mix64, text_slices
+from lastro.llm.common import checkpoint, importable, join_spread, mix64, spread, text_slices
 from lastro.llm.graph import components
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 MAX_WORDS_HELD = 1 << 17
-COORDINATES, THRESHOLD = 48, 26
+COORDINATES = 48
+#: Links at the limit that may be missed in a table where each set has one.
+MISSED = 1e-3
 #: Members of other components, and members, that one task compares at most.
-BLOCK_A, BLOCK_B = 1024, 2048
+BLOCK_A, BLOCK_B = 512, 1024
 #: Members of a posting list that is counted together with others, and rows of such lists in a task, about.
 SHORT, SHORT_ROWS = 48, 20_000
 
 
+def threshold(sets: int, percent: int) -> int:
+    """The most coordinates T such that so many pairs at the limit agree in fewer than T less than MISSED times."""
+    p, below, t = percent / 100, 0.0, 0
+    while t < COORDINATES:
+        below += comb(COORDINATES, t) * p**t * (1 - p) ** (COORDINATES - t)
+        if below * max(sets, 1) > MISSED:
+            break
+        t += 1
+    return max(t, 1)
+
+
 class Words(dict):
     """Hashes of words, kept for the words seen last."""
 
@@ -137,7 +154,7 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "items_a", "items_b").mapInArrow(run, "a binary, b binary")
 
 
-def _counted():
+def _counted(least: int):
     """Of one block, the members that reach the threshold with a member of another component."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,37 +172,41 @@ def _counted():
                 pa_, pb_ = (ma >> k & 1).astype(bool), (mb >> k & 1).astype(bool)
                 if pa_.any() and pb_.any():
                     earlier |= same & pa_[:, None] & pb_[None, :]
-        hit = (count >= THRESHOLD) & ~earlier & (comp[: len(a)][:, None] != comp[len(a) :][None, :])
+        hit = (count >= least) & ~earlier & (comp[: len(a)][:, None] != comp[len(a) :][None, :])
         out = pd.concat([a[hit.any(axis=1)], b[hit.any(axis=0)]])
         return out[["value", "i", "j", "role", "set_id", "component"]]
 
     return run
 
 
-def _counted_short(key, rows):
+def _counted_short(least: int):
     """Of many short lists, the pairs of different components that reach the threshold, each in the first list that both are on."""
-    value = rows.column("value").to_numpy()
-    by = np.argsort(value, kind="stable")
-    value = value[by]
-    sig = rows.column("signature").combine_chunks().values.to_numpy().reshape(-1, COORDINATES)[by]
-    mask, own = rows.column("prefix").to_numpy()[by], rows.column("coordinate").to_numpy()[by]
-    comp, _ = pd.factorize(rows.column("component").to_pandas().iloc[by])
-    found = []
-    for step in range(1, SHORT):
-        i = np.flatnonzero(value[step:] == value[:-step])
-        if not len(i):
-            break
-        i = i[comp[i] != comp[i + step]]
-        for k in range(0, len(i), 1 << 14):
-            a = i[k : k + (1 << 14)]
-            same = sig[a] == sig[a + step]
-            a, same = (x[same.sum(axis=1) >= THRESHOLD] for x in (a, same))
-            both = (mask[a] & mask[a + step])[:, None] >> np.arange(COORDINATES) & 1
-            found.append((a[np.argmax(same & (both > 0), axis=1) == own[a]], step))
-    ids = rows.column("set_id")
-    left = np.concatenate([by[a] for a, _ in found]) if found else np.empty(0, np.int64)
-    right = np.concatenate([by[a + step] for a, step in found]) if found else np.empty(0, np.int64)
-    return pa.table({"a": ids.take(pa.array(left)).combine_chunks(), "b": ids.take(pa.array(right)).combine_chunks()})
+
+    def run(key, rows):
+        value = rows.column("value").to_numpy()
+        by = np.argsort(value, kind="stable")
+        value = value[by]
+        sig = rows.column("signature").combine_chunks().values.to_numpy().reshape(-1, COORDINATES)[by]
+        mask, own = rows.column("prefix").to_numpy()[by], rows.column("coordinate").to_numpy()[by]
+        comp, _ = pd.factorize(rows.column("component").to_pandas().iloc[by])
+        found = []
+        for step in range(1, SHORT):
+            i = np.flatnonzero(value[step:] == value[:-step])
+            if not len(i):
+                break
+            i = i[comp[i] != comp[i + step]]
+            for k in range(0, len(i), 1 << 14):
+                a = i[k : k + (1 << 14)]
+                same = sig[a] == sig[a + step]
+                a, same = (x[same.sum(axis=1) >= least] for x in (a, same))
+                both = (mask[a] & mask[a + step])[:, None] >> np.arange(COORDINATES) & 1
+                found.append((a[np.argmax(same & (both > 0), axis=1) == own[a]], step))
+        ids = rows.column("set_id")
+        left = np.concatenate([by[a] for a, _ in found]) if found else np.empty(0, np.int64)
+        right = np.concatenate([by[a + step] for a, step in found]) if found else np.empty(0, np.int64)
+        return pa.table({"a": ids.take(pa.array(left)).combine_chunks(), "b": ids.take(pa.array(right)).combine_chunks()})
+
+    return run
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
@@ -243,52 +264,59 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = checkpoint(_profiles(docs, width))
     known = rows.filter("doc_id is not null and set_id is not null")
-    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    values = known.join(classes, "set_id").filter("doc_id = first").select("set_id", "first", "signature")
-    values = checkpoint(values.dropDuplicates(["set_id"]))
+    # A set's copies have one signature.
+    values = checkpoint(known.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("signature").alias("signature")))
+    least = threshold(values.count(), percent)
+    prefix = COORDINATES - least + 1
     posted = values.select("set_id", F.posexplode("signature").alias("coordinate", "value"))
-    shared = posted.groupBy("value").count().filter("count > 1")
-    prefix = COORDINATES - THRESHOLD + 1
+    shared = checkpoint(posted.groupBy("value").count().filter("count > 1"))
+    posted = join_spread(posted, shared, ["value"], by="set_id", counts=shared)
     # A set's values that others have too, rare ones first; its other values come before these in the prefix.
-    lists = posted.join(shared, "value").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("count", "value", "coordinate"))).alias("all"))
+    lists = posted.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("count", "value", "coordinate"))).alias("all"))
     lists = lists.filter(F.size("all") > COORDINATES - prefix).withColumn("own", F.expr(f"slice(all, 1, {prefix - COORDINATES} + size(all))"))
     mask = F.aggregate("own", F.lit(0).cast("long"), lambda m, x: m + F.call_function("shiftleft", F.lit(1).cast("long"), x.coordinate))
     lists = checkpoint(lists.select("set_id", mask.alias("prefix"), "own"))
     postings = lists.select("set_id", "prefix", F.explode("own").alias("p")).select("set_id", "prefix", "p.value", "p.coordinate")
 
-    stars = postings.groupBy("value").agg(F.min("set_id").alias("a"))
-    stars = checkpoint(postings.join(stars, "value").filter("set_id != a").select("a", F.col("set_id").alias("b")).distinct())
+    centres = checkpoint(postings.groupBy("value").agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("count")).filter("count > 1"))
+    stars = join_spread(postings, centres.drop("count"), ["value"], by="set_id", counts=centres.drop("a"))
+    stars = checkpoint(stars.filter("set_id != a").select("a", F.col("set_id").alias("b")).distinct())
     needed = values.join(lists.select("set_id"), "set_id", "left_semi").select(F.col("first").alias("doc_id")).distinct()
     full = checkpoint(_sets(docs.join(needed, "doc_id", "left_semi"), width).dropDuplicates(["set_id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(full.select(F.col("set_id").alias("b"), F.col("items").alias("items_b")), "b")
-        return checkpoint(_verify(pairs.join(full.select(F.col("set_id").alias("a"), F.col("items").alias("items_a")), "a"), percent))
+        """pairs: a written table a, b; one a may have any number of b."""
+        dealt, copied = spread(pairs, ["a"])
+        dealt = dealt.join(full.select(F.col("set_id").alias("b"), F.col("items").alias("items_b")), "b")
+        centre = copied(full.select(F.col("set_id").alias("a"), F.col("items").alias("items_a")))
+        return checkpoint(_verify(dealt.join(centre, ["a", "salt"]), percent))
 
     links = verified(stars)
 
     label = components(links)
     member = postings.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     sizes = member.groupBy("value", "component").count()
-    sizes = sizes.groupBy("value").agg(F.sum("count").alias("all"), F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most")).filter("most < all")
-    member = checkpoint(member.join(sizes, "value"))
+    sizes = sizes.groupBy("value").agg(F.sum("count").alias("all"), F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"))
+    sizes = checkpoint(sizes.filter("most < all"))
+    member = checkpoint(join_spread(member, sizes, ["value"], by="set_id", counts=sizes.select("value", F.col("all").alias("count"))))
     short = member.filter(F.col("all") <= SHORT)
     tasks = short.count() // SHORT_ROWS + 1
     short = short.select("value", "coordinate", "set_id", "prefix", "component").join(values.select("set_id", "signature"), "set_id")
-    short = short.groupBy(F.pmod(F.xxhash64("value"), F.lit(tasks)).alias("task")).applyInArrow(_counted_short, "a binary, b binary")
-    links = links.union(verified(short))
+    short = short.groupBy(F.pmod(F.xxhash64("value"), F.lit(tasks)).alias("task")).applyInArrow(_counted_short(least), "a binary, b binary")
+    links = links.union(verified(checkpoint(short)))
 
     member = member.filter(F.col("all") > SHORT).withColumns({"ni": F.ceil((F.col("all") - F.col("most")) / BLOCK_A), "nj": F.ceil(F.col("all") / BLOCK_B), "h": F.xxhash64("set_id")})
     columns = ["value", "coordinate", "set_id", "prefix", "component"]
     side_a = member.filter("component != main").select(*columns, F.lit("a").alias("role"), F.pmod("h", "ni").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)).alias("j"))
     side_b = member.select(*columns, F.lit("b").alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"), F.pmod("h", "nj").alias("j"))
     blocks = side_a.unionByName(side_b).join(values.select("set_id", "signature"), "set_id")
-    counted = blocks.groupBy("value", "i", "j").applyInPandas(_counted(), "value long, i long, j long, role string, set_id binary, component binary")
+    counted = blocks.groupBy("value", "i", "j").applyInPandas(_counted(least), "value long, i long, j long, role string, set_id binary, component binary")
     more = checkpoint(counted.join(full, "set_id").groupBy("value", "i", "j").applyInPandas(_checked(percent), "a binary, b binary"))
 
     label = components(links.union(more)).withColumnRenamed("node", "set_id")
-    label = known.select("set_id", "doc_id").join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    of_set = label.select("set_id", "component").distinct().join(label.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("set_id", "component_id")
-    out = rows.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    of_set = checkpoint(values.select("set_id", "first").join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
+    least_id = of_set.groupBy("component").agg(F.min("first").alias("component_id"))
+    of_set = join_spread(of_set, least_id, ["component"]).select("set_id", "component_id")
+    out = join_spread(rows.select("doc_id", "n_shingles", "set_id"), of_set, ["set_id"], "left")
     alone = F.when(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

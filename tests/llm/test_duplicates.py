@@ -264,3 +264,47 @@ def test_link_counts_are_symmetric(monkeypatch, shards):
     near &= (x[:, :1] >= 0) | (x[:, 0] >= 0)  # found from either end
     assert near.sum() > 20 and {r["point"]: r["n"] for r in out if r["n"] is not None} == dict(zip(ids.tolist(), near.sum(axis=1).tolist(), strict=True))
     assert sorted(tuple(sorted((r["point"], r["other"]))) for r in out if r["n"] is None) == [(1000 + i, 1000 + j) for i, j in zip(*np.nonzero(np.triu(near)), strict=True)]
+
+
+def test_threshold():
+    assert [minhash.threshold(n, 80) for n in (1, 250_000, 10**10)] == [29, 20, 15]
+
+
+def test_near_duplicates_of_long_and_hot_texts(spark, monkeypatch):
+    """One set with very many copies, a star of near copies of it, a chain, and long texts."""
+    from lastro.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 8)
+    source = random.Random(9)
+    base = [f"w{source.randrange(5000)}" for _ in range(60)]
+    texts = [" ".join(base)] * 300
+    for _ in range(120):
+        own = list(base)
+        own[source.randrange(60)] = f"x{source.randrange(10**6)}"
+        texts.append(" ".join(own))
+    long = [f"w{source.randrange(5000)}" for _ in range(60_000)]
+    texts += [" ".join(long), " ".join([*long[:-4000], "end"]), " ".join(long[::-1]), "z" * 500_000, " ".join(["the the the"] * 30_000)]
+    chain = list(base)
+    for k in range(0, 60, 2):
+        chain[k] = f"y{k}"
+        texts.append(" ".join(chain))
+    sets = [shingles(t, 4) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, width=4).collect()}
+    assert got == {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, roots(len(texts), pairs), strict=True))}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_joins(spark, monkeypatch, how):
+    from lastro.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    keys = [7] * 300 + [None] * 200 + [8] * 90 + list(range(100, 200))
+    rows = common.checkpoint(spark.createDataFrame([(i, k, f"t{i % 9}") for i, k in enumerate(keys)], "id long, k long, salts string"))
+    facts = spark.createDataFrame([(k, k * 2) for k in (7, 100, 150, 999)], "k long, v long")
+    for by, counts in ((None, None), ("id", rows.groupBy("k").count())):
+        got = common.join_spread(rows.drop("salts"), facts, ["k"], how, by, counts)
+        assert sorted(map(tuple, got.select("id", "k", "v").collect()), key=str) == sorted(map(tuple, rows.join(facts, "k", how).select("id", "k", "v").collect()), key=str)
+    dealt, copied = common.spread(rows.drop("salts"), ["k"])
+    assert dealt.filter("k = 7").select("salt").distinct().count() > 3 and copied(facts).filter("k = 7").count() > 3 == 3 * copied(facts).filter("k = 150").count()
