@@ -8,7 +8,7 @@ documents; strings are judged on the input.
    string's inner `GRAM`-byte grams. Equal strings have equal anchors, so only
    starts with the same anchor can match. Consecutive starts with one anchor form a
    run of about 27 starts. Documents are dealt into blocks by their ids; a block
-   sends, per bucket of anchors, one compact array of (anchor, hash of the run's
+   sends, per bucket of anchors, one compact array of (anchor, digest of the run's
    text, document), each text once.
 2. A bucket sees which anchors occur with one text only (nothing to do, beyond the
    text's first run: its other runs are removed whole) and which occur with several
@@ -24,11 +24,24 @@ documents; strings are judged on the input.
    by binary search at fixed bounds of the strings' hashes; each range is merged by
    binary search of every run in the range's earliest owners.
 5. Blocks of documents and their removed ranges meet once more to drop the bytes.
+
+Texts within a block are compared as bytes. Across blocks and shards they are equal if
+128 bits agree (32 of the anchor and 96 of the text; 128 for strings) of BLAKE2b under a
+key drawn for each query: of 10 ** 13 texts any two do so by chance with a probability
+below 10 ** -12, and nobody can choose texts that do.
+
+An anchor that very many runs have would crowd its bucket. A small sample of documents
+tells which ones do; such an anchor's runs go to buckets by their texts instead, and for
+texts that very many blocks have by groups of blocks too. Whichever of its runs stand for
+an equal text in some bucket are then compared as a hot anchor's. So the sample has no
+part in the result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +59,9 @@ RUN = 256
 BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 1 << 20, 16 << 20, 1 << 20
 #: Texts of one anchor beyond which it is dealt over several shards.
 HOT_TEXTS = 8192
+#: Runs of one anchor beyond which it is dealt over several buckets; least bytes and least share of a sample
+#: that finds such anchors; anchors at most (others stay in one bucket); blocks that may send one text to one bucket.
+HOT_RUNS, SAMPLE_BYTES, SAMPLE_SHARE, MOST_ANCHORS, TOGETHER = 1 << 20, 16 << 20, 4e-5, 1 << 16, 1 << 16
 NOTHING, REPEATED, COMPARE, COMPARE_HOT = range(4)
 ONE, TWO = RollingHash(0x9E3779B97F4A7C15), RollingHash(0xC2B2AE3D27D4EB4F)
 LAST = (1 << 63) - 1
@@ -174,6 +190,12 @@ def runs(data: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, .
     return start, stop - start, least[start], TWO.ranges(TWO.prefix(values), start, stop + width - 1), again
 
 
+def digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray, key: bytes, size: int) -> bytes:
+    """Keyed digests of data[start:stop], one after the other."""
+    view = memoryview(data)
+    return b"".join([hashlib.blake2b(view[a:z], digest_size=size, key=key).digest() for a, z in zip(start.tolist(), stop.tolist(), strict=True)])
+
+
 class Block:
     """The documents of one block, in order, with their runs."""
 
@@ -188,16 +210,34 @@ class Block:
         if with_runs:
             self.start, self.count, self.anchor, self.text, self.again = runs(self.data, self.begin, width)
             self.doc = np.searchsorted(self.begin, self.start, side="right") - 1
+            self.stop = self.start + self.count + width - 1
             by = np.lexsort((self.text, self.anchor))
             new = np.ones(len(by), bool)
             new[1:] = (self.anchor[by][1:] != self.anchor[by][:-1]) | (self.text[by][1:] != self.text[by][:-1])
             self.own = np.zeros(len(by), bool)  # the first run with its text in this block
             self.own[by[new]] = True  # lexsort keeps the order of equals
-
-    def sent(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The runs that are sent, by bucket; where each bucket begins."""
+            self._verify(by[~new], by[np.flatnonzero(new)[np.cumsum(new) - 1]][~new])
+
+    def _verify(self, runs: np.ndarray, stand: np.ndarray) -> None:
+        """Runs whose bytes aren't those of the run that stands for them stand for themselves."""
+        size = (self.stop - self.start)[runs]
+        same = size == (self.stop - self.start)[stand]
+        self.own[runs[~same]] = True
+        runs, stand, size = runs[same], stand[same], size[same]
+        for a in range(0, len(runs), 4096):
+            r, s, n = runs[a : a + 4096], stand[a : a + 4096], size[a : a + 4096]
+            upto = np.cumsum(n) - n
+            place = np.arange(n.sum())
+            equal = self.data[place + np.repeat(self.start[r] - upto, n)] == self.data[place + np.repeat(self.start[s] - upto, n)]
+            self.own[r[~np.logical_and.reduceat(equal, upto)]] = True
+
+    def sent(self, buckets: int, number: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs that are sent, by bucket; where each bucket begins. hot: the leading 32 bits of anchors that are dealt over buckets."""
         at = np.flatnonzero(self.own)
-        bucket = (self.anchor[at] % np.uint64(buckets)).astype(np.int64)
+        by_anchor = self.anchor[at]
+        crowded = np.isin(by_anchor >> np.uint64(32), hot)
+        by_text = mix64(by_anchor + mix64(self.text[at]) + np.uint64(number // TOGETHER))
+        bucket = (np.where(crowded, by_text, by_anchor) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         return at[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
 
@@ -212,10 +252,10 @@ def unplanes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _send(width: int, buckets: int):
+def _send(width: int, buckets: int, hot: np.ndarray, secret: bytes):
     def run(key, rows):
         block = Block(rows, width)
-        at, upto = block.sent(buckets)
+        at, upto = block.sent(buckets, key[0].as_py(), hot)
         out = {"bucket": [], "block": [], "anchors": [], "texts": [], "docs": []}
         for b in range(buckets):
             own = at[upto[b] : upto[b + 1]]
@@ -223,20 +263,25 @@ def _send(width: int, buckets: int):
                 out["bucket"].append(b)
                 out["block"].append(key[0].as_py())
                 out["anchors"].append((block.anchor[own] >> np.uint64(32)).astype(np.uint32).tobytes())
-                out["texts"].append(block.text[own].tobytes())
+                out["texts"].append(digests(block.data, block.start[own], block.stop[own], secret, TEXT.itemsize))
                 out["docs"].append(planes(block.ids[block.doc[own]]))
         return pa.table({k: pa.array(v, pa.int64() if k in ("bucket", "block") else pa.binary()) for k, v in out.items()})
 
     return run
 
 
-def _answer(hot: int):
+#: The digest of a run's text.
+TEXT = np.dtype([("a", "<u8"), ("b", "<u4")])
+
+
+def _answer(hot: int, crowded: np.ndarray):
     def run(key, rows):
         blocks = rows.column("block").to_numpy()
         anchors = [np.frombuffer(x, np.uint32) for x in rows.column("anchors").to_pylist()]
         sizes = np.array([len(x) for x in anchors])
         anchor = np.concatenate(anchors)
-        text = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("texts").to_pylist()])
+        text = np.concatenate([np.frombuffer(x, TEXT) for x in rows.column("texts").to_pylist()])
+        text_a, text_b = text["a"], text["b"]
         doc = np.concatenate([unplanes(x, np.int64) for x in rows.column("docs").to_pylist()])
         code = np.zeros(len(anchor), np.uint8)
         by = np.argsort(anchor, kind="stable")
@@ -246,13 +291,15 @@ def _answer(hot: int):
         several[:-1] |= same
         at = np.sort(by[several])
         if len(at):
-            at = at[np.lexsort((np.repeat(blocks, sizes)[at], doc[at], text[at], anchor[at]))]
+            at = at[np.lexsort((np.repeat(blocks, sizes)[at], doc[at], text_b[at], text_a[at], anchor[at]))]
             new_anchor, new_text = np.ones(len(at), bool), np.ones(len(at), bool)
             new_anchor[1:] = anchor[at][1:] != anchor[at][:-1]
-            new_text[1:] = new_anchor[1:] | (text[at][1:] != text[at][:-1])
+            new_text[1:] = new_anchor[1:] | (text_a[at][1:] != text_a[at][:-1]) | (text_b[at][1:] != text_b[at][:-1])
             group = np.cumsum(new_anchor) - 1
             texts = np.bincount(group, weights=new_text)[group]
             code[at] = np.where(~new_text, REPEATED, np.where(texts > hot, COMPARE_HOT, np.where(texts > 1, COMPARE, NOTHING)))
+        # Elsewhere more texts have such an anchor.
+        code[np.isin(anchor, crowded) & (code != REPEATED)] = COMPARE_HOT
         cut = np.cumsum(sizes)[:-1]
         return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(blocks), pa.int64()), "codes": pa.array([x.tobytes() for x in np.split(code, cut)], pa.binary())})
 
@@ -276,14 +323,14 @@ def _ranges(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return doc[first], start[first], (reach[np.append(first[1:], len(doc)) - 1] - shift[first])
 
 
-def _decide(width: int, buckets: int):
+def _decide(width: int, buckets: int, hot: np.ndarray):
     """What the answers decide, as ranges, and the runs to compare, as text."""
 
     def run(key, rows, answers):
         number = key[0].as_py()
         block = Block(rows, width)
         code = np.where(block.own, NOTHING, REPEATED).astype(np.uint8)
-        at, upto = block.sent(buckets)
+        at, upto = block.sent(buckets, number, hot)
         for b, codes in zip(answers.column("bucket").to_pylist(), answers.column("codes").to_pylist(), strict=True):
             code[at[upto[b] : upto[b + 1]]] = np.frombuffer(codes, np.uint8)
         code[(code == NOTHING) & block.again] = COMPARE
@@ -350,7 +397,7 @@ def _compare(width: int):
     return run
 
 
-def _compare_hot(width: int, ranges: int):
+def _compare_hot(width: int, ranges: int, secret: bytes):
     """A hot shard's repeated starts (range null), and its first occurrences as sorted runs."""
 
     def run(key, rows):
@@ -358,8 +405,7 @@ def _compare_hot(width: int, ranges: int):
         gone = shard.removed(np.flatnonzero(shard.repeated), width)
         n = len(gone)
         keep = np.flatnonzero(~shard.repeated)
-        values = mix64(np.arange(1, 257, dtype=np.uint64))[shard.data]
-        one, two = (x.ranges(x.prefix(values), shard.at[keep], shard.at[keep] + width) for x in (ONE, TWO))
+        one, two = np.ascontiguousarray(np.frombuffer(digests(shard.data, shard.at[keep], shard.at[keep] + width, secret, 16), np.uint64).reshape(-1, 2).T)
         by = np.lexsort((two, one))
         keep, one, two = keep[by], one[by], two[by]
         cut = np.searchsorted(one >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64) * np.uint64((1 << 32) // ranges + 1))
@@ -420,6 +466,23 @@ def _drop(width: int, with_text: bool, carried: list[str]):
     return run
 
 
+def _crowded(source: DataFrame, total: int, width: int) -> np.ndarray:
+    """The leading 32 bits of anchors that about HOT_RUNS runs or more have, by a sample of documents."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(total, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                anchors = np.concatenate([runs(np.frombuffer(t, np.uint8), np.array([0, len(t)]), width)[2] for t in batch.column("text").to_pylist()])
+                value, n = np.unique(anchors >> np.uint64(32), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array(value.astype(np.int64)), "n": pa.array(n, pa.int64())})
+
+    place = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 30))
+    counts = source.filter(place < int(share * (1 << 30))).select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    many = counts.filter(F.col("n") >= max(2, HOT_RUNS * share / 2)).orderBy(F.col("n").desc()).limit(MOST_ANCHORS).collect()
+    return np.array(sorted(r.anchor for r in many), np.uint64)
+
+
 def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, carry: tuple[str, ...] = (), hot: int = HOT_TEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Removes every byte of a `width`-byte string that also starts earlier in the corpus.
 
@@ -442,13 +505,12 @@ def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", te
     everything = source.withColumn("block", F.pmod(key, F.lit(blocks)))
     dealt = everything.select("doc_id", "text", "block")
 
-    by_block = dealt.groupBy("block")
-    sent = by_block.applyInArrow(_send(width, buckets), "bucket long, block long, anchors binary, texts binary, docs binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer(hot), "block long, bucket long, codes binary")
-    decided = by_block.cogroup(answers.groupBy("block")).applyInArrow(_decide(width, buckets), f"{REMOVED}, doc_id long, anchor long, hot boolean, text binary")
+    by_block, secret, crowded = dealt.groupBy("block"), os.urandom(16), _crowded(dealt, total, width)
+    sent = by_block.applyInArrow(_send(width, buckets, crowded, secret), "bucket long, block long, anchors binary, texts binary, docs binary")
+    answers = sent.groupBy("bucket").applyInArrow(_answer(hot, crowded), "block long, bucket long, codes binary")
+    decided = by_block.cogroup(answers.groupBy("block")).applyInArrow(_decide(width, buckets, crowded), f"{REMOVED}, doc_id long, anchor long, hot boolean, text binary")
     decided = checkpoint(decided)
 
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the finished shuffles' files
     compare = decided.filter("text is not null")
     sizes = {r.hot: r.n for r in compare.groupBy("hot").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     removed = decided.filter("text is null").select("block", "row", "start", "size")
@@ -458,7 +520,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", te
     if True in sizes:
         shards = sizes[True] // shard_bytes + 1
         dealt_hot = compare.filter("hot").groupBy(F.pmod(F.xxhash64("block", "row"), F.lit(shards)).alias("shard"))
-        pieces = checkpoint(dealt_hot.applyInArrow(_compare_hot(width, min(shards * 8, 1 << 20)), f"{REMOVED}, range long, one binary, two binary, docs binary, blocks binary, rows binary, starts binary"))
+        pieces = checkpoint(dealt_hot.applyInArrow(_compare_hot(width, min(shards * 8, 1 << 20), secret), f"{REMOVED}, range long, one binary, two binary, docs binary, blocks binary, rows binary, starts binary"))
         removed = removed.union(pieces.filter("range is null").select("block", "row", "start", "size"))
         removed = removed.union(pieces.filter("range is not null").groupBy("range").applyInArrow(_merge(width), REMOVED))
     whole = StructType([StructField("doc_id", LongType()), *[everything.schema[c] for c in carried], *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")], StructField("kept_sha256", StringType()), *([StructField("kept", StringType())] if with_text else [])])

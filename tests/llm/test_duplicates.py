@@ -96,14 +96,42 @@ def passages(seed=5):
     return rows + [(100, "ab" * 500), (101, "x" * 450), (102, "x" * 99), (103, "x" * 100), (104, rows[3][1]), (105, "".join(random.Random(1).choices("ab", k=3000)))]
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(8192, 1 << 20), (2, 2000), (0, 1 << 20)])
-def test_remove_repeats(spark, hot, shard):
+@pytest.mark.parametrize(("hot", "shard", "runs"), [(8192, 1 << 20, 1 << 20), (2, 2000, 1 << 20), (0, 1 << 20, 1 << 20), (8192, 3000, 2), (3, 2000, 40)])
+def test_remove_repeats(spark, monkeypatch, hot, shard, runs):
+    monkeypatch.setattr(suffix, "HOT_RUNS", runs)  # 2: most anchors are dealt over buckets
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffix, "TOGETHER", 3)
     rows = passages()
     docs = spark.createDataFrame([(i, t, "b") for i, t in rows], "doc_id long, text string, block string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs, hot=hot, shard_bytes=shard).collect()}
     assert got == without_repeats(rows)
 
 
+def test_crowded_anchors_are_found(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_RUNS", 100)
+    line = "a line of more than a hundred characters that every one of these documents has somewhere in its text, and that says nothing"
+    docs = spark.createDataFrame([(i, f"{hashlib.sha256(bytes([i])).hexdigest() * 3} {line}".encode()) for i in range(200)], "doc_id long, text binary")
+    found = suffix._crowded(docs, 80_000, 100)
+    assert 1 <= len(found) <= 8
+    assert len(suffix._crowded(docs.limit(0), 0, 100)) == 0
+
+
+def test_equal_hashes_are_not_taken_for_equal_texts(monkeypatch):
+    """All runs' hashes agree; bytes tell them apart."""
+    ranges = suffix.RollingHash.ranges
+
+    def collide(self, prefix, start, end):
+        return ranges(self, prefix, start, end) if self.base == suffix.ONE.base else np.zeros(len(start), np.uint64)
+
+    monkeypatch.setattr(suffix.RollingHash, "ranges", collide)
+    rows = passages()
+    docs = pa.table({"doc_id": [i for i, _ in rows], "text": [t.encode() for _, t in rows]})
+    block = suffix.Block(docs, 100)
+    texts = [block.data[a:z].tobytes() for a, z in zip(block.start, block.stop, strict=True)]
+    kept = {(int(a), t) for a, t, o in zip(block.anchor, texts, block.own, strict=True) if o}
+    assert (block.text == 0).all() and kept == {(int(a), t) for a, t in zip(block.anchor, texts, strict=True)}
+
+
 def test_remove_repeats_edges(spark):
     kind = "doc_id long, text string, lang string"
     assert suffix.remove_repeats(spark.createDataFrame([], kind)).count() == 0
