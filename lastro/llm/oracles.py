@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lastro.llm.secrets import RULES
+from lastro.llm.secrets import BASE, RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,6 +50,6 @@ def _found(order: int) -> str:
 SECRETS = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({" UNION ALL ".join(f"SELECT * FROM {_found(k)}" for k in range(len(RULES)))}),
-s AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(RULES))}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM f GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)
+s AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE))}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base FROM f GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)
 """

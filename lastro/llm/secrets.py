@@ -7,6 +7,9 @@ index posts documents under those trigrams (of the text with A-Z lower-cased). A
 rule's postings are intersected within a string and united over strings; the rule's
 regex then runs over the candidates alone. A rule without a mandatory trigram is
 scanned for in every text.
+
+Matches are worked on CHUNK at a time, so that the work on a text grows with its matches
+and not with their square.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Strings of a literal run at most; beyond that the run asks for nothing.
 MOST_STRINGS = 64
+#: Matches that are counted on from one to the next at once.
+CHUNK = 128
 
 
 @dataclass(frozen=True)
@@ -33,11 +38,23 @@ class Rule:
 
 
 #: The base rules (fixed values).
-RULES = (
+BASE = (
     Rule("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: Kinds that the method adds: key files, providers' tokens, signed tokens, credentials in addresses.
+ADDED = (
+    Rule("pem", r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----", 0, 27),
+    Rule("github", r"(ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]+", 0, 40),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]+", 0, 26),
+    Rule("slack", r"xox[abeprs]-[A-Za-z0-9-]+", 0, 20),
+    Rule("stripe", r"(sk|rk)_live_[A-Za-z0-9]+", 0, 32),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("address", r"://[A-Za-z0-9._%+-]+:([^\x00-\x20/@:]+)@", 1, 3),
+)
+RULES = BASE + ADDED
 
 
 def trigrams(text: str) -> list[str]:
@@ -112,25 +129,54 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
     return query
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _chunks(items: Column) -> Column:
+    """An array as an array of arrays of CHUNK elements at most."""
+    n = F.ceil(F.size(items) / F.lit(CHUNK)).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.slice(F.array(items), 1, 0))
+
+
+PLACES = "array<struct<start:int,stop:int,part:int>>"
+
+
+def _run(lengths: Column, at: Column) -> Column:
+    """Starts and ends of a few matches from the lengths of gaps, hits and parts, the first gap beginning at `at`."""
+    nothing = F.from_json(F.lit("[]"), PLACES)
+
+    def step(acc: Column, s: Column) -> Column:
+        start = acc["at"] + s["gap"]
+        stop = start + s["hit"]
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), s["part"].alias("part")))).alias("out"))
+
+    return F.aggregate(lengths, F.struct(at.alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
+
+
+def _sums(totals: Column) -> Column:
+    """The sum of what stands before each number."""
+    none = F.array().cast("array<int>")
+    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(totals, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Leftmost non-overlapping matches that are long enough, as structs (start, order, end) in code points."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, 0)
     counted = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     between = F.split(text, rule.pattern, -1)
-    steps = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), counted.alias("part"))
+    steps = _let(whole, lambda hits: F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), (hits if rule.group == 0 else counted).alias("part")))
     lengths = F.transform(steps, lambda s: F.struct(F.length(s["gap"]).alias("gap"), F.length(s["hit"]).alias("hit"), F.length(s["part"]).alias("part")))
-    kind = "struct<at:int,out:array<struct<start:int,order:int,end:int>>>"
 
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        end = start + s["hit"]
-        own = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(s["part"] >= rule.least, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+    def place(chunks: Column) -> Column:
+        size = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, s: acc + s["gap"] + s["hit"]))
+        return F.flatten(F.zip_with(chunks, _sums(size), _run))
 
-    empty = F.from_json(F.lit('{"at":0,"out":[]}'), kind)
-    start = F.struct(F.lit(0).alias("at"), empty["out"].alias("out"))
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    found = F.filter(_let(_let(lengths, _chunks), place), lambda s: s["part"] >= rule.least)
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["stop"].alias("end")))
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -198,14 +244,37 @@ def _filled(rule: Rule) -> str:
 
 def redact(scanned: DataFrame, mask: str = "[secret]") -> DataFrame:
     """scanned with every span of text replaced by the mask; a span that begins inside another adds a mask only for what lies beyond it."""
-    kind = "struct<at:int,out:string>"
+    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), PLACES).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        lead = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["end"] > acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], lead, F.lit(mask))).otherwise(acc["out"]).alias("out")).cast(kind)
+    def reach(spans: Column, at: Column) -> Column:
+        """What of each span lies beyond those before it, as the kept text before it (start, stop) and whether anything does (part)."""
+
+        def step(acc: Column, s: Column) -> Column:
+            fresh = s["end"] > acc["at"]
+            own = F.struct(acc["at"].alias("start"), F.greatest(s["start"], acc["at"]).alias("stop"), fresh.cast("int").alias("part"))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+        return F.aggregate(spans, F.struct(at.alias("at"), start["out"].alias("out")), step, lambda acc: F.filter(acc["out"], lambda s: s["part"] > 0))
 
-    clean = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    def ends(chunks: Column) -> Column:
+        """Where the spans before each chunk end."""
+        none = F.array().cast("array<int>")
+        step = lambda acc, n: F.struct(F.greatest(acc["at"], n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        most = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+        return F.aggregate(most, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def joined(spans: Column, at: Column) -> Column:
+        """The text from `at` to the end of a chunk's last span, masked; the chunk's own text is cut out first."""
+
+        def cut(kept: Column) -> Column:
+            own = F.substring(F.col("text"), at + 1, F.element_at(kept, -1)["stop"] - at)
+            return _let(own, lambda t: F.array_join(F.transform(kept, lambda s: F.concat(F.substring(t, s["start"] - at + 1, s["stop"] - s["start"]), F.lit(mask))), ""))
+
+        return _let(reach(spans, at), lambda kept: F.when(F.size(kept) > 0, cut(kept)).otherwise(""))
+
+    last = F.array_max(F.transform("found", lambda s: s["end"]))
+    clean = _let(_chunks(F.col("found")), lambda chunks: F.array_join(F.zip_with(chunks, ends(chunks), joined), ""))
+    clean = F.concat(clean, F.substring(F.col("text"), last + 1, F.length("text")))
     return scanned.withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text"))).drop("found")
 
 
@@ -214,11 +283,14 @@ def _only(order: int):
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts and spans of the base rules for every document."""
+    """Counts of the base rules' spans and their digest, and all rules' spans, for every document."""
     found = scan(docs)
     name = F.array(*[F.lit(r.kind) for r in RULES])
-    line = F.array_join(F.transform("found", lambda s: F.concat_ws(":", name[s["order"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def line(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name[s["order"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("found", lambda s: s["order"] < len(BASE))
     orders = F.transform("found", lambda s: s["order"])
-    counts = [F.size(F.array_compact(F.transform(orders, _only(i)))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(RULES)]
-    out = found.select("doc_id", *counts, line.alias("spans"))
-    return out.select("doc_id", *[f"n_{r.kind}" for r in RULES], F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans")
+    counts = [F.size(F.array_compact(F.transform(orders, _only(i)))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("found")).alias("spans"))
