@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lastro.llm.common import checkpoint
+from lastro.llm.common import checkpoint, join_spread
 
 ORDER = 4
 #: Observations that the lower order's estimate counts as; letters that the lowest order spreads over.
@@ -25,6 +25,8 @@ WEIGHT, LETTERS = 4.0, 256.0
 #: Of so many parts of the labelled URLs one calibrates the limit; scores are compared on a grid of this step.
 PARTS, GRID = 5, 0.01
 PAD = "\u0002"
+#: Characters of URLs whose grams a task makes, about.
+TASK_CHARS = 250_000
 
 
 @dataclass(frozen=True)
@@ -76,11 +78,11 @@ def model(labelled: DataFrame, asked: DataFrame) -> DataFrame:
     """gram, ratio: the log-likelihood difference of each gram's last character, for every gram of asked.
 
     labelled: columns gram, accepted (boolean), n (the URL's copies), one row per character
-    of a labelled URL; asked: a column gram.
+    of a labelled URL; asked: distinct grams (gram), a written table.
     """
     top = labelled.groupBy("gram").agg(F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n"))).alias("r"))
     top = checkpoint(top)
-    out = checkpoint(asked.select("gram").distinct()).withColumns({"pa": F.lit(1 / LETTERS), "pr": F.lit(1 / LETTERS)})
+    out = asked.withColumns({"pa": F.lit(1 / LETTERS), "pr": F.lit(1 / LETTERS)})
     for k in range(ORDER + 1):
         end = F.substring("gram", ORDER + 1 - k, k + 1)
         seen = top.groupBy(end.alias("end")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
@@ -98,30 +100,38 @@ def filter_urls(pages: DataFrame, known: tuple[UrlRule, ...], page_id: str = "pa
     score (mean log-likelihood difference; 0 for an empty URL). A null URL counts as empty.
     recount: the final scores are by models of all labelled URLs, else by those that calibrate
     nothing. Equal URLs are scored once but counted as often as they occur. Without labelled URLs of
-    both verdicts all scores are 0; a score at the limit or above is allowed. Repeated rows
-    and null ids are each returned; other columns are ignored whatever their names.
+    both verdicts all scores are 0; a score at the limit or above is allowed. URLs may be of any
+    length. Repeated rows and null ids are each returned; other columns are ignored whatever
+    their names.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url")).withColumns({"host": host, "path": path})
     name, verdict = by_rule(F.col("host"), F.col("path"), known)
     rows = rows.withColumns({"rule": name, "judged": verdict})
-    urls = checkpoint(rows.groupBy("url").agg(F.first("judged").alias("judged"), F.count(F.lit(1)).alias("n")))
     calibrates = F.pmod(F.xxhash64("url"), F.lit(PARTS)) == 0
-    chars = urls.select("url", "n", (F.col("judged") == "allow").alias("accepted"), calibrates.alias("calibrates"), F.explode(_grams(F.col("url"))).alias("gram"))
+    urls = rows.groupBy("url").agg(F.first("judged").alias("judged"), F.count(F.lit(1)).alias("n"))
+    urls = checkpoint(urls.withColumns({"accepted": F.col("judged") == "allow", "calibrates": calibrates, "id": F.monotonically_increasing_id()}))
+    tasks = (urls.agg(F.sum(F.length("url"))).first()[0] or 0) // TASK_CHARS + 1
+    chars = checkpoint(urls.repartition(tasks, "id").select("id", "accepted", "calibrates", "n", F.explode(_grams(F.col("url"))).alias("gram")))
+    calibrating = F.col("accepted").isNotNull() & F.col("calibrates")
     learned = chars.filter("accepted is not null and not calibrates")
 
-    def scored(labelled: DataFrame, asked: DataFrame, of: DataFrame) -> DataFrame:
-        mean = asked.join(model(labelled, asked), "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
-        return checkpoint(of.join(mean, "url", "left").select("url", "judged", "n", F.coalesce("score", F.lit(0.0)).alias("score")))
+    def scored(labelled: DataFrame, of: DataFrame, chars: DataFrame) -> DataFrame:
+        """urls with scores; chars: their characters. Some grams, such as a scheme's, are in every URL."""
+        counts = checkpoint(chars.groupBy("gram").count())
+        ratios = model(labelled, counts.select("gram"))
+        mean = join_spread(chars.select("id", "gram"), ratios, ["gram"], by="id", counts=counts).groupBy("id").agg(F.avg("ratio").alias("score"))
+        return checkpoint(of.join(mean, "id", "left").select("url", "accepted", "calibrates", "judged", "n", F.coalesce("score", F.lit(0.0)).alias("score")))
 
-    held = calibrates & F.col("judged").isNotNull()
     if recount:
-        limit = _limit(scored(learned, chars.filter("accepted is not null and calibrates"), urls.filter(held)))
-        scores = scored(chars.filter("accepted is not null"), chars, urls)
+        limit = _limit(scored(learned, urls.filter(calibrating), chars.filter(calibrating)))
+        scores = scored(chars.filter("accepted is not null"), urls, chars)
     else:
-        scores = scored(learned, chars, urls)
-        limit = _limit(scores.filter(held))
-    out = rows.join(scores.select("url", "score"), "url")
+        scores = scored(learned, urls, chars)
+        limit = _limit(scores.filter(calibrating))
+    hot = scores.select("url", F.col("n").alias("count"))
+    # A hot URL's rows are dealt by their ids.
+    out = join_spread(rows, scores.select("url", "score"), ["url"], by="page_id", counts=hot)
     own = F.when(F.round("score", 9) >= F.lit(limit), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("judged", own).alias("verdict"), "score")
 

@@ -292,3 +292,25 @@ def test_archive_edges(spark, tmp_path):
     got = warc.round_trip(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record string")).collect()
     want = [(i, len((h or "").encode()), warc.base32(hashlib.sha1((h or "").encode()).digest()), "response", None) for i, _, h in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_urls_edges(spark, monkeypatch):
+    """Null ids, one URL on most rows, very long URLs, URLs of one character and of none."""
+    from lastro.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    source = random.Random(3)
+    good = [f"http://{''.join(source.choices('abc', k=6))}.org/a" for _ in range(30)]
+    bad = [f"http://{''.join(source.choices('xyz', k=6))}.com/de/a" for _ in range(30)]
+    long = "http://abc.net/" + "".join(source.choices("abc/", k=100_000))
+    urls = good + bad + ["http://hot.net/x"] * 200 + [long, "x", "", None, "é://ü.org/"]
+    pages = spark.createDataFrame([(i if i % 5 else None, u, "n") for i, u in enumerate(urls)], "page_id long, url string, gram string")
+    out = urlfilter.filter_urls(pages, RULES, recount=True).collect()
+    assert len(out) == len(urls) and all(r.verdict in ("allow", "block") for r in out)
+    assert sum(r.host == "hot.net" for r in out) == 200 and len({(r.score, r.verdict) for r in out if r.host == "hot.net"}) == 1
+    assert [(r.rule, r.verdict) for r in out if r.host == "ü.org"] == [("org/", "allow")]
+    labelled = [(u, u in set(good)) for u in good + bad] + [("é://ü.org/", True)]
+    scores = {r.page_id: r.score for r in out}
+    for i in (61, 1, 261, 262):
+        assert i % 5 == 0 or not urls[i] or scores[i] == pytest.approx(brute_ratio(labelled, urls[i]))
+    assert all(r.score == 0 for r in out if r.host == "" and r.page_id in (263, 262 if not urls[262] else 263))
