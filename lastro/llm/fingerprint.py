@@ -2,7 +2,8 @@
 
 Each five-word shingle is hashed once. The hash's leading bits choose one of BINS
 bins, which keeps its least hash. An empty bin takes the value of the first filled
-bin on a fixed random walk of its own over all bins (optimal densification), so two
+bin on a fixed random walk of its own over all bins (optimal densification; the walks'
+first bins are a table, beyond it the filled bins are ranked by a hash), so two
 texts agree in a bin as often as their sets are similar. BITS low-order bits of each
 value, hashed once more with its bin, are stored as hexadecimal digits; agreement by
 chance is taken off again: (agreeing share - 2**-BITS) / (1 - 2**-BITS).
@@ -21,42 +22,56 @@ RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 16
 EMPTY = "-" * BINS
 
 
+def _scramble(x: int) -> int:
+    """The splitmix64 finaliser."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+    return x ^ x >> 31
+
+
+#: The leading bits of a hash name its bin. Hashes are even; the largest odd number of each bin
+#: stands behind all of its hashes, and alone in an empty bin.
+SHIFT = 63 - (BINS.bit_length() - 1)
+LAST = [((b + 1) << SHIFT) - 1 for b in range(BINS)]
+#: The bins that each bin's walk visits.
+WALKS = [[_scramble(((i + 1) << 32) + t) % BINS for t in range(1, DRAWS + 1)] for i in range(BINS)]
+
+
 def _hashes(words: Column) -> Column:
-    """63-bit hashes of the shingles of a word list, not distinct; fewer words than WIDTH are one shingle."""
-    mask = F.lit((1 << 63) - 1)
+    """Even 63-bit hashes of the shingles of a word list, not distinct; fewer words than WIDTH are one shingle."""
+    mask = F.lit((1 << 63) - 2)
     n = F.size(words)
-    many = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.xxhash64(*[words[i + k] for k in range(WIDTH)]).bitwiseAND(mask))
+    many = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WIDTH)]).bitwiseAND(mask))
     return F.when(n >= WIDTH, many).when(n > 0, F.array(F.xxhash64(words).bitwiseAND(mask))).otherwise(F.array().cast("array<bigint>"))
 
 
 def fingerprint(rows: DataFrame, text: str, into: str) -> DataFrame:
     """Adds the fingerprint of a text column: BINS hexadecimal digits, or as many hyphens for no words."""
-    words, hashes, least, bins = (f"{into}_{k}" for k in ("words", "hashes", "least", "bins"))
+    words, hashes, bins, filled = (f"{into}_{k}" for k in ("words", "hashes", "bins", "filled"))
     keep = [F.col(f"`{c}`") for c in rows.columns]
-    shift = 63 - (BINS.bit_length() - 1)
-    bin_of = lambda x: F.shiftright(x, shift).cast("int")
+    bin_of = lambda x: F.shiftright(x, SHIFT).cast("int")
     # Column by column, so that each is computed once and not inside another's lambda.
     out = rows.select(*keep, F.filter(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias(words))
-    out = out.select(*keep, F.sort_array(_hashes(F.col(words))).alias(hashes))
-    first = F.filter(F.col(hashes), lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col(hashes), i - 1))))
-    out = out.select(*keep, first.alias(least))
-    held = F.map_from_arrays(F.transform(least, bin_of), F.col(least))
-    out = out.select(*keep, held.alias(least))
-    out = out.select(*keep, F.col(least), F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.element_at(F.col(least), b)).alias(bins))
+    out = out.select(*keep, F.sort_array(F.concat(_hashes(F.col(words)), F.lit(LAST).cast("array<bigint>"))).alias(hashes))
+    # The first of each bin, in the bins' order.
+    least = F.filter(F.col(hashes), lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col(hashes), i - 1))))
+    out = out.select(*keep, F.transform(least, lambda x: F.when(x.bitwiseAND(F.lit(1)) == 0, x)).alias(bins))
     values = F.col(bins)
+    there = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(values, b).isNotNull())
+    out = out.select(*keep, values, there.alias(filled))
+    walks = F.array(*[F.lit(w) for w in WALKS])
 
     def value(own: Column, i: Column) -> Column:
-        """The bin's own value, else that of the first filled bin among DRAWS drawn ones, else that of the filled bin that a hash with this bin ranks first."""
-        drawn = F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), lambda t: F.pmod(F.xxhash64(i, t), F.lit(BINS)).cast("int"))
-        found = F.get(F.filter(drawn, lambda b: F.get(values, b).isNotNull()), F.lit(0))
-        ranked = F.array_min(F.transform(F.map_keys(least), lambda b: F.struct(F.xxhash64(F.lit(0), i, b).alias("h"), b.alias("b"))))["b"]
+        """The bin's own value, else that of the first filled bin on its walk, else that of the filled bin that a hash with this bin ranks first."""
+        found = F.get(F.filter(F.get(walks, i), lambda b: F.get(values, b).isNotNull()), F.lit(0))
+        ranked = F.array_min(F.transform(F.col(filled), lambda b: F.struct(F.xxhash64(F.lit(0), i, b).alias("h"), b.alias("b"))))["b"]
         taken = F.when(own.isNotNull(), own).otherwise(F.coalesce(F.get(values, found), F.get(values, ranked)))
         # The bits of a value taken for several bins differ between them.
         low = F.xxhash64(taken, i).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-        return F.substring(F.lit("0123456789abcdef"), low + 1, F.lit(1))
+        return F.get(F.lit(list("0123456789abcdef")), low)
 
     digits = F.array_join(F.transform(values, value), "")
-    return out.select(*keep, F.when(F.exists(values, lambda v: v.isNotNull()), digits).otherwise(EMPTY).alias(into))
+    return out.select(*keep, F.when(F.size(filled) > 0, digits).otherwise(EMPTY).alias(into))
 
 
 def likeness(a: str, b: str) -> Column:

@@ -314,3 +314,42 @@ def test_urls_edges(spark, monkeypatch):
     for i in (61, 1, 261, 262):
         assert i % 5 == 0 or not urls[i] or scores[i] == pytest.approx(brute_ratio(labelled, urls[i]))
     assert all(r.score == 0 for r in out if r.host == "" and r.page_id in (263, 262 if not urls[262] else 263))
+
+
+def plain_fingerprint(hashes):
+    """Bins, densification and digits in plain Python, from the shingles' hashes; xx is Spark's hash of two numbers."""
+    import xxhash
+
+    def xx(*parts):
+        seed = 42
+        for p, kind in parts:
+            seed = xxhash.xxh64_intdigest(p.to_bytes(8 if kind == "long" else 4, "little", signed=True), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    if not hashes:
+        return fingerprint.EMPTY
+    bins = [None] * fingerprint.BINS
+    for h in hashes:
+        assert h >= 0 and h % 2 == 0
+        b = h * fingerprint.BINS >> 63
+        bins[b] = h if bins[b] is None else min(bins[b], h)
+    filled = [b for b in range(fingerprint.BINS) if bins[b] is not None]
+    out = ""
+    for i, own in enumerate(bins):
+        if own is None:
+            walk = [fingerprint._scramble(((i + 1) << 32) + t) % fingerprint.BINS for t in range(1, fingerprint.DRAWS + 1)]
+            own = next((bins[b] for b in walk if bins[b] is not None), None)
+        if own is None:
+            own = bins[min(filled, key=lambda b: (xx((0, "int"), (i, "int"), (b, "int")), b))]
+        out += f"{xx((own, 'long'), (i, 'int')) & 15:x}"
+    return out
+
+
+def test_fingerprints_equal_plain_ones(spark, documents):
+    texts = [None, "", "one", "a b c d e f", "the the the the the the", "é É x\tY " * 40, " ".join(f"w{i}" for i in range(20_000))] + [r.text for r in documents.limit(40).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    out = fingerprint.fingerprint(docs.withColumn("t", F.coalesce("text", F.lit(""))), "t", "print").withColumn("h", fingerprint._hashes(words))
+    assert sorted(len(set(r.h)) for r in out.collect())[:4] == [0, 0, 1, 1]
+    for r in out.collect():
+        assert r.print == plain_fingerprint(r.h)
