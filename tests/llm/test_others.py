@@ -349,7 +349,8 @@ def test_fingerprints_equal_plain_ones(spark, documents):
     texts = [None, "", "one", "a b c d e f", "the the the the the the", "é É x\tY " * 40, " ".join(f"w{i}" for i in range(20_000))] + [r.text for r in documents.limit(40).collect()]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    out = fingerprint.fingerprint(docs.withColumn("t", F.coalesce("text", F.lit(""))), "t", "print").withColumn("h", fingerprint._hashes(words))
+    docs = docs.select(F.coalesce("text", F.lit("")).alias("t"), words.alias("w"))
+    out = fingerprint.fingerprint(docs, "t", "print").withColumn("h", fingerprint._hashes(F.col("w")))
     assert sorted(len(set(r.h)) for r in out.collect())[:4] == [0, 0, 1, 1]
     for r in out.collect():
         assert r.print == plain_fingerprint(r.h)
