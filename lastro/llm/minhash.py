@@ -42,7 +42,7 @@ COORDINATES = 48
 #: Links at the limit that may be missed in a table where each set has one.
 MISSED = 1e-3
 #: Members of other components, and members, that one task compares at most.
-BLOCK_A, BLOCK_B = 512, 1024
+BLOCK_A, BLOCK_B = 256, 512
 #: Members of a posting list that is counted together with others, and rows of such lists in a task, about.
 SHORT, SHORT_ROWS = 48, 20_000
 
