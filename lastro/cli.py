@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from lastro.sources import csvzip, documents, html
 from lastro.streaming import sync
 
 
+#: Versions of a table that are kept.
+KEPT = 3
+
+
 class Store:
     """Tables as versions: each write goes to a new folder, and reads take the newest."""
 
@@ -36,12 +41,19 @@ class Store:
         kind = schema.schema(name)
         return self.spark.read.schema(kind).parquet(f"{self.folder}/{name}/{found[-1]}") if found else self.spark.createDataFrame([], kind)
 
+    def remove(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def write(self, name: str, table: DataFrame) -> None:
+        """A new version; the last KEPT stay for readers that have begun, older ones go."""
         found = self._versions(name)
         number = int(found[-1][1:]) + 1 if found else 1
         kind = schema.schema(name)
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in table.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kind]
         table.select(*columns).write.parquet(f"{self.folder}/{name}/v{number}")
+        for old in found[: -(KEPT - 1)]:
+            self.remove(f"{self.folder}/{name}/{old}")
 
 
 def _now() -> dt.datetime:
@@ -75,14 +87,43 @@ def recompute(store: Store, args) -> None:
     store.write("fundos_metricas", out.withColumn("atualizado_em", F.lit(_now()).cast("timestamp_ntz")))
 
 
-def sync_documents(store: Store, args) -> None:
+def sync_documents(store: Store, args) -> dict:
+    """Each fund type by its own cursor; a type that fails doesn't stop the others, and one that fills all pages is named."""
     documents.register(store.spark)
-    raw = store.spark.read.format("documents").option("tipos", args.tipos).option("files", args.file).load()
-    rows = documents.document_rows(raw).withColumn("tipo", F.coalesce("tipo_documento", "tipo")).drop("tipo_documento")
-    fresh = sync.since(rows, sync.cursor_of(store.read("sync_state"), f"fnet:{args.tipos}", "fnet"))
-    store.write("fundos", upsert.with_parents(store.read("fundos"), fresh))
-    store.write("documentos", sync.apply_documents(store.read("documentos"), fresh))
-    store.write("sync_state", upsert.upsert(store.read("sync_state"), sync.new_cursor(fresh, f"fnet:{args.tipos}", _now()), ["fonte"]))
+
+    def one(tipo: str) -> dict:
+        wanted = args.categoria or "all"
+        raw = store.spark.read.format("documents").option("tipos", tipo).option("files", args.file).option("size", args.pagina).option("maxPages", args.max_paginas).load()
+        rows = documents.document_rows(raw).withColumn("tipo", F.coalesce("tipo_documento", "tipo")).drop("tipo_documento")
+        seen = raw.count()
+        if args.categoria:
+            rows = rows.filter(F.col("categoria") == args.categoria)
+        source = f"fnet_documentos:tf={tipo}:cat={wanted}"
+        cursor = dt.datetime.fromisoformat(args.desde) + sync.OVERLAP if args.desde else sync.cursor_of(store.read("sync_state"), source, f"fnet_documentos:tf=all:cat={wanted}")
+        fresh = sync.since(rows, cursor)
+        store.write("fundos", upsert.with_parents(store.read("fundos"), fresh))
+        store.write("documentos", sync.apply_documents(store.read("documentos"), fresh))
+        store.write("sync_state", upsert.upsert(store.read("sync_state"), sync.new_cursor(fresh, source, _now()), ["fonte"]))
+        return {"documentos": fresh.count(), "truncado": sync.truncated(seen, args.max_paginas, args.pagina)}
+
+    done = sync.sync_types(args.tipos.split(","), one)
+    cut = [t for t, r in done.items() if r["truncado"]]
+    if cut:
+        print(f"truncated after {args.max_paginas} pages: {', '.join(cut)}; the next run goes on from the cursor", file=sys.stderr)
+    return {"documentos": sum(r["documentos"] for r in done.values()), "tipos_truncados": cut}
+
+
+def download(store: Store, args) -> dict:
+    """Fetches pending documents, newest first, into the store's folder of files."""
+    queue = sync.download_queue(store.read("documentos"), args.limite, tuple(args.categorias or ()))
+    found = documents.download(queue, args.origem, f"{store.folder}/files")
+    folder = f"{store.folder}/downloads-{uuid.uuid4().hex}"
+    found.write.parquet(folder)  # fetched once, whatever is read of the results
+    found = store.spark.read.parquet(folder)
+    store.write("documentos", sync.downloaded(store.read("documentos"), found))
+    totals = found.agg(F.count("url_storage").alias("baixados"), F.count_if(F.col("url_storage").isNull()).alias("erros")).first().asDict()
+    store.remove(folder)
+    return totals
 
 
 def sync_domains(store: Store, args) -> None:
@@ -112,14 +153,16 @@ def find(store: Store, args) -> None:
 
 
 def explore(store: Store, args) -> None:
-    docs = store.read("documentos").withColumns({"descricao": F.col("denominacao_fundo"), "arrival": -F.col("id_fnet")})
+    # Newest first by delivery, then by id.
+    age = F.struct(F.coalesce(-F.unix_micros(F.col("data_entrega").cast("timestamp")), F.lit(0)), -F.col("id_fnet"))
+    docs = store.read("documentos").withColumns({"descricao": F.col("denominacao_fundo"), "arrival": age})
     found = prospect.prospect(docs, store.read("documento_textos"), store.read("fundos"), args.termo, args.categoria, wanted=args.alvo)
     for row in export.json_rows(found).toLocalIterator():
         print(row.value)
 
 
 def survey(store: Store, args) -> None:
-    funds = store.read("fundos").withColumnRenamed("tipo_veiculo", "tipo").withColumns({"fonte": F.lit("cad_fi"), "row_idx": F.xxhash64("cnpj")})
+    funds = store.read("fundos").withColumnRenamed("tipo_veiculo", "tipo").withColumns({"fonte": F.lit("cad_fi"), "row_idx": F.col("cnpj")})
     chosen = classify.select_funds(funds, args.administrador, args.tipo, most=args.max_fundos)
     rows = classify.fee_survey(chosen, store.read("documentos"), store.read("documento_textos"))
     export.write_csv(rows, args.saida)
@@ -134,11 +177,12 @@ def status(store: Store, args) -> int:
 
 COMMANDS = {
     "sync-registry": (sync_registry, ("file",)), "sync-fii": (sync_fii, ("file",)), "sync-fidc": (sync_fidc, ("file",)), "metrics": (recompute, ()),
-    "sync-documents": (sync_documents, ("file", "tipos")), "domains": (sync_domains, ("file",)), "extract": (extract, ("file", "reprocessar")),
+    "sync-documents": (sync_documents, ("file", "tipos", "categoria_unica", "desde", "pagina", "max_paginas")), "download-docs": (download, ("origem", "categorias", "limite")), "domains": (sync_domains, ("file",)), "extract": (extract, ("file", "reprocessar")),
     "search": (find, ("filtros", "csv")), "prospect": (explore, ("termo", "categoria", "alvo")), "survey": (survey, ("administrador", "tipo", "max_fundos", "saida")), "status": (status, ("check",)),
 }
 FLAGS = {
-    "file": {"required": True}, "tipos": {"required": True}, "reprocessar": {"action": "store_true"}, "filtros": {"default": ""}, "csv": {"default": None}, "termo": {"action": "append", "required": True},
+    "file": {"required": True}, "tipos": {"required": True}, "categoria_unica": {"default": None, "dest": "categoria"}, "desde": {"default": None}, "pagina": {"type": int, "default": documents.PAGE}, "max_paginas": {"type": int, "default": documents.MOST_PAGES},
+    "origem": {"required": True}, "categorias": {"action": "append"}, "limite": {"type": int, "default": None}, "reprocessar": {"action": "store_true"}, "filtros": {"default": ""}, "csv": {"default": None}, "termo": {"action": "append", "required": True},
     "categoria": {"default": "Regulamento"}, "alvo": {"type": int, "default": None}, "administrador": {"default": ""}, "tipo": {"default": "FIDC"}, "max_fundos": {"type": int, "default": None}, "saida": {"required": True}, "check": {"action": "store_true"},
 }
 
@@ -155,16 +199,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     store = Store(spark or SparkSession.builder.getOrCreate(), args.store)
     if args.command in ("search", "prospect", "survey", "status"):
         return COMMANDS[args.command][0](store, args) or 0
-    log: list[dict] = []
-    try:
-        with health.recorded(log, args.command):
-            COMMANDS[args.command][0](store, args)
-    finally:
-        runs = store.read("sync_runs")
-        last = runs.agg(F.max("id").alias("m")).first().m or 0
-        row = log[0] | {"id": last + 1}
-        kind = schema.schema("sync_runs")
-        store.write("sync_runs", runs.unionByName(store.spark.createDataFrame([tuple(row[f.name] for f in kind)], kind)))
+    kind = schema.schema("sync_runs")
+    number = (store.read("sync_runs").agg(F.max("id").alias("m")).first().m or 0) + 1
+
+    def note(row: dict) -> None:
+        """The run's row, written when it begins and again when it ends: one that is killed stays `executando`."""
+        own = store.spark.createDataFrame([tuple((row | {"id": number})[f.name] for f in kind)], kind)
+        store.write("sync_runs", upsert.upsert(store.read("sync_runs"), own, ["id"]))
+
+    with health.recorded([], args.command, note=note) as details:
+        details |= COMMANDS[args.command][0](store, args) or {}
     return 0
 
 

@@ -107,9 +107,9 @@ def prohibited(norm: Column, start: Column, window: int = PROHIBITION_WINDOW) ->
     return before.rlike("|".join(map(re.escape, PROHIBITIONS)))
 
 
-def _places(between: str, hits: str) -> Column:
+def places(between: Column, hits: Column) -> Column:
     """Start and end of each match, from what stands between matches and the matches."""
-    steps = F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("gap"), F.col(hits).alias("hit"))
+    steps = F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
     lengths = F.transform(steps, lambda s: F.struct(F.length(s["gap"]).alias("gap"), F.length(s["hit"]).alias("hit")))
     kind = "struct<at:int,out:array<struct<start:int,stop:int>>>"
     start = F.from_json(F.lit('{"at":0,"out":[]}'), kind)
@@ -142,7 +142,7 @@ def occurrences(df: DataFrame, norm: str, patterns: list[str], into: list[str],
             between, hits = F.when(there, between).otherwise(F.array(whole)), F.when(there, hits).otherwise(F.array().cast("array<string>"))
         steps[f"{name}_between"], steps[f"{name}_hits"] = between, hits
     out = df.withColumns(steps)
-    return out.withColumns({n: _places(f"{n}_between", f"{n}_hits") for n in into}).drop(*steps)
+    return out.withColumns({n: places(F.col(f"{n}_between"), F.col(f"{n}_hits")) for n in into}).drop(*steps)
 
 
 def snippets(df: DataFrame, text: str, norm: str, terms: list[str], into: str = "trechos", most: int = 3, context: int = CONTEXT, flexible: bool = True) -> DataFrame:
@@ -164,19 +164,28 @@ def snippets(df: DataFrame, text: str, norm: str, terms: list[str], into: str =
     picked = F.aggregate(F.flatten(F.array(*names)), F.from_json(F.lit("[]"), kind), first)
     out = out.withColumn(f"{into}_picked", picked).drop(*names)
 
-    def cut(s: Column) -> Column:
+    def window(s: Column) -> Column:
         begin = F.greatest(s["start"] - context, F.lit(0))
-        before = collapse(F.substring(text, begin + 1, s["start"] - begin))
-        hit = collapse(F.substring(text, s["start"] + 1, s["stop"] - s["start"]))
-        after = collapse(F.substring(text, s["stop"] + 1, F.lit(context)))
-        lead = F.when(before != "", F.concat(before, F.lit(" "))).otherwise("")
-        tail = F.when(after != "", F.concat(F.lit(" "), after)).otherwise("")
         return F.struct(
-            F.concat(lead, hit, tail).alias("texto"), hit.alias("match"), F.length(lead).alias("inicio"), (F.length(lead) + F.length(hit)).alias("fim"),
-            s["start"].alias("posicao_documento"), prohibited(F.col(norm), s["start"]).alias("possivel_vedacao"),
+            F.substring(text, begin + 1, s["start"] - begin).alias("before"), F.substring(text, s["start"] + 1, s["stop"] - s["start"]).alias("hit"),
+            F.substring(text, s["stop"] + 1, F.lit(context)).alias("after"), s["start"].alias("start"), prohibited(F.col(norm), s["start"]).alias("flag"),
         )
 
-    return out.withColumn(into, F.transform(f"{into}_picked", cut)).drop(f"{into}_picked")
+    def tidy(s: Column) -> Column:
+        before, after = collapse(s["before"]), collapse(s["after"])
+        return F.struct(
+            F.nullif(before, F.lit("")).alias("before"), collapse(s["hit"]).alias("hit"), F.nullif(after, F.lit("")).alias("after"), s["start"], s["flag"],
+        )
+
+    def joined(s: Column) -> Column:
+        lead, tail = F.coalesce(F.concat(s["before"], F.lit(" ")), F.lit("")), F.coalesce(F.concat(F.lit(" "), s["after"]), F.lit(""))
+        return F.struct(
+            F.concat(lead, s["hit"], tail).alias("texto"), s["hit"].alias("match"), F.length(lead).alias("inicio"), (F.length(lead) + F.length(s["hit"])).alias("fim"),
+            s["start"].alias("posicao_documento"), s["flag"].alias("possivel_vedacao"),
+        )
+
+    # Small windows are cut first; each step reads what the one before has made.
+    return out.withColumn(into, F.transform(F.transform(F.transform(f"{into}_picked", window), tidy), joined)).drop(f"{into}_picked")
 
 
 def highlighted(snippet: Column, left: str = "«", right: str = "»") -> Column:

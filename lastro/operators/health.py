@@ -40,6 +40,9 @@ def counts(funds: DataFrame, reports: DataFrame, documents: DataFrame, texts: Da
     return f.crossJoin(r).crossJoin(d).crossJoin(t)  # one row each
 
 
+# The names, levels and messages of the checks below are what readers of the reports go by.
+
+
 def run_checks(runs: DataFrame, now: dt.datetime) -> DataFrame:
     """nome, status, mensagem for each source's latest run; a run under way for a few hours has no row."""
     at = F.lit(now).cast("timestamp_ntz")
@@ -100,14 +103,20 @@ def as_json(checks: DataFrame) -> str:
 
 
 @contextlib.contextmanager
-def recorded(runs: list[dict], source: str, clock=lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None)):
-    """Records a run: `runs` gets a row when it begins, which is closed as ok or erro; yields a dict for its details."""
+def recorded(runs: list[dict], source: str, clock=lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None), note=lambda row: None):
+    """Records a run: `runs` gets a row when it begins, which is closed as ok or erro; yields a dict for its details.
+
+    note is told the row when the run begins and when it has ended.
+    """
     row = {"id": len(runs) + 1, "fonte": source, "iniciado_em": clock(), "terminado_em": None, "status": "executando", "detalhe": None, "erro": None}
     runs.append(row)
     details: dict = {}
+    note(row)
     try:
         yield details
     except BaseException as exc:
         row |= {"status": "erro", "erro": f"{type(exc).__name__}: {exc}"[:ERROR_CHARS], "terminado_em": clock()}
+        note(row)
         raise
     row |= {"status": "ok", "detalhe": json.dumps(details, ensure_ascii=False, default=str), "terminado_em": clock()}
+    note(row)

@@ -83,7 +83,6 @@ def funds_with_metrics(funds: DataFrame, metrics: DataFrame, f: Filters) -> Data
     return joined if condition is None else joined.filter(condition)
 
 
-
 def by_size(df: DataFrame) -> DataFrame:
     """The order of results: largest 12-month mean first, funds without one last."""
     return df.orderBy(F.col("pl_medio_12m").desc_nulls_last(), F.col("cnpj"))
@@ -103,23 +102,30 @@ def in_force(documents: DataFrame) -> DataFrame:
     return known.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
 
 
-def matching_documents(documents: DataFrame, texts: DataFrame, f: Filters) -> DataFrame:
-    """Documents that the filters' categories, currency and terms admit, with texto and texto_norm."""
+def matching_documents(documents: DataFrame, texts: DataFrame, f: Filters, admitted: DataFrame | None = None) -> DataFrame:
+    """Documents that the filters' categories, currency and terms admit, with texto and texto_norm.
+
+    admitted: the funds (cnpj) whose documents count. Texts are looked at last, and only
+    those of documents that everything else admits.
+    """
     chosen = documents
+    # Category and fund are the window's keys, so these filters may go below it.
     if f.categorias_documento:
-        # The category is part of the window's key, so the filter may go below it.
         chosen = chosen.filter(F.col("categoria").isin(*f.categorias_documento))
+    if admitted is not None:
+        chosen = chosen.join(admitted.select("cnpj"), "cnpj", "left_semi")
     if f.apenas_vigente:
         chosen = in_force(chosen)
-    found = texts.select("id_fnet", "texto", "texto_norm")
+    found = chosen.join(texts.select("id_fnet", "texto", "texto_norm"), "id_fnet")
     if f.termos:
-        found = found.filter(T.has_terms(F.col("texto_norm"), list(f.termos), f.exigir_todos_termos, not f.literal))
-    return chosen.join(found, "id_fnet")
+        # The condition needs both sides, so no text is matched before the join has kept it.
+        found = found.filter(F.when(F.coalesce(F.col("cnpj"), F.lit("")) != "-", T.has_terms(F.col("texto_norm"), list(f.termos), f.exigir_todos_termos, not f.literal)))
+    return found
 
 
-def document_matches(documents: DataFrame, texts: DataFrame, f: Filters) -> DataFrame:
+def document_matches(documents: DataFrame, texts: DataFrame, f: Filters, admitted: DataFrame | None = None) -> DataFrame:
     """One row per matching document with termos_encontrados and trechos."""
-    rows = matching_documents(documents, texts, f)
+    rows = matching_documents(documents, texts, f, admitted)
     rows = rows.withColumn("termos_encontrados", T.matched_terms(F.col("texto_norm"), list(f.termos), not f.literal))
     return T.snippets(rows, "texto", "texto_norm", list(f.termos), most=f.max_trechos, flexible=not f.literal).drop("texto", "texto_norm")
 
@@ -135,7 +141,8 @@ def search_text(funds: DataFrame, metrics: DataFrame, documents: DataFrame, text
     Under excluir_vedacoes a document goes if all of its returned snippets follow a prohibition.
     Order and cut with page(); the count of the result is the exact total.
     """
-    found = document_matches(documents, texts, f)
+    funds = funds_with_metrics(funds, metrics, f)
+    found = document_matches(documents, texts, f, funds)
     document = F.struct(
         F.col("data_entrega"), F.col("id_fnet"), F.col("categoria"), F.col("tipo"), F.col("competencia"),
         F.col("url_storage"), F.col("termos_encontrados"), F.col("trechos"),
@@ -147,7 +154,7 @@ def search_text(funds: DataFrame, metrics: DataFrame, documents: DataFrame, text
     else:
         rows = rows.groupBy("cnpj").agg(F.collect_list("documento").alias("documentos"))
     newest = F.array_sort("documentos", lambda a, b: F.when(a["data_entrega"].eqNullSafe(b["data_entrega"]), F.when(a["id_fnet"] > b["id_fnet"], -1).when(a["id_fnet"] < b["id_fnet"], 1).otherwise(0)).when(a["data_entrega"].isNull() | (a["data_entrega"] < b["data_entrega"]), 1).otherwise(-1))
-    return funds_with_metrics(funds, metrics, f).join(rows.withColumn("documentos", newest), "cnpj")
+    return funds.join(rows.withColumn("documentos", newest), "cnpj")
 
 
 def totals(found: DataFrame) -> DataFrame:

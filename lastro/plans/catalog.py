@@ -79,13 +79,6 @@ def term_occurrences(spark, d):
     return D.texts(spark, d).select("id_fnet", T.count_occurrences(F.col("texto_norm"), T.term_pattern("the")).cast("bigint").alias("n"))
 
 
-@query()
-def snippets_top3(spark, d):
-    rows = D.texts(spark, d).filter(T.has_terms(F.col("texto_norm"), ["license", "the"]))
-    out = T.snippets(rows, "texto", "texto_norm", ["license", "the"], most=3)
-    return out.select("id_fnet", F.inline("trechos"))
-
-
 @query(f"""SELECT id_fnet, CAST(strpos(texto_norm, 'license') - 1 AS INTEGER) AS inicio, regexp_matches(regexp_replace(substr(texto_norm, greatest(strpos(texto_norm, 'license') - 120, 1), least(strpos(texto_norm, 'license') - 1, 120)), '\\s+', ' ', 'g'), '{"|".join(T.PROHIBITIONS)}') AS possivel_vedacao FROM {D.TEXTS} WHERE contains(texto_norm, 'license')""")
 def prohibition_flag(spark, d):
     rows = D.texts(spark, d).filter("contains(texto_norm, 'license')").withColumn("inicio", F.instr("texto_norm", "license") - 1)
@@ -125,12 +118,6 @@ def fund_text_search(spark, d):
     return out.select("cnpj", "pl_medio_12m", F.size("documentos").cast("bigint").alias("n_documentos"), F.array_max(F.transform("documentos", lambda x: x["id_fnet"])).alias("maior_id"))
 
 
-@query()
-def exclude_prohibited(spark, d):
-    f = search.Filters(termos=("license",), categorias_documento=LANGS, excluir_vedacoes=True, apenas_vigente=False)
-    return search.search_text(D.funds(spark, d), D.metrics(spark, d), D.documents(spark, d), D.texts(spark, d), f).select("cnpj", F.size("documentos").alias("n_documentos"))
-
-
 @query(f"SELECT count(DISTINCT cnpj) AS total FROM {FOUND}")
 def count_distinct_funds(spark, d):
     return search.totals(search.search_text(D.funds(spark, d), D.metrics(spark, d), D.documents(spark, d), D.texts(spark, d), TEXT_FILTERS))
@@ -151,12 +138,6 @@ def fund_page(spark, d):
     return search.fund_page(D.documents(spark, d), D.texts(spark, d).filter("origem <> 'vazio'"), "00000000000007").select("id_fnet", "tem_texto")
 
 
-@query(f"SELECT cnpj, denominacao, CAST(id_fnet AS VARCHAR) AS documento_id, categoria AS documento_categoria FROM {FOUND}")
-def export_rows(spark, d):
-    found = search.search_text(D.funds(spark, d), D.metrics(spark, d), D.documents(spark, d), D.texts(spark, d), TEXT_FILTERS)
-    return export.export_rows(found).select("cnpj", "denominacao", "documento_id", "documento_categoria")
-
-
 # Metrics
 
 
@@ -223,13 +204,6 @@ def priority_pick(spark, d):
     return ingest.class_values(D.class_rows(spark, d), "pl").select("cnpj", "competencia", F.col("pl").cast("decimal(20,2)").alias("pl"))
 
 
-@query(f"SELECT cnpj, competencia, coalesce(a.pl, b.pl) AS pl, num_cotistas FROM (SELECT cnpj, competencia, arg_max_null(pl, row_idx) AS pl FROM {D.REGISTRY_ROWS} WHERE row_idx % 2 = 0 GROUP BY ALL) a FULL JOIN (SELECT * FROM {D.REPORTS} WHERE num_cotistas % 2 = 1) b USING (cnpj, competencia)")
-def full_merge(spark, d):
-    a = ingest.last_wins(D.registry_rows(spark, d).filter("row_idx % 2 = 0"), "pl")
-    b = D.reports(spark, d).filter("num_cotistas % 2 = 1").withColumnRenamed("pl", "pl_b")
-    return a.join(b, ["cnpj", "competencia"], "full").select("cnpj", "competencia", F.coalesce("pl", "pl_b").alias("pl"), "num_cotistas")
-
-
 SUPPLIERS = "(SELECT lpad(CAST(s_suppkey * 3 AS VARCHAR), 14, '0') AS cnpj, s_name AS denominacao FROM supplier)"
 
 
@@ -259,12 +233,6 @@ def enrich_nonnull(spark, d):
     return upsert.enrich(target, suppliers(spark, d), "cnpj", {"tipo_veiculo": F.lit("FIDC")})
 
 
-@query()
-def ordered_concat_dedup(spark, d):
-    rows = D.registry_rows(spark, d).withColumn("cnpj_classe", F.lpad((F.col("row_idx") % 50).cast("string"), 14, "0"))
-    return ingest.joined_audiences(rows)
-
-
 @query(f"SELECT publico_alvo, count(*) AS n FROM {D.REGISTRY_ROWS} GROUP BY publico_alvo ORDER BY n DESC, min(row_idx) LIMIT 15")
 def common_types(spark, d):
     return classify.common_types(D.registry_rows(spark, d), "publico_alvo")
@@ -273,9 +241,9 @@ def common_types(spark, d):
 # Queues and sync
 
 
-@query(f"SELECT id_fnet FROM {D.DOCUMENTS} WHERE status_download = 'baixado' AND id_fnet NOT IN (SELECT id_fnet FROM {D.TEXTS} WHERE id_fnet % 3 = 0)")
+@query(f"SELECT id_fnet FROM {D.DOCUMENTS} WHERE status_download = 'baixado' AND id_fnet NOT IN (SELECT id_fnet FROM {D.TEXTS} WHERE origem <> 'vazio')")
 def extract_queue(spark, d):
-    return sync.extraction_queue(D.documents(spark, d), D.texts(spark, d).filter("id_fnet % 3 = 0")).select("id_fnet")
+    return sync.extraction_queue(D.documents(spark, d), D.texts(spark, d).filter("origem <> 'vazio'")).select("id_fnet")
 
 
 @query(f"SELECT d.id_fnet FROM {D.DOCUMENTS} d JOIN {D.TEXTS} t USING (id_fnet) WHERE status_download = 'baixado' AND origem = 'vazio'")
@@ -288,10 +256,10 @@ def download_queue(spark, d):
     return sync.download_queue(D.documents(spark, d), 25).select("id_fnet")
 
 
-@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE event_id < 5000)")
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE event_type = 'purchase')")
 def incremental_overlap(spark, d):
     events = D.read(spark, d, "events")
-    cursor = events.filter("event_id < 5000").agg(F.max("ts").alias("m")).first().m
+    cursor = events.filter("event_type = 'purchase'").agg(F.max("ts").alias("m")).first().m
     return sync.since(events, cursor, "ts").select("event_id")
 
 
@@ -315,9 +283,9 @@ def latest_run(spark, d):
     return health.latest_runs(D.runs(spark, d)).select("fonte", "id")
 
 
-@query(f"SELECT (SELECT count(*) FROM {D.FUNDS}) AS fundos, (SELECT count(*) FROM {D.REPORTS}) AS informes, (SELECT count(*) FROM {D.DOCUMENTS}) AS documentos, (SELECT count(*) FROM {D.DOCUMENTS} WHERE status_download = 'pendente') AS downloads_pendentes, (SELECT count(*) FROM {D.DOCUMENTS} WHERE status_download = 'erro') AS downloads_com_erro, (SELECT count(*) FROM {D.TEXTS}) AS textos, (SELECT count(*) FROM {D.TEXTS} WHERE origem = 'vazio') AS fila_ocr")
+@query(f"SELECT (SELECT count(*) FROM {D.FUNDS}) AS fundos, (SELECT count(*) FROM {D.REPORTS}) AS informes, (SELECT count(*) FROM {D.DOCUMENTS}) AS documentos, (SELECT count(*) FROM {D.DOCUMENTS} WHERE status_download = 'pendente') AS downloads_pendentes, (SELECT count(*) FROM {D.DOCUMENTS} WHERE status_download = 'erro') AS downloads_com_erro, (SELECT count(*) FROM {D.TEXTS}) AS textos, (SELECT count(*) FROM {D.TEXTS} WHERE origem = 'vazio') AS fila_ocr, (SELECT max(competencia) FROM {D.REPORTS}) AS ultima_competencia, (SELECT max(data_entrega) FROM {D.DOCUMENTS}) AS ultima_entrega")
 def health_counts(spark, d):
-    return health.counts(D.funds(spark, d), D.reports(spark, d), D.documents(spark, d), D.texts(spark, d)).drop("ultima_entrega", "ultima_competencia")
+    return health.counts(D.funds(spark, d), D.reports(spark, d), D.documents(spark, d), D.texts(spark, d))
 
 
 @query(f"SELECT CASE WHEN status IN ('erro', 'executando') THEN 'execucao:' ELSE 'frescor:' END || fonte AS nome, CASE WHEN status IN ('erro', 'executando') OR floor(epoch(TIMESTAMP '2024-06-01 12:00:00' - iniciado_em) / 86400) > 9 THEN 'erro' ELSE 'ok' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY fonte ORDER BY id DESC) AS n FROM {D.RUNS}) WHERE n = 1 AND (status <> 'executando' OR epoch(TIMESTAMP '2024-06-01 12:00:00' - iniciado_em) / 3600 > 6)")
@@ -325,11 +293,6 @@ def freshness_checks(spark, d):
     return health.run_checks(D.runs(spark, d), NOW).select("nome", "status")
 
 
-@query()
-def diagnosis(spark, d):
-    return health.diagnose(D.runs(spark, d), D.funds(spark, d), D.reports(spark, d), D.documents(spark, d), D.texts(spark, d), NOW)
-
-
 # Parsing
 
 
@@ -399,34 +362,10 @@ def month_sequence(spark, d):
     return spans.select("o_custkey", F.explode(P.months_between(F.to_date("a"), F.to_date("b"))).alias("mes"))
 
 
-# Reading documents
+# Forms
 
 
 @query("SELECT page_id, 'tipo' AS grupo, CAST(page_id AS VARCHAR) AS id_fnet, 'Fundo ' || page_id AS rotulo FROM pages UNION ALL SELECT page_id, 'classe', '', 'Todas' FROM pages")
 def html_select_udtf(spark, d):
     form = F.concat(F.lit("<select id='tipo' name='x'><option value='0'> </option><option value='"), "page_id", F.lit("'> Fundo <b>"), "page_id", F.lit("</b></option></select><SELECT name=classe><option>Todas</option></SELECT>"))
     return select_options(D.read(spark, d, "pages").withColumn("html", F.concat(form, "html")), "html", "page_id")
-
-
-@query()
-def text_cnpj(spark, d):
-    docs = D.texts(spark, d).withColumn("texto", F.concat(F.lit("Fundo 11.222.333/0001-81 adm 00.000.000/0001-91 "), "texto"))
-    return prospect.text_cnpj(docs, D.funds(spark, d))
-
-
-@query()
-def cedente_class(spark, d):
-    rows = D.texts(spark, d).withColumn("texto", F.concat(F.lit("Cedente: quaisquer pessoas. "), "texto")).withColumn("texto_norm", T.fold(F.col("texto")))
-    return classify.assignor_class(rows).select("id_fnet", "classificacao", "fonte", "mencoes_mono", "mencoes_multi")
-
-
-@query()
-def fee_extract(spark, d):
-    rows = D.texts(spark, d).withColumn("texto_norm", F.concat(F.lit("taxa de consultoria de 0,35% ao ano, minimo mensal de r$ 15.000,00 "), "texto_norm"))
-    return rows.select("id_fnet", classify.fees("texto_norm").alias("f")).select("id_fnet", "f.*")
-
-
-@query()
-def prospecting(spark, d):
-    docs = D.documents(spark, d).withColumns({"descricao": F.lit(None).cast("string"), "arrival": F.col("id_fnet")})
-    return prospect.prospect(docs, D.texts(spark, d), D.funds(spark, d), ["license"], category=None).select("cnpj", "id_fnet", F.size("trechos").alias("n_trechos"))

@@ -1,16 +1,21 @@
 """Regulator tables: `;`-separated CSV, UTF-8 or Latin-1, alone or inside ZIP archives.
 
-ZIP archives can't be split, so a file is read as a whole by one task, and each member
-streams through the CSV reader; archives and years run in parallel. Every row carries
-row_idx, its place in its file, which the row-order rules need.
+ZIP archives can't be split, so a file is one task's; archives and years run in parallel. A
+member is inflated in a stream, once to tell its encoding and once to read it, and what a
+query doesn't ask for is not inflated. Every row carries row_idx, its place in its file,
+which the row-order rules need.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import islice
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,81 +37,98 @@ def dataset_path(base: str, dataset: str, period: str | int = "") -> str:
     return f"{base.rstrip('/')}/{DATASETS[dataset].format(period)}"
 
 
-def decode(data: bytes) -> str:
-    try:
-        return data.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return data.decode("latin-1")
+Opener = Callable[[], BinaryIO]
 
 
-def parse(data: bytes) -> Iterator[list[str]]:
+def encoding_of(member: Opener) -> str:
+    """UTF-8 (a mark in front is skipped) if all of the member is, else Latin-1."""
+    check = codecs.getincrementaldecoder("utf-8")()
+    with member() as stream:
+        try:
+            while block := stream.read(1 << 20):
+                check.decode(block)
+            check.decode(b"", True)
+        except UnicodeDecodeError:
+            return "latin-1"
+    return "utf-8-sig"
+
+
+def lines(member: Opener) -> Iterator[list[str]]:
     """Rows of a table, the header first; blank rows are dropped."""
-    for row in csv.reader(io.StringIO(decode(data), newline=""), delimiter=";"):
-        if any(x.strip() for x in row):
-            yield row
-
-
-def members(content: bytes) -> list[tuple[str, bytes]]:
-    """Name and bytes of each CSV in an archive, or of the file itself."""
-    if content[:4] == b"PK\x03\x04":
-        archive = zipfile.ZipFile(io.BytesIO(content))
-        return [(n, archive.read(n)) for n in archive.namelist() if n.lower().endswith(".csv")]
-    return [("", content)]
-
-
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf.path, pdf.content, strict=True):
-            for k, (name, data) in enumerate(members(bytes(content))):
-                lines = parse(data)
-                header = [column_name(c) for c in next(lines, [])]
-                held = []
-                for i, line in enumerate(lines):
+    with io.TextIOWrapper(member(), encoding=encoding_of(member), newline="") as text:
+        for row in csv.reader(text, delimiter=";"):
+            if any(x.strip() for x in row):
+                yield row
+
+
+def members(content: bytes) -> list[tuple[str, Opener]]:
+    """Name of each CSV in an archive, or of the file itself, and what opens it."""
+    if content[:4] != b"PK\x03\x04":
+        return [("", lambda: io.BytesIO(content))]
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    return [(n, partial(archive.open, n)) for n in archive.namelist() if n.lower().endswith(".csv")]
+
+
+ROWS = 10_000
+
+
+def _rows(wanted: int | None):
+    names = ["path", "file_idx", "member", "row_idx", "cells"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf.path, pdf.content, strict=True):
+                for k, (name, member) in enumerate(members(bytes(content))):
+                    if wanted not in (None, k):
+                        continue
+                    table = lines(member)
+                    header = [column_name(c) for c in next(table, [])]
                     # Ragged rows: missing cells are null, more cells than names are dropped.
-                    held.append((path, k, name, i, {h: v for h, v in zip(header, line, strict=False)}))
-                    if len(held) == 10_000:
-                        yield pd.DataFrame(held, columns=["path", "file_idx", "member", "row_idx", "cells"])
-                        held = []
-                yield pd.DataFrame(held, columns=["path", "file_idx", "member", "row_idx", "cells"])
+                    rows = ((path, k, name, i, dict(zip(header, line, strict=False))) for i, line in enumerate(table))
+                    while held := list(islice(rows, ROWS)):
+                        yield pd.DataFrame(held, columns=names)
 
+    return run
 
-def read_cells(spark: SparkSession, *paths: str) -> DataFrame:
-    """All rows of all tables in files: path, file_idx, member, row_idx and cells (a map by normalised column name; of equal names the last)."""
+
+def read_cells(spark: SparkSession, *paths: str, member: int | None = None) -> DataFrame:
+    """All rows of all tables in files, or of the member with that place: path, file_idx, member, row_idx and cells (a map by normalised column name; of equal names the last)."""
     importable(spark)
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.mapInPandas(_rows, "path string, file_idx int, member string, row_idx long, cells map<string,string>")
+    return files.mapInPandas(_rows(member), "path string, file_idx int, member string, row_idx long, cells map<string,string>")
 
 
 def headers(spark: SparkSession, *paths: str) -> DataFrame:
     """path, file_idx, member, columns of each table, empty ones too."""
+    importable(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf.path, pdf.content, strict=True):
-                rows = [(path, k, n, [column_name(c) for c in next(parse(d), [])]) for k, (n, d) in enumerate(members(bytes(content)))]
+                rows = [(path, k, n, [column_name(c) for c in next(lines(m), [])]) for k, (n, m) in enumerate(members(bytes(content)))]
                 yield pd.DataFrame(rows, columns=["path", "file_idx", "member", "columns"])
 
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, "path string, file_idx int, member string, columns array<string>")
 
 
+def _frame(spark: SparkSession, path: str, header) -> DataFrame:
+    rows = read_cells(spark, path, member=header.file_idx)
+    return rows.select(*[F.col("cells")[c].alias(c) for c in dict.fromkeys(header.columns)], "row_idx", "file_idx", "member")
+
+
 def tables(spark: SparkSession, path: str) -> list[tuple[str, DataFrame]]:
     """Each table of a file as (member, rows with its own columns and row_idx)."""
-    cells = read_cells(spark, path)
-    out = []
-    for h in headers(spark, path).orderBy("file_idx").collect():  # a row per archive member
-        names = list(dict.fromkeys(h.columns))
-        rows = cells.filter(F.col("file_idx") == h.file_idx)
-        out.append((h.member, rows.select(*[F.col("cells")[c].alias(c) for c in names], "row_idx", "file_idx", "member")))
-    return out
+    found = headers(spark, path).orderBy("file_idx").collect()  # a row per archive member
+    return [(h.member, _frame(spark, path, h)) for h in found]
 
 
 def table(spark: SparkSession, path: str, token: str = "") -> DataFrame:
     """The first table whose member's name has the token."""
-    found = tables(spark, path)
-    for name, rows in found:
-        if token in name.lower():
-            return rows
-    raise LayoutError(f"{path}: no member with {token!r} in {[n for n, _ in found]}")
+    found = headers(spark, path).orderBy("file_idx").collect()
+    for h in found:
+        if token in h.member.lower():
+            return _frame(spark, path, h)
+    raise LayoutError(f"{path}: no member with {token!r} in {[h.member for h in found]}")
 
 
 def first_readable(spark: SparkSession, *paths: str) -> str:

@@ -5,8 +5,12 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from functools import partial
+from pathlib import Path
+from urllib.request import urlopen
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,6 +22,8 @@ from lastro.session import importable
 #: A text shorter than this counts as none (fixed value).
 LEAST_CHARS = 200
 PAGE, MOST_PAGES, RETRIES = 100, 2000, 4
+#: Seconds between two requests of one task at least (fixed value).
+INTERVAL = 1.0
 
 
 class ShapeError(ValueError):
@@ -141,6 +147,66 @@ def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("formato", P.detect_format(F.col("content")))
 
 
+def read_url(url: str) -> bytes:
+    """The bytes behind a URL, or of a file of a shared folder."""
+    if "://" not in url:
+        url = Path(url).resolve().as_uri()
+    with urlopen(url, timeout=60) as answer:  # noqa: S310  the caller names the source
+        return answer.read()
+
+
+def spaced(fetch: Callable[[str], bytes], interval: float = INTERVAL, clock: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep) -> Callable[[str], bytes]:
+    """fetch, called no sooner than `interval` seconds after it was last called."""
+    last = [float("-inf")]
+
+    def run(url: str) -> bytes:
+        left = last[0] + interval - clock()
+        if left > 0:
+            wait(left)
+        last[0] = clock()
+        return fetch(url)
+
+    return run
+
+
+def download(queue: DataFrame, source: str, folder: str, fetch: Callable[[str], bytes] = read_url, interval: float = INTERVAL, tasks: int = 1) -> DataFrame:
+    """Fetches a queue's documents into folder: id_fnet, url_storage, formato, baixado_em, one row each; a null url is an error.
+
+    source: the address with {} for the id. The service allows about a request a second, so one
+    task fetches unless the caller says more. Files are named by id and format, so a task that is
+    run again writes the same ones.
+    """
+    importable(queue.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = spaced(fetch, interval)
+        files, root = fs.FileSystem.from_uri(folder if "://" in folder else Path(folder).resolve().as_uri())
+        for pdf in batches:
+            out = []
+            for i in pdf.id_fnet.tolist():
+                try:
+                    content = fetch_with_retry(partial(get, source.format(i)))
+                    key = storage_key(i, format_of(content))
+                    files.create_dir(f"{root}/{key.rpartition('/')[0]}", recursive=True)
+                    with files.open_output_stream(f"{root}/{key}") as stream:
+                        stream.write(content)
+                    out.append((i, key, key.rpartition(".")[2], pd.Timestamp.now("UTC").tz_localize(None)))
+                except Exception:  # noqa: BLE001  the row says that it failed, and the queue doesn't take it again
+                    out.append((i, None, None, pd.NaT))
+            yield pd.DataFrame(out, columns=["id_fnet", "url_storage", "formato", "baixado_em"])
+
+    return queue.select("id_fnet").repartition(tasks).mapInPandas(run, "id_fnet long, url_storage string, formato string, baixado_em timestamp_ntz")
+
+
+#: How the first bytes after white space tell a format, in this order (fixed values).
+FORMATS = ((b"%PDF", "pdf"), (b"PK\x03\x04", "zip"), (b"<?xml", "xml"), (b"{", "json"), (b"<", "html"))
+
+
+def format_of(content: bytes) -> str:
+    head = content[:256].lstrip()
+    return next((kind for start, kind in FORMATS if head.startswith(start)), "bin")
+
+
 def storage_key(id_fnet: int, ext: str) -> str:
     return f"fnet/{id_fnet}.{ext}"
 

@@ -36,5 +36,45 @@ def test_commands(spark, tmp_path, capsys):
     with pytest.raises(Exception, match="COLUNA|CNPJ"):
         (tmp_path / "bad.csv").write_text("X;Y\n1;2\n")
         call("sync-registry", "--file", str(tmp_path / "bad.csv"))
-    assert [r.status for r in own.read("sync_runs").orderBy("id").collect()] == ["ok", "ok", "ok", "ok", "erro"]
+    call("download-docs", "--origem", str(tmp_path / "remote-{}.bin"))
+    assert own.read("documentos").first().status_download == "erro"
+    runs = own.read("sync_runs").orderBy("id").collect()
+    assert [r.status for r in runs] == ["ok", "ok", "ok", "ok", "erro", "ok"] and json.loads(runs[3].detalhe) == {"documentos": 1, "tipos_truncados": []} and json.loads(runs[5].detalhe) == {"baixados": 0, "erros": 1}
+    assert len(own._versions("sync_runs")) <= cli.KEPT
     assert call("status", "--check") == 1
+
+
+def test_killed_runs_stay_open(spark, tmp_path, monkeypatch):
+    """What is in the log while a command runs is what a killed one leaves."""
+    store, seen = cli.Store(spark, str(tmp_path / "store")), []
+    monkeypatch.setitem(cli.COMMANDS, "metrics", (lambda own, args: seen.extend(own.read("sync_runs").collect()), ()))
+    cli.main(["metrics", "--store", store.folder], spark)
+    assert [(r.id, r.fonte, r.status) for r in seen] == [(1, "metrics", "executando")] and store.read("sync_runs").first().status == "ok"
+
+
+def test_types_have_their_own_cursors(spark, tmp_path, capsys):
+    store = cli.Store(spark, str(tmp_path / "store"))
+    (tmp_path / "api").mkdir()
+
+    def answer(tipo, *rows):
+        (tmp_path / f"api/{tipo}-0.json").write_text(json.dumps({"data": [{"id": i, "cnpjFundo": A, "categoriaDocumento": c, "dataEntrega": f"{day:02}/05/2026 10:00"} for i, c, day in rows]}))
+
+    def call(*args):
+        return cli.main(["sync-documents", "--store", store.folder, "--file", str(tmp_path / "api"), *args], spark)
+
+    answer("1", (1, "Regulamento", 1), (2, "Fato", 20))
+    (tmp_path / "api/2-0.json").write_text("{}")  # not an answer
+    with pytest.raises(ExceptionGroup):
+        call("--tipos", "2,1")
+    assert {r.fonte: r.cursor for r in store.read("sync_state").collect()} == {"fnet_documentos:tf=1:cat=all": "2026-05-20T10:00:00"}
+    answer("2", (3, "Regulamento", 2))
+    answer("1", (1, "Regulamento", 1), (4, "Fato", 19), (5, "Fato", 18))
+    call("--tipos", "1,2", "--pagina", "3", "--max-paginas", "1")
+    assert sorted(r.id_fnet for r in store.read("documentos").collect()) == [1, 2, 3, 4] and "truncated after 1 pages: 1" in capsys.readouterr().err
+    call("--tipos", "1", "--categoria-unica", "Fato", "--desde", "2026-05-18")
+    assert sorted(r.id_fnet for r in store.read("documentos").collect()) == [1, 2, 3, 4, 5]
+    (tmp_path / "remote-4.bin").write_bytes(b" <?xml version='1.0'?><a/>")
+    cli.main(["download-docs", "--store", store.folder, "--origem", str(tmp_path / "remote-{}.bin"), "--categorias", "Fato", "--limite", "2"], spark)
+    got = {r.id_fnet: (r.status_download, r.url_storage, r.formato) for r in store.read("documentos").collect()}
+    assert got[2] == ("erro", None, None) and got[4] == ("baixado", "fnet/4.xml", "xml") and got[5][0] == "pendente"
+    assert (tmp_path / "store/files/fnet/4.xml").read_bytes().startswith(b" <?xml")

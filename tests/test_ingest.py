@@ -127,6 +127,38 @@ def test_retry():
     assert waits == [2.0, 4.0]
 
 
+def test_requests_are_spaced():
+    now, waits = [0.0], []
+
+    def wait(s):
+        waits.append(s)
+        now[0] += s
+
+    get = documents.spaced(lambda url: url.encode(), 1.0, lambda: now[0], wait)
+    assert get("a") == b"a" and get("b") == b"b" and waits == [1.0]
+    now[0] += 5
+    get("c")
+    assert waits == [1.0]
+
+
+def test_files(spark, tmp_path):
+    """Encodings, members that aren't asked for, the first path that exists, fill rates."""
+    (tmp_path / "latin.csv").write_bytes("A;Ação\n1;é\n;\n2;x\n".encode("latin-1"))
+    (tmp_path / "utf.csv").write_bytes("\ufeffA;Ação\n1;é\n3\n".encode())
+    for name, want in (("latin", [("1", "é"), ("2", "x")]), ("utf", [("1", "é"), ("3", None)])):
+        rows = csvzip.table(spark, str(tmp_path / f"{name}.csv"))
+        assert [(r.A, r.ACAO) for r in rows.orderBy("row_idx").collect()] == want
+    path = zipped(tmp_path / "z.zip", um="A\n1\n", dois="A;B\n2;\n3;x\n")
+    assert [n for n, _ in csvzip.tables(spark, path)] == ["um.csv", "dois.csv"]
+    two = csvzip.table(spark, path, "dois")
+    assert csvzip.fill_rates(two, ["A", "B"]).first().asDict() == {"rows": 2, "A": 1.0, "B": 0.5}
+    assert csvzip.first_readable(spark, str(tmp_path / "none.zip"), path) == path
+    with pytest.raises(RuntimeError):
+        csvzip.first_readable(spark, str(tmp_path / "none.zip"))
+    with pytest.raises(LayoutError):
+        csvzip.check_layout(two.columns, {"c": ("C",)}, ("c",), "z")
+
+
 def test_sync(spark):
     target = spark.createDataFrame([(1, "velho", "baixado", dt.datetime(2026, 1, 1))], "id_fnet long, categoria string, status_download string, data_entrega timestamp_ntz")
     arrivals = spark.createDataFrame([(1, "x", dt.datetime(2026, 1, 2), 0), (1, "novo", dt.datetime(2026, 1, 2), 1), (2, "n", dt.datetime(2026, 1, 3), 2)], "id_fnet long, categoria string, data_entrega timestamp_ntz, arrival int")
@@ -153,6 +185,8 @@ def test_html_options(spark):
     page = "<select id='tipo'><option value='0'>Todos</option><option value='1'> FII <b>x</b></option><option value='2'></option></select><select name='cat'><option>Sem valor</option></select><select><option value='9'>nada</option></select>"
     got = html.select_options(spark.createDataFrame([(page,), (None,), ("<p>",)], "html string")).collect()
     assert [tuple(r) for r in got] == [("tipo", "0", "Todos"), ("tipo", "1", "FII x"), ("cat", "", "Sem valor")]
+    odd = """<!-- <select id=x><option value=1>no</option></select> --><SELECT class="a" NAME = 'T&amp;C'><OPTION selected value=7>A&ccedil;&atilde;o &#38; x<option value="8">B</OPTION>\n<option value=''> C </option>"""
+    assert [tuple(r) for r in html.select_options(spark.createDataFrame([(odd, 5)], "html string, n int"), "html", "n").collect()] == [(5, "T&C", "8", "B"), (5, "T&C", "", "C")]
 
 
 def test_texts(spark):

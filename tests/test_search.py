@@ -88,12 +88,18 @@ def test_assignors(spark, text, want):
     assert (r.classificacao, r.fonte) == want
 
 
-def test_fees():
-    got = classify.fees_of("taxa de custodia minimo mensal de r$ 9,00. (d) taxa de consultoria de 0,35% (trinta e cinco) ao ano, com valor minimo mensal de r$ 15.000,00. taxa maxima de custodia 7% r$ 1,00")
-    assert got["pct_aa"] == ["0,35"] and got["minimos_mensais"] == ["15.000,00"] and not got["outros_valores"] and got["presente"]
-    got = classify.fees_of("remuneracao da consultora especializada: remuneracao mensal fixa de r$ 12.500,00 e uma remuneracao variavel de 2%")
-    assert got["fixos_mensais"] == ["12.500,00"] and got["tem_variavel"] and got["pct_sem_periodo"] == ["2"]
-    assert not classify.fees_of("")["presente"]
+def test_fees(spark):
+    texts = [
+        "taxa de custodia minimo mensal de r$ 9,00. (d) taxa de consultoria de 0,35% (trinta e cinco) ao ano, com valor minimo mensal de r$ 15.000,00. taxa maxima de custodia 7% r$ 1,00",
+        "remuneracao da consultora especializada: remuneracao mensal fixa de r$ 12.500,00 e uma remuneracao variavel de 2%", "", "nada",
+        "taxa de consultoria 1,5% a. a. e 1,5% ao ano e 10,123% e 1234% taxa de consultoria 2% aa." + " " * 950 + "9%", "taxa de consultoria e despesas do fundo 3% encargos do fundo 4%",
+    ]
+    got = [r.f for r in classify.fees(spark.createDataFrame(list(enumerate(texts)), "i int, texto_norm string")).orderBy("i").collect()]
+    assert got[0].pct_aa == ["0,35"] and got[0].minimos_mensais == ["15.000,00"] and not got[0].outros_valores and got[0].presente
+    assert got[1].fixos_mensais == ["12.500,00"] and got[1].tem_variavel and got[1].pct_sem_periodo == ["2"]
+    assert not got[2].presente and not got[3].presente
+    assert got[4].pct_aa == ["1,5", "2"] and got[4].pct_sem_periodo == ["10,123"]
+    assert got[5].pct_sem_periodo == ["3"]  # a title less than CLAUSE_SKIP behind the term ends nothing
 
 
 def test_survey(spark):
