@@ -354,3 +354,61 @@ def test_fingerprints_equal_plain_ones(spark, documents):
     assert sorted(len(set(r.h)) for r in out.collect())[:4] == [0, 0, 1, 1]
     for r in out.collect():
         assert r.print == plain_fingerprint(r.h)
+
+
+def test_language_equals_plain_kernel_regression(spark):
+    """Kernels by Python sets, Nyström features and ridge regression by plain sums, and the same decisions and scores."""
+    import numpy as np
+
+    source = random.Random(8)
+    words = {"a": ["alpha", "beta", "gamma", "delta"], "b": ["uno", "dos", "tres", "quatro", "é"], "c": ["ein", "zwei", "drei", "straße"]}
+    rows = [(" ".join(source.choices(words[k], k=source.randrange(3, 12))), k) for k in "abc" for _ in range(12)]
+
+    def grams(text):
+        low, found = f" {text.lower()} ", set()
+        clean = "".join(c if c.isalpha() else " " for c in low)
+        clean = re.sub(" +", " ", clean)
+        mask = (1 << 64) - 1
+
+        def mix(x):
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+            return x ^ x >> 31
+
+        for n in (2, 3, 4):
+            for i in range(len(clean) - n + 1):
+                h = ord(clean[i])
+                for k in range(1, n):
+                    h = mix((h * 0x9E3779B97F4A7C15 + ord(clean[i + k]) + k + 1) & mask)
+                found.add(h % langid.COORDINATES)
+        return found
+
+    def kernel(x, y):
+        return len(x & y) / (len(x) * len(y)) ** 0.5
+
+    bits, lettered = langid.presence([t for t, _ in rows])
+    assert lettered.all() and all(set(np.flatnonzero(b).tolist()) == grams(t) for b, (t, _) in zip(bits, rows, strict=True))
+    model = langid.fit(np.packbits(bits, axis=1), [k for _, k in rows], landmarks=9, ridge=1.0)
+    marks = [grams([t for t, k in rows if k == n][i]) for n in "abc" for i in range(3)]
+    inner = np.array([[kernel(x, y) for y in marks] for x in marks])
+    value, vector = np.linalg.eigh(inner)
+    root = vector / np.sqrt(value)
+    features = np.array([[kernel(grams(t), y) for y in marks] for t, _ in rows]) @ root
+    y = np.array([[1.0 if k == n else -1.0 for n in "abc"] for _, k in rows])
+    mean, bias = features.mean(axis=0), y.mean(axis=0)  # classes are of one size, so weights are 1
+    w = np.linalg.inv((features - mean).T @ (features - mean) + np.eye(9)) @ (features - mean).T @ (y - bias)
+    asked = ["beta gamma", "tres dos", "zwei und drei", "alpha uno", "straße é", "xyz", "é", "123", ""]
+    label, score = model.predict(asked)
+    for text, got, s in zip(asked, label, score, strict=True):
+        if not any(c.isalpha() for c in text):
+            assert got == "und" and s == 0
+            continue
+        f = 4 * ((np.array([kernel(grams(text), m) for m in marks]) @ root - mean) @ w + bias)
+        p = np.exp(f) / np.exp(f).sum()
+        assert got == "abc"[int(p.argmax())] and s == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_language_of_repeated_rows_and_ties(spark):
+    rows = [(i, "same words here", "xy"[i % 2]) for i in range(40)] + [(7, "same words here", "x")] * 3 + [(None, "same words here", None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 44 and {r.lang_pred for r in got} == {"x"} and {round(r.score, 3) for r in got} == {0.5}  # of tied classes the first by name
