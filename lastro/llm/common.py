@@ -10,7 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastro.session import importable
+from lastro import session
+
+#: Bytes of a batch that goes to a Python worker at most: a session's setting, which operators
+#: lower from Spark's default, so that an executor holds few of them whatever its rows' size.
+BATCH, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608b", "67108864b"
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package, and take small batches unless the session says otherwise."""
+    session.importable(spark)
+    if spark.conf.get(BATCH, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
