@@ -53,3 +53,36 @@ f AS ({" UNION ALL ".join(f"SELECT * FROM {_found(k)}" for k in range(len(RULES)
 s AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE))}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base FROM f GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)
 """
+
+COLLOCATIONS = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, size, phrase, count(*) AS f FROM (SELECT lang, m AS size, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) v(m)) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE size > 1 AND f >= 30),
+i AS (SELECT lang, sub, max(a) AS whole FROM (SELECT lang, a, unnest(flatten(list_transform(range(2, size), lambda s: list_transform(range(1, size - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))))) AS sub FROM c WHERE size > 2) GROUP BY ALL),
+k AS (SELECT c.* FROM c LEFT JOIN i ON i.lang = c.lang AND i.sub = c.phrase WHERE whole IS NULL OR 100 * CAST(whole AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+u AS (SELECT lang, phrase, a, w, unnest(range(1, size)) AS k FROM k),
+s AS (SELECT u.lang, u.phrase, u.k, a, x.f AS l, y.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score FROM u JOIN g x ON x.lang = u.lang AND x.phrase = array_to_string(u.w[1:u.k], ' ') JOIN g y ON y.lang = u.lang AND y.phrase = array_to_string(u.w[u.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+_crc = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(CAST(octet_length(b) AS BIGINT)), lambda i: 16 * (instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))"
+SPELLING = f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+o AS (SELECT doc_id, translate(run, '{UPPER}', '{LOWER}') AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+e AS (SELECT run, n, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS b, hex(b) AS x FROM o),
+h AS (SELECT run, n, xor({_crc}, 4294967295) AS h FROM e, t),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+g AS (SELECT word, n, unnest(list_distinct(list_prepend(word, list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))))) AS g FROM v),
+c AS (SELECT DISTINCT a.word AS a, a.n AS n, b.word AS b, b.n AS m FROM g a JOIN g b ON a.g = b.g AND a.word <> b.word),
+q AS (SELECT * FROM c WHERE CASE WHEN length(a) = length(b) THEN len(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) = 1
+ WHEN length(a) > length(b) THEN len(list_filter(range(1, length(a) + 1), lambda i: substr(a, 1, i - 1) || substr(a, i + 1) = b)) > 0 ELSE len(list_filter(range(1, length(b) + 1), lambda i: substr(b, 1, i - 1) || substr(b, i + 1) = a)) > 0 END),
+f AS (SELECT a, count(*) AS n_near, first(b ORDER BY m DESC, b) AS b, max(m) AS m FROM q GROUP BY a),
+w AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN b END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN f ON a = word),
+r AS (SELECT word, word AS at FROM w UNION ALL SELECT r.word, w.form FROM r JOIN w ON r.at = w.word WHERE w.form IS NOT NULL),
+z AS (SELECT r.word, r.at AS root FROM r JOIN w ON r.at = w.word WHERE w.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM w JOIN z USING (word)
+"""
