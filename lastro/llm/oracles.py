@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from lastro.llm.secrets import BASE, RULES
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,19 +37,38 @@ SELECT id AS doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, id =
 """
 
 
+#: Kinds as the contract and README name them, for an engine without look-behind: kind, pattern, the group that is the span (0: all), the one whose length counts, characters at least.
+SECRET_KINDS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 0, 1, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 0, 24),
+    ("pem", r"-----BEGIN [A-Z0-9 ]{0,64}PRIVATE KEY-----", 0, 0, 27),
+    ("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 0, 40),
+    ("gitlab", r"glpat-[A-Za-z0-9_-]+", 0, 0, 26),
+    ("slack", r"xox[abeprs]-[A-Za-z0-9-]+", 0, 0, 20),
+    ("stripe", r"[sr]k_live_[A-Za-z0-9]+", 0, 0, 32),
+    ("google", r"AIza[A-Za-z0-9_-]+", 0, 0, 39),
+    ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 1, 1, 40),
+    ("address", r"://[A-Za-z0-9._%+-]+:([^\x00-\x20/@:]+)@", 0, 1, 3),
+)
+BASE_KINDS = 3
+
+
 def _found(order: int) -> str:
-    rule = RULES[order]
-    pattern = rule.pattern.replace("'", "''")
+    kind, pattern, span, counted, least = SECRET_KINDS[order]
+    pattern = pattern.replace("'", "''")
     at = "list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0)"
-    return f"""(SELECT doc_id, {order} AS k, '{rule.kind}' AS kind, CAST({at} AS BIGINT) AS a, CAST({at} + len(hits[i]) AS BIGINT) AS b FROM
-(SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS hits, regexp_extract_all(text, '{pattern}', {rule.group}) AS parts, regexp_split_to_array(text, '{pattern}') AS gaps FROM d)) WHERE len(parts[i]) >= {rule.least})"""
+    lead = " + len(hits[i]) - len(parts[i])" if span else ""
+    return f"""(SELECT doc_id, {order} AS k, '{kind}' AS kind, CAST({at}{lead} AS BIGINT) AS a, CAST({at} + len(hits[i]) AS BIGINT) AS b FROM
+(SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS hits, regexp_extract_all(text, '{pattern}', {counted}) AS parts, regexp_split_to_array(text, '{pattern}') AS gaps FROM d)) WHERE len(parts[i]) >= {least})"""
 
 
+_kinds = [k for k, *_ in SECRET_KINDS[:BASE_KINDS]]
 SECRETS = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-f AS ({" UNION ALL ".join(f"SELECT * FROM {_found(k)}" for k in range(len(RULES)))}),
-s AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE))}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base FROM f GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)
+f AS ({" UNION ALL ".join(f"SELECT * FROM {_found(k)}" for k in range(len(SECRET_KINDS)))}),
+s AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, kind in enumerate(_kinds))}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < {BASE_KINDS}) AS base FROM f GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)
 """
 
 COLLOCATIONS = f"""
@@ -86,3 +103,10 @@ r AS (SELECT word, word AS at FROM w UNION ALL SELECT r.word, w.form FROM r JOIN
 z AS (SELECT r.word, r.at AS root FROM r JOIN w ON r.at = w.word WHERE w.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM w JOIN z USING (word)
 """
+
+#: The pages of the data have one article element each, of headings and paragraphs; what is around it is boilerplate.
+MAIN_TEXT = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(?:p|h1)>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_transform(parts, lambda p: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS t FROM a)
+SELECT page_id, url, array_to_string(list_filter(t, lambda x: x <> ''), chr(10) || chr(10)) AS text, CAST(length(array_to_string(list_filter(t, lambda x: x <> ''), chr(10) || chr(10))) AS BIGINT) AS n_chars FROM b
+"""

@@ -47,6 +47,25 @@ SECRETS = [
 ]
 
 
+HOSTILE = {
+    "assign": "password" * 12 + " " * 40, "access": "AKIA", "hex": "0123456789abcdefg", "pem": "-----BEGIN ", "keys": "PRIVATE KEY----- -----BEGIN ", "words": "AB ", "github": "ghp_", "gitlab": "glpat-", "slack": "xoxb-",
+    "stripe": "sk_live_", "google": "AIza", "jwt": "eyJ", "jwts": "eyJa.", "dashed": "eyJ-", "address": "://a:b", "at": "://a:", "alone": "://",
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_secrets_of_hostile_texts(spark, kind):
+    """A rule's own beginnings, to a megabyte, neither stop an executor nor take time that grows with their square."""
+    head = {"words": "PRIVATE KEY----- -----BEGIN ", "jwt": "x.eyJ "}.get(kind, "")
+    text = head + HOSTILE[kind] * (1_000_000 // len(HOSTILE[kind]))
+    docs = spark.createDataFrame([(1, text), (2, "-----BEGIN EC PRIVATE KEY----- " + text + " token=abcdefgh")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert got == {1: spans(text), 2: spans("-----BEGIN EC PRIVATE KEY----- " + text + " token=abcdefgh")}
+    assert got[2].startswith("pem:0:30") and "assign" in got[2]
+
+
 def test_secrets(spark):
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(SECRETS)] + [(None, SECRETS[2], "s"), (2, SECRETS[2], "s")], "doc_id long, text string, found string")
     got = secrets.report(docs).collect()
