@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lastro.llm import bpe, collocation, fingerprint, hnsw, langid, minhash, oracles, packing, secrets, spelling, suffix, urlfilter, warc
+from lastro.llm import bpe, collocation, fingerprint, hnsw, langid, maintext, minhash, oracles, packing, secrets, spelling, suffix, urlfilter, warc
 from lastro.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), width=100, with_text=False)
 
 
+def op11_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,6 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_warc, op4_hnsw, op5_langid, op6_minhash, op7_secrets, op8_urls, op9_fingerprints, op10_suffix, op12_collocations, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_warc, op4_hnsw, op5_langid, op6_minhash, op7_secrets, op8_urls, op9_fingerprints, op10_suffix, op11_maintext, op12_collocations, op13_spelling)}
 #: Encoding, models and fingerprints can't be said in SQL, and repeated strings are too slow in it; tests hold them against brute force.
-ORACLES = {"op3_warc": oracles.WARC, "op4_hnsw": oracles.VECTORS, "op6_minhash": oracles.NEAR, "op7_secrets": oracles.SECRETS, "op12_collocations": oracles.COLLOCATIONS, "op13_spelling": oracles.SPELLING}
+ORACLES = {"op3_warc": oracles.WARC, "op4_hnsw": oracles.VECTORS, "op6_minhash": oracles.NEAR, "op7_secrets": oracles.SECRETS, "op11_maintext": oracles.MAIN_TEXT, "op12_collocations": oracles.COLLOCATIONS, "op13_spelling": oracles.SPELLING}
