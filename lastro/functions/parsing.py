@@ -169,3 +169,10 @@ def cnpj_in(c: Column) -> Column:
 
 def cnpj_mask(c: Column) -> Column:
     return F.regexp_replace(c, r"^(\d{2})(\d{3})(\d{3})(\d{4})(\d{2})$", "$1.$2.$3/$4-$5")
+
+
+def millions(c: Column) -> Column:
+    """A compact amount, `R$ 1.234,5mi`; null and zero have none."""
+    value = c.cast("decimal(38,10)")
+    text = F.translate(F.format_number(F.bround(value / F.lit(1_000_000).cast("decimal(10,0)"), 1), 1), ",.", ".,")
+    return F.when(value != 0, F.concat(F.lit("R$ "), text, F.lit("mi")))

@@ -102,6 +102,19 @@ def as_json(checks: DataFrame) -> str:
     return json.dumps({"status": status, "verificacoes": rows}, ensure_ascii=False)
 
 
+def as_http(checks: DataFrame, totals: DataFrame) -> tuple[int, str]:
+    """The answer for a web caller, status code and body: 503 if the worst is an error, so that a monitor needs the code alone.
+
+    totals: counts(). What can't be read at all is an error of the store.
+    """
+    try:
+        n = totals.first()
+        body = json.loads(as_json(checks)) | {"contagens": {k: n[k] for k in ("fundos", "documentos", "textos")}}
+    except Exception as exc:  # noqa: BLE001  the answer says so
+        body = {"status": "erro", "verificacoes": [{"nome": "banco", "status": "erro", "mensagem": str(exc).partition("\n")[0]}]}
+    return (503 if body["status"] == "erro" else 200), json.dumps(body, ensure_ascii=False)
+
+
 @contextlib.contextmanager
 def recorded(runs: list[dict], source: str, clock=lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None), note=lambda row: None):
     """Records a run: `runs` gets a row when it begins, which is closed as ok or erro; yields a dict for its details.

@@ -178,10 +178,10 @@ def fidc_reports(tables: list[tuple[str, DataFrame]], archive: str = "") -> tupl
     return pl.join(holders, ["cnpj", "competencia"], "full").withColumn("fonte", F.lit("fidc_inf_mensal")), names
 
 
-def registry_class_archive(funds: DataFrame, classes: DataFrame) -> DataFrame:
-    """The current registry: funds with their classes' audiences and ids."""
+def registry_class_archive(funds: DataFrame, classes: DataFrame, keep_order: bool = False) -> DataFrame:
+    """The current registry: funds with their classes' audiences and ids, and row_idx, the place in the file, if wanted."""
     f = columns(funds, {"cnpj": FUND_ID, "id": ("ID_REGISTRO_FUNDO",), "denominacao": ("DENOMINACAO_SOCIAL", "DENOM_SOCIAL"), "tipo": ("TIPO_FUNDO", "TP_FUNDO"), "situacao": ("SITUACAO", "SIT"), "administrador": ("ADMINISTRADOR", "ADMIN"), "gestor": ("GESTOR",)}, ("cnpj",), "registro_fundo")
     f = f.withColumn("cnpj", P.cnpj(F.col("cnpj"))).filter("cnpj is not null")
     c = columns(classes, {"id": ("ID_REGISTRO_FUNDO",), "publico_alvo": ("PUBLICO_ALVO",), "cnpj_classe": ("CNPJ_CLASSE",)}, (), "registro_classe")
     c = c.withColumn("cnpj_classe", P.cnpj(F.col("cnpj_classe"))).join(accepted_ids(f), "id")
-    return dedupe_lookup(f).drop("id", "row_idx").join(joined_audiences(c), "cnpj", "left")
+    return dedupe_lookup(f).drop("id", *([] if keep_order else ["row_idx"])).join(joined_audiences(c), "cnpj", "left")

@@ -38,10 +38,13 @@ def fii_extracts(spark, d):
     return general, complement, balance
 
 
-@query(f"""WITH g AS (SELECT {KEYED}, arg_max_null(versao, row_idx) AS versao FROM {RUNNING} WHERE accepted GROUP BY ALL),
+FULL_MERGE = f"""WITH g AS (SELECT {KEYED}, arg_max_null(versao, row_idx) AS versao FROM {RUNNING} WHERE accepted GROUP BY ALL),
 c AS (SELECT {KEYED}, CAST(arg_max(row_idx % 1000, row_idx) AS INTEGER) AS num_cotistas, arg_max_null(pl, row_idx) AS pl, CAST(arg_max(row_idx % 90 || '.12345678', row_idx) AS DECIMAL(20,8)) AS valor_cota FROM {D.REGISTRY_ROWS} WHERE publico_alvo <> '5-LOW' GROUP BY ALL),
 b AS (SELECT {KEYED}, arg_min(pl, row_idx) FILTER (pl IS NOT NULL) AS pl FROM {D.REGISTRY_ROWS} GROUP BY ALL)
-SELECT cnpj, competencia, versao, num_cotistas, coalesce(c.pl, b.pl) AS pl, valor_cota, 'fii_inf_mensal' AS fonte FROM g FULL JOIN c USING ({KEYED}) FULL JOIN b USING ({KEYED})""")
+SELECT cnpj, competencia, versao, num_cotistas, coalesce(c.pl, b.pl) AS pl, valor_cota, 'fii_inf_mensal' AS fonte FROM g FULL JOIN c USING ({KEYED}) FULL JOIN b USING ({KEYED})"""
+
+
+@query(FULL_MERGE)
 def full_merge(spark, d):
     return ingest.fii_reports(*fii_extracts(spark, d))[0].select("cnpj", "competencia", "versao", "num_cotistas", "pl", "valor_cota", "fonte")
 
@@ -72,11 +75,14 @@ LINES = """(SELECT cnpj, competencia, pl, row_idx * 10 + file_idx AS o, file_idx
 CASE WHEN l_returnflag <> 'N' THEN CAST(l_extendedprice AS DECIMAL(20,2)) END AS pl, l_linestatus AS s, l_quantity AS q FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_linenumber ORDER BY l_extendedprice, l_quantity, l_shipdate, l_suppkey) = 1))"""
 
 
-@query(f"""WITH l AS (SELECT * FROM {LINES}),
+REPORTS_OF_LINES = f"""WITH l AS (SELECT * FROM {LINES}),
 o AS (SELECT {KEYED}, arg_max(pl, o) FILTER (pl IS NOT NULL) AS pl, arg_max(q, o) AS q FROM l WHERE s = 'O' GROUP BY ALL),
 i AS (SELECT {KEYED}, arg_max(pl, o) FILTER (pl IS NOT NULL) AS pl FROM l GROUP BY ALL), x AS (SELECT {KEYED}, CAST(sum(q) AS INTEGER) AS q FROM l WHERE s = 'F' GROUP BY ALL),
 a AS (SELECT cnpj, competencia, coalesce(i.pl, o.pl) AS pl, coalesce(x.q, o.q) AS num_cotistas FROM i FULL JOIN o USING ({KEYED}) FULL JOIN x USING ({KEYED}))
-SELECT cnpj, competencia, pl, num_cotistas, 'fidc_inf_mensal' AS fonte FROM a WHERE pl IS NOT NULL OR num_cotistas IS NOT NULL""")
+SELECT cnpj, competencia, pl, num_cotistas, 'fidc_inf_mensal' AS fonte FROM a WHERE pl IS NOT NULL OR num_cotistas IS NOT NULL"""
+
+
+@query(REPORTS_OF_LINES)
 def fidc_reports(spark, d):
     return ingest.fidc_reports(fidc_tables(spark, d))[0].select("cnpj", "competencia", "pl", "num_cotistas", "fonte")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TABLES = {
@@ -18,3 +20,14 @@ TABLES = {
 
 def schema(table: str) -> StructType:
     return StructType.fromDDL(TABLES[table])
+
+
+#: What part of its table a row lies in, from its key: rows that arrive together lie together.
+PARTS = {
+    "fundos": "pmod(xxhash64(cnpj), 16)", "fundos_metricas": "pmod(xxhash64(cnpj), 16)", "informes_mensais": "date_format(competencia, 'yyyyMM')", "documentos": "id_fnet div 10000",
+    "documento_textos": "id_fnet div 10000", "dominios": "0", "sync_state": "0", "sync_runs": "id div 1000",
+}
+
+
+def part(table: str) -> Column:
+    return F.coalesce(F.expr(PARTS[table]).cast("string"), F.lit("nulo"))

@@ -1,8 +1,7 @@
-"""The document service: metadata pages, payload formats, text extraction, object storage."""
+"""The document service's records and files: metadata rows, payload formats, downloads, text extraction."""
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -13,115 +12,14 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lastro.functions import parsing as P
 from lastro.functions.text import fold_text
 from lastro.session import importable
+from lastro.sources.paged import INTERVAL, fetch_with_retry
 
 #: A text shorter than this counts as none (fixed value).
 LEAST_CHARS = 200
-PAGE, MOST_PAGES, RETRIES = 100, 2000, 4
-#: Seconds between two requests of one task at least (fixed value).
-INTERVAL = 1.0
-
-
-class ShapeError(ValueError):
-    """An answer lacks what it must have."""
-
-
-def fetch_with_retry(fetch: Callable[[], bytes], retries: int = RETRIES, wait: Callable[[float], None] = time.sleep) -> bytes:
-    """Tries again after 2, 4, 8... seconds. An error with a status from 400 to 499 fails at once."""
-    for k in range(retries):
-        try:
-            return fetch()
-        except Exception as exc:
-            status = getattr(exc, "status", None) or getattr(exc, "code", None)
-            if (isinstance(status, int) and 400 <= status < 500) or k == retries - 1:
-                raise
-            wait(2.0 ** (k + 1))
-    raise AssertionError
-
-
-def check_shape(answer: dict) -> list[dict]:
-    if not isinstance(answer, dict) or not isinstance(answer.get("data"), list):
-        raise ShapeError("the answer has no list of data")
-    return answer["data"]
-
-
-def pages(search: Callable[[int, int], dict], size: int = PAGE, most: int = MOST_PAGES) -> Iterator[dict]:
-    """Rows of all pages: until a short page, the stated total, or `most` pages."""
-    for k in range(most):
-        answer = search(k * size, size)
-        rows = check_shape(answer)
-        yield from rows
-        total = answer.get("recordsFiltered", answer.get("recordsTotal"))
-        if len(rows) < size or (total is not None and (k + 1) * size >= int(total)):
-            return
-
-
-class DocumentSource(DataSource):
-    """Pages of document metadata as rows tipo, arrival, value (the record's JSON).
-
-    Options: tipos (comma-separated; a partition each), size, maxPages and files, a folder
-    of `<tipo>-<page>.json` answers that stand in for the service. Filters on tipo are
-    pushed into the partitions.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "documents"
-
-    def schema(self) -> str:
-        return "tipo string, arrival long, value string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
-
-
-def register(spark: SparkSession) -> None:
-    """Makes the format `documents` known, with its filters pushed down."""
-    importable(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(DocumentSource)
-
-
-class _Type(InputPartition):
-    def __init__(self, tipo: str):
-        self.tipo = tipo
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-        self.tipos = options["tipos"].split(",")
-
-    def pushFilters(self, filters):
-        from pyspark.sql.datasource import EqualTo, In
-
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("tipo",):
-                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.tipos = [t for t in self.tipos if t in wanted]
-            else:
-                yield f
-
-    def partitions(self):
-        return [_Type(t) for t in self.tipos]
-
-    def read(self, partition):
-        folder, size = self.options["files"], int(self.options.get("size", PAGE))
-
-        def search(start: int, length: int) -> dict:
-            try:
-                with open(f"{folder}/{partition.tipo}-{start // length}.json", encoding="utf-8") as f:
-                    return json.load(f)
-            except FileNotFoundError:
-                return {"data": [], "recordsFiltered": start}
-
-        for i, row in enumerate(pages(search, size, int(self.options.get("maxPages", MOST_PAGES)))):
-            yield partition.tipo, i, json.dumps(row, ensure_ascii=False)
-
 
 RECORD = "id string, descricaoFundo string, cnpjFundo string, categoriaDocumento string, tipoDocumento string, especieDocumento string, dataReferencia string, dataEntrega string, situacaoDocumento string, versao string, modalidade string"
 
@@ -155,15 +53,19 @@ def read_url(url: str) -> bytes:
         return answer.read()
 
 
-def spaced(fetch: Callable[[str], bytes], interval: float = INTERVAL, clock: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep) -> Callable[[str], bytes]:
-    """fetch, called no sooner than `interval` seconds after it was last called."""
-    last = [float("-inf")]
+def slotted(fetch: Callable[[str], bytes], task: int, tasks: int, interval: float, clock: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep) -> Callable[[str], bytes]:
+    """fetch, called in this task's own slots alone: of every `tasks` slots of `interval` seconds one is a task's.
+
+    Tasks that begin to count at one moment together thus make one call in `interval` seconds.
+    """
+    begin, used = clock(), [-1]
 
     def run(url: str) -> bytes:
-        left = last[0] + interval - clock()
+        round_ = max(used[0] + 1, int(-(-((clock() - begin) / interval - task) // tasks)) if interval else 0)
+        used[0] = round_
+        left = begin + (round_ * tasks + task) * interval - clock()
         if left > 0:
             wait(left)
-        last[0] = clock()
         return fetch(url)
 
     return run
@@ -172,14 +74,19 @@ def spaced(fetch: Callable[[str], bytes], interval: float = INTERVAL, clock: Cal
 def download(queue: DataFrame, source: str, folder: str, fetch: Callable[[str], bytes] = read_url, interval: float = INTERVAL, tasks: int = 1) -> DataFrame:
     """Fetches a queue's documents into folder: id_fnet, url_storage, formato, baixado_em, one row each; a null url is an error.
 
-    source: the address with {} for the id. The service allows about a request a second, so one
-    task fetches unless the caller says more. Files are named by id and format, so a task that is
-    run again writes the same ones.
+    source: the address with {} for the id. The service allows about a request a second, all
+    tasks together: they run as one barrier stage, meet before the first request, and from then
+    on each keeps to its slots. tasks must not be more than the cluster runs at once. Files are
+    named by id and format, so a stage that is run again writes the same ones.
     """
     importable(queue.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = spaced(fetch, interval)
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        context.barrier()  # a common zero, whatever the machines' clocks say
+        get = slotted(fetch, context.partitionId(), tasks, interval)
         files, root = fs.FileSystem.from_uri(folder if "://" in folder else Path(folder).resolve().as_uri())
         for pdf in batches:
             out = []
@@ -195,7 +102,7 @@ def download(queue: DataFrame, source: str, folder: str, fetch: Callable[[str],
                     out.append((i, None, None, pd.NaT))
             yield pd.DataFrame(out, columns=["id_fnet", "url_storage", "formato", "baixado_em"])
 
-    return queue.select("id_fnet").repartition(tasks).mapInPandas(run, "id_fnet long, url_storage string, formato string, baixado_em timestamp_ntz")
+    return queue.select("id_fnet").repartition(tasks).mapInPandas(run, "id_fnet long, url_storage string, formato string, baixado_em timestamp_ntz", barrier=True)
 
 
 #: How the first bytes after white space tell a format, in this order (fixed values).

@@ -30,7 +30,7 @@ def test_commands(spark, tmp_path, capsys):
     assert (fund.segmento, fund.tipo_veiculo, fund.situacao) == ("Lajes", "FII", "EM FUNCIONAMENTO NORMAL")
     assert own.read("documentos").first().status_download == "pendente"
     capsys.readouterr()
-    call("search", "--filtros", "plMin=1")
+    call("search", "--filtros", "plMin=1", "--json")
     said = capsys.readouterr().out.splitlines()
     assert said[0] == "1 fundos" and json.loads(said[1])["pl_medio_12m"] == 5
     with pytest.raises(Exception, match="COLUNA|CNPJ"):
@@ -56,8 +56,9 @@ def test_types_have_their_own_cursors(spark, tmp_path, capsys):
     store = cli.Store(spark, str(tmp_path / "store"))
     (tmp_path / "api").mkdir()
 
-    def answer(tipo, *rows):
-        (tmp_path / f"api/{tipo}-0.json").write_text(json.dumps({"data": [{"id": i, "cnpjFundo": A, "categoriaDocumento": c, "dataEntrega": f"{day:02}/05/2026 10:00"} for i, c, day in rows]}))
+    def answer(tipo, *rows, asked=""):
+        """The first page of a type's answer; asked: what the request says besides, in a stored answer's name."""
+        (tmp_path / f"api/{tipo}{asked}-0.json").write_text(json.dumps({"data": [{"id": i, "cnpjFundo": A, "categoriaDocumento": c, "dataEntrega": f"{day:02}/05/2026 10:00"} for i, c, day in rows]}))
 
     def call(*args):
         return cli.main(["sync-documents", "--store", store.folder, "--file", str(tmp_path / "api"), *args], spark)
@@ -68,9 +69,11 @@ def test_types_have_their_own_cursors(spark, tmp_path, capsys):
         call("--tipos", "2,1")
     assert {r.fonte: r.cursor for r in store.read("sync_state").collect()} == {"fnet_documentos:tf=1:cat=all": "2026-05-20T10:00:00"}
     answer("2", (3, "Regulamento", 2))
-    answer("1", (1, "Regulamento", 1), (4, "Fato", 19), (5, "Fato", 18))
+    # The cursor less a day is in the request; the time is tested again.
+    answer("1", (6, "Fato", 18), (4, "Fato", 19), (2, "Fato", 20), asked="~desde_2026-05-19")
     call("--tipos", "1,2", "--pagina", "3", "--max-paginas", "1")
     assert sorted(r.id_fnet for r in store.read("documentos").collect()) == [1, 2, 3, 4] and "truncated after 1 pages: 1" in capsys.readouterr().err
+    answer("1", (5, "Fato", 18), (4, "Fato", 19), (7, "Regulamento", 19), asked="~desde_2026-05-18")
     call("--tipos", "1", "--categoria-unica", "Fato", "--desde", "2026-05-18")
     assert sorted(r.id_fnet for r in store.read("documentos").collect()) == [1, 2, 3, 4, 5]
     (tmp_path / "remote-4.bin").write_bytes(b" <?xml version='1.0'?><a/>")

@@ -7,7 +7,8 @@ import pytest
 
 from lastro.functions.parsing import LayoutError
 from lastro.operators import ingest, metrics, upsert
-from lastro.sources import csvzip, documents, html
+from lastro.sources import csvzip, documents, html, paged
+from lastro.store import Store
 from lastro.streaming import sync
 
 A, B, C = "11222333000181", "00000000000272", "00000000000353"
@@ -34,7 +35,7 @@ def fii(spark, tmp_path):
     complement = f"CNPJ_Fundo;Data_Referencia;Total_Numero_Cotistas;Patrimonio_Liquido;Valor_Patrimonial_Cotas\n{A};2026-05-01;1000;1;1\n{A};2026-05-01;1100;110000000.00;101,00\n{A};2026-04-01;;;\n"
     balance = f"CNPJ_Fundo;Data_Referencia;Total_Ativo;Patrimonio_Liquido\n{A};2026-05-01;9;999.99\n{A};2026-04-01;9;100000000\n"
     path = zipped(tmp_path / "fii.zip", inf_geral=general, inf_complemento=complement, inf_ativo_passivo=balance)
-    return ingest.fii_reports(*(csvzip.table(spark, path, t) for t in ("geral", "complemento", "ativo_passivo")))
+    return ingest.fii_reports(*(csvzip.table(spark, path, token=t) for t in ("geral", "complemento", "ativo_passivo")))
 
 
 def test_fii_and_metrics(spark, tmp_path):
@@ -77,7 +78,7 @@ def test_class_registry(spark, tmp_path):
     funds = f"ID_Registro_Fundo;CNPJ_Fundo;Tipo_Fundo;Denominacao_Social;Situacao;Administrador;Gestor\n1;{A};FIDC;Velho;Cancelado;X;\n2;{A};FIDC;Vivo;Em Funcionamento Normal;X;\n3;{A};FIDC;Depois;Cancelado;X;\n"
     classes = f"ID_Registro_Fundo;CNPJ_Classe;Publico_Alvo\n1;{A};Profissional\n2;{B};Qualificado\n2;{C};Profissional\n3;{C};Nunca\n"
     path = zipped(tmp_path / "r.zip", registro_fundo=funds, registro_classe=classes)
-    got = ingest.registry_class_archive(csvzip.table(spark, path, "registro_fundo"), csvzip.table(spark, path, "registro_classe")).collect()
+    got = ingest.registry_class_archive(csvzip.table(spark, path, token="registro_fundo"), csvzip.table(spark, path, token="registro_classe")).collect()
     assert len(got) == 1 and got[0].denominacao == "Vivo" and got[0].publico_alvo == "Profissional | Qualificado" and got[0].cnpjs_classes == [B, C]
 
 
@@ -95,14 +96,16 @@ def test_documents(spark, tmp_path):
     for n in range(2):
         (tmp_path / f"1-{n}.json").write_text(json.dumps({"recordsFiltered": 4, "data": rows[2 * n : 2 * n + 2]}))
     (tmp_path / "2-0.json").write_text(json.dumps({"recordsFiltered": 0, "data": []}))
-    documents.register(spark)
+    paged.register(spark)
     raw = spark.read.format("documents").option("tipos", "1,2").option("files", str(tmp_path)).option("size", 2).load()
-    got = documents.document_rows(raw).orderBy("id_fnet").collect()
+    got = documents.document_rows(raw.select("tipo", "arrival", "value")).orderBy("id_fnet").collect()
     assert [(r.id_fnet, r.cnpj, r.versao) for r in got] == [(1, A, None), (2, A, 2), (3, A, 2)]
     assert raw.filter("tipo = '2'").count() == 0 and raw.filter("tipo = '1'").count() == 4
     assert got[0].competencia == dt.date(2026, 7, 1) and got[0].data_referencia == "29/07/2026 13:00" and got[0].data_entrega == dt.datetime(2026, 7, 30, 10)
-    with pytest.raises(documents.ShapeError):
-        list(documents.pages(lambda a, b: {"x": 1}))
+    for odd in ({"x": 1}, [], {"data": {"id": 1}}, {"data": ["x"]}):
+        with pytest.raises(paged.ShapeError):
+            paged.check_shape(odd)
+    assert paged.check_shape({"data": None}) == [] and paged.total_of({"recordsFiltered": 0, "recordsTotal": 3, "data": []}) == 3
 
 
 def test_retry():
@@ -114,7 +117,7 @@ def test_retry():
             raise OSError("again")
         return b"x"
 
-    assert documents.fetch_with_retry(flaky, wait=waits.append) == b"x" and waits == [2.0, 4.0]
+    assert paged.fetch_with_retry(flaky, wait=waits.append) == b"x" and waits == [2.0, 4.0]
 
     class Gone(Exception):
         status = 404
@@ -123,7 +126,7 @@ def test_retry():
         raise Gone
 
     with pytest.raises(Gone):
-        documents.fetch_with_retry(gone, wait=waits.append)
+        paged.fetch_with_retry(gone, wait=waits.append)
     assert waits == [2.0, 4.0]
 
 
@@ -134,7 +137,7 @@ def test_requests_are_spaced():
         waits.append(s)
         now[0] += s
 
-    get = documents.spaced(lambda url: url.encode(), 1.0, lambda: now[0], wait)
+    get = paged.spaced(lambda url: url.encode(), 1.0, lambda: now[0], wait)
     assert get("a") == b"a" and get("b") == b"b" and waits == [1.0]
     now[0] += 5
     get("c")
@@ -150,7 +153,7 @@ def test_files(spark, tmp_path):
         assert [(r.A, r.ACAO) for r in rows.orderBy("row_idx").collect()] == want
     path = zipped(tmp_path / "z.zip", um="A\n1\n", dois="A;B\n2;\n3;x\n")
     assert [n for n, _ in csvzip.tables(spark, path)] == ["um.csv", "dois.csv"]
-    two = csvzip.table(spark, path, "dois")
+    two = csvzip.table(spark, path, token="dois")
     assert csvzip.fill_rates(two, ["A", "B"]).first().asDict() == {"rows": 2, "A": 1.0, "B": 0.5}
     assert csvzip.first_readable(spark, str(tmp_path / "none.zip"), path) == path
     with pytest.raises(RuntimeError):
@@ -173,12 +176,14 @@ def test_sync(spark):
 
 
 def test_stream(spark, tmp_path):
-    kind = "id_fnet long, categoria string, status_download string, url_storage string, formato string, baixado_em timestamp_ntz, arrival long"
-    for n, rows in enumerate([[(1, "a", "pendente", None, None, None, 0)], [(1, "b", "pendente", None, None, None, 1), (2, "c", "pendente", None, None, None, 2)]]):
+    kind = "id_fnet long, cnpj string, categoria string, data_entrega timestamp_ntz, arrival long"
+    store = Store(spark, str(tmp_path / "store"))
+    for n, rows in enumerate([[(1, A, "a", None, 0)], [(1, A, "b", None, 1), (2, None, "c", None, 2)]]):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q = sync.stream_documents(spark, spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
+        q = sync.stream_documents(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), store, str(tmp_path / "check"), name=f"docs{n}")
         q.awaitTermination(120)
-    assert {r.id_fnet: r.categoria for r in spark.read.parquet(str(tmp_path / f"out/version={n}")).collect()} == {1: "b", 2: "c"}
+    assert {r.id_fnet: (r.categoria, r.status_download) for r in store.read("documentos").collect()} == {1: ("b", "pendente"), 2: ("c", "pendente")}
+    assert [r.cnpj for r in store.read("fundos").collect()] == [A]
 
 
 def test_html_options(spark):

@@ -61,10 +61,13 @@ def test_query_string():
         search.filters_from_query("plMin=1,5")
 
 
-def test_export(store):
-    rows = export.export_rows(search.search(*store, search.Filters(termos=("CPR-F",))).funds)
-    text = export.csv_text(rows)
-    assert text.startswith("﻿cnpj;") and text.endswith("\r\n") and '"Fundo; B"' in text and text.count("\r\n") == 3
+def test_export(spark, store, tmp_path):
+    found = search.search(*store, search.Filters(termos=("CPR-F",))).funds
+    rows = export.export_rows(found)
+    export.write_ordered(export.export_rows(found, ("pl_medio_12m", "documento")), ("-ordem_pl_medio_12m", "cnpj", "ordem_documento"), str(tmp_path / "parts"), export.COLUMNS)
+    size = export.join_parts(spark, str(tmp_path / "parts"), str(tmp_path / "out.csv"))
+    text = (tmp_path / "out.csv").read_bytes().decode()
+    assert size == len(text.encode()) and text.startswith("\ufeffcnpj;") and text.endswith("\r\n") and '"Fundo; B"' in text and text.count("\r\n") == 3
     assert [r.possivel_vedacao for r in rows.collect()] == ["sim", "nao"]
     assert export.export_rows(search.search(*store, search.Filters()).funds).first().documento_id == ""
     assert export.file_name(["CPR-F / x"]) == "fundos-cpr-f-x.csv" and export.file_name([]) == "fundos-fundos.csv"
