@@ -1,13 +1,14 @@
 """Phrase collocations: sketch bounds, guarded automata over shards, scores.
 
-One pass counts the phrases of each task's texts in a sketch of CELLS counters; the tasks'
-sketches are summed cell by cell, and what stays is a bit for each cell whose sum reaches the
-threshold. A phrase's cell is an upper bound of its count, so a phrase without a bit is rare.
-A second pass cuts texts into shards of a task. The phrases of a shard whose bits are set are
+A first pass counts words and pairs of each task's texts in a sketch of CELLS counters; the
+tasks' sketches are summed cell by cell, and what stays is a bit for each cell whose sum reaches
+the threshold. A phrase's cell is an upper bound of its count, so a phrase without a bit is rare.
+A second pass does the same for longer phrases, of which only those count whose pairs all have
+their bits. A third pass cuts texts into shards of a task. The phrases of a shard whose bits are set are
 compiled into pyahocorasick automata, each pattern between delimiters, so that no part of a
-word matches; the shard's text is scanned with overlapping matches. Shards' counts are summed
-and only then compared with the threshold. An automaton thus holds what one shard has at most,
-however many candidates the corpus has.
+word matches; the shard's text is scanned with overlapping matches. Counts are summed over a
+task's shards, then over tasks, and only then compared with the threshold. An automaton thus
+holds what one shard has at most, however many candidates the corpus has.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from lastro.llm.common import checkpoint, importable, join_spread, mix64, shuffl
 #: Counters of the sketch, and of one row of it; a counter stops at 255, so thresholds above that count whole words instead.
 CELLS, BLOCK = 1 << 26, 1 << 16
 #: Words of a shard, and characters of an automaton's patterns, at most.
-SHARD_WORDS, AUTOMATON_CHARS = 6_000_000, 4_000_000
+SHARD_WORDS, AUTOMATON_CHARS = 2_000_000, 4_000_000
+#: Bytes of text that a task takes at least, where there are tasks enough, and phrases whose counts it sums before it hands them on.
+TASK_BYTES, HELD_PHRASES = 64 << 20, 1_000_000
 #: Bytes of text that are split at once.
 PART = 4 << 20
 LONGEST = 4
@@ -104,16 +107,28 @@ def _together(piece: np.ndarray, n: int) -> np.ndarray:
     return piece[: len(piece) - n + 1] == piece[n - 1 :] if len(piece) >= n else np.zeros(0, bool)
 
 
-def _sketch(least: int):
+def _sketch(least: int, pairs: bytes | None):
+    """Counts words and pairs or, where the pairs' bits are known, phrases of three and four words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(CELLS, np.uint8)
+        bits = None if pairs is None else np.frombuffer(pairs, np.uint8)
         for batch in text_slices(batches, "text", PART):
             for lang, number, piece, words in _words(batch):
                 own = _hashes(lang, words)[number]
-                cells = np.sort(np.concatenate([_cells(own, n)[_together(piece, n)] for n in range(1, LONGEST + 1)]))
-                first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-                at, many = cells[first], np.diff(np.append(first, len(cells)))
-                table[at] = np.minimum(table[at] + many, least)
+                if bits is None:
+                    found = [_cells(own, n)[_together(piece, n)] for n in (1, 2)]
+                else:
+                    two = may = _pairs(own, piece, bits)
+                    found = []
+                    for n in range(3, LONGEST + 1):
+                        may = may[:-1] & two[n - 2 :]
+                        found.append(_cells(own, n)[may])
+                cells = np.sort(np.concatenate(found))
+                if len(cells):
+                    first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+                    at, many = cells[first], np.diff(np.append(first, len(cells)))
+                    table[at] = np.minimum(table[at] + many, least)
         blocks = table.reshape(-1, BLOCK)
         codec = pa.Codec("zstd", compression_level=1)
         for k in np.flatnonzero(blocks.any(axis=1)).tolist():
@@ -137,12 +152,15 @@ def _sum(least: int):
     return run
 
 
-def upper_bounds(docs: DataFrame, least: int) -> bytes:
-    """A bit for each cell of the sketch: whether its count reaches `least`. CELLS / 8 bytes, whatever the corpus."""
-    kind = docs.mapInArrow(_sketch(min(least, 255)), "block int, counts binary")
-    summed = kind.repartition(shuffle_partitions(docs.sparkSession), "block").mapInArrow(_sum(min(least, 255)), "block int, bits binary")
+def upper_bounds(docs: DataFrame, least: int, pairs: bytes | None = None) -> bytes:
+    """A bit for each cell of the sketch of words and pairs, or of longer phrases made of such pairs: whether its count reaches `least`.
+
+    CELLS / 8 bytes, whatever the corpus.
+    """
+    counted = docs.mapInArrow(_sketch(min(least, 255), pairs), "block int, counts binary")
+    summed = counted.repartition(shuffle_partitions(docs.sparkSession), "block").mapInArrow(_sum(min(least, 255)), "block int, bits binary")
     out = np.zeros((CELLS // BLOCK, BLOCK // 8), np.uint8)
-    for row in summed.toLocalIterator():  # 8 KB each, CELLS / BLOCK of them at most
+    for row in summed.collect():  # 8 KB each, CELLS / BLOCK of them at most
         out[row.block] = np.frombuffer(bytes(row.bits), np.uint8)
     return out.tobytes()
 
@@ -151,21 +169,27 @@ def _frequent(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _scan(lang: str, ids: np.ndarray, piece: np.ndarray, words: list[str], bits: np.ndarray) -> tuple[list[str], list[int], np.ndarray]:
-    """Phrases of one language's shard that may be frequent: phrase, words, count."""
+def _pairs(own: np.ndarray, piece: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each word and the next are in one piece and may be frequent."""
+    out = _together(piece, 2)
+    at = np.flatnonzero(out)
+    out[at] = _frequent(bits, _cells(own, 2)[at])
+    return out
+
+
+def _scan(lang: str, ids: np.ndarray, piece: np.ndarray, words: list[str], bits: np.ndarray, longer: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Phrases of one language's shard that may be frequent, words among them, and their counts."""
     own = _hashes(lang, words)[ids]
     many, counts = len(words), np.bincount(ids, minlength=len(words))
     single = np.flatnonzero((counts > 0) & _frequent(bits, _cells(_hashes(lang, words), 1)))
-    phrases, sizes, found = [words[i] for i in single.tolist()], [1] * len(single), [counts[single]]
-    # A phrase is a candidate where its parts are, its own bound allows, and its words are in one piece.
-    may = {n: _together(piece, n) for n in range(2, LONGEST + 1)}
-    for n in range(2, LONGEST + 1):
-        if n > 2:
-            may[n] &= may[n - 1][:-1] & may[n - 1][1:]
+    phrases, found = [words[i] for i in single.tolist()], [counts[single]]
+    # A phrase is a candidate where its parts are and its own bound allows.
+    may = {2: _pairs(own, piece, bits)}
+    for n in range(3, LONGEST + 1):
+        may[n] = may[n - 1][:-1] & may[n - 1][1:]
         at = np.flatnonzero(may[n])
-        may[n][at] = _frequent(bits, _cells(own, n)[at])
+        may[n][at] = _frequent(longer, _cells(own, n)[at])
     patterns: list[str] = []
-    lengths: list[int] = []
     pair = np.zeros(max(len(ids) - 1, 0), np.int64)
     for n in range(2, LONGEST + 1):
         at = np.flatnonzero(may[n])
@@ -176,7 +200,6 @@ def _scan(lang: str, ids: np.ndarray, piece: np.ndarray, words: list[str], bits:
             pair[at] = same
         for i in at[first].tolist():
             patterns.append(" ".join([words[j] for j in ids[i : i + n].tolist()]))
-        lengths += [n] * len(first)
     if patterns:
         # Only words that stand beside a candidate are scanned; a line is a run of them.
         run = np.zeros(len(ids), bool)
@@ -195,9 +218,9 @@ def _scan(lang: str, ids: np.ndarray, piece: np.ndarray, words: list[str], bits:
                 chars += len(patterns[k])
         if totals.sum() != sum(int(m.sum()) for m in may.values()):
             raise AssertionError("automata found other places than the candidates'")
-        phrases, sizes = phrases + patterns, sizes + lengths
+        phrases += patterns
         found.append(totals)
-    return phrases, sizes, np.concatenate(found)
+    return phrases, np.concatenate(found)
 
 
 def _count(patterns: list[str], text: str) -> np.ndarray:
@@ -213,25 +236,37 @@ def _count(patterns: list[str], text: str) -> np.ndarray:
 COUNTS = "lang string, size int, phrase string, f long"
 
 
-def _shards(packed: bytes):
+def _shards(packed: bytes, packed_longer: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(packed, np.uint8)
+        bits, longer = np.frombuffer(packed, np.uint8), np.frombuffer(packed_longer, np.uint8)
         known: dict[str, int] = {}
         held: dict[str, list] = {}
+        summed: dict[str, dict[str, int]] = {}
+        sizes: dict[str, int] = {}
         total = pieces = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def scan() -> None:
             words = list(known)
-            for lang, parts in held.items():
+            while held:
+                lang, parts = held.popitem()
                 ids, piece = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-                phrases, sizes, counts = _scan(lang, ids, piece, words, bits)
-                phrases, sizes, counts = [*phrases, None], [*sizes, 0], np.append(counts, len(ids))
+                del parts
+                sizes[lang] = sizes.get(lang, 0) + len(ids)
+                own = summed.setdefault(lang, {})
+                for phrase, n in zip(*(x if isinstance(x, list) else x.tolist() for x in _scan(lang, ids, piece, words, bits, longer)), strict=True):
+                    own[phrase] = own.get(phrase, 0) + n
+            known.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, own in summed.items():
+                phrases, many = [*own, None], [*own.values(), sizes[lang]]
                 for a in range(0, len(phrases), 20_000):
-                    some = slice(a, a + 20_000)
+                    some, n = phrases[a : a + 20_000], many[a : a + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(phrases[some]), pa.string()), pa.array(sizes[some], pa.int32()), pa.array(phrases[some], pa.string()), pa.array(counts[some], pa.int64())],
-                        names=["lang", "size", "phrase", "f"],
+                        [pa.array([lang] * len(some), pa.string()), pa.array([0 if p is None else p.count(" ") + 1 for p in some], pa.int32()), pa.array(some, pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "phrase", "f"]
                     )
+            summed.clear()
+            sizes.clear()
 
         for batch in text_slices(batches, "text", PART):
             top = pieces
@@ -241,8 +276,11 @@ def _shards(packed: bytes):
                 total, top = total + len(number), max(top, pieces + int(piece[-1]))
             pieces = top + 1
             if total > SHARD_WORDS:
-                yield from out()
-                known, held, total, pieces = {}, {}, 0, 0
+                scan()
+                total = pieces = 0
+                if sum(map(len, summed.values())) > HELD_PHRASES:
+                    yield from out()
+        scan()
         yield from out()
 
     return run
@@ -252,7 +290,11 @@ def counts(docs: DataFrame, least: int = 30) -> DataFrame:
     """lang, size, phrase, f of all phrases of 1 to 4 words that occur `least` times, exactly; size 0: all words of a language."""
     importable(docs.sparkSession)
     read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text is not null and text <> ''")
-    found = read.mapInArrow(_shards(upper_bounds(read, least)), COUNTS)
+    spark = docs.sparkSession
+    size = read.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    read = read.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+    pairs = upper_bounds(read, least)
+    found = read.mapInArrow(_shards(pairs, upper_bounds(read, least, pairs)), COUNTS)
     return checkpoint(found.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("size") == 0) | (F.col("f") >= least)))
 
 
