@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lastro import schema
-from lastro.operators import classify, export, health, ingest, metrics, prospect, quality, report, search, upsert
+from lastro.operators import classify, export, health, ingest, metrics, postings, prospect, quality, report, search, upsert
 from lastro.sources import csvzip, documents, html, paged
 from lastro.store import KEPT, Store  # noqa: F401  KEPT: what a store keeps
 from lastro.streaming import sync
@@ -139,12 +139,20 @@ def extract(store: Store, args) -> None:
     files = documents.read_payloads(store.spark, args.file)
     files = files.withColumn("id_fnet", F.regexp_extract("path", r"(\d+)\.\w+$", 1).try_cast("bigint")).join(queue.select("id_fnet"), "id_fnet", "left_semi")
     texts = documents.texts(files).withColumn("extraido_em", F.lit(_now()).cast("timestamp_ntz"))
+    folder = f"{store.folder}/texts-{uuid.uuid4().hex}"
+    texts.write.parquet(folder)  # extracted once, for the table and for the index
+    texts = store.spark.read.schema(texts.schema).parquet(folder)
+    # The index first: a run that ends between the two leaves candidates that no text confirms.
+    postings.index_texts(store, texts)
     store.merge("documento_textos", texts, ["id_fnet"])
+    store.remove(folder)
 
 
 def find(store: Store, args) -> None:
     f = search.filters_from_query(args.filtros, export=bool(args.csv))
-    result = search.search(store.read("fundos"), store.read("fundos_metricas"), store.read("documentos"), store.read("documento_textos"), f)
+    found = postings.candidates(store, list(f.termos), f.exigir_todos_termos, not f.literal) if f.termos else None
+    texts = store.read("documento_textos") if found is None else postings.texts_of(store, found)
+    result = search.search(store.read("fundos"), store.read("fundos_metricas"), store.read("documentos"), texts, f)
     if args.csv:
         _spreadsheet(store, export.export_rows(result.funds, ("pl_medio_12m", "documento")), ("-ordem_pl_medio_12m", "cnpj", "ordem_documento"), args.csv, export.COLUMNS)
     elif args.json:

@@ -150,11 +150,19 @@ def fii_reports(general: DataFrame, complement: DataFrame, balance: DataFrame) -
     return out, fii_attributes(g)
 
 
-def class_values(rows: DataFrame, value: str) -> DataFrame:
-    """Of each file, the sum over classes if it has a class column (has_class), else the last known value; over files, the preferred one's, of equals the first's."""
-    known = rows.filter(F.col(value).isNotNull())
-    each = known.groupBy("cnpj", "competencia", "file_idx", "priority").agg(F.when(F.first("has_class"), F.sum(value)).otherwise(F.max_by(value, "row_idx")).alias(value))
-    return each.groupBy("cnpj", "competencia").agg(F.min_by(value, F.struct("priority", "file_idx")).alias(value))
+def class_values(rows: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Each value of a month, in one pass for all values. values: the column of each value that says which files come first.
+
+    Of each file, the sum over classes if it has a class column (has_class), else the last known
+    value; over files, the preferred one's, of equals the first's. Months without any are left out.
+    """
+    of_file = []
+    for v, first in values.items():
+        last = F.max_by(v, F.when(F.col(v).isNotNull(), F.col("row_idx")))
+        of_file += [F.when(F.first("has_class"), F.sum(v)).otherwise(last).alias(v), F.first(first).alias(first)]
+    each = rows.groupBy("cnpj", "competencia", "file_idx").agg(*of_file)
+    best = [F.min_by(v, F.when(F.col(v).isNotNull(), F.struct(first, "file_idx"))).alias(v) for v, first in values.items()]
+    return each.groupBy("cnpj", "competencia").agg(*best).filter(F.coalesce(*[F.col(v).cast("string") for v in values]).isNotNull())
 
 
 def fidc_reports(tables: list[tuple[str, DataFrame]], archive: str = "") -> tuple[DataFrame, DataFrame]:
@@ -172,10 +180,9 @@ def fidc_reports(tables: list[tuple[str, DataFrame]], archive: str = "") -> tupl
     rows = wanted[0]
     for more in wanted[1:]:
         rows = rows.unionByName(more)
-    pl = class_values(rows.withColumn("priority", F.col("pl_first")), "pl").withColumn("pl", F.col("pl").cast("decimal(20,2)"))
-    holders = class_values(rows.withColumn("priority", F.col("cotistas_first")), "num_cotistas").withColumn("num_cotistas", F.col("num_cotistas").cast("int"))
+    found = class_values(rows, {"pl": "pl_first", "num_cotistas": "cotistas_first"}).withColumns({"pl": F.col("pl").cast("decimal(20,2)"), "num_cotistas": F.col("num_cotistas").cast("int")})
     names = rows.filter("denominacao is not null").groupBy("cnpj").agg(F.min_by("denominacao", F.struct("file_idx", "row_idx")).alias("denominacao"))
-    return pl.join(holders, ["cnpj", "competencia"], "full").withColumn("fonte", F.lit("fidc_inf_mensal")), names
+    return found.withColumn("fonte", F.lit("fidc_inf_mensal")), names
 
 
 def registry_class_archive(funds: DataFrame, classes: DataFrame, keep_order: bool = False) -> DataFrame:

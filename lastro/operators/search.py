@@ -195,6 +195,9 @@ class Result:
 
 
 def search(funds: DataFrame, metrics: DataFrame, documents: DataFrame, texts: DataFrame, f: Filters) -> Result:
-    """The whole search: without terms over funds alone, else over documents in text."""
+    """The whole search: without terms over funds alone, else over documents in text.
+
+    texts: all of them, or those of an index's candidates (postings), which the terms' patterns confirm.
+    """
     found = search_text(funds, metrics, documents, texts, f) if f.termos else funds_with_metrics(funds, metrics, f)
     return Result(page(found, f), found.count(), f)

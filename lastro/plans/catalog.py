@@ -194,14 +194,14 @@ PER_FILE = f"(SELECT cnpj, competencia, file_idx, priority, CASE WHEN any_value(
 @query(f"SELECT cnpj, competencia, file_idx, CAST(pl AS DECIMAL(20,2)) AS pl FROM {PER_FILE}")
 def class_sum_vs_last(spark, d):
     rows = D.class_rows(spark, d)
-    out = ingest.class_values(rows.withColumns({"competencia": F.concat_ws("|", F.col("competencia").cast("string"), F.col("file_idx").cast("string"))}), "pl")
+    out = ingest.class_values(rows.withColumns({"competencia": F.concat_ws("|", F.col("competencia").cast("string"), F.col("file_idx").cast("string"))}), {"pl": "priority"})
     parts = F.split("competencia", r"\|")
     return out.select("cnpj", parts[0].cast("date").alias("competencia"), parts[1].cast("int").alias("file_idx"), F.col("pl").cast("decimal(20,2)").alias("pl"))
 
 
 @query(f"SELECT cnpj, competencia, CAST(arg_min(pl, priority * 100 + file_idx) AS DECIMAL(20,2)) AS pl FROM {PER_FILE} GROUP BY cnpj, competencia")
 def priority_pick(spark, d):
-    return ingest.class_values(D.class_rows(spark, d), "pl").select("cnpj", "competencia", F.col("pl").cast("decimal(20,2)").alias("pl"))
+    return ingest.class_values(D.class_rows(spark, d), {"pl": "priority"}).select("cnpj", "competencia", F.col("pl").cast("decimal(20,2)").alias("pl"))
 
 
 SUPPLIERS = "(SELECT lpad(CAST(s_suppkey * 3 AS VARCHAR), 14, '0') AS cnpj, s_name AS denominacao FROM supplier)"

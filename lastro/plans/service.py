@@ -9,15 +9,15 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastro.operators import export, ingest, quality
+from lastro.operators import export, ingest, postings, quality, search
 from lastro.operators.order import numbered
 from lastro.plans import driver_tables as D
-from lastro.plans.catalog import query
+from lastro.plans.catalog import FOUND, TEXT_FILTERS, query
 from lastro.plans.loading import FULL_MERGE, REPORTS_OF_LINES, fidc_tables, fii_extracts
 from lastro.session import shared_folder
 from lastro.sources import csvzip, paged
 from lastro.store import Store
-from lastro.streaming import sync
+from lastro.streaming import running, sync
 
 
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -187,6 +187,55 @@ def touched_parts(spark, d):
     return versions.join(rows, "parte")
 
 
+# The index of tokens
+
+
+def indexed(spark: SparkSession, d: str) -> Store:
+    """A store of the texts and their index: all of them, then some again."""
+    store = Store(spark, shared_folder(spark, "store"))
+    texts = D.texts(spark, d).select("id_fnet", "texto", "texto_norm", "origem")
+    store.write("documento_textos", texts)
+    postings.index_texts(store, texts)
+    return store
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT id_fnet, unnest(list_distinct(regexp_extract_all(texto_norm, '[0-9a-z]+'))) AS token FROM {D.TEXTS}) GROUP BY token")
+def indexed_tokens(spark, d):
+    """How many documents each token of the index has, after some were indexed twice."""
+    store = indexed(spark, d)
+    postings.index_texts(store, store.read("documento_textos").filter("origem = 'vazio'"))
+    return store.read("documento_tokens").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT cnpj, any_value(pl_medio_12m) AS pl_medio_12m, count(*) AS n_documentos, max(id_fnet) AS maior_id FROM {FOUND} GROUP BY cnpj")
+def indexed_search(spark, d):
+    """The same search as without an index; texts are read of the index's candidates alone."""
+    store = indexed(spark, d)
+    found = postings.candidates(store, list(TEXT_FILTERS.termos), flexible=False)
+    out = search.search_text(D.funds(spark, d), D.metrics(spark, d), D.documents(spark, d), postings.texts_of(store, found), TEXT_FILTERS)
+    return out.select("cnpj", "pl_medio_12m", F.size("documentos").cast("bigint").alias("n_documentos"), F.array_max(F.transform("documentos", lambda x: x["id_fnet"])).alias("maior_id"))
+
+
+# Running metrics
+
+
+@query(f"SELECT cnpj, competencia_ultima, pl_atual, pl_medio_12m, cotistas_atual FROM {D.METRICS}")
+def running_metrics(spark, d):
+    """The metrics from a stream of reports that arrive a year at a time, the later ones first, and each year's first with other values."""
+    folder, own = shared_folder(spark, "reports"), shared_folder(spark, "store")
+    reports = D.reports(spark, d)
+    year = F.year("competencia")
+    wrong = reports.withColumns({"pl": (F.col("pl") + 1).cast("decimal(20,2)"), "num_cotistas": F.lit(None).cast("int"), "arrival": F.lit(0).cast("long")})
+    # A file a year is read in a micro-batch of its own, the newest file last.
+    both = wrong.filter(year % 2 == 0).unionByName(reports.withColumn("arrival", F.lit(1).cast("long"))).withColumn("year", year)
+    both.repartition("year").write.partitionBy("year").parquet(folder)
+    kind = "cnpj string, competencia date, pl decimal(20,2), num_cotistas int, arrival long, year int"
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 2).parquet(folder)
+    store = Store(spark, own)
+    running.keep_metrics(spark, stream, store, f"{own}/checkpoint", name=f"metrics-{own[-8:]}").awaitTermination()
+    return store.read("fundos_metricas").select("cnpj", "competencia_ultima", "pl_atual", "pl_medio_12m", "cotistas_atual")
+
+
 # Sinks and checks
 
 

@@ -103,8 +103,9 @@ class Store:
         paths = [f"{self.folder}/{name}/data/{v}/{PART}={p}" for p, v in sorted(parts.items())]
         return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
-    def read(self, name: str) -> DataFrame:
-        return self._read(name, self.manifest(name)["parts"])
+    def read(self, name: str, only: Callable[[str], bool] | None = None) -> DataFrame:
+        """A table, or the parts of it that `only` is true of; other parts' files aren't looked at."""
+        return self._read(name, {p: v for p, v in self.manifest(name)["parts"].items() if only is None or only(p)})
 
     def versions(self, name: str) -> dict[str, str]:
         """Each part's version."""
@@ -133,14 +134,14 @@ class Store:
         self._commit(name, version, self._put(name, version, self._shape(name, table), check), old["notes"] | (notes or {}))
 
     def merge(
-        self, name: str, source: DataFrame, keys: list[str], update: list[str] | None = None, how: Callable[[DataFrame, DataFrame], DataFrame] | None = None, notes: dict | None = None, check: Callable[[], None] | None = None
+        self, name: str, source: DataFrame, keys: list[str], update: list[str] | None = None, how: Callable[[DataFrame, DataFrame], DataFrame] | None = None, notes: dict | None = None, check: Callable[[], None] | None = None, widen: Callable[[set[str], set[str]], set[str]] | None = None
     ) -> list[str]:
         """A new version in which the parts that the source's rows fall into are upserted; returns these parts.
 
         source has one row per key. how(target, source) gives the rows of the touched parts (default:
         upsert by keys, setting the columns of `update`); it must keep the target's other rows. The
-        source is computed once: it is written beside the table first. No rows make no new version,
-        unless there are notes.
+        source is computed once: it is written beside the table first. widen(touched, there) names
+        parts to rewrite besides. No rows make no new version, unless there are notes.
         """
         version, old = self._next(name), self.manifest(name)
         staged = f"{self.folder}/{name}/staged-{uuid.uuid4().hex}"
@@ -149,14 +150,17 @@ class Store:
             if check:
                 check()
             fresh = self.spark.read.schema(source.schema).parquet(staged)
-            touched = [r[0] for r in fresh.select(schema.part(name).alias(PART)).distinct().collect()]  # as many as there are parts
+            touched = {r[0] for r in fresh.select(schema.part(name).alias(PART)).distinct().collect()}  # as many as there are parts
+            if widen:
+                touched = widen(touched, set(old["parts"]))
             if not touched and not notes:
                 return []
             parts = dict(old["parts"])
             if touched:
-                target = self._read(name, {p: v for p, v in parts.items() if p in set(touched)})
+                target = self._read(name, {p: v for p, v in parts.items() if p in touched})
                 out = how(target, fresh) if how else upsert(target, fresh, keys, update)
-                parts |= self._put(name, version, self._shape(name, out), None)
+                # A part that has lost its rows goes.
+                parts = {p: v for p, v in parts.items() if p not in touched} | self._put(name, version, self._shape(name, out), None)
             self._commit(name, version, parts, old["notes"] | (notes or {}))
         finally:
             self.remove(staged)
