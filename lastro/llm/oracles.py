@@ -110,3 +110,7 @@ WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(ht
 b AS (SELECT page_id, url, list_transform(parts, lambda p: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS t FROM a)
 SELECT page_id, url, array_to_string(list_filter(t, lambda x: x <> ''), chr(10) || chr(10)) AS text, CAST(length(array_to_string(list_filter(t, lambda x: x <> ''), chr(10) || chr(10))) AS BIGINT) AS n_chars FROM b
 """
+
+WARC_COPIES = WARC.replace("FROM pages)", "FROM (SELECT page_id, html FROM pages UNION ALL SELECT page_id + 10000000 * k, html FROM pages, (VALUES (1), (2)) v(k) WHERE page_id % 2 = 0))", 1)
+VECTOR_LINKS = VECTORS.replace("FROM embeddings)", """FROM (SELECT vec_id, embedding, label FROM embeddings UNION ALL SELECT vec_id + 10000000, list_transform(embedding, lambda x: CAST(x * 2 AS FLOAT)), label FROM embeddings
+UNION ALL SELECT vec_id + 20000000, list_transform(embedding, lambda x, i: CASE WHEN i = 1 THEN CAST(0 AS FLOAT) ELSE x END), label FROM embeddings UNION ALL SELECT vec_id + 30000000, list_transform(embedding, lambda x: -x), label FROM embeddings WHERE vec_id % 3 = 0))""", 1)

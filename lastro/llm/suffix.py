@@ -231,15 +231,16 @@ class Block:
             equal = self.data[place + np.repeat(self.start[r] - upto, n)] == self.data[place + np.repeat(self.start[s] - upto, n)]
             self.own[r[~np.logical_and.reduceat(equal, upto)]] = True
 
-    def sent(self, buckets: int, number: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The runs that are sent, by bucket; where each bucket begins. hot: the leading 32 bits of anchors that are dealt over buckets."""
+    def sent(self, buckets: int, number: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs that are sent, by bucket; the buckets that have any, and where each begins and ends. hot: the leading 32 bits of anchors that are dealt over buckets."""
         at = np.flatnonzero(self.own)
         by_anchor = self.anchor[at]
         crowded = np.isin(by_anchor >> np.uint64(32), hot)
         by_text = mix64(by_anchor + mix64(self.text[at]) + np.uint64(number // TOGETHER))
         bucket = (np.where(crowded, by_text, by_anchor) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        return at[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+        own, first = np.unique(bucket[by], return_index=True)
+        return at[by], own, np.append(first, len(by))
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -255,16 +256,15 @@ def unplanes(data: bytes, kind) -> np.ndarray:
 def _send(width: int, buckets: int, hot: np.ndarray, secret: bytes):
     def run(key, rows):
         block = Block(rows, width)
-        at, upto = block.sent(buckets, key[0].as_py(), hot)
+        at, there, upto = block.sent(buckets, key[0].as_py(), hot)
         out = {"bucket": [], "block": [], "anchors": [], "texts": [], "docs": []}
-        for b in range(buckets):
-            own = at[upto[b] : upto[b + 1]]
-            if len(own):
-                out["bucket"].append(b)
-                out["block"].append(key[0].as_py())
-                out["anchors"].append((block.anchor[own] >> np.uint64(32)).astype(np.uint32).tobytes())
-                out["texts"].append(digests(block.data, block.start[own], block.stop[own], secret, TEXT.itemsize))
-                out["docs"].append(planes(block.ids[block.doc[own]]))
+        for k, b in enumerate(there.tolist()):  # a block has few buckets, however many there are
+            own = at[upto[k] : upto[k + 1]]
+            out["bucket"].append(b)
+            out["block"].append(key[0].as_py())
+            out["anchors"].append((block.anchor[own] >> np.uint64(32)).astype(np.uint32).tobytes())
+            out["texts"].append(digests(block.data, block.start[own], block.stop[own], secret, TEXT.itemsize))
+            out["docs"].append(planes(block.ids[block.doc[own]]))
         return pa.table({k: pa.array(v, pa.int64() if k in ("bucket", "block") else pa.binary()) for k, v in out.items()})
 
     return run
@@ -330,9 +330,10 @@ def _decide(width: int, buckets: int, hot: np.ndarray):
         number = key[0].as_py()
         block = Block(rows, width)
         code = np.where(block.own, NOTHING, REPEATED).astype(np.uint8)
-        at, upto = block.sent(buckets, number, hot)
-        for b, codes in zip(answers.column("bucket").to_pylist(), answers.column("codes").to_pylist(), strict=True):
-            code[at[upto[b] : upto[b + 1]]] = np.frombuffer(codes, np.uint8)
+        at, there, upto = block.sent(buckets, number, hot)
+        places = np.searchsorted(there, answers.column("bucket").to_numpy())
+        for k, codes in zip(places.tolist(), answers.column("codes").to_pylist(), strict=True):
+            code[at[upto[k] : upto[k + 1]]] = np.frombuffer(codes, np.uint8)
         code[(code == NOTHING) & block.again] = COMPARE
         gone = np.flatnonzero(code == REPEATED)
         d = block.doc[gone]

@@ -79,8 +79,8 @@ def records(page_id: int | None, mark: str, url: str, payload: memoryview, sha1:
         yield [header("continuation", name_of(page_id, mark, k + 1), len(part), own), part, b"\r\n\r"]
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes a record per row of pages into archives in folder.
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> int:
+    """Writes a record per row of pages into archives in folder; returns the number of rows.
 
     Of records with equal payloads of least_bytes or more, that with the largest page_id is
     the response and the others revisit it; smaller ones are all responses. A null html
@@ -131,6 +131,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, page_id: str = "p
 
     lines = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     lines.write.option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
+    return totals["rows"]
 
 
 class Parser:
@@ -315,8 +316,20 @@ def summaries(chunks: DataFrame, segmented: DataFrame | None = None) -> DataFram
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+class MissingRecords(RuntimeError):
+    """Archives give back fewer or more rows than were written, so one of them is missing or there twice."""
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages' archives and reads them back."""
+    """Writes the pages' archives and reads them back; a whole archive that is missing is an error, as the rows are counted."""
     folder = shared_dir(pages.sparkSession, "warc")
-    write(pages, folder)
-    return summaries(read(pages.sparkSession, folder), read(pages.sparkSession, folder, segmented=True))
+    return read_back(pages.sparkSession, folder, write(pages, folder))
+
+
+def read_back(spark: SparkSession, folder: str, rows: int) -> DataFrame:
+    """summaries() of the archives in a folder that were written from so many rows."""
+    out = checkpoint(summaries(read(spark, folder), read(spark, folder, segmented=True)))
+    found = out.count()
+    if found != rows:
+        raise MissingRecords(f"{folder}: {found} rows where {rows} were written")
+    return out

@@ -292,6 +292,16 @@ def test_revisits_name_records_that_exist(spark, tmp_path):
     assert out.count() == len(rows) and {r.refers_to for r in out.filter("record_type = 'revisit'").collect()} == {59}
 
 
+def test_missing_archives_are_errors(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://a", f"{i} " * 2000) for i in range(8)], "page_id long, url string, html string").repartition(3, "page_id")
+    rows = warc.write(pages, str(tmp_path / "w"))
+    assert rows == 8 and warc.read_back(spark, str(tmp_path / "w"), rows).count() == 8
+    path = next(p for p, d in archives(tmp_path / "w").items() if d)
+    path.unlink()
+    with pytest.raises(warc.MissingRecords, match="where 8 were written"):
+        warc.read_back(spark, str(tmp_path / "w"), rows)
+
+
 @pytest.mark.parametrize("cut", [1, 40, 3000])
 def test_cut_archives_are_errors(spark, tmp_path, cut):
     pages = spark.createDataFrame([(i, "http://a", f"{i} " * 2000) for i in range(8)], "page_id long, url string, html string").coalesce(1)
