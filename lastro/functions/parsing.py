@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,15 +61,14 @@ def cnpj_valid(c: Column) -> Column:
     """14 digits, not all equal, with both check digits."""
     digits = F.regexp_replace(c, r"[^0-9]", "")
 
-    def digit(i: int) -> Column:
-        return F.substring(digits, i + 1, 1).try_cast("int")
+    each = F.transform(F.split(digits, ""), lambda x: x.try_cast("int"))
 
     def check(n: int) -> Column:
-        weights = [(n - 1 - i) % 8 + 2 for i in range(n)]
-        rest = reduce(lambda a, b: a + b, [digit(i) * w for i, w in enumerate(weights)]) % 11
-        return F.when(rest < 2, 0).otherwise(11 - rest)
+        weights = F.lit([(n - 1 - i) % 8 + 2 for i in range(n)])
+        total = F.aggregate(F.zip_with(F.slice(each, 1, n), weights, lambda x, w: x * w), F.lit(0), lambda a, b: a + b)
+        return (11 - total % 11) % 11 % 10  # what would be 10 or 11 is 0
 
-    fine = (F.length(digits) == 14) & (digits != F.repeat(F.substring(digits, 1, 1), F.lit(14))) & (digit(12) == check(12)) & (digit(13) == check(13))
+    fine = (F.length(digits) == 14) & (digits != F.repeat(F.substring(digits, 1, 1), F.lit(14))) & (F.get(each, F.lit(12)) == check(12)) & (F.get(each, F.lit(13)) == check(13))
     return F.coalesce(fine, F.lit(False))
 
 

@@ -126,35 +126,36 @@ def count_occurrences(norm: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(norm, F.lit(f"({pattern})"), 1))
 
 
-def occurrences(df: DataFrame, norm: str, patterns: list[str], into: list[str], first: int | None = None, within: str | None = None) -> DataFrame:
+def occurrences(df: DataFrame, norm: str, patterns: list[str], into: list[str], first: int | None = None, within: str | list[str | None] | None = None) -> DataFrame:
     """Adds, for each pattern, the array of its leftmost matches (start, stop) in a folded column.
 
-    first: the first so many alone; within: a substring of every match, tested before the pattern.
+    first: the first so many alone; the text after them is not searched again. within: a
+    substring of every match (of every pattern, or one for each), tested before the pattern.
     """
     # Split and matches become columns of their own, so that no lambda repeats a regex.
-    steps = {}
-    whole = F.col(norm)
+    whole, parts, steps = F.col(norm), {}, {}
+    each = within if isinstance(within, list) else [within] * len(patterns)
+    for name, p, plain in zip(into, patterns, each, strict=True):
+        between = F.split(whole, p, -1 if first is None else first + 1)
+        parts[f"{name}_between"] = between if plain is None else F.when(F.contains(whole, F.lit(plain)), between).otherwise(F.array(whole))
     for name, p in zip(into, patterns, strict=True):
-        between, hits = F.split(whole, p, -1 if first is None else first + 1), F.regexp_extract_all(whole, F.lit(f"({p})"), 1)
-        hits = hits if first is None else F.slice(hits, 1, first)
-        if within is not None:
-            there = F.contains(whole, F.lit(within))
-            between, hits = F.when(there, between).otherwise(F.array(whole)), F.when(there, hits).otherwise(F.array().cast("array<string>"))
-        steps[f"{name}_between"], steps[f"{name}_hits"] = between, hits
-    out = df.withColumns(steps)
-    return out.withColumns({n: places(F.col(f"{n}_between"), F.col(f"{n}_hits")) for n in into}).drop(*steps)
+        # Up to the last match's end; a match found there ends where it ended in the whole text.
+        upto = F.left(whole, F.length(whole) - F.length(F.element_at(f"{name}_between", -1)))
+        steps[f"{name}_hits"] = F.regexp_extract_all(upto, F.lit(f"({p})"), 1)
+    out = df.withColumns(parts).withColumns(steps)
+    return out.withColumns({n: places(F.col(f"{n}_between"), F.col(f"{n}_hits")) for n in into}).drop(*parts, *steps)
 
 
 def snippets(df: DataFrame, text: str, norm: str, terms: list[str], into: str = "trechos", most: int = 3, context: int = CONTEXT, flexible: bool = True) -> DataFrame:
     """Adds the first `most` snippets (at least one), in the order of terms and places; a place counts once.
 
-    Each is a struct texto, match, inicio, fim, posicao_documento, possivel_vedacao. Filter rows
-    by has_terms() before; don't filter on this column.
+    Each is a struct texto, match, inicio, fim, posicao_documento, possivel_vedacao. Don't filter
+    on this column; snippet_rows() drops rows without snippets.
     """
     most = max(1, most)
     names = [f"{into}_{i}" for i in range(len(terms))]
     # At most `most` - 1 places are taken when a match is looked at, so 2 * most of each term are enough.
-    out = occurrences(df, norm, [term_pattern(t, flexible) for t in terms], names, first=2 * most)
+    out = occurrences(df, norm, [term_pattern(t, flexible) for t in terms], names, first=2 * most, within=[prefilter_token(t) for t in terms])
     kind = "array<struct<start:int,stop:int>>"
 
     def first(acc: Column, s: Column) -> Column:
@@ -188,6 +189,15 @@ def snippets(df: DataFrame, text: str, norm: str, terms: list[str], into: str =
     return out.withColumn(into, F.transform(F.transform(F.transform(f"{into}_picked", window), tidy), joined)).drop(f"{into}_picked")
 
 
+def snippet_rows(df: DataFrame, *keep: str, into: str = "trechos") -> DataFrame:
+    """keep columns and one row per snippet.
+
+    An outer generator: for an inner one Catalyst infers a filter on the array's size, which
+    it pushes below all that made the array, so that every pattern would run twice.
+    """
+    return df.select(*keep, F.inline_outer(into)).filter("posicao_documento is not null")
+
+
 def highlighted(snippet: Column, left: str = "«", right: str = "»") -> Column:
     """A snippet's text with marks around the match."""
     t = snippet["texto"]

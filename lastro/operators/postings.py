@@ -28,7 +28,8 @@ TABLE, RANGE, BUCKETS = "documento_tokens", 10_000, 16
 def tokens_of(texts: DataFrame) -> DataFrame:
     """token, id_fnet, once for each token of a text."""
     found = F.array_distinct(F.regexp_extract_all("texto_norm", F.lit(TOKEN), F.lit(0)))
-    return texts.select("id_fnet", F.explode(found).alias("token")).select("token", "id_fnet")
+    # An inner generator would cut each text twice, once for a filter on the array's size.
+    return texts.select("id_fnet", F.explode_outer(found).alias("token")).filter("token is not null").select("token", "id_fnet")
 
 
 def index_texts(store: Store, texts: DataFrame) -> list[str]:

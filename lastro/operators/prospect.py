@@ -20,7 +20,8 @@ def document_cnpj(field: Column, description: Column) -> Column:
 
 def text_cnpj(documents: DataFrame, registry: DataFrame, text: str = "texto", key: str = "id_fnet") -> DataFrame:
     """key, cnpj: a valid number from the text's preamble, one that the registry has before others, then by place."""
-    found = documents.select(key, F.posexplode(F.regexp_extract_all(F.substring(text, 1, PREAMBLE), F.lit(f"({P.CNPJ_PATTERN})"), 1)).alias("pos", "hit"))
+    hits = F.regexp_extract_all(F.substring(text, 1, PREAMBLE), F.lit(f"({P.CNPJ_PATTERN})"), 1)
+    found = documents.select(key, F.posexplode_outer(hits).alias("pos", "hit"))  # an inner one would run the pattern twice
     found = found.withColumn("cnpj", P.cnpj(F.col("hit"))).filter(P.cnpj_valid(F.col("cnpj")))
     known = registry.select("cnpj", F.lit(1).alias("known")).distinct()
     found = found.join(known, "cnpj", "left")

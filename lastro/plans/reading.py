@@ -40,9 +40,8 @@ LICENSE, THE, LITERAL = {"license": 0, "licenses": 0}, {"the": 1, "thes": 1}, {"
 
 @query(f"SELECT id_fnet, {SNIPPET} FROM {cut(LICENSE | THE, 3)}")
 def snippets_top3(spark, d):
-    rows = D.texts(spark, d).filter(T.has_terms(F.col("texto_norm"), ["license", "the"]))
-    out = T.snippets(rows, "texto", "texto_norm", ["license", "the"], most=3)
-    return out.select("id_fnet", F.inline("trechos"))
+    out = T.snippets(D.texts(spark, d), "texto", "texto_norm", ["license", "the"], most=3)
+    return T.snippet_rows(out, "id_fnet")
 
 
 @query(f"SELECT id_fnet, lead || '«' || hit || '»' || tail AS destaque FROM {cut(THE, 1)}")
@@ -53,7 +52,7 @@ def highlight(spark, d):
 
 @query(f"SELECT d.id_fnet, cnpj, {SNIPPET} FROM {D.DOCUMENTS} d JOIN {cut(THE, 10, f'(SELECT * FROM {D.TEXTS} WHERE id_fnet = 7)')} t ON d.id_fnet = t.id_fnet WHERE d.id_fnet = 7")
 def document_page(spark, d):
-    return search.document_page(D.documents(spark, d), D.texts(spark, d), 7, ["the"]).select("id_fnet", "cnpj", F.inline("trechos"))
+    return T.snippet_rows(search.document_page(D.documents(spark, d), D.texts(spark, d), 7, ["the"]), "id_fnet", "cnpj")
 
 
 @query(f"SELECT doc_id, {tidy('text')} AS texto FROM documents")
@@ -137,39 +136,88 @@ def json_rows(spark, d):
 # Documents' contents
 
 
-@query(f"""SELECT id_fnet, CASE WHEN id_fnet % 4 = 0 AND EXISTS (SELECT 1 FROM {D.FUNDS} WHERE cnpj = '00000000000191') THEN '00000000000191' ELSE '11222333000181' END AS cnpj FROM {D.TEXTS} WHERE id_fnet % 4 < 2""")
-def text_cnpj(spark, d):
-    """A number that the registry has, a valid one, one with wrong digits, none."""
-    lead = F.element_at(F.lit(["Fundo 11.222.333/0001-81 adm 00.000.000/0001-91 ", "Fundo 11222333000181 ", "Fundo 11.222.333/0001-82 ", ""]), (F.col("id_fnet") % 4 + 1).cast("int"))
-    return prospect.text_cnpj(D.texts(spark, d).withColumn("texto", F.concat(lead, "texto")), D.funds(spark, d))
+LEADS = ("Fundo 11.222.333/0001-81 adm 00.000.000/0001-91 ", "Fundo 11222333000181 ", "Fundo 11.222.333/0001-82 ", "")
 
 
-#: Sentences, and the class, its source and the mentions that each gives.
-ASSIGNORS = (
-    ("Fundo com cedente único. ", "monocedente", "termo explicito no regulamento", 1, 0), ("Fundo multicedente com diversos cedentes. ", "multicedente", "termo explicito no regulamento", 0, 2),
-    ("“Cedente”: quaisquer pessoas. ", "multicedente", "definicao de Cedente(s)", 0, 0), ("Cedentes significam 11.222.333/0001-81 ", "monocedente", "definicao de Cedente(s)", 0, 0),
-    ("Monocedente ou multicedente. ", "ambiguo", "termos conflitantes", 1, 1), ("Nada. ", "indeterminado", "", 0, 0),
-)
-ASSIGNOR_ROWS = ", ".join(f"({i}, '{k}', '{s}', {a}, {b})" for i, (_, k, s, a, b) in enumerate(ASSIGNORS))
+def led(leads: tuple[str, ...]) -> str:
+    """The texts with one of these sentences before each."""
+    return f"(SELECT id_fnet, {list(leads)}[id_fnet % {len(leads)} + 1] || texto AS texto FROM {D.TEXTS})"
 
 
-@query(f"SELECT id_fnet, classificacao, fonte, mencoes_mono, mencoes_multi FROM {D.TEXTS} JOIN (VALUES {ASSIGNOR_ROWS}) AS v(i, classificacao, fonte, mencoes_mono, mencoes_multi) ON id_fnet % {len(ASSIGNORS)} = i")
-def cedente_class(spark, d):
-    lead = F.element_at(F.lit([s for s, *_ in ASSIGNORS]), (F.col("id_fnet") % len(ASSIGNORS) + 1).cast("int"))
-    rows = D.texts(spark, d).withColumn("texto", F.concat(lead, "texto")).withColumn("texto_norm", T.fold(F.col("texto")))
-    return classify.assignor_class(rows).select("id_fnet", "classificacao", "fonte", "mencoes_mono", "mencoes_multi")
+def lead(leads: tuple[str, ...]):
+    return F.element_at(F.lit(list(leads)), (F.col("id_fnet") % len(leads) + 1).cast("int"))
+
+
+#: A registration number, its check digits' weights; a sign between two numbers is doubled first, as each number needs one of its own.
+NUMBER = r"(?:^|[^0-9])([0-9]{2}\.?[0-9]{3}\.?[0-9]{3}/?[0-9]{4}-?[0-9]{2})(?:$|[^0-9])"
+WEIGHTS = [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+
+
+def numbers(text: str) -> str:
+    return f"""regexp_extract_all(regexp_replace({text}, '([^0-9./-])', '\\1\\1', 'g'), '{NUMBER}', 1)"""
+
 
+def digit(n: int) -> str:
+    total = " + ".join(f"CAST(c[{i + 1}] AS INTEGER) * {w}" for i, w in enumerate(WEIGHTS[-n:]))
+    return f"c[{n + 1}] = CAST(CASE WHEN ({total}) % 11 < 2 THEN 0 ELSE 11 - ({total}) % 11 END AS VARCHAR)"
 
-PCT, VALUE = "(id_fnet % 7) || ',' || (10 + id_fnet % 90)", "(id_fnet % 50) || '.500,00'"
-SAID = "id_fnet % 11 <> 0"
+
+@query(f"""WITH h AS (SELECT id_fnet, {numbers(f"substr(texto, 1, {prospect.PREAMBLE})")} AS hits FROM {led(LEADS)}),
+e AS (SELECT id_fnet, unnest(range(len(hits))) AS pos, regexp_replace(unnest(hits), '[^0-9]', '', 'g') AS c FROM h),
+v AS (SELECT * FROM e WHERE {digit(12)} AND {digit(13)} AND c <> repeat(c[1], 14))
+SELECT id_fnet, arg_min(v.cnpj, (CASE WHEN f.cnpj IS NULL THEN 1 ELSE 0 END, pos)) AS cnpj FROM (SELECT id_fnet, pos, c AS cnpj FROM v) v LEFT JOIN (SELECT DISTINCT cnpj FROM {D.FUNDS}) f USING (cnpj) GROUP BY id_fnet""")
+def text_cnpj(spark, d):
+    """A number that the registry has, a valid one, one with wrong digits, none."""
+    return prospect.text_cnpj(D.texts(spark, d).withColumn("texto", F.concat(lead(LEADS), "texto")), D.funds(spark, d))
+
+
+#: What names one assignor, what several, both ways of defining them, both at once, nothing.
+ASSIGNORS = ("Fundo com cedente único. ", "Fundo multicedente com diversos cedentes. ", "“Cedente”: quaisquer pessoas. ", "Cedentes significam 11.222.333/0001-81 ", "Monocedente ou multicedente. ", "Nada. ")
+SPACED = SPACES.removesuffix("+")
+DEFINED = f"[\"''“”‘’«»]?cedentes?[\"''“”‘’«»]?{SPACED}*(?::|-|–|—|significam?\\b)"
 
 
-def only(condition: str, value: str) -> str:
-    return f"CASE WHEN {SAID} AND {condition} THEN [{value}] ELSE CAST([] AS VARCHAR[]) END"
+def said(words: tuple[str, ...]) -> str:
+    return " + ".join(f"(len(x) - len(replace(x, '{w}', ''))) // {len(w)}" for w in words)
+
+
+@query(f"""WITH t AS (SELECT id_fnet, lower(strip_accents(texto)) AS x FROM {led(ASSIGNORS)}),
+m AS (SELECT id_fnet, x, CAST({said(classify.SINGLE_TERMS)} AS INTEGER) AS one, CAST({said(classify.SEVERAL_TERMS)} AS INTEGER) AS many, regexp_extract_all(x, '{DEFINED}') AS hits, regexp_split_to_array(x, '{DEFINED}') AS gaps FROM t),
+p AS (SELECT *, unnest(range(1, least(len(hits), 3) + 1)) AS i FROM m),
+w AS (SELECT id_fnet, substr(x, 1 + CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda g: len(g))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: len(g))), 0) AS BIGINT), len(hits[i]) + {classify.DEFINITION_WINDOW}) AS d FROM p),
+s AS (SELECT id_fnet, bool_or(len({numbers("d")}) > 0) AS number, bool_or(regexp_matches(d, '{classify.GENERIC}')) AS generic FROM w GROUP BY id_fnet)
+SELECT id_fnet, CASE WHEN one > 0 AND many = 0 THEN 'monocedente' WHEN many > 0 AND one = 0 THEN 'multicedente' WHEN number THEN 'monocedente' WHEN generic THEN 'multicedente' WHEN one > 0 THEN 'ambiguo' ELSE 'indeterminado' END AS classificacao,
+CASE WHEN (one > 0) <> (many > 0) THEN 'termo explicito no regulamento' WHEN number OR generic THEN 'definicao de Cedente(s)' WHEN one > 0 THEN 'termos conflitantes' ELSE '' END AS fonte, one AS mencoes_mono, many AS mencoes_multi
+FROM m LEFT JOIN s USING (id_fnet)""")
+def cedente_class(spark, d):
+    rows = D.texts(spark, d).withColumn("texto", F.concat(lead(ASSIGNORS), "texto")).withColumn("texto_norm", T.fold(F.col("texto")))
+    return classify.assignor_class(rows).select("id_fnet", "classificacao", "fonte", "mencoes_mono", "mencoes_multi")
 
 
-@query(f"""SELECT id_fnet, {SAID} AS presente, {only('id_fnet % 3 < 2', PCT)} AS pct_aa, {only('id_fnet % 3 = 2', PCT)} AS pct_sem_periodo, {only('id_fnet % 4 = 0', VALUE)} AS minimos_mensais,
-{only('id_fnet % 4 = 1', VALUE)} AS fixos_mensais, {SAID} AND id_fnet % 5 = 0 AS tem_variavel, {only('id_fnet % 4 = 2', VALUE)} AS outros_valores FROM {D.TEXTS}""")
+#: A clause of each kind, from the row's number; the SQL then reads it out of the text again.
+CLAUSE = """CASE WHEN id_fnet % 11 = 0 THEN '' ELSE 'taxa de consultoria de ' || (id_fnet % 7) || ',' || (10 + id_fnet % 90) || '% ' || ['ao ano', '(zero) a.a.', 'sobre o patrimonio'][id_fnet % 3 + 1]
+|| CASE WHEN id_fnet % 4 < 3 THEN [', minimo mensal', ', mensal fixo', ', unico'][id_fnet % 4 + 1] || ' de r$ ' || (id_fnet % 50) || '.500,00' ELSE '' END || CASE WHEN id_fnet % 5 = 0 THEN ' e remuneracao variavel' ELSE '' END || '; despesas do fundo 9% r$ 1,00 ' END"""
+ENDED = r"(?:^|[^0-9,.])([0-9]{1,2}(?:[.,][0-9]{1,4})?)\s*$"
+TERMS = ", ".join(f"({k}, '{t}')" for k, t in enumerate(classify.CONSULTING_TERMS))
+KINDS = ("pct_aa", "pct_sem_periodo", "minimos_mensais", "fixos_mensais", "outros_valores")
+LISTS = ", ".join(f"list(value ORDER BY place) FILTER (kind = '{k}') AS {k}" for k in KINDS)
+
+
+@query(f"""WITH t AS (SELECT id_fnet, {CLAUSE} || texto_norm AS x FROM {D.TEXTS}),
+w AS (SELECT id_fnet, x, k, len(term) AS size, string_split(x, term) AS gaps FROM t JOIN (VALUES {TERMS}) AS v(k, term) ON contains(x, term)),
+o AS (SELECT *, unnest(range(1, len(gaps))) AS i FROM w),
+r AS (SELECT id_fnet, k, i, substr(x, 1 + CAST(list_sum(list_transform(gaps[1:i], lambda g: len(g))) + i * size AS BIGINT), {classify.CLAUSE_WINDOW}) AS c FROM o),
+c AS (SELECT id_fnet, k, i, substr(c, 1, {classify.CLAUSE_SKIP}) || regexp_split_to_array(substr(c, {classify.CLAUSE_SKIP} + 1), '{classify.CLAUSE_END}')[1] AS c FROM r),
+a AS (SELECT *, unnest(range(1, len(ps))) AS j FROM (SELECT *, string_split(c, '%') AS ps FROM c)),
+percent AS (SELECT id_fnet, (k, i, 0, j) AS place, regexp_extract(ps[j], '{ENDED}', 1) AS value, CASE WHEN regexp_matches(substr(array_to_string(ps[j + 1:], '%'), 1, {classify.YEARLY_WINDOW}), '{classify.YEARLY}') THEN 'pct_aa' ELSE 'pct_sem_periodo' END AS kind FROM a),
+b AS (SELECT *, unnest(range(1, len(hits) + 1)) AS j FROM (SELECT *, regexp_extract_all(c, '{classify.MONEY}') AS hits, regexp_extract_all(c, '{classify.MONEY}', 1) AS vs, regexp_split_to_array(c, '{classify.MONEY}') AS gaps FROM c)),
+e AS (SELECT *, CAST(list_sum(list_transform(gaps[1:j], lambda g: len(g))) + list_sum(list_transform(hits[1:j], lambda g: len(g))) AS BIGINT) AS stop FROM b),
+n AS (SELECT id_fnet, (k, i, 1, j) AS place, vs[j] AS value, substr(c, greatest(stop - len(hits[j]) - {classify.VALUE_CONTEXT}, 0) + 1, stop + {classify.VALUE_CONTEXT} - greatest(stop - len(hits[j]) - {classify.VALUE_CONTEXT}, 0)) AS around FROM e),
+money AS (SELECT id_fnet, place, value, CASE WHEN NOT regexp_matches(around, '{classify.MONTHLY}') THEN 'outros_valores' WHEN regexp_matches(around, 'minim[oa]') THEN 'minimos_mensais' WHEN regexp_matches(around, '{classify.FIXED}') THEN 'fixos_mensais' ELSE 'outros_valores' END AS kind FROM n),
+f AS (SELECT id_fnet, kind, value, min(place) AS place FROM (SELECT * FROM percent WHERE value <> '' UNION ALL SELECT * FROM money) GROUP BY ALL),
+l AS (SELECT id_fnet, {LISTS} FROM f GROUP BY id_fnet),
+s AS (SELECT id_fnet, bool_or(regexp_matches(c, '{classify.VARIABLE}')) AS v FROM c GROUP BY id_fnet)
+SELECT id_fnet, v IS NOT NULL AS presente, coalesce(v, false) AS tem_variavel, {", ".join(f"coalesce({k}, CAST([] AS VARCHAR[])) AS {k}" for k in KINDS)} FROM t LEFT JOIN s USING (id_fnet) LEFT JOIN l USING (id_fnet)""")
 def fee_extract(spark, d):
     """A clause of each kind before the text, ended by the next title; none before every eleventh."""
     i = F.col("id_fnet")

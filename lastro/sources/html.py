@@ -35,10 +35,10 @@ def select_options(pages: DataFrame, html: str = "html", *keep: str) -> DataFram
     plain = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?is)<(script|style)\b.*?</\1\s*>", "")
     forms = pages.filter(F.contains(F.lower(html), F.lit("<select"))).withColumn("page", plain)
     each = F.arrays_zip(F.regexp_extract_all("page", F.lit(SELECT), 1).alias("tag"), F.regexp_extract_all("page", F.lit(SELECT), 2).alias("body"))
-    forms = forms.select(*keep, F.posexplode(each).alias("form", "s"))
+    forms = forms.select(*keep, F.posexplode_outer(each).alias("form", "s")).filter("s is not null")  # inner ones would run the patterns twice
     forms = forms.select(*keep, "form", F.coalesce(F.nullif(attribute(F.col("s.tag"), "id"), F.lit("")), attribute(F.col("s.tag"), "name")).alias("grupo"), F.col("s.body").alias("body"))
     each = F.arrays_zip(F.regexp_extract_all("body", F.lit(OPTION), 1).alias("tag"), F.regexp_extract_all("body", F.lit(OPTION), 2).alias("label"))
-    rows = forms.filter("grupo <> ''").select(*keep, "form", "grupo", F.posexplode(each).alias("place", "o"))
+    rows = forms.filter("grupo <> ''").select(*keep, "form", "grupo", F.posexplode_outer(each).alias("place", "o")).filter("o is not null")
     label = F.regexp_replace("o.label", r"(?s)<[^>]*>", "")
     rows = rows.select(*keep, "grupo", F.coalesce(attribute(F.col("o.tag"), "value"), F.lit("")).alias("id_fnet"), label.alias("rotulo"))
     # Entities are the one thing that Spark can't read; forms are few.

@@ -65,3 +65,22 @@ def test_highlight_and_prohibition(spark):
     out = T.snippets(rows, "t", "n", ["CPR-F"]).select(F.explode("trechos").alias("s")).select("s", T.highlighted(F.col("s")).alias("h")).collect()
     assert out[0].h.startswith("É vedada a aquisição de «CPR- F»") and out[0].s.possivel_vedacao
     assert len(out) == 3
+
+
+def test_snippet_rows_run_each_pattern_once(spark):
+    rows = spark.createDataFrame([(1, "A Taxa, a taxa"), (2, "nada"), (3, None), (4, "")], "id long, texto string")
+    out = T.snippets(rows.withColumn("texto_norm", T.fold(F.col("texto"))), "texto", "texto_norm", ["taxa"], most=2)
+    out = T.snippet_rows(out, "id")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == plan.count("regexp_extract_all(") == 1
+    assert [(r.id, r.match, r.posicao_documento) for r in out.orderBy("id", "posicao_documento").collect()] == [(1, "Taxa", 2), (1, "taxa", 10)]
+
+
+def test_first_occurrences_end_where_those_of_the_whole_text_end(spark):
+    rows = spark.createDataFrame([("ab ab abc ab",), ("abc",), ("",), (None,), ("ab",), ("x ab ab",)], "t string")
+    pattern = r"(?<![0-9a-z])ab(?![0-9a-z])"
+    every = T.occurrences(rows, "t", [pattern], ["p"])
+    some = T.occurrences(rows, "t", [pattern], ["p"], first=2, within=["ab"])
+    whole, cut = ({r.t: [tuple(x) for x in r.p] if r.p is not None else None for r in df.collect()} for df in (every, some))
+    assert whole["ab ab abc ab"] == [(0, 2), (3, 5), (10, 12)] and whole["abc"] == [] and whole["ab"] == [(0, 2)]
+    assert cut == {t: None if p is None else p[:2] for t, p in whole.items()}
