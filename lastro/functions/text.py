@@ -192,8 +192,8 @@ def snippets(df: DataFrame, text: str, norm: str, terms: list[str], into: str =
 def snippet_rows(df: DataFrame, *keep: str, into: str = "trechos") -> DataFrame:
     """keep columns and one row per snippet.
 
-    An outer generator: for an inner one Catalyst infers a filter on the array's size, which
-    it pushes below all that made the array, so that every pattern would run twice.
+    An outer generator: for an inner one over a column Catalyst infers a filter on the array's
+    size, and pushes it below all that made the array, where every use of it is made anew.
     """
     return df.select(*keep, F.inline_outer(into)).filter("posicao_documento is not null")
 
