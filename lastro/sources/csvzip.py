@@ -98,24 +98,24 @@ def _opener(stream: BinaryIO, name: str) -> Opener:
         return partial(zipfile.ZipFile(stream).open, name)
 
     def whole() -> BinaryIO:
-        stream.seek(0)
-        return io.BytesIO(stream.read()) if stream.size() < 1 << 20 else io.BufferedReader(_Kept(stream))
+        return io.BytesIO(stream.read_at(stream.size(), 0)) if stream.size() < 1 << 20 else io.BufferedReader(_Kept(stream))
 
     return whole
 
 
 class _Kept(io.RawIOBase):
-    """A stream that stays open when its reader is closed."""
+    """A file from its start, at a place of this reader's own; the file stays open when the reader is closed."""
 
     def __init__(self, stream: BinaryIO):
-        self.stream = stream
+        self.stream, self.at = stream, 0
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, into) -> int:
-        got = self.stream.read(len(into))
+        got = self.stream.read_at(len(into), self.at)
         into[: len(got)] = got
+        self.at += len(got)
         return len(got)
 
 

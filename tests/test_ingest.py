@@ -198,3 +198,13 @@ def test_texts(spark):
     rows = spark.createDataFrame([(1, bytearray(("<a>Ação " + "x" * 300).encode()), "xml"), (2, bytearray(b"%PDF"), "pdf")], "id_fnet long, content binary, formato string")
     got = {r.id_fnet: r for r in documents.texts(rows).collect()}
     assert got[1].texto_norm.startswith("<a>acao") and len(got[1].texto) == len(got[1].texto_norm) and got[2].origem == "vazio"
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "utf-8"])
+def test_long_plain_files(spark, tmp_path, encoding):
+    """A plain file of more than a block is read from its start, whatever its encoding."""
+    body = "".join(f"{k:014d};Fundo é {'x' * 60}\n" for k in range(20_000))
+    (tmp_path / "longo.csv").write_bytes(f"CNPJ;NOME\n{body}".encode(encoding))
+    rows = csvzip.table(spark, str(tmp_path / "longo.csv"))
+    assert rows.count() == 20_000
+    assert rows.orderBy("row_idx").first().CNPJ == "0" * 14 and {r.NOME for r in rows.collect()} == {f"Fundo é {'x' * 60}"}
