@@ -12,8 +12,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as the sources' own tools understand it.
+#: White space as the sources' own tools understand it, as a class and as characters.
 SPACES = r"[\s\x1c-\x1f\x85]"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: A fund's registration number inside other text (fixed value).
 CNPJ_PATTERN = r"(?<!\d)\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}(?!\d)"
 
@@ -39,7 +40,7 @@ def resolve(columns: Iterable[str], wanted: dict[str, tuple[str, ...]], required
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{SPACES}+|{SPACES}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def cell(c: Column) -> Column:
@@ -53,8 +54,8 @@ def collapse(c: Column) -> Column:
 
 def cnpj(c: Column) -> Column:
     """Digits alone, with zeros in front up to 14; longer ones stay as they are."""
-    digits = F.regexp_replace(c, r"[^0-9]", "")
-    return F.when(F.length(digits) >= 14, digits).when(digits != "", F.lpad(digits, 14, "0"))
+    digits = F.nullif(F.regexp_replace(c, r"[^0-9]", ""), F.lit(""))
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(14)), F.lit("0"))
 
 
 def cnpj_valid(c: Column) -> Column:
@@ -74,9 +75,7 @@ def cnpj_valid(c: Column) -> Column:
 
 def number_text(c: Column) -> Column:
     """A number's text with `.` as the decimal sign: with `,` and `.` the points group digits."""
-    x = strip(c)
-    both = F.contains(x, F.lit(",")) & F.contains(x, F.lit("."))
-    return F.when(both, F.translate(F.replace(x, F.lit("."), F.lit("")), ",", ".")).otherwise(F.translate(x, ",", "."))
+    return F.when(F.contains(c, F.lit(",")), F.translate(strip(c), ",.", ".")).otherwise(strip(c))
 
 
 def decimal(c: Column, scale: int = 2) -> Column:
@@ -89,23 +88,17 @@ def integer(c: Column) -> Column:
     return F.when(wide >= 0, F.floor(wide)).otherwise(F.ceil(wide)).try_cast("int")
 
 
-def _month(year: Column, month: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", year, month, F.lit("01")), "yyyy-MM-dd")
-
-
 def month(c: Column) -> Column:
-    """First of the month of `YYYY-MM...` or `MM/YYYY`."""
-    x = strip(c)
-    iso = r"^(\d{4})-(\d{2})(?:-\d{2})?"
-    short = r"^(\d{2})/(\d{4})$"
-    return F.when(x.rlike(iso), _month(F.regexp_extract(x, iso, 1), F.regexp_extract(x, iso, 2))).when(x.rlike(short), _month(F.regexp_extract(x, short, 2), F.regexp_extract(x, short, 1)))
+    """First of the month of `YYYY-MM...` or `MM/YYYY`; one pattern looks at the value once, white space around it included."""
+    found = F.regexp_extract(c, f"(?U)^{SPACES}*([0-9]{{4}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{4}}(?={SPACES}*$))", 1)
+    return F.try_to_date(F.concat(F.regexp_replace(found, "^(..)/(....)$", "$2-$1"), F.lit("-01")), "yyyy-MM-dd")
 
 
 def reference_month(c: Column) -> Column:
     """First of the month of `DD/MM/YYYY...`, else as month()."""
     x = strip(c)
-    day = r"^(\d{2})/(\d{2})/(\d{4})"
-    return F.when(x.rlike(day), _month(F.regexp_extract(x, day, 3), F.regexp_extract(x, day, 2))).otherwise(month(c))
+    day = F.when(x.rlike(r"^\d{2}/\d{2}/\d{4}"), F.substring(x, 4, 7))
+    return month(F.coalesce(day, c))
 
 
 def date(c: Column) -> Column:

@@ -51,3 +51,31 @@ def test_base64(spark):
     assert one(spark, P.maybe_base64, bytearray(coded[:4] + b"\n" + coded[4:]), "binary") == b"%PDF-1.4 x"
     assert one(spark, P.maybe_base64, bytearray(base64.b64encode(b"hello")), "binary") == base64.b64encode(b"hello")
     assert one(spark, P.maybe_base64, bytearray(b"<a>"), "binary") == b"<a>"
+
+
+def test_white_space(spark):
+    """Every character that the class of white space has is taken away, and no other; a month may stand between them."""
+    rows = spark.createDataFrame([(chr(k),) for k in range(1, 0x3100)], "x string")
+    x = F.concat("x", F.lit("a"), "x", F.lit("b"), "x")
+    plain = F.regexp_replace(x, f"(?U)^{P.SPACES}+|{P.SPACES}+$", "")
+    assert rows.filter(~P.strip(x).eqNullSafe(plain)).count() == 0
+    assert rows.filter(P.strip(x) != x).count() == len(P.BLANKS)
+    blank = rows.filter(F.lit(P.BLANKS).contains(F.col("x")))
+    assert {r.m for r in blank.select(P.month(F.concat("x", F.lit("05/2024"), "x")).alias("m")).collect()} == {dt.date(2024, 5, 1)}
+
+
+@pytest.mark.parametrize(("f", "value", "want"), [
+    (P.month, " 2024-05-99", dt.date(2024, 5, 1)), (P.month, "05/2024 x", None), (P.month, "05/20245", None), (P.month, "x2024-05", None), (P.month, "", None), (P.month, None, None),
+    (P.reference_month, "29/13/2026", None), (P.reference_month, " 29/07/2026", dt.date(2026, 7, 1)), (P.reference_month, "2026-07-29", dt.date(2026, 7, 1)), (P.reference_month, None, None),
+    (P.decimal, " 1.234.567,89 ", Decimal("1234567.89")), (P.decimal, "1.234.567", None), (P.decimal, "1,2,3", None), (P.decimal, None, None), (P.cnpj, "x", None),
+])
+def test_odd_values(spark, f, value, want):
+    assert one(spark, f, value) == want
+
+
+def test_patterns_run_once(spark):
+    """A key's plan holds each pattern a few times, not once for every way to read it."""
+    rows = spark.createDataFrame([("1", "2024-05")], "a string, b string").select(P.cell(F.col("a")).alias("a"), P.cell(F.col("b")).alias("b"))
+    kept = rows.select(P.cnpj(F.col("a")).alias("a"), P.month(F.col("b")).alias("b")).filter("a is not null and b is not null")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(plan.count(w) for w in ("regexp_replace(", "regexp_extract(", "RLIKE(")) <= 12
