@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import partial, reduce
-from itertools import islice, zip_longest
+from itertools import groupby, islice, zip_longest
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -267,9 +267,29 @@ def _listed(spark: SparkSession, *paths: str) -> list:
     return headers(spark, *paths).orderBy("path", "file_idx").collect()  # a row per archive member
 
 
-def tables(spark: SparkSession, path: str) -> list[tuple[str, DataFrame]]:
-    """Each table of a file as (member, rows with its own columns and row_idx)."""
-    return [(h.member, columns_of(spark, h.columns, path).filter(F.col("file_idx") == h.file_idx).drop("path")) for h in _listed(spark, path)]
+def _rows_of(spark: SparkSession, found: list, *paths: str) -> DataFrame:
+    """Rows of chosen members (rows of _listed), with the columns of any of them."""
+    rows = columns_of(spark, [c for h in found for c in h.columns], *paths)
+    # The first filters choose members before they are inflated; the last is exact where archives differ.
+    by_place: dict[int, list[str]] = {}
+    for h in found:
+        by_place.setdefault(h.file_idx, []).append(h.path)
+    rows = rows.filter(F.col("member").isin(*{h.member for h in found})).filter(F.col("file_idx").isin(*by_place))
+    if len(by_place) > 1:
+        rows = rows.filter(reduce(lambda a, b: a | b, [(F.col("file_idx") == k) & F.col("path").isin(*p) for k, p in by_place.items()]))
+    return rows.drop("path")
+
+
+def tables(spark: SparkSession, *paths: str) -> list[tuple[str, DataFrame]]:
+    """Each table of the files as (member, rows with its own columns and row_idx); members of several archives that have one name are one table."""
+    named: dict[tuple[str, int], list] = {}
+    seen: dict[tuple[str, str], int] = {}
+    for h in _listed(spark, *paths):
+        again = seen[h.path, h.member] = seen.get((h.path, h.member), -1) + 1
+        named.setdefault((h.member, again), []).append(h)
+    # An archive may lack a table, so a table's place is the last that it has anywhere.
+    ordered = sorted(named.items(), key=lambda x: (max(h.file_idx for h in x[1]), x[0]))
+    return [(member, _rows_of(spark, found, *paths)) for (member, _), found in ordered]
 
 
 def table(spark: SparkSession, *paths: str, token: str = "") -> DataFrame:
@@ -281,22 +301,14 @@ def table(spark: SparkSession, *paths: str, token: str = "") -> DataFrame:
             found.setdefault(h.path, h)
     if len(found) < len({h.path for h in listed}) or not found:
         raise LayoutError(f"{paths}: no member with {token!r} in {[h.member for h in listed]}")
-    rows = columns_of(spark, [c for h in found.values() for c in h.columns], *paths)
-    # The first filter chooses members before they are inflated; the second is exact where archives differ.
-    by_place: dict[int, list[str]] = {}
-    for h in found.values():
-        by_place.setdefault(h.file_idx, []).append(h.path)
-    rows = rows.filter(F.col("file_idx").isin(*by_place))
-    if len(by_place) > 1:
-        rows = rows.filter(reduce(lambda a, b: a | b, [(F.col("file_idx") == k) & F.col("path").isin(*p) for k, p in by_place.items()]))
-    return rows.drop("path")
+    return _rows_of(spark, list(found.values()), *paths)
 
 
-def write_archives(rows: DataFrame, folder: str) -> DataFrame:
+def write_archives(rows: DataFrame, folder: str, titles: dict[str, str] | None = None) -> DataFrame:
     """ZIP archives of CSV members: path, members, rows of each archive that was written.
 
     rows: archive, member (their names), place (the order of a member's lines, the header first)
-    and value (a line). An archive is one task's, which streams its members' lines; it is written
+    and value (a line). titles: headers of members whose rows have none. An archive is one task's, which streams its members' lines; it is written
     under a name of the task's own and then renamed, so a task that is run again leaves one whole file.
     """
     importable(rows.sparkSession)
@@ -322,7 +334,9 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                 files.move(f"{root}/{archive}{mark}", f"{root}/{archive}")
 
         for batch in batches:
-            for own, name, value in zip(*(batch.column(c).to_pylist() for c in ("archive", "member", "value")), strict=True):
+            at = 0
+            for (own, name), same in groupby(zip(batch.column("archive").to_pylist(), batch.column("member").to_pylist(), strict=True)):
+                n = sum(1 for _ in same)
                 if own != archive:
                     close(True)
                     archive, member = own, None
@@ -332,9 +346,12 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                 if name != member:
                     close(False)
                     member, inner = name, packed.open(name, "w", force_zip64=True)
-                    done[-1] = (done[-1][0], done[-1][1] + 1, done[-1][2])
-                inner.write(value.encode() + b"\r\n")
-                done[-1] = (done[-1][0], done[-1][1], done[-1][2] + 1)
+                    if titles and name in titles:
+                        inner.write(f"{titles[name]}\r\n".encode())
+                    done[-1] = (done[-1][0], done[-1][1] + 1, done[-1][2] + (1 if titles and name in titles else 0))
+                inner.write("".join([v + "\r\n" for v in batch.column("value").slice(at, n).to_pylist()]).encode())
+                done[-1] = (done[-1][0], done[-1][1], done[-1][2] + n)
+                at += n
         close(True)
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int64())], names=["path", "members", "rows"])
 

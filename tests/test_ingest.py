@@ -208,3 +208,15 @@ def test_long_plain_files(spark, tmp_path, encoding):
     rows = csvzip.table(spark, str(tmp_path / "longo.csv"))
     assert rows.count() == 20_000
     assert rows.orderBy("row_idx").first().CNPJ == "0" * 14 and {r.NOME for r in rows.collect()} == {f"Fundo é {'x' * 60}"}
+
+
+def test_tables_of_several_archives(spark, tmp_path):
+    """Members of one name are one table, whatever their places; an archive may lack one; headers are written once a member."""
+    rows = [("a_01.zip", "b.csv", 0, "1;x"), ("a_02.zip", "a.csv", 0, "9"), ("a_02.zip", "b.csv", 1, "3;z"), ("a_02.zip", "b.csv", 0, "2;y")]
+    table = spark.createDataFrame(rows, "archive string, member string, place long, value string")
+    got = csvzip.write_archives(table, str(tmp_path / "out"), {"a.csv": "C", "b.csv": "A;B"}).collect()
+    assert {(r.path.rpartition("/")[2], r.members, r.rows) for r in got} == {("a_01.zip", 1, 2), ("a_02.zip", 2, 5)}
+    found = csvzip.tables(spark, str(tmp_path / "out" / "a_*.zip"))
+    assert [n for n, _ in found] == ["a.csv", "b.csv"]
+    assert [r.C for r in found[0][1].collect()] == ["9"]
+    assert {(r.A, r.B, r.row_idx) for r in found[1][1].collect()} == {("1", "x", 0), ("2", "y", 0), ("3", "z", 1)}
