@@ -5,6 +5,7 @@ import random
 import re
 from decimal import Decimal
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lastro import schema
@@ -78,3 +79,30 @@ def test_running_metrics_equal_a_whole_run(spark, tmp_path):
     whole = metrics.fund_metrics(spark.createDataFrame(list(last.values()), "cnpj string, competencia date, pl decimal(20,2), num_cotistas int"))
     assert sorted(store.read("fundos_metricas").select(*whole.columns).collect()) == sorted(whole.collect())
     assert schema.schema("fundos_metricas").fieldNames()[0] == "cnpj"
+
+
+def test_state_is_read_once_for_a_fund():
+    """A fund's arrivals of a batch read and write its state once, whatever the number of its months; later arrivals win."""
+
+    class Handle:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def getValueState(self, name, kind):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    handle, fund = Handle(), running.RunningMetrics()
+    fund.init(handle)
+    rows = [Row(competencia=f"2024-{m:02d}-01", pl=f"{m}.00", num_cotistas=m, arrival=a) for m in range(1, 13) for a in (1, 0)]
+    (got,) = fund.handleInputRows(("f",), iter(rows), None)
+    assert handle.calls == ["get", "update"] and got.pl_atual == Decimal("12.00") and got.pl_medio_12m == Decimal("6.50")
+    (got,) = fund.handleInputRows(("f",), iter([Row(competencia="2024-12-01", pl=None, num_cotistas=None, arrival=2)]), None)
+    assert (got.pl_atual, got.pl_medio_12m, got.cotistas_atual, got.competencia_ultima) == (Decimal("11.00"), Decimal("6.00"), 11, dt.date(2024, 12, 1))
