@@ -4,7 +4,8 @@ Vectors of one label are dealt into shards. Each shard's graph is built once, in
 many points at a time, audited and written; links are added until paths of the lowest layer
 lead from the entry to every point. Any two shards, or a shard with itself, then meet in one
 task, and either side is looked up in the other's graph; what one direction finds holds for
-both. A lookup is greedy descent through the upper layers, a beam in the lowest, then all
+both. Of two shards, only points that may have a link in the other are looked up: a quarter of
+the components, turned at random, bounds every cosine from above. A lookup is greedy descent through the upper layers, a beam in the lowest, then all
 that hangs together above a slack below the limit, so that a group larger than the beam is
 found whole.
 
@@ -15,8 +16,8 @@ the shard costs more than one that holds them all, which needs no audit. What th
 audits tested is logged.
 
 Links are those whose cosine in double precision reaches the limit. A task returns counts
-and a spanning forest of its links, never all pairs. Equal vectors are one point, whatever
-the number of their copies.
+and a spanning forest of its links, never all pairs. Vectors that are equal, or equal but for
+a power of two as their factor, are one point, whatever the number of such copies.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ FIRST_BEAM, FIRST_SLACK = 32, 0.02
 STARTS = 16
 #: Drawn points, and made vectors, that an audit takes; see the module's text.
 AUDITED, EVERY = 384, 16
+#: Turned components that bound cosines: one in SHARE, LEAST_SHORT at least; what rounding may take from the bound.
+SHARE, LEAST_SHORT, ROUNDING = 4, 16, 1e-4
 #: Links by which a point may lead to one that no path led to.
 EXTRA = 8
 LOG = logging.getLogger(__name__)
@@ -351,22 +354,56 @@ class Lookup:
             yield a, self.search(queries[own], own if same else None)
 
 
-def pairs(x: Lookup, y: Lookup | None) -> Iterator[tuple[int, np.ndarray]]:
-    """Blocks of points of x, each with which points of y (of x, if y is None) they are linked to.
+def shortened(points: np.ndarray) -> np.ndarray:
+    """Rows whose products are no less than those of the points, which are unit vectors: some turned components, and the length of the rest."""
+    size = points.shape[1]
+    kept = max(-(-size // SHARE), min(size, LEAST_SHORT))
+    turn = np.linalg.qr(np.random.default_rng(3).normal(size=(size, size)))[0][:, :kept]
+    x = points @ turn
+    rest = np.sqrt(np.maximum(1 - (x * x).sum(axis=1, keepdims=True), 0))
+    return np.concatenate((x, rest), axis=1).astype(np.float32)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the points of x, and of y, that may have a cosine of `least` or more with one of the other side; no other has one."""
+    a, b = shortened(x), shortened(y).T
+    left, right = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    for k in range(0, len(x), TOGETHER):
+        near = a[k : k + TOGETHER] @ b >= least - ROUNDING
+        left[k : k + TOGETHER] = near.any(axis=1)
+        if left[k : k + TOGETHER].any():
+            right |= near.any(axis=0)
+    return np.flatnonzero(left), np.flatnonzero(right)
+
+
+def pairs(x: Lookup, y: Lookup | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some points of x, TOGETHER at most, and for each of them which points of y (of x, if y is None) it is linked to; points without links may be left out.
 
     Either side is looked up in the other's graph, and what one direction finds holds for
     both. Links are held as bits, so that a shard linked throughout takes 32 MB a direction.
     """
-    points, same = x.points, y is None
-    there = np.concatenate([np.packbits(m, axis=1) for _, m in (x if same else y).blocks(points, same)])
-    back = there if same else np.concatenate([np.packbits(m, axis=1) for _, m in x.blocks(y.points)])
-    for a in range(0, len(points), TOGETHER):
-        n = min(TOGETHER, len(points) - a)
-        both = np.unpackbits(there[a : a + n], axis=1, count=len(back)).view(bool)
-        both |= np.unpackbits(back[:, a // 8 : (a + n + 7) // 8], axis=1, count=n).view(bool).T
+    same = y is None
+    if same:
+        rows = cols = np.arange(len(x.points))
+        there = np.concatenate([np.packbits(m, axis=1) for _, m in x.blocks(x.points, True)])
+        back = there
+    else:
+        rows, cols = may_link(x.points, y.points, x.least)
+        if not len(rows):
+            return
+        there = np.concatenate([np.packbits(m, axis=1) for _, m in y.blocks(x.points[rows])])
+        back = np.concatenate([np.packbits(m[:, rows], axis=1) for _, m in x.blocks(y.points[cols])])
+    width = len(x.points) if same else len(y.points)
+    for a in range(0, len(rows), TOGETHER):
+        n = min(TOGETHER, len(rows) - a)
+        both = np.unpackbits(there[a : a + n], axis=1, count=width).view(bool)
+        turned = np.unpackbits(back[:, a // 8 : (a + n + 7) // 8], axis=1, count=n).view(bool).T
         if same:
+            both |= turned
             both[np.arange(n), a + np.arange(n)] = False
-        yield a, both
+        else:
+            both[:, cols] |= turned
+        yield rows[a : a + n], both
 
 
 class Forest:
@@ -428,16 +465,16 @@ def _meet(least: float):
         shift = 0 if one else k
         row = {r["second"]: r for r in graphs.to_pylist()}
         both = (_loaded(x[:k], least, row[False]), None if one else _loaded(x[k:], least, row[True])) if k and (one or k < len(ids)) else None
-        for a, block in pairs(*both) if both else ():
+        for own, block in pairs(*both) if both else ():
             r, c = np.nonzero(block)
-            r, c = a + r, shift + c
+            begin = np.searchsorted(r, np.arange(len(block) + 1))
+            r, c = own[r], shift + c
             n += np.bincount(r, copies[c], len(ids)).astype(np.int64)
             if not one:
                 n += np.bincount(c, copies[r], len(ids)).astype(np.int64)
-            begin = np.searchsorted(r, np.arange(a, a + len(block) + 1))
-            for i, j, own in zip(begin[:-1].tolist(), begin[1:].tolist(), range(a, a + len(block)), strict=True):
+            for i, j, point in zip(begin[:-1].tolist(), begin[1:].tolist(), own.tolist(), strict=True):
                 if i < j:
-                    forest.add(own, c[i:j])
+                    forest.add(point, c[i:j])
         kept = ids[np.array(forest.kept, np.int64).reshape(-1, 2)]
         return pa.table({"point": pa.array(np.concatenate((ids, kept[:, 0])), pa.int64()), "n": pa.array([*n.tolist(), *[None] * len(kept)], pa.int64()), "other": pa.array([*[None] * len(ids), *kept[:, 1].tolist()], pa.int64())})
 
@@ -450,6 +487,16 @@ def _meetings(shards: DataFrame, own: str) -> DataFrame:
     return met.withColumns({"low": F.least(own, "met"), "high": F.greatest(own, "met"), "second": F.col(own) > F.col("met")}).drop("met", own, "shards")
 
 
+def scaled(rows: DataFrame) -> DataFrame:
+    """rows with each embedding's largest component brought to 1 or more and below 2 by a power of two, which leaves its cosines as they are."""
+    kind = "float" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    top = F.array_max(F.transform("embedding", lambda v: F.abs(v).cast("double")))
+    factor = F.when(F.col("good"), F.pow(F.lit(2.0), F.greatest(F.least(-F.floor(F.log2(top)), F.lit(1000)), F.lit(-1000))))
+    # In an array of its own the factor is computed once and not for each component.
+    turned = F.transform(F.array(factor), lambda f: F.transform("embedding", lambda v: (v.cast("double") * f).cast(kind)))
+    return rows.withColumn("embedding", turned[0])
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """Links vectors of equal labels whose cosine is `least` or more.
 
@@ -465,7 +512,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    rows = checkpoint(rows.withColumn("good", good))
+    rows = checkpoint(scaled(rows.withColumn("good", good)))
     # A point's number is its own: rows of one id may be several points.
     points = rows.filter("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     points = checkpoint(points.withColumns({"size": F.size("embedding"), "point": F.monotonically_increasing_id()}))

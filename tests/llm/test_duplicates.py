@@ -294,6 +294,42 @@ def test_link_counts_are_symmetric(monkeypatch, shards):
     assert sorted(tuple(sorted((r["point"], r["other"]))) for r in out if r["n"] is None) == [(1000 + i, 1000 + j) for i, j in zip(*np.nonzero(np.triu(near)), strict=True)]
 
 
+def test_only_points_that_may_link_are_looked_up(monkeypatch):
+    linked = np.arange(0, 1500, 50)
+    x, q = twins(linked, size=64)
+    left, right = (hnsw.Lookup(v, hnsw.Graph(v), 0.97) for v in (x, q))
+    asked, full = [], hnsw.Lookup.search
+
+    def counted(self, points, own=None):
+        asked.append(len(points))
+        return full(self, points, own)
+
+    monkeypatch.setattr(hnsw.Lookup, "search", counted)
+    found = {(int(rows[i]), int(j)) for rows, block in hnsw.pairs(left, right) for i, j in zip(*np.nonzero(block), strict=True)}
+    assert found == {(i, i) for i in linked.tolist()} and 2 * len(linked) <= sum(asked) < 4 * len(linked)
+
+
+@pytest.mark.parametrize("size", [1, 2, 15, 64, 200])
+def test_no_link_lies_above_the_bound(size):
+    draw = np.random.default_rng(size)
+    x = unit(draw.normal(size=(400, size)) * np.linspace(1, 0.01, size))
+    q = unit(x + 0.15 * draw.normal(size=x.shape) / np.sqrt(size))
+    near = q @ x.T >= 0.97
+    rows, cols = hnsw.may_link(q, x, 0.97)
+    assert near.any() and set(np.flatnonzero(near.any(axis=1))) <= set(rows) and set(np.flatnonzero(near.any(axis=0))) <= set(cols)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_of_one_direction_are_one_point(spark, kind):
+    x = [0.3, -1.7, 1e-9]
+    rows = [(k, [v * 2.0**k for v in x], True) for k in (-40, -1, 0, 1, 60)] + [(7, [3 * v for v in x], True), (8, [-v for v in x], True), (9, [0.0, 0.0, 0.0], False), (10, None, False)]
+    made = hnsw.scaled(spark.createDataFrame(rows, f"k int, embedding array<{kind}>, good boolean"))
+    got = {r.k: r.embedding for r in made.filter("good").collect()}
+    assert made.schema["embedding"].dataType.elementType.simpleString() == kind
+    assert len({tuple(got[k]) for k in (-40, -1, 0, 1, 60)}) == 1 and len({tuple(v) for v in got.values()}) == 3
+    assert all(1 <= max(map(abs, v)) < 2 for v in got.values())
+
+
 def test_threshold():
     assert [minhash.threshold(n, 80) for n in (1, 250_000, 10**10)] == [29, 20, 15]
 
