@@ -25,6 +25,8 @@ from lastro.session import importable
 from lastro.sources.csvzip import _file
 
 PAGE, MOST_PAGES, RETRIES = 100, 2000, 4
+#: Pages of a request that lie together where answers are stored as lines.
+SPAN = 128
 #: Seconds between two requests at least (fixed value).
 INTERVAL = 1.0
 #: A sync begins this long before its cursor; the keyed upsert absorbs what comes again (fixed value).
@@ -149,29 +151,44 @@ def service(url: str, interval: float) -> Answer:
 
 
 def stored(folder: str) -> Answer:
-    """Answers that were kept: <request>-<page>.json, or files in a folder request=<request>-<page>.
+    """Answers that were kept: <request>-<page>.json, files in a folder request=<request>-<page>, or
+    lines of the page's number, a blank and the answer in request=<request>/pages=<n>, n the number over SPAN.
 
-    Past a request's last page there is no file. A request that asks for more than a type and has
+    Past a request's last page there is none. A request that asks for more than a type and has
     no first page of its own is an error: an answer to less would have other rows.
     """
+    files, root = _file(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    #: The lines that were read last: pages are asked for in turn.
+    held: dict[tuple[str, int], dict[int, bytes]] = {}
+
+    def inside(name: str) -> list[bytes]:
+        found = files.get_file_info(fs.FileSelector(f"{root}/{name}", allow_not_found=True))
+        content = []
+        for path in sorted(i.path for i in found if i.is_file and i.base_name[0] not in "._"):
+            with files.open_input_stream(path) as stream:
+                content.append(stream.read())
+        return content
 
     def ask(search: Search, start: int, length: int) -> dict:
-        files, root = _file(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         page = start // length
-        base = f"{root}/{search.name()}-{page}.json"
-        if files.get_file_info(base).type == fs.FileType.File:
-            paths = [base]
-        else:
-            inside = fs.FileSelector(f"{root}/request={search.name()}-{page}", allow_not_found=True)
-            paths = sorted(i.path for i in files.get_file_info(inside) if i.is_file and i.base_name[0] not in "._")
-        if not paths:
+        here = (search.name(), page // SPAN)
+        if here not in held:
+            held.clear()
+            lines = (line.partition(b" ") for part in inside(f"request={here[0]}/pages={here[1]}") for line in part.split(b"\n") if line)
+            held[here] = {int(k): v for k, _, v in lines}
+        content = held[here].get(page)
+        if content is None:
+            alone = f"{search.name()}-{page}"
+            if files.get_file_info(f"{root}/{alone}.json").type == fs.FileType.File:
+                with files.open_input_stream(f"{root}/{alone}.json") as stream:
+                    content = stream.read()
+            else:
+                parts = inside(f"request={alone}")
+                content = b"".join(parts) if parts else None
+        if content is None:
             if page == 0 and search != Search(search.tipo):
                 raise FileNotFoundError(f"no stored answer to {search.name()}")
             return {"data": [], "recordsFiltered": start}
-        content = b""
-        for path in paths:
-            with files.open_input_stream(path) as stream:
-                content += stream.read()
         return json.loads(content)
 
     return ask

@@ -16,6 +16,7 @@ from lastro.functions import parsing as P
 from lastro.functions.parsing import LayoutError
 from lastro.operators import export, health, quality, report
 from lastro.operators.order import numbered
+from lastro.plans import service as service_plan
 from lastro.sources import csvzip, documents, paged
 from lastro.store import KEPT, Conflict, Store
 from lastro.streaming import sync
@@ -156,6 +157,25 @@ def test_stored_answers_to_less_are_not_taken(spark, tmp_path):
         rows.filter(F.col("id_categoria") == 2).count()
 
 
+def test_answers_are_stored_as_lines_of_many_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paged, "SPAN", 4)
+    kept = [(record(i, "1", 1 + i % 28), i) for i in range(57)]
+    rows = [("1", A, 2, DAY + dt.timedelta(minutes=i), i, json.dumps(r)) for r, i in kept]
+    made = spark.createDataFrame(rows, "tipo string, cnpj string, id_categoria int, entrega timestamp_ntz, id long, value string")
+    asked = [paged.Search("1"), paged.Search("1", id_categoria=2), paged.Search("1", id_categoria=3), paged.Search("1", ordem="desc")]
+    service_plan.keep_answers(made, asked, str(tmp_path), 5)
+    assert len(list(tmp_path.glob("request=1/pages=*"))) == 3  # twelve pages
+    ask = paged.stored(str(tmp_path))
+    for search_ in asked[:2]:
+        answers = [ask(search_, 5 * k, 5) for k in range(14)]
+        assert [r["id"] for a in answers for r in a["data"]] == list(range(57)) and {a["recordsFiltered"] for a in answers[:12]} == {57}
+        assert [len(a["data"]) for a in answers] == [5] * 11 + [2, 0, 0] and ask(search_, 0, 5) == answers[0]
+    assert ask(asked[2], 0, 5) == {"recordsFiltered": 0, "data": []}
+    assert [r["id"] for r in ask(asked[3], 0, 1)["data"]] == [56]
+    with pytest.raises(FileNotFoundError, match="no stored answer"):
+        ask(paged.Search("1", id_categoria=9), 0, 5)
+
+
 def test_service_rate_is_one_for_all_ranges(spark, service):
     Service.records = [record(i, "1", 1 + i % 28) for i in range(24)]
     paged.register(spark)
