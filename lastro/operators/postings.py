@@ -23,12 +23,19 @@ TOKEN = "[0-9a-z]+"
 #: Forms of a term that are looked up at most; a term with more asks for its first tokens alone, and in the end for nothing.
 MOST_FORMS = 2048
 TABLE, RANGE, BUCKETS = "documento_tokens", 10_000, 16
+#: Tasks, and files, that a range's rows are written by.
+SLICES = 4
 
 
-def tokens_of(texts: DataFrame) -> DataFrame:
-    """token, id_fnet, once for each token of a text."""
+def packed(texts: DataFrame) -> DataFrame:
+    """id_fnet and tokens, a text's tokens with blanks between them, each once."""
     found = F.array_distinct(F.regexp_extract_all("texto_norm", F.lit(TOKEN), F.lit(0)))
-    return texts.select("id_fnet", F.explode(found).alias("token")).select("token", "id_fnet")
+    return texts.select("id_fnet", F.coalesce(F.array_join(found, " "), F.lit("")).alias("tokens"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """token, id_fnet, once for each token; a document without tokens has one row without a token."""
+    return rows.select(F.explode(F.split("tokens", " ")).alias("token"), "id_fnet").withColumn("token", F.nullif("token", F.lit("")))
 
 
 def index_texts(store: Store, texts: DataFrame) -> list[str]:
@@ -39,11 +46,17 @@ def index_texts(store: Store, texts: DataFrame) -> list[str]:
         return touched | {p for p in there if p.partition("-")[0] in ranges}
 
     def anew(target: DataFrame, fresh: DataFrame) -> DataFrame:
-        return target.join(fresh.select("id_fnet").distinct(), "id_fnet", "left_anti").unionByName(fresh.filter("token is not null"))
+        held = target.groupBy("id_fnet").agg(F.array_join(F.collect_list("token"), " ").alias("tokens"))
+        return held.join(fresh.select("id_fnet").distinct(), "id_fnet", "left_anti").unionByName(fresh)
+
+    def by_range(rows: DataFrame, touched: set[str]) -> DataFrame:
+        # Tokens move packed. A task has few slices of ranges, as it sorts its unpacked rows by their parts.
+        slices = SLICES * len({p.partition("-")[0] for p in touched})
+        tasks = max(slices, int(store.spark.conf.get("spark.sql.shuffle.partitions")))
+        return unpacked(rows.repartition(tasks, F.expr(f"id_fnet div {RANGE // SLICES}"))).filter("token is not null")
 
     # A document without tokens stands in its range too, so that what it had goes.
-    none = texts.filter(~F.coalesce(F.col("texto_norm").rlike(TOKEN), F.lit(False))).select(F.lit(None).cast("string").alias("token"), "id_fnet")
-    return store.merge(TABLE, tokens_of(texts).unionByName(none), ["token", "id_fnet"], how=anew, widen=whole_ranges)
+    return store.merge(TABLE, packed(texts), ["token", "id_fnet"], how=anew, widen=whole_ranges, unpack=unpacked, deal=by_range)
 
 
 def _variants(token: str, flexible: bool) -> list[str]:

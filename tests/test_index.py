@@ -62,6 +62,27 @@ def test_texts_that_come_again(spark, tmp_path):
     assert postings.candidates(store, ["beta"]).count() == 0 and postings.candidates(Store(spark, str(tmp_path / "none")), ["beta"]).count() == 0
 
 
+def test_tokens_move_packed(spark, tmp_path):
+    """A row a document until its tokens are written, and what follows from a text is made when the texts have been dealt."""
+    rows = [(1, "b a b"), (2, ""), (3, None), (10_001, "c"), (None, "d")]
+    packed = postings.packed(texts_of(spark, rows))
+    assert {(r.id_fnet, r.tokens) for r in packed.collect()} == {(1, "b a"), (2, ""), (3, ""), (10_001, "c"), (None, "d")}
+    assert {tuple(r) for r in postings.unpacked(packed).collect()} == {("b", 1), ("a", 1), (None, 2), (None, 3), ("c", 10_001), ("d", None)}
+    store = Store(spark, str(tmp_path / "s"))
+    seen = []
+
+    def late(table):
+        seen.append(table.columns)
+        return table.withColumn("texto_norm", F.upper("texto"))
+
+    store.write("documento_textos", texts_of(spark, rows).drop("texto_norm"), late=late)
+    assert seen == [["id_fnet", "texto", "parte"]]
+    assert {(r.id_fnet, r.texto_norm) for r in store.read("documento_textos").collect()} == {(i, t and t.upper()) if t else (i, t) for i, t in rows}
+    postings.index_texts(store, texts_of(spark, rows))
+    postings.index_texts(store, texts_of(spark, [(1, "e"), (2, "f")]))
+    assert sorted(map(tuple, store.read("documento_tokens").collect()), key=str) == sorted([("e", 1), ("f", 2), ("c", 10_001), ("d", None)], key=str)
+
+
 def test_running_metrics_equal_a_whole_run(spark, tmp_path):
     """Any split of the reports, late months, months that come again with another value or none."""
     rng = random.Random(2)
