@@ -34,7 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lastro.llm.common import RollingHash, importable, mix64, text_slices
+from lastro.llm.common import RollingHash, held, importable, mix64, text_slices
 
 SLICE_BYTES = 2 << 20
 #: Symbols of a piece that wait at most, besides the lookahead; bytes of a longer piece that are read at once.
@@ -490,6 +490,7 @@ def loaded(source: str) -> WordBpe:
     key = hashlib.sha256(source.encode()).hexdigest()
     if key not in _LOADED:
         _LOADED[key] = WordBpe(source)
+        held(_LOADED[key].hash)
     return _LOADED[key]
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastro.llm.common import checkpoint, importable, join_spread, mix64, spread, text_slices
+from lastro.llm.common import checkpoint, held, importable, join_spread, mix64, spread, text_slices, tidy
 from lastro.llm.graph import components
 
 SLICE_BYTES = 1 << 20
@@ -68,7 +68,7 @@ class Words(dict):
         return value
 
 
-WORDS = Words()
+WORDS = held(Words())
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +142,7 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
     """Of rows a, b, items_a, items_b, those that reach the similarity on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             keep = []
             for p, q in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
@@ -158,6 +159,7 @@ def _counted(least: int):
     """Of one block, the members that reach the threshold with a member of another component."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         a, b = pdf[pdf.role == "a"], pdf[pdf.role == "b"]
         sa, sb = (np.array(x.signature.tolist(), np.int64).reshape(-1, COORDINATES) for x in (a, b))
         ma, mb = a.prefix.to_numpy(np.int64), b.prefix.to_numpy(np.int64)
@@ -183,6 +185,7 @@ def _counted_short(least: int):
     """Of many short lists, the pairs of different components that reach the threshold, each in the first list that both are on."""
 
     def run(key, rows):
+        tidy()
         value = rows.column("value").to_numpy()
         by = np.argsort(value, kind="stable")
         value = value[by]
@@ -224,8 +227,8 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray
         (ra, ca), (rb, cb) = incidence(fa, na), incidence(fb, nb)
         oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
         ra, ca, rb, cb = ra[oa], ca[oa], rb[ob], cb[ob]
-        for lo in range(0, len(items), 4096):
-            hi = min(lo + 4096, len(items))
+        for lo in range(0, len(items), 1024):
+            hi = min(lo + 1024, len(items))
             pa_, pb_ = slice(*np.searchsorted(ca, [lo, hi])), slice(*np.searchsorted(cb, [lo, hi]))
             x, y = np.zeros((len(a), hi - lo), np.float32), np.zeros((len(b), hi - lo), np.float32)
             x[ra[pa_], ca[pa_] - lo] = 1
@@ -238,6 +241,7 @@ def _checked(percent: int):
     """Of one block of full sets, a link for each member and other component it links with."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         a, b = pdf[pdf.role == "a"], pdf[pdf.role == "b"]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": []})

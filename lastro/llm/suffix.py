@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lastro.llm.common import RollingHash, checkpoint, importable, mix64
+from lastro.llm.common import RollingHash, checkpoint, held, importable, mix64, tidy
 
 GRAM = 48
 #: Starts of a run at most.
@@ -63,7 +63,7 @@ HOT_TEXTS = 8192
 #: that finds such anchors; anchors at most (others stay in one bucket); blocks that may send one text to one bucket.
 HOT_RUNS, SAMPLE_BYTES, SAMPLE_SHARE, MOST_ANCHORS, TOGETHER = 1 << 20, 16 << 20, 4e-5, 1 << 16, 1 << 16
 NOTHING, REPEATED, COMPARE, COMPARE_HOT = range(4)
-ONE, TWO = RollingHash(0x9E3779B97F4A7C15), RollingHash(0xC2B2AE3D27D4EB4F)
+ONE, TWO = held(RollingHash(0x9E3779B97F4A7C15)), held(RollingHash(0xC2B2AE3D27D4EB4F))
 LAST = (1 << 63) - 1
 
 
@@ -255,6 +255,7 @@ def unplanes(data: bytes, kind) -> np.ndarray:
 
 def _send(width: int, buckets: int, hot: np.ndarray, secret: bytes):
     def run(key, rows):
+        tidy()
         block = Block(rows, width)
         at, there, upto = block.sent(buckets, key[0].as_py(), hot)
         out = {"bucket": [], "block": [], "anchors": [], "texts": [], "docs": []}
@@ -276,6 +277,7 @@ TEXT = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 def _answer(hot: int, crowded: np.ndarray):
     def run(key, rows):
+        tidy()
         blocks = rows.column("block").to_numpy()
         anchors = [np.frombuffer(x, np.uint32) for x in rows.column("anchors").to_pylist()]
         sizes = np.array([len(x) for x in anchors])
@@ -327,6 +329,7 @@ def _decide(width: int, buckets: int, hot: np.ndarray):
     """What the answers decide, as ranges, and the runs to compare, as text."""
 
     def run(key, rows, answers):
+        tidy()
         number = key[0].as_py()
         block = Block(rows, width)
         code = np.where(block.own, NOTHING, REPEATED).astype(np.uint8)
@@ -392,6 +395,7 @@ class Shard:
 
 def _compare(width: int):
     def run(key, rows):
+        tidy()
         shard = Shard(rows, width)
         return shard.removed(np.flatnonzero(shard.repeated), width)
 
@@ -402,6 +406,7 @@ def _compare_hot(width: int, ranges: int, secret: bytes):
     """A hot shard's repeated starts (range null), and its first occurrences as sorted runs."""
 
     def run(key, rows):
+        tidy()
         shard = Shard(rows, width)
         gone = shard.removed(np.flatnonzero(shard.repeated), width)
         n = len(gone)
@@ -426,8 +431,9 @@ def _merge(width: int):
     """One range of strings: each run is looked up among the range's earliest owners."""
 
     def run(key, rows):
-        held = {c: [np.frombuffer(x, np.uint64 if c in ("one", "two") else np.int64) for x in rows.column(c).to_pylist()] for c in ("one", "two", "docs", "blocks", "rows", "starts")}
-        all_ = {c: np.concatenate(x) for c, x in held.items()}
+        tidy()
+        parts = {c: [np.frombuffer(x, np.uint64 if c in ("one", "two") else np.int64) for x in rows.column(c).to_pylist()] for c in ("one", "two", "docs", "blocks", "rows", "starts")}
+        all_ = {c: np.concatenate(x) for c, x in parts.items()}
         by = np.lexsort((all_["starts"], all_["rows"], all_["blocks"], all_["docs"], all_["two"], all_["one"]))
         one, two = all_["one"][by], all_["two"][by]
         new = np.ones(len(by), bool)
@@ -436,7 +442,7 @@ def _merge(width: int):
         gone, base = [], 0
         joint = both[0] ^ mix64(both[1])
         sort = np.argsort(joint)
-        for a, b in zip(held["one"], held["two"], strict=True):
+        for a, b in zip(parts["one"], parts["two"], strict=True):
             at = sort[np.searchsorted(joint[sort], a ^ mix64(b))]
             gone.append(base + np.flatnonzero(owner[at] != base + np.arange(len(a))))
             base += len(a)
@@ -448,6 +454,7 @@ def _merge(width: int):
 
 def _drop(width: int, with_text: bool, carried: list[str]):
     def run(key, rows, ranges):
+        tidy()
         block = Block(rows, width, with_runs=False)
         number = {c: ranges.column(c).to_numpy() for c in ("row", "start", "size")} if len(ranges) else {c: np.empty(0, np.int64) for c in ("row", "start", "size")}
         d, s, e = _ranges(number["row"], number["start"], number["start"] + number["size"])
@@ -472,6 +479,7 @@ def _crowded(source: DataFrame, total: int, width: int) -> np.ndarray:
     share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(total, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             if batch.num_rows:
                 anchors = np.concatenate([runs(np.frombuffer(t, np.uint8), np.array([0, len(t)]), width)[2] for t in batch.column("text").to_pylist()])

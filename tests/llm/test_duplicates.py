@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from lastro.llm import graph, hnsw, minhash, suffix
+from lastro.llm.common import join_spread
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -372,3 +373,44 @@ def test_spread_joins(spark, monkeypatch, how):
         assert sorted(map(tuple, got.select("id", "k", "v").collect()), key=str) == sorted(map(tuple, rows.join(facts, "k", how).select("id", "k", "v").collect()), key=str)
     dealt, copied = common.spread(rows.drop("salts"), ["k"])
     assert dealt.filter("k = 7").select("salt").distinct().count() > 3 and copied(facts).filter("k = 7").count() > 3 == 3 * copied(facts).filter("k = 150").count()
+
+
+# Memory of workers
+
+
+def test_a_task_starts_without_what_earlier_tasks_left(spark, documents):
+    """Python workers serve one task after the other: caches of the operators that ran before are empty when a task begins."""
+    minhash.near_duplicates(documents).count()
+    suffix.remove_repeats(documents).count()
+
+    def left(batches):
+        from lastro.llm import minhash, suffix
+        from lastro.llm.common import text_slices
+
+        for batch in text_slices(batches, "text", 1 << 20):
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(minhash.WORDS) + len(suffix.ONE.up) + len(suffix.TWO.up)], pa.int64())})
+
+    found = documents.select("text").repartition(8).mapInArrow(left, "n long").collect()
+    assert found and {r.n for r in found} == {2}
+
+
+def test_powers_are_an_eighth_more_than_asked_for_at_most():
+    for n in (1, 2, 3, 17, 1000, (1 << 20) + 1):
+        rolling = suffix.RollingHash(12345)
+        rolling.powers(n)
+        assert n <= len(rolling.up) <= max(n * 9 // 8, n + 1)
+        rolling.clear()
+        assert len(rolling.up) == len(rolling.down) == 1
+
+
+def test_told_keys_come_without_lists(spark, monkeypatch):
+    """A list given to createDataFrame starts a further set of Python workers on every executor."""
+    given = []
+    create = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: (given.append(type(data)), create(self, data, *a, **k))[1])
+    rows = spark.range(20_000).selectExpr("cast(if(id < 9000, null, if(id < 15000, 1, id)) as long) key", "id")
+    facts = spark.range(20_000).selectExpr("id key", "id * 2 twice").union(spark.sql("select cast(null as long), -1L"))
+    counts = rows.groupBy("key").count()
+    out = {r.key: (r["count"], r.twice) for r in join_spread(rows, facts, ["key"], by="id", counts=counts).groupBy("key", "twice").count().collect()}
+    assert given and set(given) == {pa.Table}
+    assert out[1] == (6000, 2) and out[19_999] == (1, 39_998) and sum(n for n, _ in out.values()) == 11_000
